@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import chat_format, class_lm, decontaminate, license_scan, merkle, near_dedup, packing, quality_classifier, quality_rules, url_filter
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": quality_rules.op3_quality_rules}
+    return {
+        "op1_near_dedup": near_dedup.op1_near_dedup,
+        "op2_chat_format": chat_format.op2_chat_format,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_class_lm": class_lm.op4_class_lm,
+        "op5_packing": packing.op5_packing,
+        "op6_license_scan": license_scan.op6_license_scan,
+        "op7_url_filter": url_filter.op7_url_filter,
+        "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+        "op9_merkle": merkle.op9_merkle,
+        "op10_decontaminate": decontaminate.op10_decontaminate,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": chat_format.OP2_SQL, "op9_merkle": merkle.OP9_SQL}
