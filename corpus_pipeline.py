@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemospark.llm.common import materialize, table
+from mnemospark.llm.decontaminate import decontaminate_stage
+from mnemospark.llm.near_dedup import dedup_stage
+from mnemospark.llm.packing import packing_stage
+from mnemospark.llm.quality_classifier import classifier_stage
 from mnemospark.llm.quality_rules import quality_stage
 
-STAGES = [("quality_rules", quality_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("quality_classifier", classifier_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontaminate_stage),
+    ("packing", packing_stage),
+]
 
 #: Robust estimates and trained models are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
