@@ -18,6 +18,7 @@ another; a sentence longer than the window is sliced; an empty table gives an em
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections import deque
@@ -37,22 +38,47 @@ WINDOW, END = 1024, 0
 PER_WINDOW, SENTENCE, INSIDE = 1.0, 2.0, 12.0
 #: Windows that a stretch between two cut points may span.
 SPAN = 4
+#: Unpadded shorter windows that are looked for: halves, quarters and so on.
+POWERS = 4
 #: Tokens of a block, and bytes of Parquet for a task.
 BLOCK, TASK_BYTES = 1 << 20, 24 << 20
-_UNITS = 300_000
+_UNITS = 600_000
 #: A space inside a run of white space, where a cut could change the pieces.
 _RUN = re.compile(r"\s (?:\s|\Z)")
 _SENTENCE_ENDS = (".", "!", "?", "\n")
 
 
-@lru_cache(1)
-def _tokenizer(name: str):
+@lru_cache(2)
+def encoder(name: str, ranks: str | None):
+    """texts -> lists of ids. ranks: the same vocabulary as ranked pieces, for a library several times as fast."""
     import public_tokenizers
+
+    if ranks:
+        import tiktoken
+
+        with open(public_tokenizers.path(ranks), "rb") as f:
+            pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        found = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens={})
+        return lambda texts: list(map(found.encode_ordinary, texts))
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(public_tokenizers.path(name))
     found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return found
+    return lambda texts: [e.ids for e in found.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class _Table(dict):
+    """Units to their numbers; new ones are noted."""
+
+    def __init__(self, lead: str, new: list[str], size: list[int]):
+        super().__init__()
+        self.lead, self.new, self.size = lead, new, size
+
+    def __missing__(self, unit: str) -> int:
+        at = self[unit] = self.size[0]
+        self.size[0] += 1
+        self.new.append(self.lead + unit)
+        return at
 
 
 class Units:
@@ -63,51 +89,48 @@ class Units:
     whole.
     """
 
-    def __init__(self, name: str):
-        self.tokenizer, self.at = _tokenizer(name), {}
+    def __init__(self, name: str, ranks: str | None = None):
+        self.encoded, self.new, self.count = encoder(name, ranks), [], [0]
+        self.heads, self.tails, self.whole = (_Table(lead, self.new, self.count) for lead in ("", " ", ""))
         self.clear()
 
     def clear(self) -> None:
-        self.at.clear()
+        for t in (self.heads, self.tails, self.whole):
+            t.clear()
+        self.count[0] = 0
         self.flat, self.first = np.empty(0, np.uint32), np.empty(0, np.int64)
         self.size, self.ends = np.empty(0, np.int64), np.empty(0, bool)
 
-    def _index(self, units: list[str]) -> np.ndarray:
-        at = self.at
-        new = list(set(units).difference(at))
-        if new:
-            at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-            self.size = np.concatenate([self.size, size])
-            self.ends = np.concatenate([self.ends, np.fromiter((u.endswith(_SENTENCE_ENDS) or "\n" in u for u in new), bool, len(new))])
-        return np.fromiter(map(at.__getitem__, units), np.int64, len(units))
+    def _learn(self) -> None:
+        new = self.new
+        ids = self.encoded(new)
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+        self.size = np.concatenate([self.size, size])
+        self.ends = np.concatenate([self.ends, np.fromiter((u.endswith(_SENTENCE_ENDS) or "\n" in u for u in new), bool, len(new))])
+        new.clear()
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids with the end token, and the offsets behind its sentences and its end."""
-        if len(self.at) > _UNITS:
+        if self.count[0] > _UNITS:
             self.clear()
-        units: list[str] = []
-        counts = []
+        found = []
         for t in texts:
             if not t:
-                counts.append(0)
-                continue
-            if _RUN.search(t):
-                own = [t]
+                found.append(None)
+            elif _RUN.search(t):
+                found.append(np.array([self.whole[t]]))
             else:
-                head, *tail = t.split(" ")
-                own = [head, *(" " + u for u in tail)]
-            counts.append(len(own))
-            units += own
-        index = self._index(units) if units else np.empty(0, np.int64)
-        out, a = [], 0
-        for n in counts:
-            i = index[a : a + n]
-            a += n
-            if not n:
+                units = t.split(" ")
+                index = np.fromiter(map(self.tails.__getitem__, units), np.int64, len(units))
+                index[0] = self.heads[units[0]]
+                found.append(index)
+        if self.new:
+            self._learn()
+        out = []
+        for i in found:
+            if i is None:
                 out.append((np.array([END], np.uint32), np.array([1])))
                 continue
             lens = self.size[i]
@@ -129,43 +152,48 @@ def plan(at: list[int], penalty: list[float], window: int = WINDOW, final: bool
     Unless final, the last windows are left off: what follows may be packed better.
     """
     n = len(at)
-    cost, back = [0.0] * n, [(0, 0)] * n
+    cost, back, keys = [0.0] * n, [0] * n, [0.0] * n
     place = {0: 0}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
-    queues = [deque([0] if k == 1 else []) for k in range(1, SPAN + 1)]
-    nexts = [1] + [0] * (SPAN - 1)  # the first cut that each queue has not taken in
-    keys = [0.0] * n
+    powers = [window >> k for k in range(1, POWERS + 1)]
+    # queue, the first cut it has not taken in, least and greatest distance, what its stretches cost besides
+    spans = [(deque(), [0], (k - 1) * window + 1, k * window, (k - 1) * (INSIDE + PER_WINDOW) + k * window) for k in range(1, SPAN + 1)]
     for j in range(1, n):
         x = at[j]
         # always possible: straight from the cut before, in as many windows as it takes
-        gap = x - at[j - 1]
-        k = -(-gap // window)
-        best, how = cost[j - 1] + (k - 1) * (INSIDE + PER_WINDOW) + k * window - gap, (j - 1, window)
-        for k in range(1, SPAN + 1):
-            q, i = queues[k - 1], nexts[k - 1]
-            while i < j and at[i] <= x - (k - 1) * window - 1:  # near enough to be k windows away at most
-                v = keys[i]
-                while q and keys[q[-1]] >= v:
-                    q.pop()
-                q.append(i)
-                i += 1
-            nexts[k - 1] = i
-            far = x - k * window
-            while q and at[q[0]] < far:
-                q.popleft()
-            if q and (c := keys[q[0]] + (k - 1) * (INSIDE + PER_WINDOW) + k * window - x) < best:
-                best, how = c, (q[0], window)
+        k = (x - at[j - 1] + window - 1) // window
+        how = j - 1
+        best = keys[how] + (k - 1) * (INSIDE + PER_WINDOW) + k * window
+        for q, nxt, least, most, extra in spans:
+            i = nxt[0]
+            near = x - least
+            if at[i] <= near:
+                while i < j and at[i] <= near:
+                    v = keys[i]
+                    while q and keys[q[-1]] >= v:
+                        q.pop()
+                    q.append(i)
+                    i += 1
+                nxt[0] = i
+            if q:
+                far = x - most
+                while q and at[q[0]] < far:
+                    q.popleft()
+                if q and keys[q[0]] + extra < best:
+                    how = q[0]
+                    best = keys[how] + extra
+        best -= x
         for p in powers:
             i = place.get(x - p)
             if i is not None and cost[i] < best:
-                best, how = cost[i], (i, p)
-        cost[j], back[j] = best + PER_WINDOW + penalty[j], how
-        keys[j] = cost[j] + x
+                best, how = cost[i], i
+        cost[j] = best = best + PER_WINDOW + penalty[j]
+        back[j] = how
+        keys[j] = best + x
         place[x] = j
     ends: list[int] = []
     j = n - 1
     while j:
-        i, _ = back[j]
+        i = back[j]
         stretch = list(range(at[i] + window, at[j], window)) + [at[j]]
         ends += reversed(stretch)
         j = i
@@ -237,11 +265,11 @@ class _Packer:
         return batch
 
 
-def _packed(name: str):
+def _packed(name: str, ranks: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        units, packer = Units(name), _Packer(TaskContext.get().partitionId())
+        units, packer = Units(name, ranks), _Packer(TaskContext.get().partitionId())
         held, size = [], 0
         for batch in batches:
             docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -267,13 +295,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", task_bytes: int = TASK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", task_bytes: int = TASK_BYTES) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     held = docs.select("doc_id", "text")
     parts = max(1, round(input_bytes(held) / task_bytes))
     dealt = held.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.mapInArrow(_packed(tokenizer), schema)
+    return dealt.mapInArrow(_packed(tokenizer, ranks), schema)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

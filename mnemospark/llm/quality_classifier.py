@@ -1,7 +1,8 @@
 """Quality classifier: document evidence combined with host and path posteriors by empirical Bayes.
 
-A sparse Bernoulli model is fitted on labelled rows: for each target (low quality, toxic) only features whose
-share differs significantly between its classes carry evidence. It scores whole texts. Evidence and global
+A sparse model is fitted on labelled rows: for each target (low quality, toxic) only features that a good
+share of its rows have, and clearly more often than others, carry evidence: their log ratio. What a text
+lacks is no evidence, so short texts are not suspect. It scores whole texts. Evidence and global
 rate give a document probability; their grouped sums per host and per path are shrunk, paths toward their
 host and hosts toward the global rate, with strengths estimated by the method of moments, so that sparse
 sites say little. A document's verdict is its evidence under its path's posterior rate.
@@ -9,7 +10,7 @@ sites say little. A document's verdict is its evidence under its path's posterio
 Parameters: LABELLED bounds the labelled rows that are fitted on (those with the least hash of their id);
 FEATURES bounds the features of the model. Everything else covers all rows.
 
-Defined cases: null text counts as empty and has its length as only feature; null hosts and paths are
+Defined cases: null text counts as empty; null hosts and paths are
 groups of their own; without labelled rows nothing is rejected; rows with equal ids are each judged by
 their own text; labels with null id or null target are ignored; an empty table gives an empty result.
 """
@@ -20,6 +21,8 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +31,33 @@ from pyspark.sql import functions as F
 
 from .common import materialize, row_key, small, table
 
-LABELLED, FEATURES, LEAST_Z, LEAST_ROWS = 20_000, 4_000, 5.0, 8
+LABELLED, FEATURES = 20_000, 4_000
+#: Of a feature: standard errors between the classes, share of the target's rows, ratio of the shares.
+LEAST_Z, LEAST_SHARE, LEAST_RATIO = 5.0, 0.015, 150.0
 TARGETS = ("low", "toxic")
 _CACHE = 500_000
 _CORE = re.compile(r"[^\W\d_]+")
 _SYMBOLS = re.compile(r"[^\w\s.,;:'\"()?-]+")
 
 
+#: Lengths of the word beginnings that are features besides the word.
+PREFIXES = (4, 5, 6, 7)
+
+
 def word_features(word: bytes) -> tuple[tuple[str, ...], bool, bool]:
     """The lexical features of a word, whether it is in capitals, whether it carries symbols."""
     w = word.decode("utf-8", "replace")
-    core, symbols = _CORE.findall(w), _SYMBOLS.findall(w)
-    found = [f"w:{c.lower()}" for c in core if len(c) > 2] + [f"s:{s[:3]}" for s in symbols]
-    return tuple(found), any(len(c) > 1 and c.isupper() for c in core), bool(symbols)
+    core, symbols = [c.lower() for c in _CORE.findall(w) if len(c) > 2], _SYMBOLS.findall(w)
+    found = [f"w:{c}" for c in core] + [f"p:{c[:k]}" for c in core for k in PREFIXES if len(c) > k] + [f"s:{s[:3]}" for s in symbols]
+    return tuple(found), len(w) > 1 and w.isupper(), bool(symbols)
 
 
-def shape_features(n: int, upper: int, symbols: int, kinds: int, lines: list[bytes]) -> list[str]:
-    """Binned statistics of a whole text."""
-    bins = lambda part: 0 if not part else 1 + int(4 * part / max(n, 1))
+def shape_features(words: list[bytes], upper: int, symbols: int, lines: list[bytes]) -> list[str]:
+    """Binned shares over a whole text: words in capitals, with symbols, equal to the one before; repeated lines."""
+    bins = lambda part: 0 if not part else 1 + int(4 * part / max(len(words), 1))
     lines = [x for x in lines if x.strip()]
-    repeated = len(lines) - len(set(lines))
-    return [f"#n:{n.bit_length()}", f"#u:{bins(upper)}", f"#s:{bins(symbols)}", f"#k:{kinds * 8 // max(n, 1)}:{min(n.bit_length(), 9)}", f"#l:{repeated * 8 // max(len(lines), 1)}"]
+    again = sum(map(eq, words, islice(words, 1, None)))
+    return [f"#u:{bins(upper)}", f"#s:{bins(symbols)}", f"#r:{bins(again)}", f"#l:{(len(lines) - len(set(lines))) * 8 // max(len(lines), 1)}"]
 
 
 class _Words(dict):
@@ -64,8 +73,8 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, counts, rows = _Words(), [Counter() for _ in range(4)], np.zeros(4, np.int64)
     for batch in batches:
         for text, low, toxic in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("low").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            own = Counter((text or b"").split())
-            k, n = 2 * low + toxic, sum(own.values())
+            seq = (text or b"").split()
+            own, k = Counter(seq), 2 * low + toxic
             rows[k] += 1
             found: set[str] = set()
             upper = symbols = 0
@@ -74,7 +83,7 @@ def _observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found.update(f)
                 upper += m * u
                 symbols += m * s
-            found.update(shape_features(n, upper, symbols, len(own), (text or b"").split(b"\n")))
+            found.update(shape_features(seq, upper, symbols, (text or b"").split(b"\n")))
             counts[k].update(found)
     names = [*set().union(*counts), ""]
     columns = [np.array([c[x] for x in names[:-1]] + [r], np.int64) for c, r in zip(counts, rows, strict=True)]
@@ -96,14 +105,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     for target, (yes, no) in of.items():
         many, few = (sum(total[f"n{k}"] for k in ks) if total else 0 for ks in (yes, no))
         rate = (many + 0.5) / (many + few + 1)
-        weights: dict[str, tuple[float, float]] = {}
+        weights: dict[str, float] = {}
         if many and few:
-            p1, p0 = ((sum(F.col(f"n{k}") for k in ks) + 0.5) / (n + 1) for ks, n in ((yes, many), (no, few)))
+            p1, p0 = ((sum(F.col(f"n{k}") for k in ks) + 0.1) / (n + 0.2) for ks, n in ((yes, many), (no, few)))
             pooled = (p1 * many + p0 * few) / (many + few)
             z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / many + 1 / few))
-            found = counts.where("feature <> ''").withColumns({"p1": p1, "p0": p0, "z": z}).where((F.abs("z") >= LEAST_Z) & (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3") >= LEAST_ROWS))
-            for r in found.orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES).collect():
-                weights[r["feature"]] = (math.log(r["p1"] / r["p0"]), math.log((1 - r["p1"]) / (1 - r["p0"])) if max(r["p1"], r["p0"]) < 1 else 0.0)
+            found = counts.where("feature <> ''").withColumns({"p1": p1, "p0": p0, "z": z}).where((F.col("z") >= LEAST_Z) & (p1 >= LEAST_SHARE) & (p1 >= LEAST_RATIO * p0))
+            for r in found.orderBy(F.desc("z"), "feature").limit(FEATURES).collect():
+                weights[r["feature"]] = math.log(r["p1"] / r["p0"])
         model["targets"][target] = {"rate": rate, "weights": weights}
     return model
 
@@ -113,9 +122,8 @@ class Scorer:
 
     def __init__(self, model: dict):
         weights = [model["targets"][t]["weights"] for t in TARGETS]
-        self.absent = np.array([sum(b for _, b in w.values()) for w in weights])
         self.known = {f: i for i, f in enumerate(sorted(set().union(*weights)))}
-        self.gains = np.array([[w[f][0] - w[f][1] if f in w else 0.0 for w in weights] for f in self.known]).reshape(-1, len(TARGETS))
+        self.gains = np.array([[w.get(f, 0.0) for w in weights] for f in self.known]).reshape(-1, len(TARGETS))
         self.code: dict[bytes, int] = {}
         #: Words that look alike to the model share a kind: its features, capitals, symbols.
         self.kinds: dict[tuple, int] = {}
@@ -144,8 +152,8 @@ class Scorer:
             found.update(f)
             upper += int(n[k]) * u
             symbols += int(n[k]) * s
-        found.update(self.known[x] for x in shape_features(len(words), upper, symbols, len(distinct), (text or b"").split(b"\n")) if x in self.known)
-        return self.absent + self.gains[list(found)].sum(0)
+        found.update(self.known[x] for x in shape_features(words, upper, symbols, (text or b"").split(b"\n")) if x in self.known)
+        return self.gains[list(found)].sum(0)
 
 
 def _evidence(model: dict):
