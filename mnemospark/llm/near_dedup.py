@@ -7,11 +7,16 @@ its set, of which the K least values are retained. Steps:
 2. Inverted lists hold the representatives by retained value. Two sets with the wanted similarity share
    at least `least_overlap` retained values (but for a chance below 10^-7 a pair), so lists of only the
    rarest retained values suffice: a value that many documents share is used by those that hold little else.
-3. In each list every member is paired with two leaders, a linear number of pairs; the union of two
-   sketches estimates the similarity and drops far pairs; the rest is confirmed on the full sets of the
-   texts. Linked representatives merge into components.
-4. Pairs of a list that are not yet connected and not yet tested follow, each having a member outside the
-   list's main component. After that no link between different texts is left out.
+3. Lists longer than LONG give way to lists over the full sets of their members: a set that shares too few
+   shingles with any other of them is out, and only its rarest shared ones that could prove a link are
+   listed. This bound is exact, where sketches must allow for chance.
+4. In each list every member is paired with three leaders, a linear number of pairs: the one with the
+   fewest shingles of its own, the least id, and one drawn by hash. The union of two sketches estimates
+   the similarity and drops far pairs; the rest is confirmed on the full sets of the texts. Linked
+   representatives merge into components.
+5. Pairs of a list that are neither connected nor tested follow, each with a member outside the list's
+   main component, and only in the sizes that the unshared shingles of both allow. After that no link
+   between different texts is left out.
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; fewer than five words
 are one shingle; null ids keep a row without a component; a repeated id gives a row for each input row,
@@ -35,6 +40,8 @@ from .graph import connected_components
 WORDS, K, PERCENT = 5, 96, 85
 #: Share of the retained values that two sets of that similarity have in common, at the least.
 SHARE = 0.6
+#: Members from which a list is replaced by lists over full sets.
+LONG = 32
 _SEEN = 1_000_000
 
 
@@ -97,10 +104,51 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     return mine.select("rep", "n", F.explode(F.slice("values", 1, F.greatest(F.size("values") - least_overlap(F.col("s")) + 1, F.lit(0)))).alias("x")).select("x.value", "rep", "n")
 
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _WordHashes()
+    for batch in batches:
+        sets = [shingle_set(t, hashes).view(np.int64) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum([len(v) for v in sets])]).astype(np.int32)
+        values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), values], ["rep", "values"])
+
+
+def full_lists(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(value, rep, n, u) over the full sets of the chosen(rep): the rarest shared shingles that can prove a link.
+
+    u: how many shingles of the set no other of them has.
+    """
+    texts = docs.join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "text")
+    sets = materialize(texts.mapInArrow(_sets, "rep long, values array<long>").where(F.size("values") > 0).dropDuplicates(["rep"]), "dedup-sets")
+    held = sets.select("rep", F.size("values").cast("long").alias("n"), F.explode("values").alias("value"))
+    shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    mine = held.join(shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
+    mine = mine.withColumn("u", F.col("n") - F.size("values"))
+    # a partner shares PERCENT of the set at least, so the rarest others and one more hold a common shingle
+    room = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("u")
+    out = mine.select("rep", "n", "u", F.explode(F.slice("values", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("x"))
+    return out.select(F.xxhash64("x.value").alias("value"), "rep", "n", "u")
+
+
+def candidate_lists(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(value, rep, n, u): lists of retained values, and lists over full sets in place of the long ones."""
+    lists = materialize(inverted_lists(reps), "dedup-retained")
+    sizes = materialize(lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "dedup-sizes")
+    short = lists.join(sizes.where(F.col("size") <= LONG), "value", "left_semi")
+    chosen = materialize(lists.join(sizes.where(F.col("size") > LONG), "value", "left_semi").select("rep").distinct(), "dedup-chosen")
+    long = full_lists(docs, chosen)
+    return short.select("value", "rep", "n", F.lit(0).cast("long").alias("u")).unionByName(long)
+
+
 def _near(na, nb):
     return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na)
 
 
+def _possible(na, ua, nb, ub):
+    """Whether sets of these sizes, so many shingles of which no other has, can be similar enough."""
+    return (100 + PERCENT) * F.least(na - ua, nb - ub) >= PERCENT * (na + nb)
+
+
 def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Those of pairs(a, b) whose union sketch holds enough common values."""
     left = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
@@ -139,24 +187,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """Each member of a list with two leaders: the least id, and one drawn by hash."""
-    drawn = F.min(F.struct(F.xxhash64("value", "rep").alias("h"), F.col("rep").alias("rep"), F.col("n").alias("n")))
-    heads = lists.groupBy("value").agg(F.min(F.struct("rep", "n")).alias("l1"), drawn.alias("l2"), F.count("*").alias("size")).where("size > 1")
-    heads = heads.select("value", F.explode(F.array(F.struct("l1.rep", "l1.n"), F.struct("l2.rep", "l2.n"))).alias("l"))
-    held = lists.join(heads, "value").where((F.col("rep") != F.col("l.rep")) & _near(F.col("n"), F.col("l.n")))
+    """Each member of a list with three leaders: the least unshared, the least id, and one drawn by hash."""
+    me = [F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("u").alias("u")]
+    order = [[(F.col("u") * 1000 / F.col("n")).alias("o")], [F.lit(0).alias("o")], [F.xxhash64("value", "rep").alias("o")]]
+    heads = lists.groupBy("value").agg(*(F.min(F.struct(*o, *me)).alias(f"l{i}") for i, o in enumerate(order)), F.count("*").alias("size")).where("size > 1")
+    heads = heads.select("value", F.explode(F.array(*(F.struct(*(F.col(f"l{i}.{c}").alias(c) for c in ("rep", "n", "u"))) for i in range(3)))).alias("l")).distinct()
+    held = lists.join(heads, "value").where((F.col("rep") != F.col("l.rep")) & _near(F.col("n"), F.col("l.n")) & _possible(F.col("n"), F.col("u"), F.col("l.n"), F.col("l.u")))
     return held.select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct()
 
 
+def _bin(n):
+    """Sizes within about two hundredths share a bin."""
+    return F.floor(F.log(n.cast("double")) * 50)
+
+
 def open_pairs(lists: DataFrame, component: DataFrame, tested: DataFrame) -> DataFrame:
     """Untested pairs of a list between components. Each has a member outside the list's main component."""
     own = lists.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = own.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
-    own = materialize(own.join(mixed, "value", "left_semi"), "dedup-open")
+    own = materialize(own.join(mixed, "value", "left_semi").withColumn("bin", _bin(F.col("n"))), "dedup-open")
     main = own.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "component")).alias("m")).select("value", F.col("m.component").alias("main"))
-    few = own.join(main, "value").where("component <> main").select("value", *(F.col(c).alias(f"f_{c}") for c in ("rep", "n", "component")), F.col("main"))
-    met = few.join(own, "value").where((F.col("component") != F.col("f_component")) & _near(F.col("n"), F.col("f_n")))
-    # two outsiders meet twice: once from each side
-    met = met.where((F.col("component") == F.col("main")) | (F.col("f_rep") < F.col("rep")))
+    few = own.join(main, "value").where("component <> main").select("value", *(F.col(c).alias(f"f_{c}") for c in ("rep", "n", "u", "component")), F.col("main"))
+    # the sizes that a partner may have, given what no other shares
+    most = F.least(F.col("f_n") * 100 / PERCENT, (100 + PERCENT) * (F.col("f_n") - F.col("f_u")) / PERCENT - F.col("f_n"))
+    least = F.col("f_n") * PERCENT / 100
+    few = few.where(most >= least - 1e-6).withColumn("bin", F.explode(F.sequence(_bin(F.greatest(least - 1e-6, F.lit(0.5))), _bin(most + 1e-6))))
+    met = few.join(own, ["value", "bin"]).where((F.col("component") != F.col("f_component")) & _near(F.col("n"), F.col("f_n")) & _possible(F.col("n"), F.col("u"), F.col("f_n"), F.col("f_u")) &
+        # two outsiders meet twice: once from each side
+        ((F.col("component") == F.col("main")) | (F.col("f_rep") < F.col("rep"))))
     pairs = met.select(F.least("rep", "f_rep").alias("a"), F.greatest("rep", "f_rep").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
@@ -167,7 +225,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "dedup-classes")
     reps = rows.join(classes, (rows["set_key"] == classes["set_key"]) & (rows["doc_id"] == classes["rep"]), "left_semi")
     reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
-    lists = materialize(inverted_lists(reps), "dedup-lists")
+    lists = materialize(candidate_lists(reps, docs), "dedup-lists")
     stars = materialize(star_pairs(lists), "dedup-stars")
     links = materialize(confirmed(estimated(stars, reps), docs), "dedup-links")
     first = connected_components(links)
