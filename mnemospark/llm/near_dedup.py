@@ -116,7 +116,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def full_lists(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(value, rep, n, u) over the full sets of the chosen(rep): the rarest shared shingles that can prove a link.
 
-    u: how many shingles of the set no other of them has.
+    u: how many shingles of the set come before value in the common order, those that no other has among them.
+    If value is the first that two sets have in common, none of these is; each link is found by that one.
     """
     texts = docs.join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "text")
     sets = materialize(texts.mapInArrow(_sets, "rep long, values array<long>").where(F.size("values") > 0).dropDuplicates(["rep"]), "dedup-sets")
@@ -126,8 +127,8 @@ def full_lists(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     mine = mine.withColumn("u", F.col("n") - F.size("values"))
     # a partner shares PERCENT of the set at least, so the rarest others and one more hold a common shingle
     room = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("u")
-    out = mine.select("rep", "n", "u", F.explode(F.slice("values", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("x"))
-    return out.select(F.xxhash64("x.value").alias("value"), "rep", "n", "u")
+    out = mine.select("rep", "n", "u", F.posexplode(F.slice("values", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("pos", "x"))
+    return out.select(F.xxhash64("x.value").alias("value"), "rep", "n", (F.col("u") + F.col("pos")).alias("u"))
 
 
 def candidate_lists(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -145,7 +146,7 @@ def _near(na, nb):
 
 
 def _possible(na, ua, nb, ub):
-    """Whether sets of these sizes, so many shingles of which no other has, can be similar enough."""
+    """Whether sets of these sizes, so many shingles of which are not in common, can be similar enough."""
     return (100 + PERCENT) * F.least(na - ua, nb - ub) >= PERCENT * (na + nb)
 
 
@@ -208,7 +209,7 @@ def open_pairs(lists: DataFrame, component: DataFrame, tested: DataFrame) -> Dat
     own = materialize(own.join(mixed, "value", "left_semi").withColumn("bin", _bin(F.col("n"))), "dedup-open")
     main = own.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "component")).alias("m")).select("value", F.col("m.component").alias("main"))
     few = own.join(main, "value").where("component <> main").select("value", *(F.col(c).alias(f"f_{c}") for c in ("rep", "n", "u", "component")), F.col("main"))
-    # the sizes that a partner may have, given what no other shares
+    # the sizes that a partner may have, given what is not in common
     most = F.least(F.col("f_n") * 100 / PERCENT, (100 + PERCENT) * (F.col("f_n") - F.col("f_u")) / PERCENT - F.col("f_n"))
     least = F.col("f_n") * PERCENT / 100
     few = few.where(most >= least - 1e-6).withColumn("bin", F.explode(F.sequence(_bin(F.greatest(least - 1e-6, F.lit(0.5))), _bin(most + 1e-6))))
