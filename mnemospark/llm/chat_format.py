@@ -53,11 +53,13 @@ def passages(lines: Column) -> Column:
 def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, body, and the passages (level, hash) of messages(conv_id, turn, role, text)."""
     lines = F.split(F.coalesce("text", F.lit("")), "\r?\n")
-    body = F.trim(F.array_join(F.filter("lines", lambda x: _level(x) == 0), "\n"))
+    body = F.regexp_replace(F.array_join(F.filter("lines", lambda x: _level(x) == 0), "\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     whole = F.struct(F.lit(0).alias("level"), F.regexp_replace("body", "\n", " ").alias("text"))
     hashed = lambda x: F.struct(x["level"].alias("level"), F.when(normalised(x["text"]) != "", F.sha2(normalised(x["text"]), 256)).alias("hash"))
     held = messages.select("conv_id", "turn", "role", lines.alias("lines")).withColumn("body", body)
-    held = held.withColumn("runs", F.concat(passages(F.col("lines")), F.array(whole)))
+    # what may be quoted: a run, one of its lines, the whole body
+    single = F.transform(F.filter("lines", lambda x: _level(x) == 0), lambda x: F.struct(F.lit(0).alias("level"), x.alias("text")))
+    held = held.withColumn("runs", F.concat(passages(F.col("lines")), single, F.array(whole)))
     held = held.withColumns({"runs": F.array_distinct(F.filter(F.transform("runs", hashed), lambda r: r["hash"].isNotNull())), "n_quoted": F.size(F.filter("lines", lambda x: _level(x) > 0)).cast("long"),
         "max_level": F.coalesce(F.array_max(F.transform("lines", _level)), F.lit(0)).cast("long")})
     return held.drop("lines")
@@ -113,7 +115,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = r"""
-SELECT conv_id, turn, role, trim(text, ' ') AS body, CAST(0 AS BIGINT) AS n_quoted, CAST(0 AS BIGINT) AS max_level,
+SELECT conv_id, turn, role, regexp_replace(text, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS body, CAST(0 AS BIGINT) AS n_quoted, CAST(0 AS BIGINT) AS max_level,
   CAST(NULL AS BIGINT) AS parent_conv, CAST(NULL AS BIGINT) AS parent_turn, conv_id AS root_conv, turn AS root_turn, CAST(0 AS BIGINT) AS depth
 FROM conversations
 """

@@ -53,3 +53,10 @@ def ascii_lower(col):
 def row_key(*cols):
     """A key that tells rows apart even if their id is null or repeated; equal rows share it."""
     return F.xxhash64(*cols)
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, with all their columns, but for the rows of gone(doc_id, key); null ids match by their text."""
+    keyed = docs.withColumn("__row__", row_key("doc_id", "text"))
+    g = materialize(gone.select(F.col("doc_id").alias("__gone_id__"), F.col("key").alias("__gone_row__")).distinct(), "gone")
+    return keyed.join(small(g), keyed["doc_id"].eqNullSafe(g["__gone_id__"]) & (keyed["__row__"] == g["__gone_row__"]), "left_anti").drop("__row__")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, row_key, small, table
+from .common import ascii_lower, materialize, row_key, small, table, without
 
 N = 10
 #: Letters, digits and everything beyond ASCII, after lower-casing.
@@ -124,6 +124,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that hold no benchmark window."""
     cut, phrases, index = corpus_index(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialize(exact_matches(index, phrases).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct(), "decon-gone")
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    return keyed.join(small(gone), (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left_anti").drop("_key")
+    return without(docs, exact_matches(index, phrases).select("doc_id", "key"))

@@ -119,7 +119,7 @@ def full_lists(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     u: how many shingles of the set come before value in the common order, those that no other has among them.
     If value is the first that two sets have in common, none of these is; each link is found by that one.
     """
-    texts = docs.join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "text")
+    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "text")
     sets = materialize(texts.mapInArrow(_sets, "rep long, values array<long>").where(F.size("values") > 0).dropDuplicates(["rep"]), "dedup-sets")
     held = sets.select("rep", F.size("values").cast("long").alias("n"), F.explode("values").alias("value"))
     shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
@@ -245,6 +245,8 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the first document of each group, once."""
-    gone = materialize(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct(), "dedup-gone")
-    left = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
-    return left.withColumn("_one", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.monotonically_increasing_id()))).dropDuplicates(["_one"]).drop("_one")
+    gone = materialize(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id__")).distinct(), "dedup-gone")
+    left = docs.join(gone, docs["doc_id"] == gone["__gone_id__"], "left_anti")
+    # rows of one id are one document; rows without an id stay
+    one = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.monotonically_increasing_id()))
+    return left.withColumn("__one__", one).dropDuplicates(["__one__"]).drop("__one__")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, small, table
+from .common import materialize, row_key, small, table, without
 
 LABELLED, FEATURES = 20_000, 4_000
 #: Of a feature: standard errors between the classes, share of the target's rows, ratio of the shares.
@@ -224,6 +224,4 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the classifier keeps, as they came."""
     verdict = classify(docs, table(spark, sf_dir, "labels"))
-    gone = materialize(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k")).distinct(), "classifier-gone")
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    return keyed.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_key")
+    return without(docs, verdict.where(~F.col("kept")))

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, row_key, small, table
+from .common import WORD, materialize, row_key, small, table, without
 
 WINDOW = 8
 FEATURES = ("x0", "x1", "x2", "x3")
@@ -196,8 +196,6 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, as they came."""
-    keyed = docs.withColumn("_key", row_key("doc_id", "text"))
-    stats = materialize(transformed(statistics(keyed.select("doc_id", "text", "lang", "source", "_key"))).drop("text"), "quality-stats")
-    verdict = judged(stats, estimates(stats), group_levels(stats, 50), CUTOFF)
-    gone = materialize(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).distinct(), "quality-gone")
-    return keyed.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_key")
+    rows = docs.select("doc_id", "text", "lang", "source", row_key("doc_id", "text").alias("key"))
+    stats = materialize(transformed(statistics(rows)).drop("text"), "quality-stats")
+    return without(docs, judged(stats, estimates(stats), group_levels(stats, 50), CUTOFF).where(~F.col("kept")))
