@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Default filler words: English function words and chat filler. Callers with other languages or a longer list
-#: pass their own to `tokenize`.
+#: Default filler words, fixed values: English function words and chat filler. Callers with other languages or
+#: a longer list pass their own to `tokenize`.
 STOPWORDS = tuple("""
 a an the and or but nor so yet if then else when while where which who whom whose what why how that this these
 those there here i me my mine we us our ours you your yours he him his she her hers it its they them their theirs
@@ -81,8 +81,10 @@ def ellipsis(s: Column, n: int) -> Column:
 
 def clip_chars(s: Column, n: int) -> Column:
     """At most n bytes, cut at a character boundary."""
-    fits = F.filter(F.sequence(F.lit(n), F.greatest(F.lit(n - 3), F.lit(0)), F.lit(-1)), lambda k: F.octet_length(F.decode(F.substring(F.encode(s, "UTF-8"), F.lit(1), k), "UTF-8")) == k)
-    return F.when(F.octet_length(s) <= n, s).otherwise(F.decode(F.substring(F.encode(s, "UTF-8"), F.lit(1), F.coalesce(F.get(fits, F.lit(0)), F.lit(0))), "UTF-8"))
+    raw = F.encode(s, "UTF-8")
+    # a cut behind byte k is between characters unless the next byte continues one
+    fits = F.filter(F.sequence(F.lit(n), F.lit(max(n - 3, 0)), F.lit(-1)), lambda k: ~F.hex(F.substring(raw, k + 1, F.lit(1))).between("80", "BF"))
+    return F.when(F.octet_length(s) <= n, s).otherwise(F.decode(F.substring(raw, F.lit(1), F.coalesce(F.get(fits, F.lit(0)), F.lit(0))), "UTF-8"))
 
 
 def idf(n: Column, df: Column) -> Column:

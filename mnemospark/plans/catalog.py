@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
-from mnemospark.operators import cluster, evaluate, graph, recall, sessions, write
+from mnemospark.operators import cluster, evaluate, extraction, graph, recall, sessions, write
+from mnemospark.streaming import state
 
 from . import adapters
 from .adapters import NOW, Model, live
@@ -164,6 +166,28 @@ def _histogram(m: Model) -> DataFrame:
     return graph.histogram(Memory=mem, Entity=ents, MENTIONS=ment, RELATED=adapters.related(ment))
 
 
+def _extraction(m: Model) -> DataFrame:
+    """Replies of an extractor made from benchmark texts: every kind, operation and length."""
+    b = m.table("benchmark")
+    i = F.col("item_id")
+    memory = F.struct(F.substring("text", 1, 30).alias("title"), F.repeat("text", (i % 40 + 1).cast("int")).alias("content"), F.element_at(F.array(*map(F.lit, ("fact", "rule", "odd"))), (i % 3 + 1).cast("int")).alias("type"),
+        F.element_at(F.array(*map(F.lit, ("add", "update", "noop"))), (i % 3 + 1).cast("int")).alias("op"), F.concat(F.lit("k"), (i % 4).cast("string")).alias("target_id"), F.split("text", " ").alias("aliases"))
+    replies = b.select(i.alias("reply_id"), F.concat(F.lit("Here:\n"), F.to_json(F.struct(F.array(memory, memory).alias("memories")))).alias("reply"))
+    out = extraction.memories(replies, F.col("reply_id") % 5 == 0, F.array(F.lit("k0"), F.lit("k1")))
+    return out.select("reply_id", "pos", "title", F.octet_length("content").alias("bytes"), "kind", "op", "target_id", F.array_join("aliases", ",").alias("aliases"))
+
+
+def _stream_gate(m: Model) -> DataFrame:
+    """The last state of each session after the stream has run over all events."""
+    out = state.drained(state.gate(state.event_stream(m.spark, m.dir)), f"gate_{uuid.uuid4().hex}", "update")
+    # both counts only grow, so the greatest state is the last
+    return out.groupBy("session").agg(F.max(F.struct("prompts", "searched", "fired")).alias("s")).select("session", "s.*")
+
+
+def _stream_debounce(m: Model) -> DataFrame:
+    return state.drained(state.debounce(state.event_stream(m.spark, m.dir)), f"debounce_{uuid.uuid4().hex}", "append")
+
+
 PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "tokenize_documents": lambda m: m.table("documents").select("doc_id", F.array_join(X.tokenize(F.col("text"), 32), " ").alias("tokens")),
     "tokenize_pages": lambda m: m.table("pages").select("page_id", F.array_join(X.tokenize(F.col("html"), 32), " ").alias("tokens")),
@@ -227,6 +251,9 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "sweep_behind": _behind,
     "cooldown_table": lambda m: m.spark.range(12).select(F.col("id").alias("failures"), sessions.cooldown_minutes(F.col("id")).alias("minutes")),
     "eval_summary": _evaluation,
+    "extraction_validate": _extraction,
+    "stream_gate": _stream_gate,
+    "stream_debounce": _stream_debounce,
 }
 
 

@@ -13,8 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def event_stream(spark, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """The events table as a stream, event times as timestamps."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    path = f"{sf_dir}/events.parquet"
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", "*.parquet").parquet(path if path.endswith("/") else f"{sf_dir}/event[s].parquet")
+    # a pattern, so that the table may be a file or a folder
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/event[s].parquet")
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("user_id", "session")
 
 
