@@ -112,6 +112,8 @@ def here_set(mem: DataFrame, project: str, home: str) -> DataFrame:
 
 def budgeted(lines: DataFrame, order: list, text: str, budget: int, reserve: int = 120, by: tuple[str, ...] = ()) -> DataFrame:
     """The prefix of lines, in order, whose bytes fit: it stops at the first misfit. `by` are independent blocks."""
+    if not by:  # a line takes a byte at least, so no more lines than that can fit: a bounded top-k, not one big window
+        lines = lines.orderBy(*order).limit(max(budget - reserve, 1))
     w = W.partitionBy(*by).orderBy(*order) if by else W.orderBy(*order)
     total = F.sum(F.octet_length(text) + 1).over(w.rowsBetween(W.unboundedPreceding, 0))
     return lines.withColumn("used_bytes", total).where(F.col("used_bytes") <= budget - reserve)
