@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 WINDOW, END = 1024, 0
 #: Costs in tokens: of any window, of a cut at a sentence end, of a cut inside a sentence.
@@ -297,6 +297,7 @@ def input_bytes(df: DataFrame) -> int:
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", task_bytes: int = TASK_BYTES) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    ship(docs.sparkSession)
     held = docs.select("doc_id", "text")
     parts = max(1, round(input_bytes(held) / task_bytes))
     dealt = held.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
