@@ -27,22 +27,23 @@ GATE = "session long, prompts long, searched long, fired long"
 _STATE = "prompts long, searched long, open boolean"
 
 
-def _gate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prompts, searched, waiting = state.get if state.exists else (0, 0, False)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for kind in rows["event_type"]:
-        if kind == "view":
-            prompts, waiting = prompts + 1, True
-        elif kind == "click" and waiting:
-            searched, waiting = searched + 1, False
-    state.update((prompts, searched, waiting))
-    yield pd.DataFrame({"session": [key[0]], "prompts": [prompts], "searched": [searched], "fired": [prompts - searched]})
-
-
 def gate(events: DataFrame) -> DataFrame:
     """Running gate counts per session: a prompt fires unless a search follows it."""
+
+    # local, so that it reaches the executors whole: they need not have this package
+    def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        prompts, searched, waiting = state.get if state.exists else (0, 0, False)
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for kind in rows["event_type"]:
+            if kind == "view":
+                prompts, waiting = prompts + 1, True
+            elif kind == "click" and waiting:
+                searched, waiting = searched + 1, False
+        state.update((prompts, searched, waiting))
+        yield pd.DataFrame({"session": [key[0]], "prompts": [prompts], "searched": [searched], "fired": [prompts - searched]})
+
     held = events.where("event_type in ('view', 'click')").select("session", "event_id", "ts", "event_type")
-    return held.groupBy("session").applyInPandasWithState(_gate, GATE, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return held.groupBy("session").applyInPandasWithState(count, GATE, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
