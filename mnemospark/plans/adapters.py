@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -68,7 +69,8 @@ class Model:
 
     @property
     def memory(self) -> DataFrame:
-        return memories(self.spark, self.dir)
+        """Derived once per session and kept, as the stored table it stands for would be; it spills to disk."""
+        return memories(self.spark, self.dir).persist(StorageLevel.MEMORY_AND_DISK)
 
     @property
     def live(self) -> DataFrame:
