@@ -37,9 +37,15 @@ def windows(items: DataFrame, n: int = N) -> DataFrame:
     return held.select("item_id", "w", at.alias("i")).select("item_id", F.slice("w", F.col("i"), n).alias("phrase")).distinct().withColumn("len", F.size("phrase"))
 
 
-def term_frequency(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, freq) over all whole docs(text) for terms(term)."""
-    held = docs.select(F.explode(words(F.col("text"))).alias("term")).join(small(terms), "term")
+def token_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, w, n_words), written: the training tokens in order, read by all that follows. Text is cut once."""
+    held = docs.select("doc_id", row_key("doc_id", "text").alias("key"), words(F.col("text")).alias("w"))
+    return materialize(held.withColumn("n_words", F.size("w").cast("long")), "decon-tokens")
+
+
+def term_frequency(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, freq) over all tokens(w) for terms(term)."""
+    held = tokens.select(F.explode("w").alias("term")).join(small(terms), "term")
     return held.groupBy("term").agg(F.count("*").alias("freq"))
 
 
@@ -52,13 +58,12 @@ def anchored(phrases: DataFrame, freq: DataFrame) -> DataFrame:
     return held.select("phrase", "len", F.col("r")[0]["term"].alias("t1"), F.col("r")[0]["o"].alias("o1"), F.col("r")[last]["term"].alias("t2"), F.col("r")[last]["o"].alias("o2"))
 
 
-def postings(docs: DataFrame, anchors: DataFrame, n: int = N) -> DataFrame:
+def postings(tokens: DataFrame, anchors: DataFrame, n: int = N) -> DataFrame:
     """(term, doc_id, key, pos, context) of anchors(term, context_wanted): the index of the training tokens.
 
     context: the words from pos - n + 1 to pos + n - 1, kept for first anchors; lead: how many precede pos.
     """
-    held = docs.select("doc_id", row_key("doc_id", "text").alias("key"), words(F.col("text")).alias("w"))
-    held = held.select("doc_id", "key", "w", F.posexplode("w").alias("pos", "term")).join(small(anchors), "term")
+    held = tokens.select("doc_id", "key", "w", F.posexplode("w").alias("pos", "term")).join(small(anchors), "term")
     start = F.greatest(F.col("pos") - n + 2, F.lit(1))
     context = F.when(F.col("first"), F.slice("w", start, 2 * n - 1 - (start - (F.col("pos") - n + 2))))
     return held.select("term", "doc_id", "key", "pos", (F.col("pos") + 1 - start).alias("lead"), context.alias("context"))
@@ -85,21 +90,22 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, distance: int) -> Da
     return met.withColumn("gap", F.abs(F.col("pos") - F.col("_p"))).where(F.col("gap") <= distance).groupBy("doc_id", "key", "phrase").agg(F.min("gap").alias("gap"))
 
 
-def corpus_index(docs: DataFrame, items: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The windows (item_id, phrase, len), the distinct phrases with their anchors, and the stored postings."""
+def corpus_index(tokens: DataFrame, items: DataFrame, n: int = N) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The windows (item_id, phrase, len), the distinct phrases with their anchors, and the stored postings of a token table."""
     cut = materialize(windows(items, n), "decon-windows")
     phrases = cut.select("phrase", "len").distinct()
     terms = materialize(phrases.select(F.explode("phrase").alias("term")).distinct(), "decon-terms")
-    freq = materialize(term_frequency(docs, terms), "decon-frequency")
+    freq = materialize(term_frequency(tokens, terms), "decon-frequency")
     phrases = materialize(anchored(phrases, freq), "decon-anchors")
     anchors = phrases.select(F.col("t1").alias("term"), F.lit(True).alias("first")).union(phrases.select(F.col("t2").alias("term"), F.lit(False).alias("first")))
     anchors = materialize(anchors.groupBy("term").agg(F.max("first").alias("first")), "decon-lookup")
-    return cut, phrases, materialize(postings(docs, anchors, n), "decon-postings")
+    return cut, phrases, materialize(postings(tokens, anchors, n), "decon-postings")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the row's key."""
-    cut, phrases, index = corpus_index(docs, items)
+    tokens = token_table(docs)
+    cut, phrases, index = corpus_index(tokens, items)
     hits = materialize(exact_matches(index, phrases), "decon-hits")
     # words covered by the union of the occurrences: each adds what lies beyond the farthest end before it
     spans = hits.groupBy("doc_id", "key", "start").agg(F.max("len").alias("len")).withColumn("end", F.col("start") + F.col("len"))
@@ -110,8 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = found.groupBy("doc_id", "key").agg(F.count("*").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("item"))), 256).alias("items_sha256"))
     found = covered.join(found, (covered["key"] == found["key"]) & covered["doc_id"].eqNullSafe(found["doc_id"])).select(covered["doc_id"].alias("_d"), covered["key"].alias("_k"), "n_hit", "n_items", "items_sha256")
     found = materialize(found, "decon-found")
-    base = docs.select("doc_id", row_key("doc_id", "text").alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = base.join(small(found), (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    out = tokens.select("doc_id", "key", "n_words").join(small(found), (F.col("key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"), "key")
@@ -123,5 +128,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that hold no benchmark window."""
-    cut, phrases, index = corpus_index(docs, table(spark, sf_dir, "benchmark"))
+    cut, phrases, index = corpus_index(token_table(docs), table(spark, sf_dir, "benchmark"))
     return without(docs, exact_matches(index, phrases).select("doc_id", "key"))
