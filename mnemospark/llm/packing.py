@@ -290,17 +290,19 @@ def _packed(name: str, ranks: str | None):
     return run
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Size of what df reads, as the optimizer knows it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def task_count(df: DataFrame, task_bytes: int) -> int:
+    """Tasks for df by the size that the optimizer knows; as many as a shuffle has where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(1, round(size / task_bytes)), 1 << 17)
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", task_bytes: int = TASK_BYTES) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     held = docs.select("doc_id", "text")
-    parts = max(1, round(input_bytes(held) / task_bytes))
-    dealt = held.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = held.repartitionByRange(task_count(held, task_bytes), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.mapInArrow(_packed(tokenizer, ranks), schema)
 

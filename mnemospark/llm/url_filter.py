@@ -2,7 +2,7 @@
 
 Hosts are linked by the absolute links of all pages (counted per pair before any join). Personalised
 PageRank carries trust from hosts with allowed pages along links, and distrust from hosts with blocked
-pages against them: who links to a blocked host earns distrust. A host without links keeps its own share.
+pages against them: who links to a blocked host earns distrust. Without any links hosts keep their own shares.
 Hosts whose distrust exceeds their trust by `threshold` are blocked.
 
 Defined cases: a null url or one without `://` has empty host and path and the method's verdict for the
@@ -59,20 +59,24 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(host, score): personalised PageRank of seeds(host, seed) over links(src, dst, n); hosts without out-links keep theirs."""
+    """(host, score): personalised PageRank of seeds(host, seed) over links(src, dst, n); scores sum to the seeds."""
     out = links.groupBy("src").agg(F.sum("n").alias("total")).withColumnRenamed("src", "_src")
     steps = links.join(out, links["src"] == out["_src"]).select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
     nodes = seeds.select("host", "seed").union(links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("seed"))).groupBy("host").agg(F.sum("seed").alias("seed"))
     ends = nodes.join(out, nodes["host"] == out["_src"], "left").select("host", "seed", F.col("_src").isNull().alias("stays"))
     ends, steps = materialize(ends, "rank-hosts"), materialize(steps, "rank-links")
     score = ends.select("host", F.col("seed").alias("score"))
+    total, resting = ends.agg(F.sum("seed"), F.sum(F.when(F.col("stays"), F.col("seed")).otherwise(0.0))).first()
+    if not total:
+        return score
     for k in range(rounds):
         sent = score.join(steps, score["host"] == steps["src"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("got")).withColumnRenamed("dst", "_dst")
         old = score.withColumnRenamed("host", "_host").withColumnRenamed("score", "old")
         held = ends.join(old, ends["host"] == old["_host"]).join(sent, ends["host"] == sent["_dst"], "left")
-        got = F.coalesce("got", F.lit(0.0)) + F.when(F.col("stays"), F.col("old")).otherwise(0.0)
-        now = materialize(held.select("host", ((1 - damping) * F.col("seed") + damping * got).alias("score"), "old"), f"rank-{k}")
-        change = now.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
+        # what hosts without links hold goes back to the seeds
+        back = F.col("seed") * ((1 - damping) + damping * resting / total)
+        now = materialize(held.select("host", (back + damping * F.coalesce("got", F.lit(0.0))).alias("score"), "old", "stays"), f"rank-{k}")
+        change, resting = now.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(F.col("stays"), F.col("score")).otherwise(0.0))).first()
         score = now.select("host", "score")
         if change < tolerance:
             break

@@ -102,7 +102,8 @@ def pagerank(seeds, links, rounds):
     score, nodes = dict(seeds), {*seeds, *(x for s, d, _ in links for x in (s, d))}
     for _ in range(rounds):
         out = {h: sum(n for s, _, n in links if s == h) for h in nodes}
-        score = {h: 0.15 * seeds.get(h, 0) + 0.85 * (sum(score.get(s, 0) * n / out[s] for s, d, n in links if d == h) + (0 if out[h] else score.get(h, 0))) for h in nodes}
+        rest = sum(score.get(h, 0) for h in nodes if not out[h]) / sum(seeds.values())
+        score = {h: seeds.get(h, 0) * (0.15 + 0.85 * rest) + 0.85 * sum(score.get(s, 0) * n / out[s] for s, d, n in links if d == h) for h in nodes}
     return score
 
 
@@ -112,7 +113,7 @@ def test_propagation(spark):
     seeds = {"h0": 1.0, "h5": 0.5, "h11": 0.25}
     got = U.propagate(spark.createDataFrame([*seeds.items()], "host string, seed double"), spark.createDataFrame(links, "src string, dst string, n long"), rounds=12, tolerance=0)
     want = pagerank(seeds, links, 12)
-    assert {x.host: x.score for x in got.collect()} == pytest.approx(want)
+    assert {x.host: x.score for x in got.collect()} == pytest.approx(want) and sum(want.values()) == pytest.approx(1.75)
 
 
 def test_linkers_to_blocked_hosts_are_blocked(spark):
