@@ -91,7 +91,9 @@ def test_classifier_edges(spark, docs, none):
 
 def test_shrinkage(spark):
     model = {"targets": {t: {"rate": 0.2, "weights": {}} for t in C.TARGETS}}
-    rows = [(f"h{h}", "p", 5.0 if i < bad else -5.0) for h, n, bad in ((0, 400, 360), (1, 400, 10), (2, 2, 2), (3, 400, 40)) for i in range(n)]
-    df = spark.createDataFrame(rows, "host string, path string, e_low double").withColumn("e_toxic", F.lit(0.0))
-    r = {x._host: x.r_low for x in C.posteriors(df, model).collect()}
-    assert r["h0"] > r["h2"] > 0.2 > r["h3"] > r["h1"]  # two rows are held near the global rate
+    held = lambda groups: spark.createDataFrame([(f"h{h}", "p", 5.0 if i < bad else -5.0) for h, n, bad in groups for i in range(n)], "host string, path string, e_low double").withColumn("e_toxic", F.lit(0.0))
+    rates = lambda groups: {x._host: x.r_low for x in C.posteriors(held(groups), model).collect()}
+    apart = rates([(0, 400, 360), (1, 400, 10), (2, 2, 2), (3, 400, 40)])
+    assert 0.2 < apart["h2"] < 0.95 and apart["h0"] > 0.8 and 0.2 > apart["h3"] > apart["h1"]
+    alike = rates([(h, 100, 20 + h % 3) for h in range(12)] + [(99, 2, 2)])
+    assert abs(alike["h99"] - 0.2) < 0.05  # where sites hardly differ, two rows say next to nothing
