@@ -45,22 +45,22 @@ def templates(spark: SparkSession, found=TEMPLATES) -> DataFrame:
 
 
 def candidates(files: DataFrame) -> DataFrame:
-    """(path, key, term, tf) of the candidates of files(path, key, text, whole): key tells a file's candidates apart."""
+    """(id, lid, line) of the candidates of files(id, text, whole); lid is the digest of the line, which later steps carry instead."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x: x.rlike(MARKER))
     held = files.select("id", F.when(F.col("whole"), F.array_distinct(F.concat(lines, F.array(F.col("text"))))).otherwise(F.array_distinct(lines)).alias("c")).where(F.size("c") > 0)
-    return held.select("id", F.posexplode("c").alias("n", "line")).where("line is not null").select("id", "n", "line")
+    return held.select("id", F.posexplode("c").alias("n", "line")).where("line is not null").select("id", F.sha2("line", 256).alias("lid"), "line")
 
 
 def scored(files: DataFrame, spark: SparkSession, found=TEMPLATES, least: float = LEAST) -> DataFrame:
     """(id, licence, score): the best template of files(id, text, whole)."""
     lines = materialize(candidates(files), "licence-lines")
     # equal lines are scored once, however many files hold them
-    distinct = lines.select("line").distinct()
+    distinct = lines.select("lid", "line").dropDuplicates(["lid"])
     bag = lambda df, *by: df.groupBy(*by, "term").agg(F.count("*").alias("tf"))
     own = bag(templates(spark, found).select("licence", F.explode(terms(F.col("notice"))).alias("term")), "licence")
     known = own.select("term").distinct()
-    line_terms = materialize(bag(distinct.select("line", F.explode(terms(F.col("line"))).alias("term")), "line"), "licence-terms")
-    n = max(distinct.count(), 1)
+    line_terms = materialize(bag(distinct.select("lid", F.explode(terms(F.col("line"))).alias("term")), "lid"), "licence-terms")
+    n = max(lines.select("lid").distinct().count(), 1)
     df = line_terms.join(F.broadcast(known), "term").groupBy("term").agg(F.count("*").alias("df"))
     idf = known.join(df, "term", "left").select("term", F.log(F.lit(float(n + 1)) / (F.coalesce("df", F.lit(0)) + 1)).alias("x")).select("term", (F.col("x") + 1).alias("idf"))
     rare = 1.0 + F.log(F.lit(float(n + 1)))  # a term of no template is as rare as can be
@@ -68,12 +68,12 @@ def scored(files: DataFrame, spark: SparkSession, found=TEMPLATES, least: float
     norms = weights.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = materialize(weights.join(norms, "licence").select("licence", "term", (F.col("w") / F.col("norm")).alias("u")), "licence-templates")
     held = line_terms.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
-    size = held.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    dots = held.join(F.broadcast(unit), "term").groupBy("line", "licence").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-    cosine = dots.join(size, "line").select("line", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("score")).where(F.col("score") >= least)
-    best = cosine.groupBy("line").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    best = materialize(best.select("line", "b"), "licence-best")
-    return lines.join(small(best), "line").groupBy("id").agg(F.min("b").alias("b")).select("id", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
+    size = held.groupBy("lid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    dots = held.join(F.broadcast(unit), "term").groupBy("lid", "licence").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    cosine = dots.join(size, "lid").select("lid", "licence", F.round(F.col("dot") / F.col("size"), 6).alias("score")).where(F.col("score") >= least)
+    best = cosine.groupBy("lid").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    best = materialize(best.select("lid", "b"), "licence-best")
+    return lines.select("id", "lid").join(small(best), "lid").groupBy("id").agg(F.min("b").alias("b")).select("id", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
 def directory(path: Column) -> Column:
