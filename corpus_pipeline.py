@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemospark.llm.common import materialize, table
 from mnemospark.llm.decontaminate import decontaminate_stage
-from mnemospark.llm.near_dedup import dedup_stage
+from mnemospark.llm.near_dedup import STAGE_PERCENT, dedup_stage
 from mnemospark.llm.packing import packing_stage
 from mnemospark.llm.quality_classifier import classifier_stage
 from mnemospark.llm.quality_rules import quality_stage
@@ -14,7 +16,7 @@ from mnemospark.llm.quality_rules import quality_stage
 STAGES = [
     ("quality_rules", quality_stage),
     ("quality_classifier", classifier_stage),
-    ("near_dedup", dedup_stage),
+    ("near_dedup", partial(dedup_stage, percent=STAGE_PERCENT)),
     ("decontamination", decontaminate_stage),
     ("packing", packing_stage),
 ]

@@ -5,8 +5,8 @@ its set, of which the K least values are retained. Steps:
 
 1. Rows with equal sets form classes (pre-aggregated); one representative stands for each.
 2. Inverted lists hold the representatives by retained value. Two sets with the wanted similarity share
-   at least `least_overlap` retained values (but for a chance below 10^-7 a pair), so lists of only the
-   rarest retained values suffice: a value that many documents share is used by those that hold little else.
+   at least `least_overlap` retained values (but for a chance below 10^-7 a pair, see `share`), so lists of only
+   the rarest retained values suffice: a value that many documents share is used by those that hold little else.
 3. Lists longer than LONG give way to lists over the full sets of their members: a set that shares too few
    shingles with any other of them is out, and only its rarest shared ones that could prove a link are
    listed. This bound is exact, where sketches must allow for chance.
@@ -25,7 +25,9 @@ judged by its own text; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .graph import connected_components
 
-#: Words of a shingle, retained values, and the similarity in hundredths.
-WORDS, K, PERCENT = 5, 96, 85
-#: Share of the retained values that two sets of that similarity have in common, at the least.
-SHARE = 0.6
+#: Words of a shingle, retained values, and the similarity in hundredths: that of op1's contract, that of the stage.
+WORDS, K, PERCENT, STAGE_PERCENT = 5, 96, 85, 80
+#: Share of the retained values that two linked sets have in common, at the most that is asked for; see `share`.
+SHARE, MISSED = 0.6, 1e-7
 #: Members from which a list is replaced by lists over full sets.
 LONG = 32
 _SEEN = 1_000_000
@@ -53,6 +55,14 @@ class _WordHashes(dict):
         return h
 
 
+@cache
+def share(percent: int) -> float:
+    """Share of K retained values, in hundredths and up to SHARE, that fewer of are common to two sets of that similarity with a chance below MISSED."""
+    p = percent / 100
+    below = lambda least: sum(math.comb(K, i) * p**i * (1 - p) ** (K - i) for i in range(least))
+    return next(s / 100 for s in range(round(100 * SHARE), 0, -1) if below(math.floor(K * s / 100)) < MISSED)
+
+
 def shingle_set(text: bytes | None, hashes: dict) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes of a whole text (UTF-8)."""
     words = text.lower().split() if text else []
@@ -90,18 +100,18 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
 
 
-def least_overlap(size):
+def least_overlap(size, percent: int = PERCENT):
     """Retained values that a set with `size` of them shares with any set it is linked with."""
-    return F.greatest(F.floor(size * SHARE), F.lit(1)).cast("int")
+    return F.greatest(F.floor(size * share(percent)), F.lit(1)).cast("int")
 
 
-def inverted_lists(reps: DataFrame) -> DataFrame:
+def inverted_lists(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(value, rep, n): for each representative, its rarest retained values that can prove a link."""
     held = reps.select("rep", F.col("n_shingles").alias("n"), F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     mine = held.join(shared, "value").groupBy("rep", "n", "s").agg(F.sort_array(F.collect_set(F.struct("df", "value"))).alias("values"))
     # those that no other has come first in the order and are left out of the count
-    return mine.select("rep", "n", F.explode(F.slice("values", 1, F.greatest(F.size("values") - least_overlap(F.col("s")) + 1, F.lit(0)))).alias("x")).select("x.value", "rep", "n")
+    return mine.select("rep", "n", F.explode(F.slice("values", 1, F.greatest(F.size("values") - least_overlap(F.col("s"), percent) + 1, F.lit(0)))).alias("x")).select("x.value", "rep", "n")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +123,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), values], ["rep", "values"])
 
 
-def full_lists(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+def full_lists(docs: DataFrame, chosen: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(value, rep, n, u) over the full sets of the chosen(rep): the rarest shared shingles that can prove a link.
 
     u: how many shingles of the set come before value in the common order, those that no other has among them.
@@ -125,75 +135,78 @@ def full_lists(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     mine = held.join(shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
     mine = mine.withColumn("u", F.col("n") - F.size("values"))
-    # a partner shares PERCENT of the set at least, so the rarest others and one more hold a common shingle
-    room = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("u")
+    # a partner shares percent of the set at least, so the rarest others and one more hold a common shingle
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("u")
     out = mine.select("rep", "n", "u", F.posexplode(F.slice("values", 1, F.greatest(room, F.lit(0)).cast("int"))).alias("pos", "x"))
     return out.select(F.xxhash64("x.value").alias("value"), "rep", "n", (F.col("u") + F.col("pos")).alias("u"))
 
 
-def candidate_lists(reps: DataFrame, docs: DataFrame) -> DataFrame:
+def candidate_lists(reps: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(value, rep, n, u): lists of retained values, and lists over full sets in place of the long ones."""
-    lists = materialize(inverted_lists(reps), "dedup-retained")
+    lists = materialize(inverted_lists(reps, percent), "dedup-retained")
     sizes = materialize(lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "dedup-sizes")
     short = lists.join(sizes.where(F.col("size") <= LONG), "value", "left_semi")
     chosen = materialize(lists.join(sizes.where(F.col("size") > LONG), "value", "left_semi").select("rep").distinct(), "dedup-chosen")
-    long = full_lists(docs, chosen)
+    long = full_lists(docs, chosen, percent)
     return short.select("value", "rep", "n", F.lit(0).cast("long").alias("u")).unionByName(long)
 
 
-def _near(na, nb):
-    return (100 * na >= PERCENT * nb) & (100 * nb >= PERCENT * na)
+def _near(na, nb, percent):
+    return (100 * na >= percent * nb) & (100 * nb >= percent * na)
 
 
-def _possible(na, ua, nb, ub):
+def _possible(na, ua, nb, ub, percent):
     """Whether sets of these sizes, so many shingles of which are not in common, can be similar enough."""
-    return (100 + PERCENT) * F.least(na - ua, nb - ub) >= PERCENT * (na + nb)
+    return (100 + percent) * F.least(na - ua, nb - ub) >= percent * (na + nb)
 
 
-def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of pairs(a, b) whose union sketch holds enough common values."""
     left = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
     right = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, K)
     both = F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))
     found = pairs.join(left, "a").join(right, "b").withColumn("u", union)
-    return found.where(F.size(both) >= F.floor(F.size("u") * SHARE)).select("a", "b")
+    return found.where(F.size(both) >= F.floor(F.size("u") * share(percent))).select("a", "b")
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, last = _WordHashes(), {}
+def _confirmed(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last = _WordHashes(), {}
 
-    def of(side: str, doc: int, text: bytes) -> np.ndarray:
-        if last.get(side, (None,))[0] != (doc, text):
-            last[side] = ((doc, text), shingle_set(text, hashes))
-        return last[side][1]
+        def of(side: str, doc: int, text: bytes) -> np.ndarray:
+            if last.get(side, (None,))[0] != (doc, text):
+                last[side] = ((doc, text), shingle_set(text, hashes))
+            return last[side][1]
 
-    for batch in batches:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        keep = []
-        for x, y, tx, ty in zip(a, b, batch.column("ta").cast(pa.binary()).to_pylist(), batch.column("tb").cast(pa.binary()).to_pylist(), strict=True):
-            sx, sy = of("a", x, tx), of("b", y, ty)
-            same = len(np.intersect1d(sx, sy, assume_unique=True))
-            keep.append(100 * same >= PERCENT * (len(sx) + len(sy) - same))
-        chosen = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        yield chosen
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            keep = []
+            for x, y, tx, ty in zip(a, b, batch.column("ta").cast(pa.binary()).to_pylist(), batch.column("tb").cast(pa.binary()).to_pylist(), strict=True):
+                sx, sy = of("a", x, tx), of("b", y, ty)
+                same = len(np.intersect1d(sx, sy, assume_unique=True))
+                keep.append(100 * same >= percent * (len(sx) + len(sy) - same))
+            chosen = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield chosen
+
+    return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of pairs(a, b) whose full shingle sets are similar enough."""
     texts = docs.select("doc_id", "text").where("text is not null")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_confirmed, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
+def star_pairs(lists: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Each member of a list with three leaders: the least unshared, the least id, and one drawn by hash."""
     me = [F.col("rep").alias("rep"), F.col("n").alias("n"), F.col("u").alias("u")]
     order = [[(F.col("u") * 1000 / F.col("n")).alias("o")], [F.lit(0).alias("o")], [F.xxhash64("value", "rep").alias("o")]]
     heads = lists.groupBy("value").agg(*(F.min(F.struct(*o, *me)).alias(f"l{i}") for i, o in enumerate(order)), F.count("*").alias("size")).where("size > 1")
     heads = heads.select("value", F.explode(F.array(*(F.struct(*(F.col(f"l{i}.{c}").alias(c) for c in ("rep", "n", "u"))) for i in range(3)))).alias("l")).distinct()
-    held = lists.join(heads, "value").where((F.col("rep") != F.col("l.rep")) & _near(F.col("n"), F.col("l.n")) & _possible(F.col("n"), F.col("u"), F.col("l.n"), F.col("l.u")))
+    held = lists.join(heads, "value").where((F.col("rep") != F.col("l.rep")) & _near(F.col("n"), F.col("l.n"), percent) & _possible(F.col("n"), F.col("u"), F.col("l.n"), F.col("l.u"), percent))
     return held.select(F.least("rep", "l.rep").alias("a"), F.greatest("rep", "l.rep").alias("b")).distinct()
 
 
@@ -202,7 +215,7 @@ def _bin(n):
     return F.floor(F.log(n.cast("double")) * 50)
 
 
-def open_pairs(lists: DataFrame, component: DataFrame, tested: DataFrame) -> DataFrame:
+def open_pairs(lists: DataFrame, component: DataFrame, tested: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Untested pairs of a list between components. Each has a member outside the list's main component."""
     own = lists.join(component.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = own.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
@@ -210,28 +223,28 @@ def open_pairs(lists: DataFrame, component: DataFrame, tested: DataFrame) -> Dat
     main = own.groupBy("value", "component").agg(F.count("*").alias("c")).groupBy("value").agg(F.max(F.struct("c", "component")).alias("m")).select("value", F.col("m.component").alias("main"))
     few = own.join(main, "value").where("component <> main").select("value", *(F.col(c).alias(f"f_{c}") for c in ("rep", "n", "u", "component")), F.col("main"))
     # the sizes that a partner may have, given what is not in common
-    most = F.least(F.col("f_n") * 100 / PERCENT, (100 + PERCENT) * (F.col("f_n") - F.col("f_u")) / PERCENT - F.col("f_n"))
-    least = F.col("f_n") * PERCENT / 100
+    most = F.least(F.col("f_n") * 100 / percent, (100 + percent) * (F.col("f_n") - F.col("f_u")) / percent - F.col("f_n"))
+    least = F.col("f_n") * percent / 100
     few = few.where(most >= least - 1e-6).withColumn("bin", F.explode(F.sequence(_bin(F.greatest(least - 1e-6, F.lit(0.5))), _bin(most + 1e-6))))
-    met = few.join(own, ["value", "bin"]).where((F.col("component") != F.col("f_component")) & _near(F.col("n"), F.col("f_n")) & _possible(F.col("n"), F.col("u"), F.col("f_n"), F.col("f_u")) &
+    met = few.join(own, ["value", "bin"]).where((F.col("component") != F.col("f_component")) & _near(F.col("n"), F.col("f_n"), percent) & _possible(F.col("n"), F.col("u"), F.col("f_n"), F.col("f_u"), percent) &
         # two outsiders meet twice: once from each side
         ((F.col("component") == F.col("main")) | (F.col("f_rep") < F.col("rep"))))
     pairs = met.select(F.least("rep", "f_rep").alias("a"), F.greatest("rep", "f_rep").alias("b")).distinct()
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text); sets of that similarity are linked."""
     rows = materialize(sketches(docs), "dedup-sketches")
     classes = materialize(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "dedup-classes")
     reps = rows.join(classes, (rows["set_key"] == classes["set_key"]) & (rows["doc_id"] == classes["rep"]), "left_semi")
     reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
-    lists = materialize(candidate_lists(reps, docs), "dedup-lists")
-    stars = materialize(star_pairs(lists), "dedup-stars")
-    links = materialize(confirmed(estimated(stars, reps), docs), "dedup-links")
+    lists = materialize(candidate_lists(reps, docs, percent), "dedup-lists")
+    stars = materialize(star_pairs(lists, percent), "dedup-stars")
+    links = materialize(confirmed(estimated(stars, reps, percent), docs, percent), "dedup-links")
     first = connected_components(links)
-    rest = materialize(open_pairs(lists, first, stars), "dedup-rest")
-    more = materialize(confirmed(estimated(rest, reps), docs), "dedup-more")
+    rest = materialize(open_pairs(lists, first, stars, percent), "dedup-rest")
+    more = materialize(confirmed(estimated(rest, reps, percent), docs, percent), "dedup-more")
     root = materialize(connected_components(links.union(more)), "dedup-components")
     of_class = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("sketch").join(of_class, "set_key", "left")
@@ -243,9 +256,9 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the first document of each group, once."""
-    gone = materialize(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id__")).distinct(), "dedup-gone")
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = PERCENT) -> DataFrame:
+    """Pipeline stage: the first document of each group, once; the pipeline asks for STAGE_PERCENT."""
+    gone = materialize(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id__")).distinct(), "dedup-gone")
     left = docs.join(gone, docs["doc_id"] == gone["__gone_id__"], "left_anti")
     # rows of one id are one document; rows without an id stay
     one = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.monotonically_increasing_id()))

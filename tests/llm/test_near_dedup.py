@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline as P
 from mnemospark.llm import near_dedup as N
 from mnemospark.llm.graph import connected_components
 
@@ -79,3 +80,20 @@ def test_sketch_estimates_jaccard():
     a, b = N.shingle_set(" ".join(words).encode(), h), N.shingle_set(" ".join(words[150:]).encode(), h)
     u = np.union1d(a[: N.K], b[: N.K])[: N.K]
     assert abs(len(np.intersect1d(np.intersect1d(a[: N.K], b[: N.K]), u)) / N.K - 0.95) < 0.1
+
+
+def test_pipeline_drops_pairs_between_the_thresholds(spark):
+    text = [f"v{i}" for i in range(304)]  # 300 shingles; n changed words far apart take 5 n of them: 270 / 330, 265 / 335, 260 / 340
+    rows = [(0, " ".join(text))] + [(n, " ".join(f"x{n}" if i % 30 == 15 and i // 30 < n else w for i, w in enumerate(text))) for n in (6, 7, 8)]
+    for n in (6, 7, 8):
+        df = spark.createDataFrame([rows[0], rows[n - 5]], "doc_id long, text string")
+        assert N.near_duplicates(df).where("kept").count() == 2
+        assert dict(P.STAGES)["near_dedup"](spark, df, "").count() == (1 if n == 6 else 2)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_share_bounds_the_chance_of_a_miss(percent):
+    r = np.random.default_rng(7)
+    least = int(N.K * N.share(percent))
+    assert N.share(85) == N.SHARE and (r.binomial(N.K, percent / 100, 1_000_000) >= least).all()
+    assert sum(N.math.comb(N.K, i) * percent**i * (100 - percent) ** (N.K - i) for i in range(least)) < N.MISSED * 100**N.K
