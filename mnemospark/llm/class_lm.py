@@ -1,15 +1,19 @@
 """LM scoring with Brown's class-based bigrams.
 
-Every word belongs to one unit: each of the `FREQUENT` most frequent training words is a unit of its own,
-and all others share a unit by a hash of their last three characters. Exchange clustering moves units
-between classes while the likelihood of the class bigrams rises. A token's probability is that of its
+Each word that the training texts hold `LEAST` times or more is clustered itself; their number and that of the
+classes grow with the corpus. The start: each of the `FREQUENT` most frequent words is a unit of its own, all
+others share a unit by a hash of their last three characters, and exchange clustering moves units between
+classes while the likelihood of the class bigrams rises. Then distributed exchange: for every other word of the
+vocabulary its neighbours are counted by class over the whole corpus, and each moves to the class that gains
+most, in parallel; this is repeated while the likelihood rises, ROUNDS times at most. Only rarer words stay with
+their ending. A token's probability is that of its
 class after the class before it, times that of the word within its class (absolute discounting; what is
 discounted is the unknown word's). A text's score includes its end token, which also precedes its first.
 
 Tables: words are counted per chunk of neighbouring documents and summed over the corpus, so the counts are
-exact and grow with it; the counts of a chunk's words then meet the chunk's texts by a cogroup. Only the
-unit bigrams (at most UNITS^2 numbers) and the class tables go through the driver: their size does not
-grow with the corpus.
+exact and grow with it; the counts of a chunk's words then meet the chunk's texts by a cogroup. What goes through
+the driver: the unit bigrams (at most UNITS^2 numbers), the class tables, and ten bytes for each word of the
+vocabulary (its hash and class).
 
 Defined cases: null or empty text is one end token; null ids train and are chunked by text; rows with an
 equal id are each scored; without training rows every token is unknown; an empty table gives an empty
@@ -24,12 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
 FREQUENT, ENDINGS, CLASSES, SWEEPS = 511, 512, 64, 8
+#: Training count from which a word is clustered itself, and how often all of these may move.
+LEAST, ROUNDS = 8, 2
 #: Unit 0 is the end token; then the frequent words; then the endings.
 UNITS = 1 + FREQUENT + ENDINGS
 #: Documents in a chunk, by density of ids.
@@ -65,6 +72,34 @@ class UnitOf(dict):
         return u
 
 
+def class_number(words: int) -> int:
+    """Classes for a vocabulary of that many words."""
+    return max(CLASSES, round(2 * words ** (1 / 3)))
+
+
+class ClassOf(dict):
+    """(class, place in the vocabulary or -1) of a word: by its place in `keys`, the sorted hashes of the vocabulary, else by its unit."""
+
+    def __init__(self, frequent: dict[bytes, int], of: np.ndarray, keys: np.ndarray, classes: np.ndarray):
+        super().__init__()
+        self.unit, self.of, self.keys, self.classes = UnitOf(frequent), of, keys, classes
+
+    def __reduce__(self):
+        return ClassOf, (self.unit.frequent, self.of, self.keys, self.classes)
+
+    def __missing__(self, word: bytes) -> tuple[int, int]:
+        if len(self) > _CACHE:
+            self.clear()
+        key = np.uint64(xxhash.xxh64_intdigest(word))
+        at = int(np.searchsorted(self.keys, key))
+        if at < len(self.keys) and self.keys[at] == key:
+            found = int(self.classes[at]), at
+        else:
+            found = int(self.of[self.unit[word]]), -1
+        self[word] = found
+        return found
+
+
 def _texts(batch: pa.RecordBatch):
     return zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
 
@@ -123,17 +158,143 @@ def _bigrams(frequent: dict[bytes, int]):
     return run
 
 
-def _types(frequent: dict[bytes, int]):
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hash, as a signed number, and unit of each word."""
+    unit = UnitOf({})
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([unit[w] for w in words], pa.int32())], ["key", "unit"])
+
+
+def _types(found: ClassOf, classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, total = UnitOf(frequent), np.zeros((2, UNITS), np.int64)
+        total = np.zeros((2, classes), np.int64)
         for batch in batches:
-            u = np.fromiter(map(unit.__getitem__, batch.column("word").to_pylist()), np.int64, batch.num_rows)
-            total += [np.bincount(u, minlength=UNITS), np.bincount(u, batch.column("c").to_numpy(), UNITS).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(UNITS)), pa.array(total[0]), pa.array(total[1])], ["unit", "types", "n"])
+            u = np.fromiter((found[w][0] for w in batch.column("word").to_pylist()), np.int64, batch.num_rows)
+            total += [np.bincount(u, minlength=classes), np.bincount(u, batch.column("c").to_numpy(), classes).astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(total[0]), pa.array(total[1])], ["class", "types", "n"])
 
     return run
 
 
+def _train(batches: Iterator[pa.RecordBatch], found: ClassOf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes and places of the training tokens of each batch, an end token first."""
+    for batch in batches:
+        held = [found[END]]
+        for doc, text in _texts(batch):
+            if not held_out(doc):
+                held += map(found.__getitem__, tokens(text))
+        both = np.array(held, np.int64)
+        yield both[:, 0], both[:, 1]
+
+
+def _joint(found: ClassOf, classes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, np.int64)
+        for k, _ in _train(batches, found):
+            total += np.bincount(k[:-1] * classes + k[1:], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+    return run
+
+
+def _contexts(found: ClassOf, classes: int):
+    """(word, context) per batch: for each time a word occurs the class after it, the class before it plus `classes`, or 2 * `classes` for itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, at in _train(batches, found):
+            same = (at[:-1] == at[1:]) & (at[1:] >= 0)
+            after, before = (at[:-1] >= 0), (at[1:] >= 0) & ~same
+            words = np.concatenate([at[:-1][after], at[1:][before]])
+            codes = np.concatenate([np.where(same, 2 * classes, k[1:])[after], k[:-1][before] + classes]).astype(np.uint16)
+            order = np.argsort(words, kind="stable")
+            words, codes = words[order], codes[order]
+            starts = np.flatnonzero(np.diff(words, prepend=-1))
+            ends = np.append(starts[1:], len(words))
+            packed = pa.array([codes[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(words[starts]), packed], ["word", "context"])
+
+    return run
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def best_class(table: np.ndarray, logs: np.ndarray, rows: np.ndarray, cols: np.ndarray, a: int, r: np.ndarray, l: np.ndarray, s: float) -> int:  # noqa: E741
+    """Class that a word of class a gains most in; table: class bigrams, logs its xlogx, rows and cols its sums; r, l: its
+    followers and precursors by class without itself, s: how often it follows itself. As in `exchange`, others staying."""
+    j, i = np.flatnonzero(r), np.flatnonzero(l)
+    right, left, dr, dl = table[:, j], table[i].T, logs[:, j], logs[i].T
+    # without the word: less in row a and in column a
+    right[a] -= r[j]
+    right[:, j == a] -= l[:, None]
+    right[a, j == a] -= s
+    left[a] -= l[i]
+    left[:, i == a] -= r[:, None]
+    left[a, i == a] -= s
+    dr[a], dl[a] = _xlogx(right[a]), _xlogx(left[a])
+    dr[:, j == a], dl[:, i == a] = _xlogx(right[:, j == a]), _xlogx(left[:, i == a])
+    gain = (_xlogx(right + r[j]) - dr).sum(1) + (_xlogx(left + l[i]) - dl).sum(1)
+    d = np.diag(table).copy()
+    d[a] -= r[a] + l[a] + s
+    gain += _xlogx(d + r + l + s) - _xlogx(d + r) - _xlogx(d + l) + _xlogx(d)
+    nr, nl = r.sum() + s, l.sum() + s
+    rows, cols = rows.copy(), cols.copy()
+    rows[a] -= nr
+    cols[a] -= nl
+    gain -= _xlogx(rows + nr) - _xlogx(rows) + _xlogx(cols + nl) - _xlogx(cols)
+    gain[0] = -np.inf
+    c = int(np.argmax(gain))
+    return c if gain[c] > gain[a] + 1e-9 else a
+
+
+def _moved(table: np.ndarray, now: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = len(table)
+        logs, rows, cols = _xlogx(table), table.sum(1), table.sum(0)
+        for batch in batches:
+            words, out = batch.column("word").to_pylist(), []
+            for w, contexts in zip(words, batch.column("contexts").to_pylist(), strict=True):
+                n = np.bincount(np.frombuffer(b"".join(contexts), np.uint16), minlength=2 * classes + 1).astype(float)
+                out.append(best_class(table, logs, rows, cols, int(now[w]), n[:classes], n[classes:-1], n[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(out, pa.int32())], ["word", "class"])
+
+    return run
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What the classes add to the log-likelihood of the training bigrams."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
+def joint(docs: DataFrame, found: ClassOf, classes: int) -> np.ndarray:
+    pairs = docs.select("doc_id", "text").mapInArrow(_joint(found, classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(classes * classes)
+    table[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
+    return table.reshape(classes, classes)
+
+
+def distributed_exchange(docs: DataFrame, found: ClassOf, table: np.ndarray, rounds: int = ROUNDS) -> tuple[ClassOf, np.ndarray]:
+    """The vocabulary of `found` moved between classes, and the class bigrams then; table: those before."""
+    classes = len(table)
+    for _ in range(rounds if len(found.keys) else 0):
+        contexts = docs.select("doc_id", "text").mapInArrow(_contexts(found, classes), "word long, context binary")
+        moved = contexts.groupBy("word").agg(F.collect_list("context").alias("contexts")).mapInArrow(_moved(table, found.classes), "word long, class int").toArrow()
+        to = found.classes.copy()
+        to[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
+        if (to == found.classes).all():
+            break
+        other = ClassOf(found.unit.frequent, found.of, found.keys, to)
+        then = joint(docs, other, classes)
+        if likelihood(then) <= likelihood(table):
+            break  # all moved at once: together they may lose
+        found, table = other, then
+    return found, table
+
+
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit (unit 0 alone in class 0) by exchange clustering of the unit bigram counts."""
     n = len(bigrams)
@@ -211,14 +372,13 @@ class Model:
         return float((self.transition[before, k] + np.where(c > 0, known, np.where(k == class0[0], 0.0, self.unknown[k]))).sum())
 
 
-def _scored(model: Model, n: int, v: int):
+def _scored(model: Model, found: ClassOf, n: int, v: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        unit = UnitOf(model.frequent)
         words = counts.column("word").to_pylist()
         at = dict(zip(words, range(len(words)), strict=True))
-        # a word's count and unit, found once per chunk
+        # a word's count and class, found once per chunk
         c = np.array(counts.column("c").to_numpy(), dtype=np.int64)
-        u = np.fromiter(map(unit.__getitem__, words), np.int64, len(words))
+        u = np.fromiter((found[w][0] for w in words), np.int64, len(words))
         base = np.log10((c + 1) / (n + v + 1))
         out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
         for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -236,8 +396,8 @@ def _scored(model: Model, n: int, v: int):
     return run
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
-    """The model of docs(doc_id, text, chunk), counts (chunk, word, c) for all words of a chunk, N and V."""
+def fit(docs: DataFrame) -> tuple[Model, ClassOf, DataFrame, int, int]:
+    """The model of docs(doc_id, text, chunk), the classes of words, counts (chunk, word, c) for all words of a chunk, N and V."""
     own = materialize(docs.mapInArrow(_counted, "chunk long, word binary, n long"), "lm-chunks")
     counts = materialize(own.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -247,21 +407,31 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, int, int]:
     bigrams = np.zeros(UNITS * UNITS)
     bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     bigrams = bigrams.reshape(UNITS, UNITS)
-    per = counts.mapInArrow(_types(frequent), "unit long, types long, n long").groupBy("unit").agg(F.sum("types").alias("types"), F.sum("n").alias("n")).toArrow()
-    types, size = np.zeros(UNITS), np.zeros(UNITS)
-    types[per.column("unit").to_numpy()], size[per.column("unit").to_numpy()] = per.column("types").to_numpy(), per.column("n").to_numpy()
-    model = Model(frequent, exchange(bigrams), bigrams, types, size)
+    # the words that move on their own: all of the vocabulary but the frequent ones
+    listed = counts.where((F.col("c") >= LEAST) & ~F.col("word").isin([F.lit(w) for w in [END, *frequent]]))
+    words = listed.mapInArrow(_keys, "key long, unit int").toArrow()
+    keys = words.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    classes = class_number(len(keys) + len(frequent))
+    of = exchange(bigrams, classes)
+    member = np.eye(classes)[of]
+    found = ClassOf(frequent, of, keys[order], of[words.column("unit").to_numpy()[order]].astype(np.int16))
+    found, table = distributed_exchange(docs, found, member.T @ bigrams @ member)
+    per = counts.mapInArrow(_types(found, classes), "class long, types long, n long").groupBy("class").agg(F.sum("types").alias("types"), F.sum("n").alias("n")).toArrow()
+    types, size = np.zeros(classes), np.zeros(classes)
+    types[per.column("class").to_numpy()], size[per.column("class").to_numpy()] = per.column("types").to_numpy(), per.column("n").to_numpy()
+    model = Model({}, np.arange(classes), table, types, size, classes)
     # a chunk read by two tasks has some words twice, with one count
     joined = own.select("chunk", "word").join(counts, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"))
-    return model, joined, n, v
+    return model, found, joined, n, v
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text)."""
     held = chunked(docs)
-    model, counts, n, v = fit(held)
+    model, found, counts, n, v = fit(held)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = held.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(model, n, v), schema)
+    out = held.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(model, found, n, v), schema)
     return out.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

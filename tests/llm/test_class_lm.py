@@ -79,3 +79,40 @@ def test_exchange_finds_the_classes():
     of = L.exchange(b, classes=3)
     assert {of[i] for i in range(1, n) if kind[i] == 1} != {of[i] for i in range(1, n) if kind[i] == 2}
     assert len({(kind[i], of[i]) for i in range(1, n)}) == 2 and of[0] == 0
+
+
+def test_words_beyond_the_frequent_are_clustered(spark):
+    r = random.Random(4)
+    word = lambda kind: f"{kind}{r.randrange(600)}same"  # noqa: E731  # one ending for all
+    df = spark.createDataFrame([(i, " ".join(word("noun" if k % 2 else "verb") for k in range(120))) for i in range(900)], "doc_id long, text string")
+    _, found, counts, _, _ = L.fit(L.chunked(df))
+    listed = {bytes(x["word"]): found[bytes(x["word"])] for x in counts.where(f"c >= {L.LEAST}").distinct().collect()}
+    moved = [(w, k) for w, (k, at) in listed.items() if at >= 0]
+    assert len(moved) > 500 and len(found.keys) == len(moved)
+    kinds = {}
+    for w, k in moved:
+        kinds.setdefault(k, []).append(w[:4])
+    assert sum(max(v.count(b"noun"), v.count(b"verb")) for v in kinds.values()) > 0.95 * len(moved)
+
+
+def test_best_class_is_that_of_brute_force():
+    r = np.random.default_rng(3)
+    kinds = np.array([0, *(1 + np.arange(11) % 4)])
+    seq = np.array([0, *r.integers(1, 12, 400), 0])
+
+    def table(of):
+        t = np.zeros((5, 5))
+        np.add.at(t, (of[seq[:-1]], of[seq[1:]]), 1)
+        return t
+
+    t = table(kinds)
+    for w in range(1, 12):
+        same = (seq[:-1] == w) & (seq[1:] == w)
+        after = np.bincount(kinds[seq[1:]][(seq[:-1] == w) & ~same], minlength=5).astype(float)
+        before = np.bincount(kinds[seq[:-1]][(seq[1:] == w) & ~same], minlength=5).astype(float)
+        scores = [L.likelihood(table(np.where(np.arange(12) == w, c, kinds))) for c in range(1, 5)]
+        assert L.best_class(t, L._xlogx(t), t.sum(1), t.sum(0), kinds[w], after, before, float(same.sum())) == 1 + int(np.argmax(scores))
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert L.class_number(0) == L.CLASSES < L.class_number(10**5) < L.class_number(10**6)
