@@ -3,7 +3,9 @@
 Hosts are linked by the absolute links of all pages (counted per pair before any join). Personalised
 PageRank carries trust from hosts with allowed pages along links, and distrust from hosts with blocked
 pages against them: who links to a blocked host earns distrust. Without any links hosts keep their own shares.
-Hosts whose distrust exceeds their trust by `threshold` are blocked.
+Both are judged relative to the share of its own seed that a host retains where no link leads to it: rank is
+conserved and spreads, so that in a connected graph all scores are small. Hosts whose relative distrust exceeds
+their relative trust by `threshold` are blocked.
 
 Defined cases: a null url or one without `://` has empty host and path and the method's verdict for the
 empty host; null html has no links; repeated pages count each; an empty table gives an empty result.
@@ -83,14 +85,23 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     return score
 
 
+def retained(scores: DataFrame, links: DataFrame, damping: float = DAMPING) -> float:
+    """Share of its seed that a host holds without inflow, given the scores(host, score) over links: 1 without any links."""
+    senders = links.select("src").distinct()
+    total, resting = scores.join(senders, scores["host"] == senders["src"], "left").agg(F.sum("score"), F.sum(F.when(F.col("src").isNull(), F.col("score")).otherwise(0.0))).first()
+    return (1 - damping) + damping * resting / total if total else 1.0
+
+
 def host_scores(judged: DataFrame, links: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """host, trust, distrust, blocked. A host's seeds are the shares of its pages that rules allow and block."""
     is_ = lambda verdict: F.avg(F.coalesce(F.col("rule").isin([r for r, v in rules if v == verdict]), F.lit(False)).cast("double"))
     seeds = materialize(judged.groupBy("host").agg(is_("allow").alias("allowed"), is_("block").alias("blocked")), "rank-seeds")
-    trust = propagate(seeds.select("host", F.col("allowed").alias("seed")), links).select("host", F.col("score").alias("trust"))
+    trust = propagate(seeds.select("host", F.col("allowed").alias("seed")), links)
     back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(seeds.select("host", F.col("blocked").alias("seed")), back).select("host", F.col("score").alias("distrust"))
-    return trust.join(distrust, "host").withColumn("blocked", F.col("distrust") - F.col("trust") > threshold)
+    distrust = propagate(seeds.select("host", F.col("blocked").alias("seed")), back)
+    of_trust, of_distrust = retained(trust, links), retained(distrust, back)
+    both = trust.withColumnRenamed("score", "trust").join(distrust.withColumnRenamed("score", "distrust"), "host")
+    return both.withColumn("blocked", F.col("distrust") / of_distrust - F.col("trust") / of_trust > threshold)
 
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:

@@ -123,6 +123,14 @@ def test_linkers_to_blocked_hosts_are_blocked(spark):
     assert got == {"bad.net": "block", "friend.com": "block", "other.com": "allow", "far.com": "block"}
 
 
+def test_hosts_of_a_connected_graph_are_blocked(spark):
+    link = lambda i: f"<a href='http://h{(i + 1) % 20}.com/'>"
+    rows = [(i, f"http://h{i}.com/", link(i)) for i in range(20)] + [(100 + i, f"http://h7.com/bad/{i}", link(7)) for i in range(9)]
+    got = {r.page_id: r.verdict for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), rules=(("h7.com/bad/", "block"),)).collect()}
+    assert got[7] == got[6] == "block"  # the page that no rule fits, and the host that links there only
+    assert got[8] == got[17] == "allow"  # linked by it, and far from it
+
+
 RECORDS = "page_id long, url string, html string, idx string, digest string"
 
 
