@@ -4,7 +4,8 @@ Quote levels are the leading `>` marks of lines. Runs of lines of one level are
 text (lower case, letters and digits only, single spaces) is hashed. Quoted passages are joined to the
 messages that hold them as own text: in the same conversation the earliest one, else the earliest of all,
 if it precedes the quoting message. The message whose passages are quoted most at the lowest level is the
-parent. Threads follow by doubling of the parent pointers; a conversation sorted by (thread, turn) puts
+parent; where no whole passage of a level is found, its single lines count instead, so that a trimmed quote
+links too. Threads follow by doubling of the parent pointers; a conversation sorted by (thread, turn) puts
 every reply behind what it answers. Bodies keep the unquoted lines.
 
 A passage that a third of all messages share costs a pre-aggregated minimum and one joined row per quote:
@@ -51,23 +52,24 @@ def passages(lines: Column) -> Column:
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, body, and the passages (level, hash) of messages(conv_id, turn, role, text)."""
+    """conv_id, turn, role, body, and the passages (level, part, hash; part 1 for a line of a quote) of messages(conv_id, turn, role, text)."""
     lines = F.split(F.coalesce("text", F.lit("")), "\r?\n")
     body = F.regexp_replace(F.array_join(F.filter("lines", lambda x: _level(x) == 0), "\n"), r"^[ \t\r\n]+|[ \t\r\n]+$", "")
     whole = F.struct(F.lit(0).alias("level"), F.regexp_replace("body", "\n", " ").alias("text"))
-    hashed = lambda x: F.struct(x["level"].alias("level"), F.when(normalised(x["text"]) != "", F.sha2(normalised(x["text"]), 256)).alias("hash"))
+    hashed = lambda part: lambda x: F.struct(x["level"].alias("level"), F.lit(part).alias("part"), F.when(normalised(x["text"]) != "", F.sha2(normalised(x["text"]), 256)).alias("hash"))
     held = messages.select("conv_id", "turn", "role", lines.alias("lines")).withColumn("body", body)
     # what may be quoted: a run, one of its lines, the whole body
     single = F.transform(F.filter("lines", lambda x: _level(x) == 0), lambda x: F.struct(F.lit(0).alias("level"), x.alias("text")))
-    held = held.withColumn("runs", F.concat(passages(F.col("lines")), single, F.array(whole)))
-    held = held.withColumns({"runs": F.array_distinct(F.filter(F.transform("runs", hashed), lambda r: r["hash"].isNotNull())), "n_quoted": F.size(F.filter("lines", lambda x: _level(x) > 0)).cast("long"),
+    quoted = F.transform(F.filter("lines", lambda x: _level(x) > 0), lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("text")))
+    runs = F.concat(F.transform(F.concat(passages(F.col("lines")), single, F.array(whole)), hashed(0)), F.transform(quoted, hashed(1)))
+    held = held.withColumns({"runs": F.array_distinct(F.filter(runs, lambda r: r["hash"].isNotNull())), "n_quoted": F.size(F.filter("lines", lambda x: _level(x) > 0)).cast("long"),
         "max_level": F.coalesce(F.array_max(F.transform("lines", _level)), F.lit(0)).cast("long")})
     return held.drop("lines")
 
 
 def parents(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, parent): parent is the (conv, turn) quoted most at the lowest level that links; parsed messages."""
-    runs = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("runs").alias("r")).select("conv_id", "turn", "r.level", "r.hash")
+    runs = messages.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("runs").alias("r")).select("conv_id", "turn", "r.level", "r.part", "r.hash")
     quoted = runs.where("level > 0")
     own = runs.where("level = 0").groupBy("hash", "conv_id").agg(F.min("turn").alias("at"))
     anywhere = own.groupBy("hash").agg(F.min(F.struct(F.col("conv_id").alias("conv"), F.col("at").alias("turn"))).alias("first"))
@@ -76,8 +78,8 @@ def parents(messages: DataFrame) -> DataFrame:
     met = met.join(anywhere.withColumnRenamed("hash", "_h"), F.col("hash") == F.col("_h"), "left").drop("_h")
     me = F.struct(F.col("conv_id").alias("conv"), F.col("turn").alias("turn"))
     target = F.when(F.col("at").isNotNull(), F.struct(F.col("conv_id").alias("conv"), F.col("at").alias("turn"))).when(F.col("first") < me, F.col("first"))
-    votes = met.withColumn("parent", target).where("parent is not null").groupBy("conv_id", "turn", "level", "parent").agg(F.count("*").alias("votes"))
-    best = F.min(F.struct("level", (-F.col("votes")).alias("v"), (-F.col("parent.conv")).alias("c"), (-F.col("parent.turn")).alias("t"), F.col("parent").alias("parent")))
+    votes = met.withColumn("parent", target).where("parent is not null").groupBy("conv_id", "turn", "level", "part", "parent").agg(F.count("*").alias("votes"))
+    best = F.min(F.struct("level", "part", (-F.col("votes")).alias("v"), (-F.col("parent.conv")).alias("c"), (-F.col("parent.turn")).alias("t"), F.col("parent").alias("parent")))
     return votes.groupBy("conv_id", "turn").agg(best.alias("b")).select("conv_id", "turn", F.col("b.parent").alias("parent"))
 
 

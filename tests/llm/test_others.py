@@ -39,6 +39,18 @@ def test_quotes_link_to_their_messages(spark):
     assert convs[1, 1] == ["Use list.sort() for that.", "And reversed?", "Pass reverse=True.", "Seen elsewhere."]
 
 
+def test_trimmed_quote_links(spark):
+    rows = [
+        (1, 0, "user", "first point\nsecond point\nthird point\nfourth point\nfifth point"),
+        (1, 1, "assistant", "noted\nthird point"),
+        (1, 2, "user", "> second point\n> third point\nI doubt these."),
+        (1, 3, "assistant", "> > second point\n> > third point\n> I doubt these.\nWhy?"),
+        (1, 4, "user", "> noted\n> third point\nWhole, so it wins."),
+    ]
+    got = {r.turn: (r.parent_turn, r.root_turn, r.depth) for r in C.link_quotes(chat(spark, rows)).collect()}
+    assert got == {0: (None, 0, 0), 1: (None, 1, 0), 2: (0, 0, 1), 3: (2, 0, 2), 4: (1, 1, 1)}
+
+
 def test_chat_empty_and_common_passage(spark):
     assert C.link_quotes(chat(spark, [])).collect() == []
     rows = [(i, 0, "user", "thanks") for i in range(200)] + [(i, 1, "user", "> thanks\nok") for i in range(200)]
