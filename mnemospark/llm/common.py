@@ -13,8 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a small table is broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a small table is broadcast; beyond either joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space, as in the contracts: space and \x09-\x0D.
@@ -40,19 +40,38 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def rows_of(spark: SparkSession, schema: str, rows) -> DataFrame:
+    """A constant table from literals: no Python worker takes part."""
+    kinds = spark.createDataFrame([], schema).schema.fields
+    cells = [F.struct(*(F.lit(v).cast(k.dataType).alias(k.name) for v, k in zip(r, kinds, strict=True))) for r in rows]
+    return spark.range(1).select(F.explode(F.array(*cells)).alias("r")).select("r.*")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; where none is set (tests, one machine) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="mnemospark-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    """This application's folder in the shared one of the cluster; where none is set (tests, one machine) a temporary one.
+
+    The folder goes when the driver ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            shared = tempfile.mkdtemp(prefix="mnemospark-")
+            atexit.register(shutil.rmtree, shared, ignore_errors=True)
+        _scratch[app] = f"{shared.rstrip('/')}/mnemospark-{app}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch[app])
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _scratch[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,8 +84,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if it has at most `limit` rows (counted unless given)."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+    """Mark df for broadcast if it has at most `limit` rows (counted unless given) and BROADCAST_BYTES bytes."""
+    wide = [F.coalesce(F.length(F.col(f"`{f.name}`").cast("string")), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "struct", "map")]
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(sum(wide, F.lit(0))), F.lit(0))).first()
+    size = held + 8 * n * len(df.columns)
+    return F.broadcast(df) if (n if rows is None else rows) <= limit and size <= BROADCAST_BYTES else df
 
 
 def ascii_lower(col):

@@ -20,7 +20,9 @@ its set, of which the K least values are retained. Steps:
 
 Defined cases: null or wordless text has an empty set and is linked with nothing; fewer than five words
 are one shingle; null ids keep a row without a component; a repeated id gives a row for each input row,
-judged by its own text; an empty table gives an empty result.
+judged by its own text, and different texts of one id are linked only if they are similar; columns beyond
+doc_id and text are not looked at, whatever their names; very long texts take part whole; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, row_key, ship, small, table, without
 from .graph import connected_components
 
 #: Words of a shingle, retained values, and the similarity in hundredths: that of op1's contract, that of the stage.
@@ -92,12 +94,43 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values.append((s[:K] ^ np.uint64(1 << 63)).view(np.int64))  # signed order is then that of the hashes
         offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
         sketch = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.empty(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), sketch], ["doc_id", "n_shingles", "set_key", "sketch"])
+        columns = [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), sketch]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key", "n_shingles", "set_key", "sketch"])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null if empty) and the sketch of each row."""
-    return docs.select("doc_id", "text").mapInArrow(_sketches, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
+    """doc_id, key, n_shingles, set_key (equal for equal sets, null if empty) and the sketch of each row."""
+    ship(docs.sparkSession)
+    return keyed(docs).mapInArrow(_sketches, "doc_id long, key long, n_shingles long, set_key binary, sketch array<long>")
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(rep, doc_id, key, n_shingles, set_key, sketch): the first row of each set, written. rep is its number.
+
+    That is its doc_id, unless another set has the same first id: then a number beyond all ids.
+    """
+    first = F.min(F.struct("doc_id", "key", "n_shingles", "sketch")).alias("m")
+    held = rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(first).select("set_key", "m.*")
+    held = materialize(held, "dedup-sets-first")
+    shared = held.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("set_key").alias("own")).where("n > 1")
+    shared = materialize(shared.select(F.col("doc_id").alias("_d"), "own"), "dedup-shared-ids")
+    if not shared.limit(1).count():
+        return held.withColumn("rep", F.col("doc_id"))
+    lo, hi = held.agg(F.min("doc_id"), F.max("doc_id")).first()
+    place = F.monotonically_increasing_id()
+    other = F.lit(hi + 1) + place if hi < 1 << 62 else F.lit(lo - 1) - place
+    out = held.join(small(shared), held["doc_id"] == F.col("_d"), "left")
+    return materialize(out.withColumn("rep", F.when(F.col("own").isNull() | (F.col("own") == F.col("set_key")), F.col("doc_id")).otherwise(other)).drop("_d", "own"), "dedup-classes")
+
+
+def texts_of(docs: DataFrame, reps: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, text) of wanted(rep)."""
+    who = materialize(wanted.join(reps.select("rep", "doc_id", "key"), "rep").select("rep", F.col("doc_id").alias("_d"), F.col("key").alias("_k")), "dedup-wanted")
+    return keyed(docs).join(small(who), (F.col("doc_id") == F.col("_d")) & (F.col("key") == F.col("_k"))).select("rep", "text")
 
 
 def least_overlap(size, percent: int = PERCENT):
@@ -123,14 +156,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rep"), values], ["rep", "values"])
 
 
-def full_lists(docs: DataFrame, chosen: DataFrame, percent: int = PERCENT) -> DataFrame:
+def full_lists(docs: DataFrame, reps: DataFrame, chosen: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(value, rep, n, u) over the full sets of the chosen(rep): the rarest shared shingles that can prove a link.
 
     u: how many shingles of the set come before value in the common order, those that no other has among them.
     If value is the first that two sets have in common, none of these is; each link is found by that one.
     """
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("rep")).select("rep", "text")
-    sets = materialize(texts.mapInArrow(_sets, "rep long, values array<long>").where(F.size("values") > 0).dropDuplicates(["rep"]), "dedup-sets")
+    sets = materialize(texts_of(docs, reps, chosen).mapInArrow(_sets, "rep long, values array<long>").where(F.size("values") > 0).dropDuplicates(["rep"]), "dedup-sets")
     held = sets.select("rep", F.size("values").cast("long").alias("n"), F.explode("values").alias("value"))
     shared = held.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     mine = held.join(shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
@@ -147,7 +179,7 @@ def candidate_lists(reps: DataFrame, docs: DataFrame, percent: int = PERCENT) ->
     sizes = materialize(lists.groupBy("value").agg(F.count("*").alias("size")).where("size > 1"), "dedup-sizes")
     short = lists.join(sizes.where(F.col("size") <= LONG), "value", "left_semi")
     chosen = materialize(lists.join(sizes.where(F.col("size") > LONG), "value", "left_semi").select("rep").distinct(), "dedup-chosen")
-    long = full_lists(docs, chosen, percent)
+    long = full_lists(docs, reps, chosen, percent)
     return short.select("value", "rep", "n", F.lit(0).cast("long").alias("u")).unionByName(long)
 
 
@@ -192,11 +224,12 @@ def _confirmed(percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of pairs(a, b) whose full shingle sets are similar enough."""
-    texts = docs.select("doc_id", "text").where("text is not null")
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    pairs = materialize(pairs, "dedup-estimated")
+    texts = texts_of(docs, reps, pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct())
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").mapInArrow(_confirmed(percent), "a long, b long").distinct()
 
 
@@ -233,23 +266,31 @@ def open_pairs(lists: DataFrame, component: DataFrame, tested: DataFrame, percen
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text); sets of that similarity are linked."""
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, key, n_shingles, component, component_id for each row of docs(doc_id, text); sets of that similarity are linked.
+
+    component numbers the group, and component_id is its smallest doc_id: two groups may share that if an id is repeated.
+    """
     rows = materialize(sketches(docs), "dedup-sketches")
-    classes = materialize(rows.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep")), "dedup-classes")
-    reps = rows.join(classes, (rows["set_key"] == classes["set_key"]) & (rows["doc_id"] == classes["rep"]), "left_semi")
-    reps = reps.select(F.col("doc_id").alias("rep"), "n_shingles", "sketch")
+    reps = classes_of(rows)
     lists = materialize(candidate_lists(reps, docs, percent), "dedup-lists")
     stars = materialize(star_pairs(lists, percent), "dedup-stars")
-    links = materialize(confirmed(estimated(stars, reps, percent), docs, percent), "dedup-links")
+    links = materialize(confirmed(estimated(stars, reps, percent), docs, reps, percent), "dedup-links")
     first = connected_components(links)
     rest = materialize(open_pairs(lists, first, stars, percent), "dedup-rest")
-    more = materialize(confirmed(estimated(rest, reps, percent), docs, percent), "dedup-more")
-    root = materialize(connected_components(links.union(more)), "dedup-components")
-    of_class = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    more = materialize(confirmed(estimated(rest, reps, percent), docs, reps, percent), "dedup-more")
+    root = connected_components(links.union(more)).withColumnRenamed("node", "rep").join(reps.select("rep", "doc_id"), "rep")
+    least = root.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    root = materialize(root.join(least, "component").select("rep", "component", "component_id"), "dedup-components")
+    of_class = reps.join(root, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = rows.drop("sketch").join(of_class, "set_key", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "key", "n_shingles", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return linked(docs, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,9 +298,32 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = PERCENT) -> DataFrame:
-    """Pipeline stage: the first document of each group, once; the pipeline asks for STAGE_PERCENT."""
-    gone = materialize(near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone_id__")).distinct(), "dedup-gone")
-    left = docs.join(gone, docs["doc_id"] == gone["__gone_id__"], "left_anti")
-    # rows of one id are one document; rows without an id stay
-    one = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), F.monotonically_increasing_id()))
-    return left.withColumn("__one__", one).dropDuplicates(["__one__"]).drop("__one__")
+    """Pipeline stage: the first row of each group by id and text, once; rows without id or words stay. The pipeline asks for STAGE_PERCENT."""
+    rows = materialize(linked(docs, percent).where("component_id is not null and n_shingles > 0"), "dedup-stage")
+    me = F.struct("doc_id", "key")
+    first = rows.groupBy("component").agg(F.min(me).alias("first"))
+    gone = rows.join(first, "component").where(me != F.col("first")).select("doc_id", "key")
+    left = without(docs, gone)
+    # repeats of the first row itself
+    again = materialize(rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id__"), F.col("key").alias("__key__")), "dedup-again")
+    if not again.limit(1).count():
+        return left
+    again = small(again)
+    left = left.withColumn("__row__", row_key("doc_id", "text"))
+    same = (left["doc_id"] == again["__id__"]) & (left["__row__"] == again["__key__"])
+    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__row__"])).drop("__row__")
+
+
+#: The whole contract from its definition: shingles, all pairs that share one, components.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4])) END AS s FROM w),
+n AS MATERIALIZED (SELECT r, doc_id, len(s) AS n FROM s),
+x AS MATERIALIZED (SELECT r, unnest(s) AS g FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n u ON u.r = a JOIN n v ON v.r = b WHERE 100 * c >= 85 * (u.n + v.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+t(a, b) AS (SELECT a, b FROM e UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+c AS (SELECT t.a AS r, min(n.doc_id) AS m FROM t JOIN n ON n.r = t.b GROUP BY 1)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, least(doc_id, coalesce(m, doc_id)) = doc_id AS kept FROM n LEFT JOIN c USING (r)
+"""

@@ -97,3 +97,21 @@ def test_share_bounds_the_chance_of_a_miss(percent):
     least = int(N.K * N.share(percent))
     assert N.share(85) == N.SHARE and (r.binomial(N.K, percent / 100, 1_000_000) >= least).all()
     assert sum(N.math.comb(N.K, i) * percent**i * (100 - percent) ** (N.K - i) for i in range(least)) < N.MISSED * 100**N.K
+
+
+def test_repeated_ids_are_told_apart(spark):
+    rows = [(1, "alpha text here"), (1, "beta words there"), (5, "alpha text here"), (6, "beta words there"), (2, "gamma"), (7, "gamma"), (7, "alpha text here"), (1, "alpha text here"), (None, "gamma"), (8, None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, component string, rep long")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in N.near_duplicates(df).collect() if r.doc_id is not None)
+    assert got == [(1, 1, True), (1, 1, True), (1, 1, True), (2, 2, True), (5, 1, False), (6, 1, False), (7, 1, False), (7, 2, False), (8, 8, True)]
+    out = N.dedup_stage(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(1, "alpha text here"), (1, "beta words there"), (2, "gamma"), (None, "gamma"), (8, None)]))
+
+
+def test_first_call_of_a_session_ships_the_package(spark):
+    from mnemospark.llm import common
+
+    common._shipped.clear()
+    N.sketches(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert common._shipped
