@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.OP2_SQL, "op9_merkle": merkle.OP9_SQL}
+    return {"op1_near_dedup": near_dedup.OP1_SQL, "op2_chat_format": chat_format.OP2_SQL, "op9_merkle": merkle.OP9_SQL, "op10_decontaminate": decontaminate.OP10_SQL}

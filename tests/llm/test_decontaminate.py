@@ -60,7 +60,7 @@ def test_without_broadcast(spark, docs, corpus, items, monkeypatch):
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "zeta q q q eta"), (2, "eta " + "q " * 30 + "zeta"), (3, "eta zeta")], "doc_id long, text string")
-    cut, phrases, index = D.corpus_index(D.token_table(docs), spark.createDataFrame([(1, "zeta eta")], "item_id long, text string"))
+    _, phrases, index = D.corpus_index(D.token_table(docs), spark.createDataFrame([(1, "zeta eta")], "item_id long, text string"))
     assert {(r.doc_id, r.gap) for r in D.proximity_matches(index, phrases, 5).collect()} == {(1, 4), (3, 1)}
 
 
