@@ -156,12 +156,22 @@ def test_audit_finds_each_fault(spark):
     b = [(r[0], r[1], "changed" if r[0] in (4, 300, None) and r[1] != "again" else r[2]) for r in b] + [(301, "new", "x"), (100_000, "far", "y")]
     b = [(r[0], "" if r[0] == 6 and r[1] is None else r[1], r[2]) for r in b]
     got = {r.idx: (r.fault, r.offset, r.length) for r in M.audit(records(spark, a), records(spark, b), "page_id", ("url", "html")).collect()}
-    size = lambda k: sum(len(u or "") + len(h or "") for i, u, h in a if (-1 if i is None else i) == k)
-    place = lambda k: sum(size(i) for i in {-1 if x[0] is None else x[0] for x in a} if i < k)
-    want = {-1: "changed", 4: "changed", 300: "changed", 6: "changed", 10: "missing", 880: "missing", 301: "extra", 100_000: "extra"}
+    size = lambda k: sum(len(u or "") + len(h or "") for i, u, h in a if i == k)
+    rank = lambda k: (k is not None, k or 0)
+    place = lambda k: sum(size(i) for i in {x[0] for x in a} if rank(i) < rank(k))
+    want = {None: "changed", 4: "changed", 300: "changed", 6: "changed", 10: "missing", 880: "missing", 301: "extra", 100_000: "extra"}
     assert got == {k: (f, place(k), size(k)) for k, f in want.items()}
 
 
+def test_audit_tells_records_without_id_from_all_ids(spark):
+    a = [(None, "n", "x"), (-1, "m", "y"), (-40, "low", "z" * 9), (5, "p", "long " * 40_000)]
+    b = [(None, "m", "y"), (-1, "n", "x"), (-40, "low", "z" * 9), (5, "p", "long " * 40_000)]
+    got = lambda x, y: {(r.idx, r.fault, r.offset, r.length) for r in M.audit(records(spark, x), records(spark, y), "page_id", ("url", "html")).collect()}
+    assert got(a, b) == {(None, "changed", 0, 2), (-1, "changed", 2 + 12, 2)}
+    assert got(a, [r for r in a if r[0] != -1]) == {(-1, "missing", 14, 2)}
+    assert got(a, a[1:]) == {(None, "missing", 0, 2)}
+
+
 def test_audit_of_equal_or_empty_replicas(spark):
     a = records(spark, [(i, "u", "h") for i in range(50)] + [(3, "u", "h")])
     assert M.audit(a, a.repartition(3), "page_id", ("url", "html")).collect() == []
