@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_merkle": merkle.op9_merkle,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        # the same operators where the tables give them too little to do
+        "url_filter_interlinked": url_filter.url_filter_interlinked,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": near_dedup.OP1_SQL, "op2_chat_format": chat_format.OP2_SQL, "op9_merkle": merkle.OP9_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {"op1_near_dedup": near_dedup.OP1_SQL, "op2_chat_format": chat_format.OP2_SQL, "op7_url_filter": url_filter.OP7_SQL, "url_filter_interlinked": url_filter.INTERLINKED_SQL, "op9_merkle": merkle.OP9_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
