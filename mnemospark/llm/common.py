@@ -106,3 +106,20 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     keyed = docs.withColumn("__row__", row_key("doc_id", "text"))
     g = materialize(gone.select(F.col("doc_id").alias("__gone_id__"), F.col("key").alias("__gone_row__")).distinct(), "gone")
     return keyed.join(small(g), keyed["doc_id"].eqNullSafe(g["__gone_id__"]) & (keyed["__row__"] == g["__gone_row__"]), "left_anti").drop("__row__")
+
+
+def hot_join(big: DataFrame, unique: DataFrame, on: dict[str, str], share: int = 1000) -> DataFrame:
+    """big left-joined with unique on columns {big's: unique's}, those of unique dropped; unique has a row per key.
+
+    Keys that hold more than 1 / share of big's rows, so fewer than `share` of them, are looked up by broadcast; the
+    rest is shuffled, so that no key fills a task. big is read twice and should be a written table.
+    """
+    mine, theirs = [*on], [*on.values()]
+    same = lambda a, b: F.expr(" and ".join(f"`{x}` = `{y}`" for x, y in zip(a, b, strict=True)))
+    n = big.count()
+    hot = big.groupBy(*mine).agg(F.count("*").alias("__n__")).where(F.col("__n__") * share > n)
+    hot = materialize(hot.select(*(F.col(c).alias(f"__h{i}__") for i, c in enumerate(mine))), "hot-keys")
+    keys = F.broadcast(hot)
+    few, rest = (unique.join(keys, same(theirs, hot.columns), how) for how in ("left_semi", "left_anti"))
+    there, else_ = (big.join(keys, same(mine, hot.columns), how) for how in ("left_semi", "left_anti"))
+    return there.join(F.broadcast(few), same(mine, theirs), "left").union(else_.join(rest, same(mine, theirs), "left")).drop(*theirs)

@@ -35,8 +35,23 @@ def test_quotes_link_to_their_messages(spark):
     assert link(1, 4) == (1, 0, 0, 1) and link(2, 0) == (1, 3, 1, 3) and link(2, 1) == (None, None, 1, 0)
     assert got[1, 3].body == "Pass reverse=True." and got[1, 3].n_quoted == 2 and got[1, 3].max_level == 2
     assert C.link_quotes(chat(spark, rows)).count() == len(rows)
-    convs = {(r.root_conv, r.root_turn): [m.content for m in r.messages] for r in C.conversations(C.link_quotes(chat(spark, rows[:6]))).collect()}
-    assert convs[1, 1] == ["Use list.sort() for that.", "And reversed?", "Pass reverse=True.", "Seen elsewhere."]
+    convs = {}
+    for r in C.conversations(C.link_quotes(chat(spark, rows[:6]))).collect():
+        convs.setdefault(r.conversation, []).append(r.content)
+    assert convs == {1: ["How do I sort a list?\nIn place, please.", "Why that?", "Use list.sort() for that.", "And reversed?", "Pass reverse=True.", "Seen elsewhere."]}
+
+
+def test_places_across_ranges(spark):
+    rows = [(1, i, "user", f"turn {i}") for i in range(300)] + [(2, i, "user", f"> turn {i * 7}\nother {i}") for i in range(40)]
+    got = {(r.conv_id, r.turn): r.position for r in C.link_quotes(chat(spark, rows)).collect()}
+    want = sorted([(i, 1, i) for i in range(300)] + [(i * 7, 2, i) for i in range(40)])
+    assert got == {(c, t): k for k, (_, c, t) in enumerate(want)}
+
+
+def test_very_long_message(spark):
+    long = "\n".join(f"line {i} of many" for i in range(20_000))
+    got = {r.turn: (r.parent_turn, r.n_quoted, len(r.body)) for r in C.link_quotes(chat(spark, [(1, 0, "user", long), (1, 1, "user", "> line 19999 of many\nyes"), (1, 2, "user", "\n".join("> " + x for x in long.split("\n")))])).collect()}
+    assert got == {0: (None, 0, len(long)), 1: (0, 1, 3), 2: (0, 20_000, 0)}
 
 
 def test_trimmed_quote_links(spark):
