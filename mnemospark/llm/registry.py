@@ -13,7 +13,7 @@ def queries() -> dict:
         "op4_class_lm": class_lm.op4_class_lm,
         "op5_packing": packing.op5_packing,
         "op6_license_scan": license_scan.op6_license_scan,
-        "quoted_conversations": chat_format.QUOTED_SQL, "op7_url_filter": url_filter.op7_url_filter,
+        "op7_url_filter": url_filter.op7_url_filter,
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_merkle": merkle.op9_merkle,
         "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -24,4 +24,13 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_dedup": near_dedup.OP1_SQL, "op2_chat_format": chat_format.OP2_SQL, "quoted_conversations": chat_format.QUOTED_SQL, "op7_url_filter": url_filter.OP7_SQL, "url_filter_interlinked": url_filter.INTERLINKED_SQL, "op9_merkle": merkle.OP9_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
+    return {
+        "op1_near_dedup": near_dedup.OP1_SQL,
+        "op2_chat_format": chat_format.OP2_SQL,
+        "op6_license_scan": license_scan.OP6_SQL,
+        "op7_url_filter": url_filter.OP7_SQL,
+        "op9_merkle": merkle.OP9_SQL,
+        "op10_decontaminate": decontaminate.OP10_SQL,
+        "quoted_conversations": chat_format.QUOTED_SQL,
+        "url_filter_interlinked": url_filter.INTERLINKED_SQL,
+    }
