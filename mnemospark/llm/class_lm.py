@@ -11,13 +11,16 @@ class after the class before it, times that of the word within its class (absolu
 discounted is the unknown word's). A text's score includes its end token, which also precedes its first.
 
 Tables: words are counted per chunk of neighbouring documents and summed over the corpus, so the counts are
-exact and grow with it; the counts of a chunk's words then meet the chunk's texts by a cogroup. What goes through
-the driver: the unit bigrams (at most UNITS^2 numbers), the class tables, and ten bytes for each word of the
-vocabulary (its hash and class).
-
-Defined cases: null or empty text is one end token; null ids train and are chunked by text; rows with an
-equal id are each scored; without training rows every token is unknown; an empty table gives an empty
-result.
+exact and grow with it; the counts of a chunk's words then meet the chunk's texts by a cogroup. Chunks of too many
+rows or bytes (dense, repeated, null or lonely ids) are split by a hash of id and text. A word's neighbours are
+counted by class before and after the exchange, so no word gathers more than two numbers a class. What goes
+through the driver: the unit bigrams (at most UNITS^2 numbers), the class tables, and ten bytes for each word
+of the vocabulary (its hash and class).
+
+Defined cases: null or empty text is one end token; null ids train; rows with an equal id are each scored; of
+equally frequent words the first in byte order counts as more frequent; very long texts are scored whole; other
+columns are not looked at, whatever their names; without training rows every token is unknown; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,15 +35,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, ship, small, table
 
 FREQUENT, ENDINGS, CLASSES, SWEEPS = 511, 512, 64, 8
 #: Training count from which a word is clustered itself, and how often all of these may move.
 LEAST, ROUNDS = 8, 2
 #: Unit 0 is the end token; then the frequent words; then the endings.
 UNITS = 1 + FREQUENT + ENDINGS
-#: Documents in a chunk, by density of ids.
-CHUNK = 4096
+#: Documents in a chunk, by density of ids, and bytes; chunks of more than twice that are split.
+CHUNK, CHUNK_BYTES = 4096, 16 << 20
+#: Neighbours that a task counts at once.
+CONTEXTS = 16_000_000
 FOLDS, HELD_OUT = 7, 2
 #: The end token as a word: no word holds white space.
 END = b"\n"
@@ -104,13 +109,17 @@ def _texts(batch: pa.RecordBatch):
     return zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with the chunk of neighbouring ids that a row belongs to."""
+def chunked(docs: DataFrame, rows: int = CHUNK, size: int = CHUNK_BYTES) -> DataFrame:
+    """docs(doc_id, text) with the chunk that a row belongs to: neighbouring ids, of bounded rows and bytes."""
     lo, hi, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    width = max(1, round(CHUNK * (hi - lo + 1) / max(n, 1))) if lo is not None else 1
-    spread = max(1, n // CHUNK)
-    chunk = F.coalesce(F.floor((F.col("doc_id") - (lo or 0)) / width), F.pmod(F.xxhash64("text"), F.lit(spread)))
-    return docs.select("doc_id", "text", chunk.cast("long").alias("chunk"))
+    width = max(1, round(rows * (hi - lo + 1) / max(n, 1))) if lo is not None else 1
+    near = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(lo or 0)) / width), F.lit(-1))
+    rough = docs.select("doc_id", "text", near.cast("long").alias("near"))
+    held = rough.groupBy("near").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"))
+    parts = F.ceil(F.greatest(F.col("n") / rows, F.coalesce("b", F.lit(0)) / size))
+    heavy = materialize(held.select(F.col("near").alias("_near"), parts.alias("parts")).where("parts > 2"), "lm-heavy")
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc_id", "text"), F.col("parts"))).otherwise(0)
+    return rough.join(small(heavy), F.col("near") == F.col("_near"), "left").select("doc_id", "text", F.xxhash64("near", part).alias("chunk"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,20 +210,25 @@ def _joint(found: ClassOf, classes: int):
 
 
 def _contexts(found: ClassOf, classes: int):
-    """(word, context) per batch: for each time a word occurs the class after it, the class before it plus `classes`, or 2 * `classes` for itself."""
+    """(word, code, n) per task: how often a word stands before a class, behind it (`classes` more), or beside itself (2 * `classes`)."""
+    width = 2 * classes + 1
+
+    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(at // width), pa.array((at % width).astype(np.int32)), pa.array(n)], ["word", "code", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for k, at in _train(batches, found):
             same = (at[:-1] == at[1:]) & (at[1:] >= 0)
             after, before = (at[:-1] >= 0), (at[1:] >= 0) & ~same
-            words = np.concatenate([at[:-1][after], at[1:][before]])
-            codes = np.concatenate([np.where(same, 2 * classes, k[1:])[after], k[:-1][before] + classes]).astype(np.uint16)
-            order = np.argsort(words, kind="stable")
-            words, codes = words[order], codes[order]
-            starts = np.flatnonzero(np.diff(words, prepend=-1))
-            ends = np.append(starts[1:], len(words))
-            packed = pa.array([codes[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(words[starts]), packed], ["word", "context"])
+            held += [at[:-1][after] * width + np.where(same, 2 * classes, k[1:])[after], at[1:][before] * width + k[:-1][before] + classes]
+            size += len(held[-1]) + len(held[-2])
+            if size > CONTEXTS:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
@@ -257,8 +271,11 @@ def _moved(table: np.ndarray, now: np.ndarray):
         logs, rows, cols = _xlogx(table), table.sum(1), table.sum(0)
         for batch in batches:
             words, out = batch.column("word").to_pylist(), []
-            for w, contexts in zip(words, batch.column("contexts").to_pylist(), strict=True):
-                n = np.bincount(np.frombuffer(b"".join(contexts), np.uint16), minlength=2 * classes + 1).astype(float)
+            ends = batch.column("codes").offsets.to_numpy()
+            codes, counts = batch.column("codes").values.to_numpy(), batch.column("counts").values.to_numpy()
+            for i, w in enumerate(words):
+                mine = slice(ends[i], ends[i + 1])
+                n = np.bincount(codes[mine], counts[mine], 2 * classes + 1)
                 out.append(best_class(table, logs, rows, cols, int(now[w]), n[:classes], n[classes:-1], n[-1]))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(out, pa.int32())], ["word", "class"])
 
@@ -281,8 +298,9 @@ def distributed_exchange(docs: DataFrame, found: ClassOf, table: np.ndarray, rou
     """The vocabulary of `found` moved between classes, and the class bigrams then; table: those before."""
     classes = len(table)
     for _ in range(rounds if len(found.keys) else 0):
-        contexts = docs.select("doc_id", "text").mapInArrow(_contexts(found, classes), "word long, context binary")
-        moved = contexts.groupBy("word").agg(F.collect_list("context").alias("contexts")).mapInArrow(_moved(table, found.classes), "word long, class int").toArrow()
+        contexts = docs.select("doc_id", "text").mapInArrow(_contexts(found, classes), "word long, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+        own = contexts.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("c"))  # two numbers a class at most
+        moved = own.select("word", F.col("c.code").alias("codes"), F.col("c.n").alias("counts")).mapInArrow(_moved(table, found.classes), "word long, class int").toArrow()
         to = found.classes.copy()
         to[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
         if (to == found.classes).all():
@@ -427,13 +445,38 @@ def fit(docs: DataFrame) -> tuple[Model, ClassOf, DataFrame, int, int]:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of docs(doc_id, text)."""
+    ship(docs.sparkSession)
     held = chunked(docs)
     model, found, counts, n, v = fit(held)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     out = held.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(model, found, n, v), schema)
-    return out.withColumn("train_tokens", F.lit(n).cast("long")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    out = out.withColumns({"train_tokens": F.lit(n).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))})
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 returns besides its model's score, which SQL can express."""
+    return op4_class_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def _crc32(text: str) -> str:
+    """crc32 of a short ASCII string in SQL: a fold over its bytes and their bits."""
+    bits = "list_reduce(list_prepend({0}, [0, 1, 2, 3, 4, 5, 6, 7]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+    step = bits.format("xor(c, b)")
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda c, b: {step}), 4294967295)"
+
+
+BASE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 2 AS held_out,
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), chr(10)) AS w FROM documents),
+t AS MATERIALIZED (SELECT r, held_out, unnest(w) AS word FROM d),
+c AS MATERIALIZED (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1e0) / (n + v + 1))) AS base_score FROM t LEFT JOIN c USING (word), n GROUP BY 1)
+SELECT doc_id, held_out, len(w) AS n_tokens, n_known, CAST((SELECT n FROM n) AS BIGINT) AS train_tokens, round(base_score, 4) AS base_score FROM d JOIN s USING (r)
+"""

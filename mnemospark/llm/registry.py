@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_merkle": merkle.op9_merkle,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        # what SQL can express of operators that it cannot express whole
+        "lm_base_scores": class_lm.lm_base_scores,
         # the same operators where the tables give them too little to do
         "quoted_conversations": chat_format.quoted_conversations,
         "url_filter_interlinked": url_filter.url_filter_interlinked,
@@ -31,6 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": url_filter.OP7_SQL,
         "op9_merkle": merkle.OP9_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
+        "lm_base_scores": class_lm.BASE_SQL,
         "quoted_conversations": chat_format.QUOTED_SQL,
         "url_filter_interlinked": url_filter.INTERLINKED_SQL,
     }

@@ -116,3 +116,48 @@ def test_best_class_is_that_of_brute_force():
 
 def test_classes_grow_with_the_vocabulary():
     assert L.class_number(0) == L.CLASSES < L.class_number(10**5) < L.class_number(10**6)
+
+
+def test_score_of_brute_force(spark):
+    r = random.Random(5)
+    texts = dict(enumerate(_sentences(r, 120))) | {500: None, 501: "", 502: "never seen words", 503: "nounx1 " * 30}
+    df = spark.createDataFrame([(i, t, 1, "c") for i, t in texts.items()], "doc_id long, text string, chunk long, word string")
+    model, found, _, _, _ = L.fit(L.chunked(df))
+    got = {x.doc_id: x for x in L.score(df).collect()}
+    count = {}
+    for i, t in texts.items():
+        for w in L.tokens((t or "").encode()) if not L.held_out(i) else ():
+            count[w] = count.get(w, 0) + 1
+    k = lambda w: found[w][0]
+    size, kinds = {}, {}
+    for w, c in count.items():
+        size[k(w)] = size.get(k(w), 0) + c
+        kinds[k(w)] = kinds.get(k(w), 0) + 1
+    pair = {}
+    for i, t in texts.items():
+        seq = [L.END, *L.tokens((t or "").encode())]
+        for a, b in zip(seq, seq[1:], strict=False) if not L.held_out(i) else ():
+            pair[k(a), k(b)] = pair.get((k(a), k(b)), 0) + 1
+    classes = len(model.of)
+    total = sum(pair.values())
+    into = {c: sum(n for (_, b), n in pair.items() if b == c) for c in range(classes)}
+    out = {c: sum(n for (a, _), n in pair.items() if a == c) for c in range(classes)}
+    for i, t in texts.items():
+        seq, want = [L.END, *L.tokens((t or "").encode())], 0.0
+        for a, b in zip(seq, seq[1:], strict=False):
+            share = (into[k(b)] + 1) / (total + classes)
+            want += math.log10((pair.get((k(a), k(b)), 0) + share) / (out[k(a)] + 1))
+            if b != L.END:
+                c, n = count.get(b, 0), size.get(k(b), 0)
+                want += math.log10((c - 0.5) / n if c else max(0.5 * kinds.get(k(b), 0), 1e-9) / n if n else 1.0)
+        assert math.isclose(got[i].score, want, rel_tol=1e-9), i
+        assert math.isclose(got[i].perplexity, 10 ** (-want / (len(seq) - 1)), rel_tol=1e-9)
+
+
+def test_chunks_are_bounded(spark):
+    many = [(i, f"text {i}") for i in range(2000)]
+    size = lambda rows: [x["count"] for x in L.chunked(spark.createDataFrame(rows, "doc_id long, text string"), 100, 1 << 20).groupBy("chunk").count().collect()]
+    for rows in (many, [*many, (10**15, "far")], [(7, t) for _, t in many], [(None, t) for _, t in many], [*many, (-(2**63), "a"), (2**63 - 1, "z")]):
+        assert sum(size(rows)) == len(rows) and max(size(rows)) <= 250
+    assert max(size([(i, "x" * 10_000) for i in range(200)])) <= 200
+    assert sorted(size([(1, "x" * (1 << 20)), (2, "y" * (1 << 20)), (3, "z" * (1 << 20)), (4, "w" * (1 << 20))]))[-1] <= 3
