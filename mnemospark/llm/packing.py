@@ -2,18 +2,22 @@
 
 The documents, in order of doc_id, are one stream of token ids (each document ends with `END`). Cut points
 are the ends of documents and sentences. A window from cut i to cut j costs its padding, a fixed amount per
-window, and a penalty where it truncates: little at a sentence end, nothing at a document end. A stretch of
-k windows between two cuts may be sliced at exact multiples of the window, each such slice paying a larger
-penalty. For every k the best start lies in a sliding range of f(i) + position(i), held in a monotone
-queue, so a cut costs amortised constant time. Lengths that are powers of two need no padding; those
-starts are looked up exactly, and the end of a block is split into them where that is cheaper.
-
-The corpus is dealt by ranges of doc_id; each task streams its range through blocks of bounded size and
-carries what follows the last settled window into the next block. Nothing but one batch and one block is
-held in memory.
+window, and a penalty where it truncates: little at a sentence end, nothing at a document end. The best start of
+a window lies in a sliding range of f(i) + position(i), held in a monotone queue, so a cut costs amortised
+constant time. Lengths that are powers of two need no padding; those starts are looked up exactly. A stretch
+between two cuts may also be sliced at exact multiples of the window, however long it is, each slice paying a
+larger penalty: what such a stretch costs depends on its start by f(i), position(i) and the remainder of that
+alone, so the least over smaller and over larger remainders (two trees of minima) gives the best. The plan is the
+least of all plans of these kinds; the last window may further be split into powers of two.
+
+The corpus is dealt by ranges of doc_id and a hash of the text; each task streams its range through blocks of
+bounded size and carries what follows the last settled window into the next block. Nothing but one batch and one
+block is held in memory. A block's plan is the best up to its end, and TAIL windows before that are planned again
+with what follows; a plan that keeps the cut before them costs at most one window more than the best.
 
 Defined cases: null or empty text is its end token alone; null ids come first; rows with equal ids follow one
-another; a sentence longer than the window is sliced; an empty table gives an empty result.
+another; a sentence longer than the window is sliced; very long texts are packed whole; of equally cheap plans one
+is taken; other columns are not looked at, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +40,8 @@ from .common import ship, table
 WINDOW, END = 1024, 0
 #: Costs in tokens: of any window, of a cut at a sentence end, of a cut inside a sentence.
 PER_WINDOW, SENTENCE, INSIDE = 1.0, 2.0, 12.0
-#: Windows that a stretch between two cut points may span.
-SPAN = 4
-#: Unpadded shorter windows that are looked for: halves, quarters and so on.
-POWERS = 4
+#: Windows at the end of a block that are planned again with the next one.
+TAIL = 8
 #: Tokens of a block, and bytes of Parquet for a task.
 BLOCK, TASK_BYTES = 1 << 20, 24 << 20
 _UNITS = 600_000
@@ -146,41 +148,59 @@ def is_free(n: int) -> bool:
     return n & (n - 1) == 0
 
 
+class _Least:
+    """Least value, and whose it is, over places below a bound; values only fall. A tree of minima by low bits."""
+
+    def __init__(self, places: int):
+        self.places, self.values, self.whose = places, [float("inf")] * (places + 1), [0] * (places + 1)
+
+    def put(self, place: int, value: float, who: int) -> None:
+        values, whose, k, last = self.values, self.whose, place + 1, self.places
+        while k <= last:
+            if values[k] <= value:
+                return  # and so do all that cover it
+            values[k], whose[k] = value, who
+            k += k & -k
+
+    def below(self, place: int) -> tuple[float, int]:
+        values, found, who = self.values, float("inf"), 0
+        while place:
+            if values[place] < found:
+                found, who = values[place], self.whose[place]
+            place -= place & -place
+        return found, who
+
+
 def plan(at: list[int], penalty: list[float], window: int = WINDOW, final: bool = True) -> list[int]:
     """Positions where the windows end, for cut points at positions at[0] = 0 < at[1] < ... with a penalty each.
 
     Unless final, the last windows are left off: what follows may be packed better.
     """
     n = len(at)
-    cost, back, keys = [0.0] * n, [0] * n, [0.0] * n
+    cost, back = [0.0] * n, [0] * n
     place = {0: 0}
-    powers = [window >> k for k in range(1, POWERS + 1)]
-    # queue, the first cut it has not taken in, least and greatest distance, what its stretches cost besides
-    spans = [(deque(), [0], (k - 1) * window + 1, k * window, (k - 1) * (INSIDE + PER_WINDOW) + k * window) for k in range(1, SPAN + 1)]
+    powers = [window >> k for k in range(1, window.bit_length())]
+    queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # cost plus position, position, cut
+    # starts of sliced stretches by the remainder of their position, in both orders
+    up, down = _Least(window), _Least(window)
+    up.put(0, 0.0, 0)
+    down.put(window - 1, 0.0, 0)
+    a_slice = INSIDE + PER_WINDOW
+    a_row = a_slice + window
     for j in range(1, n):
         x = at[j]
-        # always possible: straight from the cut before, in as many windows as it takes
-        k = (x - at[j - 1] + window - 1) // window
-        how = j - 1
-        best = keys[how] + (k - 1) * (INSIDE + PER_WINDOW) + k * window
-        for q, nxt, least, most, extra in spans:
-            i = nxt[0]
-            near = x - least
-            if at[i] <= near:
-                while i < j and at[i] <= near:
-                    v = keys[i]
-                    while q and keys[q[-1]] >= v:
-                        q.pop()
-                    q.append(i)
-                    i += 1
-                nxt[0] = i
-            if q:
-                far = x - most
-                while q and at[q[0]] < far:
-                    q.popleft()
-                if q and keys[q[0]] + extra < best:
-                    how = q[0]
-                    best = keys[how] + extra
+        far = x - window
+        while queue and queue[0][1] < far:
+            queue.popleft()
+        best, how = (queue[0][0] + window, queue[0][2]) if queue else (float("inf"), 0)
+        row, rest = divmod(x, window)
+        base = row * a_row - a_slice
+        value, who = up.below(rest)  # smaller remainders: a window more
+        if value + a_row + base < best:
+            best, how = value + a_row + base, who
+        value, who = down.below(window - rest)
+        if value + base < best:
+            best, how = value + base, who
         best -= x
         for p in powers:
             i = place.get(x - p)
@@ -188,7 +208,13 @@ def plan(at: list[int], penalty: list[float], window: int = WINDOW, final: bool
                 best, how = cost[i], i
         cost[j] = best = best + PER_WINDOW + penalty[j]
         back[j] = how
-        keys[j] = best + x
+        key = best + x
+        while queue and queue[-1][0] >= key:
+            queue.pop()
+        queue.append((key, x, j))
+        key -= row * a_row
+        up.put(rest, key, j)
+        down.put(window - 1 - rest, key, j)
         place[x] = j
     ends: list[int] = []
     j = n - 1
@@ -200,7 +226,7 @@ def plan(at: list[int], penalty: list[float], window: int = WINDOW, final: bool
     ends.reverse()
     if not final:
         settled = set(at)
-        keep = [e for e in ends[: max(0, len(ends) - 2 * SPAN)]]
+        keep = [e for e in ends[: max(0, len(ends) - TAIL)]]
         while keep and keep[-1] not in settled:
             keep.pop()
         return keep
@@ -298,11 +324,11 @@ def task_count(df: DataFrame, task_bytes: int) -> int:
     return min(max(1, round(size / task_bytes)), 1 << 17)
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", task_bytes: int = TASK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     held = docs.select("doc_id", "text")
-    dealt = held.repartitionByRange(task_count(held, task_bytes), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    dealt = held.repartitionByRange(task_count(held, task_bytes), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     return dealt.mapInArrow(_packed(tokenizer, ranks), schema)
 

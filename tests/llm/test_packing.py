@@ -55,6 +55,56 @@ def test_plan_is_no_worse_than_filling_up():
         assert cost(at, pen, ends, 64) <= cost(at, pen, greedy(at, 64), 64) + 1e-9
 
 
+def least_cost(at, pen, window):
+    """Every way from cut to cut: one window, or a stretch sliced at multiples of it."""
+    best = [0.0] + [float("inf")] * (len(at) - 1)
+    for j in range(1, len(at)):
+        for i in range(j):
+            d = at[j] - at[i]
+            k = -(-d // window)
+            last = d - (k - 1) * window
+            # a stretch of several windows is padded to whole ones
+            pad = (0 if P.is_free(last) else window - last) if k == 1 else window - last
+            best[j] = min(best[j], best[i] + (k - 1) * (P.INSIDE + P.PER_WINDOW) + pad + P.PER_WINDOW + pen[j])
+    return best[-1]
+
+
+@pytest.mark.parametrize("window, longest", [(64, 40), (64, 300), (16, 5), (8, 100)])
+def test_plan_is_the_best_there_is(window, longest):
+    r = random.Random(window + longest)
+    for _ in range(300):
+        at, pen = [0], [0.0]
+        for _ in range(r.randrange(1, 40)):
+            at.append(at[-1] + r.randrange(1, longest))
+            pen.append(r.choice([0.0, P.SENTENCE]))
+        pen[-1] = 0.0
+        want = least_cost(at, pen, window)
+        got = cost(at, pen, P.plan(at, pen, window=window), window)
+        assert got <= want + 1e-9  # the last window may be split, too
+
+
+def test_plan_in_blocks_costs_little_more():
+    r = random.Random(9)
+    at, pen = [0], [0.0]
+    for _ in range(6000):
+        at.append(at[-1] + r.randrange(1, 60))
+        pen.append(r.choice([0.0, P.SENTENCE, P.SENTENCE, P.SENTENCE]))
+    whole, ends, start = cost(at, pen, P.plan(at, pen, window=64), 64), [], 0
+    for k in range(600, len(at), 600):
+        part, kinds = at[start : k + 1], pen[start : k + 1]
+        done = P.plan([x - part[0] for x in part], kinds, window=64, final=False)
+        ends += [x + part[0] for x in done]
+        start = at.index(ends[-1])
+    ends += [x + at[start] for x in P.plan([x - at[start] for x in at[start:]], pen[start:], window=64)]
+    assert cost(at, pen, ends, 64) <= 1.002 * whole
+
+
+def test_hot_ids_are_dealt(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, f"some words {i}. And {i} more.", "x") for i in range(400)], "doc_id long, text string, start string")
+    rows = P.pack(df.repartition(4), task_bytes=1 << 9).collect()
+    assert len({r.sequence_id >> 40 for r in rows}) > 2 and sum(r.start == 0 for r in rows) == 400
+
+
 def test_plan_slices_long_sentences():
     ends = P.plan([0, 5000, 5010], [0.0, P.SENTENCE, 0.0], window=1024)
     assert ends[-1] == 5010 and max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= 1024
