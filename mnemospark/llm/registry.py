@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_merkle": merkle.op9_merkle,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         # what SQL can express of operators that it cannot express whole
+        "quality_base": quality_rules.quality_base,
         "lm_base_scores": class_lm.lm_base_scores,
         # the same operators where the tables give them too little to do
         "quoted_conversations": chat_format.quoted_conversations,
@@ -33,6 +34,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": url_filter.OP7_SQL,
         "op9_merkle": merkle.OP9_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
+        "quality_base": quality_rules.BASE_SQL,
         "lm_base_scores": class_lm.BASE_SQL,
         "quoted_conversations": chat_format.QUOTED_SQL,
         "url_filter_interlinked": url_filter.INTERLINKED_SQL,

@@ -1,7 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from mnemospark.llm import quality_classifier as C
@@ -33,6 +35,65 @@ def test_statistics(docs, corpus):
         assert not (r.base_failed and r.kept)
 
 
+def mcd(x, support=Q.SUPPORT):
+    """Minimum covariance determinant of vectors, from the definition: centre and scatter (without floors)."""
+    floors = np.diag(np.square(Q.FLOORS))
+    d2 = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c + floors), x - m)
+    low = lambda v: np.sort(v)[-(-len(v) // 2) - 1]  # noqa: E731  least value that half do not exceed
+    m = np.array([low(c) for c in x.T])
+    spread = np.diag([(1.4826 * low(np.abs(c - k))) ** 2 for c, k in zip(x.T, m, strict=True)])
+    best = None
+    for m, c in ((m, spread), (x.mean(0), np.cov(x.T, bias=True))):
+        for _ in range(40):
+            bins = np.floor(np.log(np.maximum(d2(m, c), 1e-9)) * Q.BINS)
+            last = next(b for b in np.sort(np.unique(bins)) if (bins <= b).sum() >= support * len(x))
+            near = x[bins <= last]
+            m, c = near.mean(0), np.cov(near.T, bias=True) * Q.consistency(support)
+            found = np.log(np.linalg.det(c + floors)), m, c
+            best = found if best is None or found[0] < best[0] - 1e-9 else best
+    return best[1:]
+
+
+def drawn(n, own, wider, prior=Q.PRIOR):
+    a, b = n / (n + prior), prior / (n + prior)
+    apart = own[0] - wider[0]
+    return a * own[0] + b * wider[0], a * own[1] + b * wider[1] + a * b * np.outer(apart, apart)
+
+
+def test_verdict_of_brute_force(spark):
+    r = random.Random(11)
+    rows = []
+    for i in range(900):
+        t = _clean(r).split()
+        kind = r.random()
+        if kind < 0.1:
+            t = [w + "#$"[i % 2] * 2 for w in t]
+        elif kind < 0.2:
+            t = t[:30] * 2 + t
+        elif kind < 0.25:
+            t = ["verylongword" * 4 + w for w in t]
+        rows.append((i, ("\n" if kind > 0.6 else " ").join(t) if i % 50 else "too short", ["en", "de", None][i % 3], ["a", "b", None][i // 300] if i % 7 else f"rare{i % 11}", "x", 1.0, "g"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, level string, x0 double, g string")
+    got = {x.doc_id: x for x in Q.quality_rules(df).collect()}
+    usable = {k: v for k, v in got.items() if not v.base_failed}
+    vec = {k: np.round(np.array([math.log(max(v.word_chars, 1) / v.n_words)] + [math.log1p(100 * c / v.n_words) for c in (v.n_symbols, v.n_dup_lines, v.n_repeat_words)]) * Q.GRID) / Q.GRID for k, v in usable.items()}
+    of = lambda ids: np.array([vec[i] for i in ids])
+    everything = mcd(of(usable))
+    for lang in ("en", "de", None):
+        mine = [i for i in usable if rows[i][2] == lang]
+        language = drawn(len(mine), mcd(of(mine)), everything)
+        for source in {rows[i][3] for i in mine}:
+            own = [i for i in mine if rows[i][3] == source]
+            x = of(own)
+            m, c = drawn(len(own), mcd(x) if len(own) > 1 else (x[0], np.zeros((4, 4))), language)
+            inv = np.linalg.inv(c + np.diag(np.square(Q.FLOORS)))
+            for i, v in zip(own, x, strict=True):
+                want = (v - m) @ inv @ (v - m)
+                assert math.isclose(usable[i].distance2, want, rel_tol=1e-6, abs_tol=1e-9), (i, lang, source)
+                assert usable[i].kept == (want <= Q.CUTOFF)
+    assert 20 < sum(not v.kept for v in usable.values()) < 300
+
+
 def _clean(r):
     return " ".join(f"{'abcdefgh'[r.randrange(8)] * r.randrange(2, 9)}{r.randrange(900)}" for _ in range(r.randrange(60, 120)))
 
