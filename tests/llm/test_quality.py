@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mnemospark.llm import quality_classifier as C
@@ -158,3 +159,50 @@ def test_shrinkage(spark):
     assert 0.2 < apart["h2"] < 0.95 and apart["h0"] > 0.8 and 0.2 > apart["h3"] > apart["h1"]
     alike = rates([(h, 100, 20 + h % 3) for h in range(12)] + [(99, 2, 2)])
     assert abs(alike["h99"] - 0.2) < 0.05  # where sites hardly differ, two rows say next to nothing
+
+
+def test_rates_and_verdicts_of_brute_force(spark, monkeypatch):
+    """Everything behind the evidence, row by row: sums, strengths, shrinkage, what the others leave, verdicts."""
+    r = random.Random(3)
+    rows = [(i, f"t{i}", f"h{i % 5 if i % 3 else 0}" if i % 17 else None, ["a", "b", None][i * 7 % 3], r.choice([-4.0, -1.0, 0.5, 3.0]) + i % 5, r.choice([-3.0, 2.0])) for i in range(300)]
+    evidence = {x[1]: x[4:] for x in rows}
+    model = {"targets": {"low": {"rate": 0.2, "weights": {}}, "toxic": {"rate": 0.1, "weights": {}}}}
+    monkeypatch.setattr(C, "fit", lambda docs, labels: model)
+
+    def fixed(model):
+        def run(batches):
+            for b in batches:
+                e = [evidence[t] for t in b.column("text").to_pylist()]
+                kept = b.drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array([x[0] for x in e]), pa.array([x[1] for x in e])], [*kept.schema.names, "e_low", "e_toxic"])
+        return run
+
+    monkeypatch.setattr(C, "_evidence", fixed)
+    df = spark.createDataFrame([x[:4] for x in rows], "doc_id long, text string, source string, lang string")
+    got = {x.doc_id: x for x in C.classify(df, None).collect()}
+    logit = lambda p: math.log(p / (1 - p))
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+
+    def strength(groups, rate):  # (n, mean, prior)
+        total = sum(n for n, _, _ in groups)
+        within = rate * (1 - rate)
+        between = (sum(n * (m - c) ** 2 for n, m, c in groups) - (len(groups) - 1) * within) / (total - sum(n * n for n, _, _ in groups) / total)
+        return min(max(within / between - 1, 1.0), 1e4) if between > 0 else 1e4
+
+    for k, t in enumerate(C.TARGETS):
+        rate = model["targets"][t]["rate"]
+        soft = {x[0]: sigmoid(x[4 + k] + logit(rate)) for x in rows}
+        hosts, paths = {}, {}
+        for x in rows:
+            hosts.setdefault(x[2], []).append(soft[x[0]])
+            paths.setdefault((x[2], x[3]), []).append(soft[x[0]])
+        j = strength([(len(v), sum(v) / len(v), rate) for v in hosts.values()], rate)
+        prior = {h: (sum(v) + j * rate) / (len(v) + j) for h, v in hosts.items()}
+        s = strength([(len(v), sum(v) / len(v), prior[h]) for (h, _), v in paths.items()], rate)
+        for x in rows:
+            own, h, p = soft[x[0]], hosts[x[2]], paths[x[2], x[3]]
+            left = (sum(h) - own + j * rate) / (len(h) - 1 + j)
+            left = (sum(p) - own + s * left) / (len(p) - 1 + s)
+            assert math.isclose(got[x[0]][f"r_{t}"], left, rel_tol=1e-9), (t, x)
+            assert math.isclose(got[x[0]][f"p_{t}"], sigmoid(x[4 + k] + logit(left)), rel_tol=1e-9)
+    assert all(v.kept == (max(v.p_low, v.p_toxic) <= 0.5) for v in got.values()) and 20 < sum(v.kept for v in got.values()) < 280
