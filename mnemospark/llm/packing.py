@@ -23,6 +23,7 @@ is taken; other columns are not looked at, whatever their names; an empty table
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections import deque
@@ -50,6 +51,21 @@ _RUN = re.compile(r"\s (?:\s|\Z)")
 _SENTENCE_ENDS = (".", "!", "?", "\n")
 
 
+def check_same(name: str, pieces: dict[bytes, int]) -> None:
+    """That ranked pieces are the whole vocabulary of the tokenizer file, each with its id."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name)) as f:
+        held = json.load(f)
+    # byte-level vocabularies write bytes as characters: printable ones as they are, the others from U+0100 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
+    special = {t["content"] for t in held["added_tokens"]}
+    vocabulary = {bytes(map(byte.__getitem__, t)): i for t, i in held["model"]["vocab"].items() if t not in special}
+    if vocabulary != pieces:
+        raise ValueError(f"the ranks are not the vocabulary of {name}")
+
+
 @lru_cache(2)
 def encoder(name: str, ranks: str | None):
     """texts -> lists of ids. ranks: the same vocabulary as ranked pieces, for a library several times as fast."""
@@ -60,6 +76,7 @@ def encoder(name: str, ranks: str | None):
 
         with open(public_tokenizers.path(ranks), "rb") as f:
             pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        check_same(name, pieces)
         found = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens={})
         return lambda texts: list(map(found.encode_ordinary, texts))
     from tokenizers import Tokenizer
@@ -113,35 +130,53 @@ class Units:
         self.ends = np.concatenate([self.ends, np.fromiter((u.endswith(_SENTENCE_ENDS) or "\n" in u for u in new), bool, len(new))])
         new.clear()
 
-    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text its ids with the end token, and the offsets behind its sentences and its end."""
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end token; where each ends; the offsets behind sentences and texts; which of these are texts' ends."""
         if self.count[0] > _UNITS:
             self.clear()
-        found = []
+        found, sizes, tail = [], [], self.whole[""]
         for t in texts:
-            if not t:
-                found.append(None)
-            elif _RUN.search(t):
-                found.append(np.array([self.whole[t]]))
+            if t:
+                if _RUN.search(t):
+                    found.append(np.array([self.whole[t]]))
+                else:
+                    units = t.split(" ")
+                    index = np.fromiter(map(self.tails.__getitem__, units), np.int64, len(units))
+                    index[0] = self.heads[units[0]]
+                    found.append(index)
+                sizes.append(len(found[-1]) + 1)
             else:
-                units = t.split(" ")
-                index = np.fromiter(map(self.tails.__getitem__, units), np.int64, len(units))
-                index[0] = self.heads[units[0]]
-                found.append(index)
+                sizes.append(1)
+            found.append(_NONE + tail)
         if self.new:
             self._learn()
-        out = []
-        for i in found:
-            if i is None:
-                out.append((np.array([END], np.uint32), np.array([1])))
-                continue
-            lens = self.size[i]
-            stop = np.cumsum(lens)
-            ids = self.flat[np.repeat(self.first[i] - (stop - lens), lens) + np.arange(stop[-1])]
-            cuts = stop[self.ends[i]]
-            cuts = cuts[cuts < stop[-1]]
-            out.append((np.append(ids, np.uint32(END)), np.append(cuts[cuts > 0], stop[-1] + 1)))
-        return out
+        i = np.concatenate(found) if found else np.empty(0, np.int64)
+        last = np.cumsum(np.array(sizes, np.int64)) - 1
+        lens = self.size[i]
+        lens[last] = 1
+        stop = np.cumsum(lens)
+        total = int(stop[-1]) if len(stop) else 0
+        at = np.repeat(self.first[i] - (stop - lens), lens) + np.arange(total)
+        text_ends = stop[last]
+        at[text_ends - 1] = 0
+        ids = self.flat[at] if len(self.flat) else np.zeros(total, np.uint32)
+        ids[text_ends - 1] = END
+        ends = self.ends[i]
+        # behind the last sentence follows the end token alone: no cut between them, nor before any token
+        ends[last] = False
+        ends[last[np.array(sizes) > 1] - 1] = False
+        cuts = stop[ends & (lens > 0)]
+        places = np.unique(np.concatenate([cuts, text_ends]))
+        return ids, text_ends, places, np.isin(places, text_ends, assume_unique=True)
+
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text its ids with the end token, and the offsets behind its sentences and its end."""
+        ids, ends, places, _ = self.encode_all(texts)
+        starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        return [(ids[a:b], places[(places > a) & (places <= b)] - a) for a, b in zip(starts, ends, strict=True)]
+
+
+_NONE = np.zeros(1, np.int64)
 
 
 def is_free(n: int) -> bool:
@@ -253,6 +288,16 @@ class _Packer:
         self.cuts += (cuts + at).tolist()
         self.kinds += [SENTENCE] * (len(cuts) - 1) + [0.0]
 
+    def add_all(self, held: list[np.ndarray], docs: list, ids: np.ndarray, ends: np.ndarray, places: np.ndarray, of_texts: np.ndarray, at: int) -> None:
+        """Put documents behind the others; at: where the first begins in the block."""
+        held.append(ids)
+        start = 0
+        for doc, end in zip(docs, ends.tolist(), strict=True):
+            self.docs.append((doc, at + start, 0, end - start, end - start))
+            start = end
+        self.cuts += (places + at).tolist()
+        self.kinds += np.where(of_texts, 0.0, SENTENCE).tolist()
+
     def pack(self, final: bool) -> None:
         """Emit the settled windows; what follows them stays as the start of the next block."""
         ends = plan(self.cuts, self.kinds, final=final)
@@ -300,14 +345,14 @@ def _packed(name: str, ranks: str | None):
         for batch in batches:
             docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a in range(0, len(docs), 256):
-                for doc, (ids, cuts) in zip(docs[a : a + 256], units.encode(texts[a : a + 256]), strict=True):
-                    packer.add(held, doc, ids, cuts, len(packer.ids) + size)
-                    size += len(ids)
-                    if size >= BLOCK:
-                        packer.ids = np.concatenate([packer.ids, *held])
-                        held, size = [], 0
-                        packer.pack(False)
-                        yield packer.take()
+                ids, ends, places, of_texts = units.encode_all(texts[a : a + 256])
+                packer.add_all(held, docs[a : a + 256], ids, ends, places, of_texts, len(packer.ids) + size)
+                size += len(ids)
+                if size >= BLOCK:
+                    packer.ids = np.concatenate([packer.ids, *held])
+                    held, size = [], 0
+                    packer.pack(False)
+                    yield packer.take()
         packer.ids = np.concatenate([packer.ids, *held])
         if len(packer.ids):
             packer.pack(True)
@@ -324,7 +369,7 @@ def task_count(df: DataFrame, task_bytes: int) -> int:
     return min(max(1, round(size / task_bytes)), 1 << 17)
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken", task_bytes: int = TASK_BYTES) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     held = docs.select("doc_id", "text")
