@@ -8,8 +8,9 @@ joined to its ancestors and takes the nearest. Everything is DataFrame functions
 constant of a few thousand rows.
 
 No text is left out, but most of it is done with at once: a candidate with a cosine of LEAST shares terms with a
-template whose weights alone have that norm (Cauchy and Schwarz), so it holds one of the template's heaviest
-terms, those without which the rest falls short. Files, then candidates without such a term cannot match.
+template whose weights alone have that norm (Cauchy and Schwarz). So the commonest terms of each template whose
+weights fall short of it together do not make a match, and a match holds one of the others, the rarer ones.
+Files, then candidates without such a term cannot match.
 
 Defined cases: null text has no licence; null paths have no directory and inherit nothing; null or repeated ids do
 not matter, rows are told apart by id, path and text; ties go to the alphabetically first licence; of several
@@ -51,16 +52,15 @@ def template_vectors(files: DataFrame, found=TEMPLATES, least: float = LEAST) ->
     norms = weights.groupBy("no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     unit = materialize(weights.join(norms, "no").select("no", "licence", "term", (F.col("w") / F.col("norm")).alias("u")), "licence-unit")
     needed: set[str] = set()
-    per: dict[int, list[tuple[float, str]]] = {}
-    for r in unit.collect():
-        per.setdefault(r["no"], []).append((r["u"], r["term"]))
+    per: dict[int, list[tuple[float, float, str]]] = {}
+    for r in unit.join(idf, "term").collect():
+        per.setdefault(r["no"], []).append((r["idf"], r["u"], r["term"]))
     for weighed in per.values():
-        rest = 1.0
-        for u, term in sorted(weighed, reverse=True):
-            if rest < least**2 - 1e-5:  # scores are rounded to six places
-                break
-            needed.add(term)
-            rest -= u * u
+        rest = 0.0
+        for _, u, term in sorted(weighed):
+            rest += u * u
+            if rest >= least**2 - 1e-5:  # scores are rounded to six places
+                needed.add(term)
     rare = float(idf.sparkSession.range(1).select(F.log(F.lit(float(n + 1))) + 1).first()[0])
     return unit, idf, rare, sorted(needed)
 
@@ -138,9 +138,12 @@ size AS (SELECT count(*) AS n FROM f),
 df AS (SELECT term, count(DISTINCT r) AS df FROM (SELECT r, unnest({_TERMS("coalesce(text, '')")}) AS term FROM f) WHERE term IN (SELECT term FROM tt) GROUP BY 1),
 idf AS MATERIALIZED (SELECT DISTINCT tt.term, ln((n + 1e0) / (coalesce(df, 0) + 1)) + 1 AS idf FROM tt LEFT JOIN df USING (term), size),
 w AS MATERIALIZED (SELECT no, licence, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY no)) AS u FROM tt JOIN idf USING (term)),
-line AS MATERIALIZED (SELECT DISTINCT r, line FROM (SELECT r, unnest(string_split_regex(text, '?
-')) AS line FROM f UNION ALL SELECT r, unnest(string_split_regex(text, '?
-[ 	]*?
+line AS MATERIALIZED (SELECT DISTINCT r, line FROM (SELECT r, unnest(string_split_regex(text, '
+?
+')) AS line FROM f UNION ALL SELECT r, unnest(string_split_regex(text, '
+?
+[ 	]*
+?
 ')) FROM f UNION ALL SELECT r, text FROM f WHERE whole) WHERE line IS NOT NULL),
 lt AS MATERIALIZED (SELECT line, term, count(*) AS tf FROM (SELECT line, unnest({_TERMS('line')}) AS term FROM (SELECT DISTINCT line FROM line)) GROUP BY ALL),
 lw AS MATERIALIZED (SELECT line, term, tf * coalesce(idf, (SELECT ln(n + 1e0) + 1 FROM size)) AS w FROM lt LEFT JOIN idf USING (term)),
