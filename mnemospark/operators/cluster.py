@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import jaccard
+from mnemospark.sources.scratch import written
 
 
 def pairs(mem: DataFrame, mentions: DataFrame, least: float = 0.4, max_group: int = 30) -> DataFrame:
@@ -23,13 +22,8 @@ def pairs(mem: DataFrame, mentions: DataFrame, least: float = 0.4, max_group: in
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder, where the session names one."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.cache()
-    path = f"{folder}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut lineage in the shared folder."""
+    return written(df, "step")
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:

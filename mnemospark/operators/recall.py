@@ -44,6 +44,46 @@ def related_hits(entities: DataFrame, mentions: DataFrame, edges: DataFrame, mem
     return mentions.select("hash", "entity_key").join(near, "entity_key", "left_semi").join(mem.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"))
 
 
+def pruned(df: DataFrame, column: str, keys: DataFrame, most: int = 1000) -> DataFrame:
+    """Rows of df whose column is among keys(one column): up to `most` keys as a filter that the scan can use, else by a join."""
+    found = [r[0] for r in keys.limit(most + 1).collect()]
+    if len(found) <= most:
+        return df.where(F.col(column).isin(found)) if found else df.where(F.lit(False))
+    return df.join(keys.toDF(column).distinct(), column, "left_semi")
+
+
+class Index:
+    """What a query looks up, stored in order of what it is looked up by.
+
+    words(token, hash, via_alias, live); names(token, entity_key, name_lc, exact): an entity's name and its tokens;
+    mentions(entity_key, hash, live); near(a, b, name_lc, weight): relations both ways, with the neighbour's name.
+    """
+
+    def __init__(self, words: DataFrame, names: DataFrame, mentions: DataFrame, near: DataFrame):
+        self.words, self.names, self.mentions, self.near = words, names, mentions, near
+
+    def keyword_hits(self, tokens: list[str]) -> DataFrame:
+        held = self.words.where(F.col("token").isin(list(dict.fromkeys(tokens))) & F.col("live")).groupBy("hash")
+        held = held.agg(F.collect_set("token").alias("own"), F.collect_set(F.when(F.col("via_alias"), F.col("token"))).alias("alias"))
+        return held.select("hash", F.filter(_tokens(tokens), lambda t: F.array_contains("own", t)).alias("matched"), F.array_intersect(_tokens(tokens), "alias").alias("via_alias"))
+
+    def matching(self, tokens: list[str]) -> DataFrame:
+        held = self.names.where(F.col("token").isin(list(dict.fromkeys(tokens)))).groupBy("entity_key", "name_lc")
+        held = held.agg(F.max("exact").alias("is_exact"), F.collect_set(F.when(~F.col("exact") & (F.col("token") != F.col("name_lc")), F.col("token"))).alias("parts"))
+        return held.where(F.col("is_exact") | (F.size("parts") > 0))
+
+    def entity_hits(self, tokens: list[str]) -> DataFrame:
+        seeds = self.matching(tokens)
+        held = pruned(self.mentions.where("live"), "entity_key", seeds.select("entity_key")).join(seeds, "entity_key")
+        return held.groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"), F.sort_array(F.collect_set(F.when(F.col("is_exact"), F.col("name_lc")))).alias("exact"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("partial"))
+
+    def related_hits(self, tokens: list[str], least: int = 2) -> DataFrame:
+        near = pruned(self.near, "a", self.matching(tokens).select("entity_key")).where((F.col("weight") >= max(least, 1)) & ~F.col("name_lc").isin(tokens))
+        found = pruned(self.mentions.where("live"), "entity_key", near.select(F.col("b").alias("entity_key")).distinct())
+        return found.groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"))
+
+
 def document_frequency(q1: DataFrame) -> DataFrame:
     return q1.select(F.explode("matched").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 

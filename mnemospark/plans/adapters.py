@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mnemospark.functions import text as X
-from mnemospark.operators.graph import cooccurrence
+from mnemospark.operators.graph import both_ways, cooccurrence
+from mnemospark.operators.recall import Index
+from mnemospark.sources.scratch import written
 
 BASE, HOUR = 1_700_000_000, 3600
 NOW = BASE + 1000 * HOUR
@@ -58,8 +59,11 @@ def related(ment: DataFrame) -> DataFrame:
     return cooccurrence(ment.select(F.col("hash").alias("item"), F.col("entity_key").alias("key")))
 
 
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Model:
-    """The tables of the model over one data folder, derived lazily."""
+    """The tables of the model over one data folder: derived once per application, as a save would, and stored."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -67,10 +71,15 @@ class Model:
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
+    def stored(self, name: str, build, *order: str) -> DataFrame:
+        key = self.spark.sparkContext.applicationId, self.dir, name
+        if key not in _stored:
+            _stored[key] = written(build(), name, order)
+        return _stored[key]
+
     @property
     def memory(self) -> DataFrame:
-        """Derived once per session and kept, as the stored table it stands for would be; it spills to disk."""
-        return memories(self.spark, self.dir).persist(StorageLevel.MEMORY_AND_DISK)
+        return self.stored("memory", lambda: memories(self.spark, self.dir))
 
     @property
     def live(self) -> DataFrame:
@@ -78,15 +87,34 @@ class Model:
 
     @property
     def mentions(self) -> DataFrame:
-        return mentions(self.memory)
+        return self.stored("mentions", lambda: mentions(self.memory), "entity_key")
 
     @property
     def entity(self) -> DataFrame:
-        return entities(self.mentions)
+        return self.stored("entity", lambda: entities(self.mentions), "name_lc")
 
     @property
     def related(self) -> DataFrame:
-        return related(self.mentions)
+        return self.stored("related", lambda: related(self.mentions), "k1")
+
+    @property
+    def corpus(self) -> DataFrame:
+        """The number of live memories, kept with the index."""
+        return self.stored("corpus", lambda: self.live.agg(F.count("*").alias("n")))
+
+    @property
+    def index(self) -> Index:
+        alive = (~F.coalesce("superseded", F.lit(False)) & ~F.coalesce("archived", F.lit(False))).alias("live")
+        word = lambda: self.memory.select("hash", "alias_only", alive, F.explode("keywords").alias("token")).select("token", "hash", F.array_contains("alias_only", F.col("token")).alias("via_alias"), "live")
+        own = F.array_union(F.array(F.struct(F.col("name_lc").alias("token"), F.lit(True).alias("exact"))), F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(False).alias("exact"))))
+        name = lambda: self.entity.select("entity_key", "name_lc", F.explode(own).alias("n")).select("n.token", "entity_key", "name_lc", "n.exact")
+        mention = lambda: self.mentions.select("entity_key", "hash").join(self.memory.select("hash", alive), "hash").select("entity_key", "hash", "live")
+        near = lambda: both_ways(self.related).join(self.entity.select(F.col("entity_key").alias("b"), "name_lc"), "b").select("a", "b", "name_lc", "weight")
+        return Index(self.stored("words", word, "token"), self.stored("names", name, "token"), self.stored("mentioned", mention, "entity_key"), self.stored("near", near, "a"))
+
+    def warm(self) -> None:
+        """Derive and store what queries look up; a deployment does this as it saves."""
+        self.index, self.corpus  # noqa: B018
 
     @property
     def basket(self) -> DataFrame:

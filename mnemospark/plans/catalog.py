@@ -29,17 +29,12 @@ def short(c: str):
 
 
 class Recall:
-    """The parts of one recall over a model: memories, entities and relations are derived once per query."""
+    """The parts of one recall, looked up in the stored index."""
 
     def __init__(self, m: Model, tokens: list[str] = TOKENS):
-        mem = m.memory
-        self.mem, self.live = mem, live(mem)
-        ment = adapters.mentions(mem)
-        ents = adapters.entities(ment)
-        self.q1 = recall.keyword_hits(self.live, tokens)
-        self.q2 = recall.entity_hits(ents, ment, self.live, tokens)
-        self.q3 = recall.related_hits(ents, ment, adapters.related(ment), self.live, tokens)
-        self.corpus = self.live.agg(F.count("*").alias("n"))
+        # titles and counters only: the scan leaves contents out unless a query prints them
+        self.mem, self.live, self.corpus = m.memory, m.live, m.corpus
+        self.q1, self.q2, self.q3 = m.index.keyword_hits(tokens), m.index.entity_hits(tokens), m.index.related_hits(tokens)
 
     def scored(self, **options) -> DataFrame:
         return recall.merge_and_score(self.mem, self.q1, self.q2, self.q3, corpus=self.corpus, now=NOW, **options)
@@ -73,7 +68,7 @@ def _archive(m: Model) -> DataFrame:
 
 def _clusters(m: Model) -> tuple[DataFrame, DataFrame]:
     mem = m.memory
-    return mem, cluster.components(cluster.pairs(mem, adapters.mentions(mem), 0.25))
+    return mem, cluster.components(cluster.pairs(mem, m.mentions, 0.25))
 
 
 def _members(m: Model, most: int | None = None) -> DataFrame:
@@ -148,13 +143,11 @@ def _reindex(m: Model) -> DataFrame:
 def _stats(m: Model) -> DataFrame:
     mem = m.memory
     none = mem.select("project_key").limit(0)
-    return graph.project_stats(mem, adapters.entities(adapters.mentions(mem)), none)
+    return graph.project_stats(mem, m.entity, none)
 
 
 def _entity(m: Model):
-    mem = m.memory
-    ment = adapters.mentions(mem)
-    return mem, ment, adapters.entities(ment)
+    return m.memory, m.mentions, m.entity
 
 
 def _basket_edges(m: Model) -> DataFrame:
@@ -163,7 +156,7 @@ def _basket_edges(m: Model) -> DataFrame:
 
 def _histogram(m: Model) -> DataFrame:
     mem, ment, ents = _entity(m)
-    return graph.histogram(Memory=mem, Entity=ents, MENTIONS=ment, RELATED=adapters.related(ment))
+    return graph.histogram(Memory=mem, Entity=ents, MENTIONS=ment, RELATED=m.related)
 
 
 def _extraction(m: Model) -> DataFrame:
@@ -196,9 +189,9 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "alias_only_tokens": lambda m: m.memory.select("id", joined("alias_only")),
     "live_memory": lambda m: m.live.select("id", "title", "kind", "project_key"),
     "corpus_count": lambda m: m.live.agg(F.count("*").alias("n")),
-    "keyword_hits": lambda m: recall.keyword_hits(m.live, TOKENS).select(short("hash").alias("id"), joined("matched")),
-    "document_frequency": lambda m: recall.document_frequency(recall.keyword_hits(m.live, TOKENS)),
-    "idf_table": lambda m: recall.document_frequency(recall.keyword_hits(m.live, TOKENS)).crossJoin(F.broadcast(m.live.agg(F.count("*").alias("n")))).select("term", F.round(X.idf(F.col("n").cast("double"), F.col("df").cast("double")), 6).alias("idf")),
+    "keyword_hits": lambda m: m.index.keyword_hits(TOKENS).select(short("hash").alias("id"), joined("matched")),
+    "document_frequency": lambda m: recall.document_frequency(m.index.keyword_hits(TOKENS)),
+    "idf_table": lambda m: recall.document_frequency(m.index.keyword_hits(TOKENS)).crossJoin(F.broadcast(m.corpus)).select("term", F.round(X.idf(F.col("n").cast("double"), F.col("df").cast("double")), 6).alias("idf")),
     "entity_hits_exact_partial": lambda m: Recall(m).q2.select(short("hash").alias("id"), "hits", joined("exact"), joined("partial")),
     "related_hits": lambda m: Recall(m).q3.select(short("hash").alias("id"), "hits"),
     "keyword_search_topk": lambda m: top(Recall(m).scored(), 10),
@@ -214,7 +207,7 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "summary_lines": lambda m: recall.summary_lines(Recall(m).scored(), 6, 20),
     "entity_list_mentions": lambda m: (lambda mem, ment, ents: graph.entity_list(ents, ment, 50))(*_entity(m)),
     "entity_detail_nodes": lambda m: (lambda mem, ment, ents: graph.entity_nodes(ents, ment, ENTITY))(*_entity(m)),
-    "entity_relations": lambda m: (lambda mem, ment, ents: graph.entity_relations(ents, adapters.related(ment), ENTITY))(*_entity(m)),
+    "entity_relations": lambda m: (lambda mem, ment, ents: graph.entity_relations(ents, m.related, ENTITY))(*_entity(m)),
     "entity_memories": lambda m: (lambda mem, ment, ents: graph.entity_memories(ents, ment, mem, ENTITY))(*_entity(m)),
     "entity_names_recent": lambda m: graph.recent_names(m.entity, 20, PROJECT),
     "project_stats": _stats,
@@ -231,8 +224,8 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "injected_counters": _shown_counts,
     "archive_candidates": _archive,
     "reindex_plan": _reindex,
-    "near_duplicate_pairs": lambda m: (lambda mem: cluster.pairs(mem, adapters.mentions(mem), 0.25).select(short("a").alias("a"), short("b").alias("b"), F.round("jaccard", 6).alias("jaccard")))(m.memory),
-    "near_duplicate_clusters": lambda m: (lambda mem: cluster.clusters(mem, adapters.mentions(mem), 0.25).select(short("label").alias("label"), short("hash").alias("id"), "size"))(m.memory),
+    "near_duplicate_pairs": lambda m: (lambda mem: cluster.pairs(mem, m.mentions, 0.25).select(short("a").alias("a"), short("b").alias("b"), F.round("jaccard", 6).alias("jaccard")))(m.memory),
+    "near_duplicate_clusters": lambda m: (lambda mem: cluster.clusters(mem, m.mentions, 0.25).select(short("label").alias("label"), short("hash").alias("id"), "size"))(m.memory),
     "majority_project": _majority,
     "canonical_union": lambda m: cluster.united(_members(m, 8), "aliases").select(short("label").alias("label"), F.array_join("values", " ").alias("aliases")),
     "repo_key_plan": _repo_keys,
