@@ -7,17 +7,28 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Default filler words, fixed values: English function words and chat filler. Callers with other languages or
-#: a longer list pass their own to `tokenize`.
+#: Default filler words, fixed values: English function words, then chat filler and generic words of development that
+#: say nothing about a topic. Lists for other languages are a parameter: see `load_stopwords` and `tokenize`.
 STOPWORDS = tuple("""
 a an the and or but nor so yet if then else when while where which who whom whose what why how that this these
 those there here i me my mine we us our ours you your yours he him his she her hers it its they them their theirs
 am is are was were be been being do does did doing done have has had having will would shall should can could may
 might must of in on at by for with about against between into through during before after above below to from up
 down out off over under again further once as than too very not no only own same such both each few more most
-other some any all also because until via per etc please help want need make just like thing get know see
+other some any all also because until via per etc
+please help want need make just like thing things stuff way let lets get got know think see look sure okay ok yes
+yeah thanks thank now new one two still well good right really actually basically maybe something anything
+everything work works working use using used fix add change update run running code file files error issue problem
+question hey hi hello
 """.split())
 
+
+def load_stopwords(spark, path: str) -> tuple[str, ...]:
+    """The default filler words and those of a file, one or more to a line, in any store that Spark reads."""
+    found = spark.read.text(path).select(F.explode(F.split(F.lower("value"), r"\s+")).alias("w")).where("w <> ''").distinct()
+    return STOPWORDS + tuple(sorted(r["w"] for r in found.collect() if r["w"] not in STOPWORDS))
+
+
 #: Unicode white space as a class that Java and RE2 read alike.
 SPACE = r"[\s\pZ\x0b\x85]"
 
@@ -87,6 +98,70 @@ def clip_chars(s: Column, n: int) -> Column:
     return F.when(F.octet_length(s) <= n, s).otherwise(F.decode(F.substring(raw, F.lit(1), F.coalesce(F.get(fits, F.lit(0)), F.lit(0))), "UTF-8"))
 
 
+#: Bytes that a turn's text keeps, and a report's.
+MESSAGE_BYTES, REPORT_BYTES = 6000, 8000
+
+
+def clip_middle(s: Column, n: int) -> Column:
+    """Over n bytes, two thirds of them from the start and the rest from the end, at character boundaries."""
+    raw = F.encode(s, "UTF-8")
+    head = clip_chars(s, n * 2 // 3)
+    start = F.octet_length(s) - (n - F.octet_length(head))
+    # the first byte from there on that does not continue a character
+    here = F.get(F.filter(F.sequence(start, start + 3), lambda k: ~F.coalesce(F.hex(F.substring(raw, k + 1, F.lit(1))).between("80", "BF"), F.lit(False))), F.lit(0))
+    return F.when(F.octet_length(s) <= n, s).otherwise(F.concat(head, F.lit("\n…\n"), F.decode(F.substring(raw, here + 1, F.octet_length(s)), "UTF-8")))
+
+
+def clip_message(s: Column) -> Column:
+    report = s.startswith("<task-notification>") | s.startswith("Subagent report: ")
+    return F.when(report, clip_middle(s, REPORT_BYTES)).otherwise(clip_middle(s, MESSAGE_BYTES))
+
+
+def squashed(s: Column) -> Column:
+    return trimmed(F.regexp_replace(s, rf"{SPACE}+", " "))
+
+
+def same_reply(a: Column, b: Column, n: int = 200) -> Column:
+    """Whether two replies begin alike, whatever their white space; nothing to look for is always there."""
+    return (squashed(b) == "") | (clip_chars(squashed(a), n) == clip_chars(squashed(b), n))
+
+
+def escape_control(s: Column) -> Column:
+    """Control characters as \\uXXXX, for text formats that cannot hold them."""
+    one = lambda c: F.when(c.rlike(r"[\x00-\x1f\x7f]"), F.concat(F.lit("\\u"), F.lpad(F.upper(F.hex(F.ascii(c))), 4, "0"))).otherwise(c)
+    return F.when(s.rlike(r"[\x00-\x1f\x7f]"), F.array_join(F.transform(F.split(s, ""), one), "")).otherwise(s)
+
+
+def human_bytes(n: Column) -> Column:
+    return F.when(n >= 1 << 20, F.format_string("%.1fMB", n / (1 << 20))).when(n >= 1 << 10, F.format_string("%.0fKB", n / (1 << 10))).otherwise(F.format_string("%dB", n))
+
+
+_IDENTIFIER = "[-_/.]+"
+
+
+def normal_term(t: Column) -> Column:
+    return F.lower(squashed(t))
+
+
+def respellings(t: Column) -> Column:
+    """A term in the other style: spaced for an identifier, with hyphens and underscores for a phrase."""
+    spaced = F.array(trimmed(F.regexp_replace(t, _IDENTIFIER, " ")))
+    return F.when(t.rlike("[-_/.]"), spaced).when(t.contains(" "), F.array(F.replace(t, F.lit(" "), F.lit("-")), F.replace(t, F.lit(" "), F.lit("_")))).otherwise(F.array().cast("array<string>"))
+
+
+def usable_term(t: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
+    """Two bytes or more, no structural or control characters, and not of filler words alone."""
+    words = F.filter(F.split(t, rf"{SPACE}+"), lambda w: w != "")
+    return (F.octet_length(t) >= 2) & ~t.rlike(r"[\x00-\x1f\x7f-\x9f{}`\"'\\]") & (F.size(F.array_except(words, F.array(*(F.lit(w) for w in stopwords)))) > 0)
+
+
+def expansion_terms(terms: Column, prompt: Column, known: Column, stopwords: Iterable[str] = STOPWORDS) -> Column:
+    """Usable terms that the prompt's tokens lack, in order, once each; other spellings only if they are known names."""
+    spelt = lambda t: F.concat(F.array(t), F.filter(respellings(t), lambda x: F.array_contains(known, x)))
+    every = F.flatten(F.transform(F.transform(terms, normal_term), spelt))
+    return F.array_except(F.array_distinct(F.filter(every, lambda t: usable_term(t, stopwords))), prompt)
+
+
 def idf(n: Column, df: Column) -> Column:
     d = F.greatest(df, F.lit(1))
     return F.log(1 + (n - d + 0.5) / (d + 0.5))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
-from mnemospark.operators import cluster, evaluate, extraction, graph, recall, sessions, write
+from mnemospark.operators import browse, cluster, evaluate, extraction, graph, recall, sessions, write
+from mnemospark.sources import transcripts
 from mnemospark.streaming import state
 
-from . import adapters
 from .adapters import NOW, Model, live
 from .settings import BATCH, CASES, ENTITY, MIN_MATCH, PROJECT, TOKENS
 
@@ -117,16 +116,18 @@ def _behind(m: Model) -> DataFrame:
 
 
 def _evaluation(m: Model) -> DataFrame:
+    """Cases expect the first letters, in capitals, of titles of memories with their first word."""
     results, expected = [], []
     for i, case in enumerate(CASES):
         r = Recall(m, case)
-        best = recall.ranked(r.scored(), 10).select("id", "score")
-        results.append(best.select(F.lit(i).alias("case_id"), F.col("id").alias("item"), F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("pos")))
-        expected.append(r.live.where(F.array_contains("keywords", case[0]) & (F.col("seq") % 4 == 0)).select(F.lit(i).alias("case_id"), F.col("id").alias("item")))
+        best = recall.ranked(r.scored(), 10).select("id", "title", "score")
+        results.append(best.select(F.lit(i).alias("case_id"), "title", F.row_number().over(W.orderBy(F.desc("score"), "id")).alias("pos")))
+        held = r.live.where(F.array_contains("keywords", case[0]) & (F.col("seq") % 4 == 0))
+        expected.append(held.select(F.lit(i).alias("case_id"), F.upper(F.left("title", F.lit(6))).alias("item")).distinct())
     union = lambda xs: xs[0].union(xs[1]).union(xs[2])
     s = evaluate.scored_cases(union(expected), union(results))
-    s = s.withColumns({"mode": F.when(F.col("case_id") % 2 == 0, "hook").otherwise("search"), "chars": F.lit(0), "ms": F.lit(0)})
-    return evaluate.summary(s).select("mode", "n", "hit_rate", "mrr", "recall")
+    s = s.withColumns({"mode": F.when(F.col("case_id") % 2 == 0, "hook").otherwise("search"), "chars": F.col("case_id") * 100, "ms": F.col("case_id") * 37 % 50})
+    return evaluate.summary(s)
 
 
 def _context(m: Model) -> DataFrame:
@@ -171,14 +172,74 @@ def _extraction(m: Model) -> DataFrame:
 
 
 def _stream_gate(m: Model) -> DataFrame:
-    """The last state of each session after the stream has run over all events."""
-    out = state.drained(state.gate(state.event_stream(m.spark, m.dir)), f"gate_{uuid.uuid4().hex}", "update")
-    # both counts only grow, so the greatest state is the last
-    return out.groupBy("session").agg(F.max(F.struct("prompts", "searched", "fired")).alias("s")).select("session", "s.*")
+    """What the gate has counted when the stream has run over all events."""
+    turns = state.drained(state.gate(state.event_stream(m.spark, m.dir)), "update")
+    # a turn's marks are only ever set, so the greatest state is the last
+    last = turns.groupBy("session", "ref", "at").agg(F.max("searched").alias("searched"), F.max("fired").alias("fired"))
+    return sessions.gate_stats(last, "session")
 
 
 def _stream_debounce(m: Model) -> DataFrame:
-    return state.drained(state.debounce(state.event_stream(m.spark, m.dir)), f"debounce_{uuid.uuid4().hex}", "append")
+    out = state.bursts(m.spark, m.dir)
+    return out.select("session", F.unix_micros("started").alias("started"), F.unix_micros("fires").alias("fires"), "n")
+
+
+def _learned(m: Model) -> DataFrame:
+    """Searches ask for a benchmark text; what they find is the memory of that number."""
+    mem = m.memory.select(F.col("seq").alias("_seq"), "title", "content")
+    asked = m.table("benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("query"))
+    shown = sessions.shown_log(m.events).join(F.broadcast(mem.where("_seq < 100")), F.col("ref") == F.col("_seq")).join(F.broadcast(asked), F.col("ref") % 40 == F.col("_item"))
+    return sessions.learned_terms(shown, _verdicts(m)).select("session", "ref", joined("terms"))
+
+
+def _drained(m: Model) -> DataFrame:
+    e = m.events.where("event_type in ('purchase', 'error', 'signup')")
+    at = F.floor(F.col("us") / 1_000_000)
+    now = 1_704_067_200 + 10 * 86400
+    reports = e.select("session", at.alias("at"), F.col("event_id").alias("seq"), (F.col("event_id") % 5 == 0).alias("reported"), (F.col("event_id") % 900).alias("ms"),
+        F.when(F.col("event_type") == "error", F.concat(F.lit("e"), F.col("ref").cast("string"))).otherwise("").alias("error"),
+        F.when(F.col("event_type") == "signup", F.when(F.col("ref") % 2 == 0, "deferred: short").otherwise("no turns")).otherwise("").alias("skipped"),
+        F.when(F.col("event_type") == "purchase", F.col("ref") % 4).otherwise(0).alias("n"), F.when(F.col("event_type") == "purchase", F.col("ref") % 2).otherwise(0).alias("n_new"))
+    return sessions.drained(reports, now, ttl=10 * 86400)
+
+
+def _jsonl(m: Model) -> DataFrame:
+    """Conversations written as transcript lines, with wrappers, side chains and block contents, and read as turns."""
+    c, i = m.table("conversations"), F.col("turn")
+    blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("text")), F.struct(F.lit("thinking").alias("type"), F.lit("hm").alias("text"))))
+    message = F.struct("role", F.when((F.col("conv_id") + i) % 3 == 0, blocks).otherwise(F.col("text")).alias("content"))
+    line = F.to_json(F.struct(F.col("role").alias("type"), F.col("conv_id").cast("string").alias("sessionId"), ((F.col("conv_id") + i) % 5 == 0).alias("isSidechain"), message.alias("message")))
+    lines = c.select(F.col("conv_id").cast("string").alias("file"), i.cast("int").alias("line"), line.alias("value"))
+    return transcripts.turns(lines).select(F.col("file").cast("long").alias("session"), "line", "role", F.octet_length("text").cast("long").alias("bytes"))
+
+
+def _expanded(m: Model) -> DataFrame:
+    """Terms as a model might send them: names in other spellings, filler, repeats, the prompt's own words."""
+    b = m.table("benchmark")
+    w = F.split("text", " ")
+    terms = F.array(F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(1))), F.concat(F.get(w, F.lit(2)), F.lit("-"), F.get(w, F.lit(3))), F.upper(F.get(w, F.lit(4))), F.lit("the of"), F.lit("a{b"), F.lit("x"), F.get(w, F.lit(4)), F.get(w, F.lit(5)))
+    known = F.array(F.lower(F.concat_ws("_", F.get(w, F.lit(0)), F.get(w, F.lit(1)))), F.lower(F.concat_ws(" ", F.get(w, F.lit(2)), F.get(w, F.lit(3)))))
+    prompt = F.array(F.lower(F.get(w, F.lit(5))))
+    return b.select("item_id", F.array_join(X.expansion_terms(terms, prompt, known), "|").alias("terms"))
+
+
+def _entities_of(m: Model) -> DataFrame:
+    return browse.with_entities(m.live, m.mentions).select("id", F.array_join("entities", "|").alias("entities"))
+
+
+def _foreign_home(m: Model) -> DataFrame:
+    c = m.table("customer")
+    return browse.foreign_home(c.select(F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("home")))
+
+
+def _cursor(m: Model) -> DataFrame:
+    t = m.turns
+    cursors = t.groupBy("session").agg(F.when(F.col("session") % 3 == 0, 99).when(F.col("session") % 3 == 1, 2).alias("cursor"))
+    return sessions.from_cursor(t, cursors).select("session", "line")
+
+
+def _projects(m: Model) -> DataFrame:
+    return browse.busiest(m.memory.groupBy(F.col("project_key").alias("project")).agg(F.count("*").alias("memories")), PROJECT, 10)
 
 
 PLANS: dict[str, Callable[[Model], DataFrame]] = {
@@ -245,6 +306,21 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "cooldown_table": lambda m: m.spark.range(12).select(F.col("id").alias("failures"), sessions.cooldown_minutes(F.col("id")).alias("minutes")),
     "eval_summary": _evaluation,
     "extraction_validate": _extraction,
+    "memory_targets": lambda m: browse.targets(m.live, "the", limit=20).select("id", "title", "kind", "pinned"),
+    "pin_targets": lambda m: browse.targets(m.live, "an", browse.STANDING).select("id", "title", "kind", "pinned"),
+    "pinned_listing": lambda m: browse.pinned_first(m.live, PROJECT).select("id", "title", "project_key", "seen_count"),
+    "pending_aliases": lambda m: browse.pending_aliases(m.memory.withColumn("aliases", F.when(F.col("seq") % 3 > 0, F.col("aliases"))), "src1").select("id"),
+    "memory_entities": _entities_of,
+    "busiest_projects": _projects,
+    "skipped_footer": lambda m: browse.skipped_footer(recall.here_set(m.live, PROJECT, "src7")),
+    "expansion_terms": _expanded,
+    "learned_terms": _learned,
+    "drained_reports": _drained,
+    "transcript_jsonl": _jsonl,
+    "cursor_turns": _cursor,
+    "foreign_home": _foreign_home,
+    "message_clips": lambda m: m.table("documents").select("doc_id", F.md5(X.clip_message(F.col("text"))).alias("clip"), X.human_bytes(F.octet_length("text")).alias("size")),
+    "gate_stats_day": lambda m: sessions.gate_stats(sessions.gate_turns(sessions.gate_calls(m.events)), since=1_704_067_200_000_000 + 5 * sessions.DAY_US),
     "stream_gate": _stream_gate,
     "stream_debounce": _stream_debounce,
 }

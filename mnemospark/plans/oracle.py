@@ -108,6 +108,13 @@ reach(node, other) AS (SELECT a, b FROM both_ UNION SELECT reach.node, both_.b F
 label AS (SELECT node, least(node, min(other)) AS label FROM reach GROUP BY 1),
 member AS MATERIALIZED (SELECT label, node AS hash, count(*) OVER (PARTITION BY label) AS size FROM label)"""
 
+#: The gate's turns: each starts at the first call that no turn of the last day covers.
+_gate = """, calls AS MATERIALIZED (SELECT session, ref, us, event_id, event_type = 'click' AS searched FROM ev WHERE event_type IN ('view', 'click')),
+turn(session, ref, began) AS (SELECT session, ref, min(us) FROM calls GROUP BY 1, 2 UNION ALL SELECT t.session, t.ref, (SELECT min(us) FROM calls c WHERE c.session = t.session AND c.ref = t.ref AND c.us > t.began + 86400000000) FROM turn t
+  WHERE EXISTS (SELECT 1 FROM calls c WHERE c.session = t.session AND c.ref = t.ref AND c.us > t.began + 86400000000)),
+gated AS (SELECT t.session, t.ref, t.began, bool_or(c.searched) AS searched, NOT arg_min(c.searched, (c.us, c.event_id)) AS fired FROM turn t JOIN calls c ON c.session = t.session AND c.ref = t.ref AND c.us BETWEEN t.began AND t.began + 86400000000 GROUP BY 1, 2, 3)
+"""
+
 SQL: dict[str, str] = {
     "tokenize_documents": f"WITH r AS (SELECT doc_id, {raw_tokens('text')} AS raw FROM documents) SELECT doc_id, array_to_string({ordered('raw', 32)}, ' ') AS tokens FROM r",
     "tokenize_pages": f"WITH r AS (SELECT page_id, {raw_tokens('html')} AS raw FROM pages) SELECT page_id, array_to_string({ordered('raw', 32)}, ' ') AS tokens FROM r",
@@ -168,13 +175,49 @@ SELECT key, coalesce(root, f.r, n.r) AS new_key FROM k LEFT JOIN f USING (folder
     "transcript_chunk_budget": PRELUDE + """, r AS (SELECT *, sum(octet_length(encode(text))) OVER w AS used, row_number() OVER w AS rn FROM turns WINDOW w AS (PARTITION BY session ORDER BY line)), g AS (SELECT * FROM r WHERE used <= 3000 OR rn = 1),
 t AS (SELECT session, max(line) + 1 AS total FROM turns GROUP BY 1), x AS (SELECT session, count(*) AS taken, sum(octet_length(encode(text))) AS bytes, max(line) AS last FROM g GROUP BY 1)
 SELECT x.session, taken, CAST(bytes AS BIGINT) AS bytes, coalesce((SELECT min(line) FROM turns u WHERE u.session = x.session AND u.line > x.last), total) AS next, total FROM x JOIN t USING (session)""",
-    "last_exchange": PRELUDE + "SELECT session, substr(arg_max(text, line) FILTER (role = 'user'), 1, 400) AS last_user, substr(arg_max(text, line) FILTER (role = 'assistant'), 1, 400) AS last_assistant FROM turns GROUP BY 1",
+    "last_exchange": PRELUDE + r""", e AS (SELECT session, regexp_replace(coalesce(arg_max(text, line) FILTER (role = 'user' AND text <> ''), '') || chr(10) || coalesce(arg_max(text, line) FILTER (role = 'assistant' AND text <> ''), ''), '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g') AS text FROM turns GROUP BY 1)
+SELECT session, CASE WHEN octet_length(encode(text)) <= 4000 THEN text ELSE left(text, (SELECT max(k) FROM range(900, 4001) r(k) WHERE octet_length(encode(left(text, k))) <= 4000)) END AS text FROM e""",
     "delta_chars_plan": PRELUDE + ", d AS (SELECT session, count(*) FILTER (line >= 2) AS n, CAST(coalesce(sum(octet_length(encode(text))) FILTER (line >= 2), 0) AS BIGINT) AS bytes FROM turns GROUP BY 1) SELECT session, n, bytes, CASE WHEN n = 0 THEN 'advance' WHEN bytes < 200 AND session % 5 <> 0 AND session % 7 <> 0 THEN 'defer' ELSE 'extract' END AS plan FROM d",
     "weak_prompt_context_plan": f"WITH u AS (SELECT conv_id AS session, turn, text, {raw_tokens('text')} AS raw FROM conversations WHERE role = 'user') SELECT session, turn, CASE WHEN len(list_distinct(raw)) < 3 THEN 'context_first' ELSE 'retry_on_miss' END AS plan FROM u",
     "debounced_jobs": PRELUDE + ", b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY session ORDER BY us, event_id) <= 2700000000 THEN 0 ELSE 1 END AS new FROM ev), c AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY us, event_id) AS burst FROM b) SELECT session, min(us) AS started, max(us) + 2700000000 AS fires, count(*) AS n FROM c GROUP BY session, burst",
-    "shown_log_seen": PRELUDE + "SELECT DISTINCT session, ref FROM shown WHERE via = ''",
+    "shown_log_seen": PRELUDE + "SELECT DISTINCT session, ref FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us DESC, event_id DESC) AS place FROM shown) WHERE via = '' AND place <= 200",
     "shown_ring_200": PRELUDE + "SELECT session, ref, us, via, place FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us DESC, event_id DESC) AS place FROM shown) WHERE place <= 200",
-    "gate_fire_once": PRELUDE + ", h AS (SELECT session, event_type, lead(event_type) OVER (PARTITION BY session ORDER BY us, event_id) AS nxt FROM ev WHERE event_type IN ('view', 'click')) SELECT session, count(*) AS prompts, count(*) FILTER (nxt = 'click') AS searched, count(*) FILTER (nxt IS NULL OR nxt <> 'click') AS fired FROM h WHERE event_type = 'view' GROUP BY 1",
+    "gate_fire_once": PRELUDE + _gate + "SELECT session, count(*) AS prompts, count(*) FILTER (searched) AS searched, count(*) FILTER (fired) AS fired FROM gated GROUP BY 1",
+    "stream_gate": PRELUDE + _gate + "SELECT session, count(*) AS prompts, count(*) FILTER (searched) AS searched, count(*) FILTER (fired) AS fired FROM gated GROUP BY 1",
+    "gate_stats_day": PRELUDE + _gate + "SELECT count(*) AS prompts, count(*) FILTER (searched) AS searched, count(*) FILTER (fired) AS fired FROM gated WHERE began >= 1704067200000000 + 5 * 86400000000",
+    "stream_debounce": PRELUDE + ", b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY session ORDER BY us, event_id) <= 2700000000 THEN 0 ELSE 1 END AS new FROM ev), c AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY us, event_id) AS burst FROM b) SELECT session, min(us) AS started, max(us) + 2700000000 AS fires, count(*) AS n FROM c GROUP BY session, burst",
+    "memory_targets": PRELUDE + "SELECT id, title, kind, pinned FROM live WHERE contains(lower(title), 'the') ORDER BY title, id LIMIT 20",
+    "pin_targets": PRELUDE + "SELECT id, title, kind, pinned FROM live WHERE kind IN ('rule', 'preference') AND contains(lower(title), 'an') ORDER BY title, id LIMIT 20",
+    "pinned_listing": PRELUDE + "SELECT id, title, project_key, seen_count FROM live WHERE kind IN ('rule', 'preference') AND pinned",
+    "pending_aliases": PRELUDE + "SELECT id FROM live WHERE seq % 3 = 0 AND NOT starts_with(project_key, 'src1')",
+    "memory_entities": PRELUDE + "SELECT id, coalesce((SELECT string_agg(DISTINCT name, '|' ORDER BY name) FROM mentions WHERE mentions.hash = live.hash), '') AS entities FROM live",
+    "busiest_projects": PRELUDE + f"SELECT project_key AS name, count(*) AS memories FROM memory WHERE project_key <> '{PROJECT}' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "skipped_footer": PRELUDE + f", s AS (SELECT kind FROM live WHERE kind IN ('rule', 'preference') AND NOT (pinned OR project_key = '{PROJECT}' OR starts_with(project_key, '{PROJECT}/') OR project_key = 'src7')) SELECT format('… {{}} rules + {{}} preferences from other projects not shown', count(*) FILTER (kind = 'rule'), count(*) FILTER (kind <> 'rule')) AS line FROM s HAVING count(*) > 0",
+    "expansion_terms": rf"""WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+n AS (SELECT item_id, lower(w[6]) AS own, list_transform([w[1] || ' ' || w[2], w[3] || '-' || w[4], w[5], w[1] || '_' || w[2], w[3] || ' ' || w[4]], lambda x: trim(regexp_replace(lower(x), '[\s\pZ]+', ' ', 'g'))) AS x, lower(w[1] || '_' || w[2]) AS k1, lower(w[3] || ' ' || w[4]) AS k2 FROM b),
+c AS (SELECT item_id, own, [x[1], CASE WHEN NOT regexp_matches(x[1], '[-_/.]') AND replace(x[1], ' ', '_') = k1 THEN k1 END, x[2], CASE WHEN trim(regexp_replace(x[2], '[-_/.]+', ' ', 'g')) = k2 THEN k2 END, x[3]] AS t FROM n),
+d AS (SELECT item_id, own, unnest(t) AS term, unnest([1, 2, 3, 4, 5]) AS i FROM c),
+e AS (SELECT item_id, term, min(i) AS i FROM d WHERE term IS NOT NULL AND term <> own AND octet_length(encode(term)) >= 2 AND NOT regexp_matches(term, '[\x00-\x1f\x7f-\x9f{{}}`"''\\]') AND len(list_filter(string_split(term, ' '), lambda x: x <> '' AND NOT list_contains({quoted(STOPWORDS)}, x))) > 0 GROUP BY 1, 2)
+SELECT b.item_id, coalesce(string_agg(term, '|' ORDER BY i), '') AS terms FROM b LEFT JOIN e USING (item_id) GROUP BY 1""",
+    "learned_terms": PRELUDE + f""", s AS (SELECT session, ref, us, event_id, via, b.text AS query, m.title, m.content FROM shown JOIN memory m ON m.seq = ref JOIN benchmark b ON b.item_id = ref % 40),
+single AS (SELECT DISTINCT session, ref FROM verdict v WHERE verdict = 'used' AND EXISTS (SELECT 1 FROM s WHERE s.session = v.session AND s.ref = v.ref AND via = 'search') AND NOT EXISTS (SELECT 1 FROM s WHERE s.session = v.session AND s.ref = v.ref AND via = '')),
+pair AS (SELECT DISTINCT session, ref, query, title, content FROM single JOIN s USING (session, ref)),
+raw AS (SELECT session, ref, {raw_tokens('query')} AS q, {raw_tokens("title || ' ' || content")} AS have FROM pair),
+cut AS (SELECT session, ref, {ordered('q', 24)} AS q, {ordered('have', 200)} AS have FROM raw),
+t AS (SELECT session, ref, list_filter(q, lambda x: length(x) >= 3 AND NOT list_contains(have, x))[1:3] AS terms FROM cut)
+SELECT session, ref, array_to_string(terms, ' ') AS terms FROM t WHERE len(terms) > 0""",
+    "drained_reports": PRELUDE + """, r AS (SELECT session, us // 1000000 AS vat, event_id AS seq, event_id % 5 = 0 AS reported, event_id % 900 AS ms, CASE WHEN event_type = 'error' THEN 'e' || ref ELSE '' END AS error,
+  CASE WHEN event_type = 'signup' AND ref % 2 = 0 THEN 'deferred: short' WHEN event_type = 'signup' THEN 'no turns' ELSE '' END AS skipped, CASE WHEN event_type = 'purchase' THEN ref % 4 ELSE 0 END AS n, CASE WHEN event_type = 'purchase' THEN ref % 2 ELSE 0 END AS n_new FROM ev WHERE event_type IN ('purchase', 'error', 'signup')),
+k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY vat DESC, seq DESC) AS place FROM r), h AS (SELECT * FROM k WHERE place <= 4 AND NOT reported AND 1704931200 - vat <= 864000)
+SELECT session, count(*) AS batches, arg_max(ms, seq) AS ms, CAST(sum(n) AS BIGINT) AS count, CAST(sum(n_new) AS BIGINT) AS new, arg_max(error, seq) FILTER (error <> '') AS error,
+  CASE WHEN sum(n) > 0 THEN '' WHEN bool_or(starts_with(skipped, 'deferred')) THEN 'deferred' WHEN bool_or(skipped <> '') THEN 'skipped' ELSE '' END AS status FROM h GROUP BY 1""",
+    "transcript_jsonl": "SELECT conv_id AS session, turn AS line, role, CASE WHEN octet_length(encode(text)) <= 6000 THEN octet_length(encode(text)) END AS bytes FROM conversations WHERE role IN ('user', 'assistant') AND (conv_id + turn) % 5 <> 0 AND trim(text) <> ''",
+    "cursor_turns": PRELUDE + ", t AS (SELECT session, max(line) + 1 AS total FROM turns GROUP BY 1) SELECT session, line FROM turns JOIN t USING (session) WHERE line >= CASE WHEN session % 3 = 1 AND total >= 2 THEN 2 WHEN session % 3 = 0 AND total >= 99 THEN 99 ELSE 0 END",
+    "foreign_home": "SELECT c_nationkey AS key, c_mktsegment AS home FROM (SELECT c_nationkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY count(*) DESC, c_mktsegment) AS p FROM customer GROUP BY 1, 2) WHERE p = 1",
+    "message_clips": r"""WITH s AS (SELECT doc_id, text, octet_length(encode(text)) AS n FROM documents),
+h AS (SELECT *, CASE WHEN n > 6000 THEN (SELECT max(k) FROM range(900, 4001) r(k) WHERE octet_length(encode(left(text, k))) <= 4000) END AS k FROM s),
+t AS (SELECT *, CASE WHEN n > 6000 THEN (SELECT max(j) FROM range(400, 2100) r(j) WHERE octet_length(encode(right(text, j))) <= 6000 - octet_length(encode(left(text, k)))) END AS j FROM h)
+SELECT doc_id, md5(CASE WHEN n <= 6000 THEN text ELSE left(text, k) || chr(10) || '…' || chr(10) || right(text, j) END) AS clip, CASE WHEN n >= 1048576 THEN printf('%.1fMB', n / 1048576) WHEN n >= 1024 THEN printf('%.0fKB', n / 1024) ELSE n || 'B' END AS size FROM t""",
     "learned_aliases": PRELUDE + "SELECT DISTINCT session, ref FROM verdict v WHERE verdict = 'used' AND EXISTS (SELECT 1 FROM shown s WHERE s.session = v.session AND s.ref = v.ref AND via = 'search') AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.session = v.session AND s.ref = v.ref AND via = '')",
     "hook_miss_rate": PRELUDE + ", used AS (SELECT DISTINCT session, ref FROM verdict WHERE verdict = 'used'), miss AS (SELECT * FROM used u WHERE EXISTS (SELECT 1 FROM shown s WHERE s.session = u.session AND s.ref = u.ref AND via = 'search') AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.session = u.session AND s.ref = u.ref AND via = '')) SELECT (SELECT count(*) FROM used) AS used, (SELECT count(*) FROM miss) AS search_only, round((SELECT count(*) FROM miss) / (SELECT count(*) FROM used), 6) AS miss_rate",
     "save_log_last4": PRELUDE + "SELECT session, ref, us, place FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us DESC, event_id DESC) AS place FROM ev WHERE event_type = 'purchase') WHERE place <= 4",
@@ -182,9 +225,10 @@ SELECT x.session, taken, CAST(bytes AS BIGINT) AS bytes, coalesce((SELECT min(li
     "cooldown_table": "SELECT f AS failures, CAST(CASE WHEN f < 3 THEN 0 ELSE least(1440, 30 * 2 ** least(f - 3, 6)) END AS BIGINT) AS minutes FROM (SELECT unnest(range(12)) AS f)",
     "eval_summary": PRELUDE + ", ".join(["", *(scored(c, tag=str(i)).lstrip().lstrip(",").rstrip() for i, c in enumerate(CASES))]) + """, results AS ({0}),
 exp AS ({1}),
-r AS (SELECT case_id, min(pos) AS rank, count(DISTINCT item) AS found FROM results JOIN exp USING (case_id, item) GROUP BY 1), w AS (SELECT case_id, count(DISTINCT item) AS wanted FROM exp GROUP BY 1),
-s AS (SELECT case_id, coalesce(rank, 0) AS rank, round(coalesce(found, 0) / wanted, 6) AS recall FROM w LEFT JOIN r USING (case_id))
-SELECT CASE WHEN case_id % 2 = 0 THEN 'hook' ELSE 'search' END AS mode, count(*) AS n, round(avg(CASE WHEN rank > 0 THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(CASE WHEN rank > 0 THEN 1 / rank ELSE 0 END), 6) AS mrr, round(avg(recall), 6) AS recall FROM s GROUP BY 1""".format(
-        " UNION ALL ".join(f"SELECT {i} AS case_id, id AS item, row_number() OVER (ORDER BY score DESC, id) AS pos FROM scored{i} QUALIFY pos <= 10" for i in range(len(CASES))),
-        " UNION ALL ".join(f"SELECT {i} AS case_id, id AS item FROM live WHERE list_contains(keywords, '{c[0]}') AND seq % 4 = 0" for i, c in enumerate(CASES))),
+r AS (SELECT case_id, min(pos) AS rank, count(DISTINCT item) AS found FROM results JOIN exp USING (case_id) WHERE contains(lower(title), lower(item)) GROUP BY 1), w AS (SELECT case_id, count(DISTINCT item) AS wanted FROM exp GROUP BY 1),
+s AS (SELECT case_id, coalesce(rank, 0) AS rank, round(coalesce(found, 0) / wanted, 6) AS recall, case_id * 100 AS chars, case_id * 37 % 50 AS ms FROM w LEFT JOIN r USING (case_id))
+SELECT CASE WHEN case_id % 2 = 0 THEN 'hook' ELSE 'search' END AS mode, count(*) AS n, round(avg(CASE WHEN rank > 0 THEN 1 ELSE 0 END), 6) AS hit_rate, round(avg(CASE WHEN rank > 0 THEN 1 / rank ELSE 0 END), 6) AS mrr, round(avg(recall), 6) AS recall,
+  max(chars) AS max_chars, list_sort(list(ms))[(count(*) - 1) // 2 + 1] AS p50_ms, list_sort(list(ms))[CAST(floor((count(*) - 1) * 0.95) AS BIGINT) + 1] AS p95_ms, max(ms) AS max_ms FROM s GROUP BY 1""".format(
+        " UNION ALL ".join(f"SELECT {i} AS case_id, title, row_number() OVER (ORDER BY score DESC, id) AS pos FROM scored{i} QUALIFY pos <= 10" for i in range(len(CASES))),
+        " UNION ALL ".join(f"SELECT DISTINCT {i} AS case_id, upper(left(title, 6)) AS item FROM live WHERE list_contains(keywords, '{c[0]}') AND seq % 4 = 0" for i, c in enumerate(CASES))),
 }

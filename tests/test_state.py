@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import cluster, evaluate, extraction, graph, sessions, write
+from mnemospark.operators import browse, cluster, evaluate, extraction, graph, sessions, write
 from mnemospark.sources import transcripts
 
 EVENTS = "session long, event_id long, us long, event_type string, ref long"
@@ -29,15 +29,48 @@ def test_shown_log_resets_and_ignores_searches(spark):
 
 
 def test_gate(spark):
-    rows = [(1, 0, "view", 0), (1, 1, "click", 0), (1, 2, "view", 0), (1, 3, "view", 0), (2, 0, "click", 0)]
-    assert [(r.session, r.prompts, r.searched, r.fired) for r in sessions.gate(ev(spark, rows)).collect()] == [(1, 3, 1, 2)]
+    """Once per prompt, never after a search; stops are not counted, prompts are; an unknown prompt passes."""
+    calls = [("s", "u1", 0, False), ("s", "u1", 1, False), ("s", "u2", 2, True), ("s", None, 3, False), ("s", "u1", 4, True), ("s", "u2", 5, True), ("t", "u1", 6, False), ("t", "u1", sessions.DAY_US + 6, True), ("t", "u1", sessions.DAY_US + 7, False)]
+    df = spark.createDataFrame([(s, r, us, i, x) for i, (s, r, us, x) in enumerate(calls)], "session string, ref string, us long, event_id long, searched boolean")
+    turns = sessions.gate_turns(df)
+    got = {(r.session, r.ref, r["at"], r.searched, r.fired) for r in turns.collect()}
+    assert got == {("s", "u1", 0, True, True), ("s", "u2", 2, True, False), ("t", "u1", 6, True, True), ("t", "u1", sessions.DAY_US + 7, False, True)}
+    assert {(r.session, r.prompts, r.searched, r.fired) for r in sessions.gate_stats(turns, "session").collect()} == {("s", 2, 2, 1), ("t", 2, 1, 2)}
+    assert [(r.prompts, r.fired) for r in sessions.gate_stats(turns, since=5).collect()] == [(2, 2)]
+
+
+def test_learned_terms_come_only_from_searches_that_were_used(spark):
+    rows = [("m1", "search", "callback bca rekening dana nasabah stuck", "BCA RDN creation", "Callback rejected when the signature is stale."), ("m2", "", "", "Hook found it", "x"), ("m3", "search", "something else entirely", "Searched but wrong", "y"),
+        ("m4", "", "", "Both found it", "z"), ("m4", "search", "brand new words here", "Both found it", "z")]
+    shown = spark.createDataFrame([("s", r[0], i, i, *r[1:]) for i, r in enumerate(rows)], "session string, ref string, us long, event_id long, via string, query string, title string, content string")
+    used = spark.createDataFrame([("s", "m1", "used"), ("s", "m2", "used"), ("s", "m3", "wrong"), ("s", "m4", "used")], "session string, ref string, verdict string")
+    assert [(r.ref, r.terms) for r in sessions.learned_terms(shown, used).collect()] == [("m1", ["rekening", "dana", "nasabah"])]
+
+
+def test_shown_log_keeps_the_last_entries(spark):
+    log = sessions.shown_log(ev(spark, [(1, i, "view" if i < 5 else "click", i) for i in range(8)]))
+    assert {r.ref for r in sessions.seen(log, 4).collect()} == {4} and [r.ref for r in sessions.since(log, 6).collect()] == [6, 7]
+    assert sessions.active(log, sessions.DAY_US + 8).count() == 0 and sessions.active(log, sessions.DAY_US + 7).count() == 8
+
+
+def test_reports_drain_once(spark):
+    rows = [("a", 100, 0, False, 5, "", "", 2, 1), ("a", 200, 1, True, 6, "", "", 9, 9), ("a", 300, 2, False, 7, "boom", "", 1, 0), ("b", 300, 0, False, 1, "", "deferred: short", 0, 0), ("b", 10, 1, False, 1, "", "no", 0, 0), ("c", 300, 0, False, 2, "", "no turns", 0, 0)]
+    df = spark.createDataFrame(rows, "session string, at long, seq long, reported boolean, ms long, error string, skipped string, n long, n_new long")
+    got = {r.session: (r.batches, r.ms, r["count"], r.new, r.error, r.status) for r in sessions.drained(df, 400, ttl=300).collect()}
+    assert got == {"a": (2, 7, 3, 1, "boom", ""), "b": (1, 1, 0, 0, None, "deferred"), "c": (1, 2, 0, 0, None, "skipped")}
+
+
+def test_cursor(spark):
+    t = spark.createDataFrame([("a", i) for i in range(4)] + [("b", i) for i in range(3)], "session string, line long")
+    c = spark.createDataFrame([("a", 2), ("b", 9)], "session string, cursor long")
+    assert sorted((r.session, r.line) for r in sessions.from_cursor(t, c).collect()) == [("a", 2), ("a", 3), ("b", 0), ("b", 1), ("b", 2)]
 
 
 def test_chunks(spark):
     t = spark.createDataFrame([(1, 0, "user", "x" * 50), (1, 3, "assistant", "y" * 30), (1, 4, "user", "z" * 30), (2, 1, "user", "w" * 500)], "session long, line long, role string, text string")
     got = {r.session: (r.taken, r.bytes, r.next, r.total) for r in sessions.chunk_summary(t, 90).collect()}
     assert got == {1: (2, 80, 4, 5), 2: (1, 500, 2, 2)}
-    assert [(r.last_user, r.last_assistant) for r in sessions.last_exchange(t, 3).where("session = 1").collect()] == [("zzz", "yyy")]
+    assert {r.session: r.text for r in sessions.last_exchange(t, 33).collect()} == {1: "z" * 30 + "\nyy", 2: "w" * 33}
 
 
 def test_cooldown_and_sweep(spark):
@@ -98,13 +131,15 @@ def test_graph(spark):
 
 
 def test_evaluation(spark):
-    exp = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z"), (3, "q")], "case_id long, item string")
-    res = spark.createDataFrame([(1, "x", 1), (2, "a", 1), (2, "z", 4), (3, "n", 1)], "case_id long, item string, pos long")
+    exp = spark.createDataFrame([(1, "x"), (1, "y"), (2, "Zed"), (3, "q")], "case_id long, item string")
+    res = spark.createDataFrame([(1, "has X", 1), (1, "x again", 2), (2, "a", 1), (2, "the zeds", 4), (3, "n", 1)], "case_id long, title string, pos long")
     s = evaluate.scored_cases(exp, res)
     assert {(r.case_id, r.hit, r.rank, r.recall) for r in s.collect()} == {(1, True, 1, 0.5), (2, True, 4, 1.0), (3, False, 0, 0.0)}
     ms = s.withColumns({"mode": F.lit("hook"), "chars": F.col("case_id") * 10, "ms": F.col("case_id") * 10})
     r = evaluate.summary(ms).first()
-    assert r.n == 3 and r.mrr == pytest.approx((1 + 0.25) / 3, abs=1e-6) and r.p50_ms == 20 and r.max_chars == 30
+    assert r.n == 3 and r.mrr == pytest.approx((1 + 0.25) / 3, abs=1e-6) and r.p50_ms == 20 and r.p95_ms == 20 and r.max_chars == 30
+    block = spark.createDataFrame([("Memories\n- [fact] First one — text\n- [rule] Second (1d)\nnot this\nStanding rules\n- [rule] Third — x",)], "b string")
+    assert block.select(evaluate.titles(F.col("b")).alias("t")).first().t == ["First one", "Second (1d)"]
 
 
 def test_transcript(spark, tmp_path):
@@ -119,6 +154,54 @@ def test_transcript(spark, tmp_path):
     assert [(r.cwd, r.headless) for r in transcripts.metadata(lines).collect()] == [("/w", True)]
 
 
+def test_reports_of_agents_tails_and_last_turns(spark, tmp_path):
+    say = lambda kind, content, **k: json.dumps({"type": kind, "sessionId": "s", "message": {"role": kind, "content": content}} | k)
+    call = [{"type": "tool_use", "name": "Task", "id": "t1", "input": {"description": "dig"}}]
+    result = lambda i, c: [{"type": "tool_result", "tool_use_id": i, "content": c}]
+    rows = [say("user", "go", uuid="p1"), say("assistant", call), say("user", result("t1", [{"type": "text", "text": "found it"}])), say("user", result("t9", "other")), say("user", "and now?", uuid="p2"),
+        say("assistant", [{"type": "tool_use", "name": "find_memory", "id": "x", "input": {}}]), say("assistant", "All  done\nhere")]
+    (tmp_path / "a.jsonl").write_text("\n".join(rows) + "\n")
+    lines = transcripts.read_lines(spark, str(tmp_path / "a.jsonl"))
+    assert [r["at"] for r in lines.orderBy("line").collect()] == [sum(len(x.encode()) + 1 for x in rows[:i]) for i in range(len(rows))]
+    texts = {r.line: (r.role, r.text) for r in transcripts.turns(lines).collect()}
+    assert texts[2] == ("assistant", "Subagent report: found it") and 3 not in texts
+    # the call is before the cursor: not recognised
+    assert 2 not in {r.line for r in transcripts.turns(lines.where("line >= 2")).collect()}
+    assert [(r.prompt, r.searched) for r in transcripts.last_turn_search(lines, "find_memory").collect()] == [("p2", True)]
+    assert [(r.prompt, r.searched) for r in transcripts.last_turn_search(lines.where("line < 5"), "find_memory").collect()] == [("p2", False)]
+    file = lines.first().file
+    there = lambda reply: transcripts.final_reply(lines, spark.createDataFrame([(file, reply)], "file string, reply string")).first().there
+    assert there("All done here") and there("  ") and not there("something else")
+    assert [r.line for r in transcripts.tail(lines, len(rows[-1]) + 5).collect()] == [6] and transcripts.tail(lines, 10**6).count() == 7
+
+
+def test_lines_of_files_read_in_parts(spark, tmp_path):
+    rows = [f"line {i} " + "x" * (i * 37 % 200) if i % 5 else "" for i in range(400)]
+    (tmp_path / "big.jsonl").write_text("\n".join(rows))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = {r.line: (r["at"], r.value) for r in transcripts.read_lines(spark, str(tmp_path / "big.jsonl")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: (sum(len(x) + 1 for x in rows[:i]), x) for i, x in enumerate(rows) if x}
+
+
+def test_browsing(spark):
+    cols = "id string, title string, kind string, project_key string, pinned boolean, seen_count long, aliases array<string>, superseded boolean, archived boolean, hash string, content string"
+    rows = [("a1", "Cache warm-up", "rule", "p", True, 2, None, None, None, "h1", "c"), ("b2", "cache_size", "fact", "q", None, 1, [], False, False, "h2", "c"), ("c3", "Other a1", "preference", "q", True, 9, None, True, None, "h3", "c"), ("d4", "x", "rule", "test/1", False, 1, None, None, None, "h4", "c")]
+    m = spark.createDataFrame(rows, cols)
+    assert [r.id for r in browse.targets(m, "a1").collect()] == ["a1", "c3"] and [r.id for r in browse.targets(m, "CACHE", browse.STANDING).collect()] == ["a1"]
+    assert [r.id for r in browse.pinned_first(m, "p").collect()] == ["a1", "c3"]
+    assert {r.id for r in browse.pending_aliases(m, "test/").collect()} == {"a1"}
+    got = {r.id: r.aliases for r in browse.backfill(m, prefix="test/").collect()}
+    assert got == {"a1": ["warm up"]}
+    plan = spark.createDataFrame([("p", "root/p"), ("q", None)], "key string, new_key string")
+    assert {(r.id, r.repo_key) for r in browse.set_repo_key(m.withColumn("repo_key", F.lit("old")), plan).collect()} == {("a1", "root/p"), ("b2", "old"), ("c3", "old"), ("d4", "old")}
+    stats = spark.createDataFrame([("w/a", 3), ("v/a", 5), ("w/b", 0), ("w/own", 9)], "project string, memories long")
+    assert [(r.name, r.memories) for r in browse.busiest(stats, "x/own").collect()] == [("a", 5)]
+
+
 def test_extraction_policy(spark):
     m = lambda **k: {"title": "t", "content": "c", "type": "rule", "entities": [{"name": " ", "type": ""}, {"name": "db", "type": "tech"}], "relations": [["a", "b"], ["a", "uses", "b"]], "aliases": ["X", "x"]} | k
     reply = "sure:\n```json\n" + json.dumps({"memories": [m(), m(op="update", target_id="k1"), m(op="update", target_id="zz", type="odd"), m(op="noop", target_id="zz"), m(op="noop", target_id="k1"), m(content="é" * 1000)],

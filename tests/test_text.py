@@ -21,6 +21,40 @@ def test_tokenize(spark, text, cap, want):
     assert one(spark, lambda c: X.tokenize(c, cap), text) == want
 
 
+@pytest.mark.parametrize("text, want", [
+    ("please fix the error in a file 12345 ok?", []), ("check the save code in src/graph/save.go", ["check", "save", "src/graph/save.go", "src", "graph", "go"]), ("thanks, now update that working file", []),
+])
+def test_chat_filler(spark, text, want):
+    assert one(spark, X.tokenize, text) == want
+
+
+def test_stopwords_of_another_language(spark, tmp_path):
+    (tmp_path / "more.txt").write_text("setiap maka ada dari yang ini gimana dong\nsih udah bisa belum banget bgt kendala masalah\n")
+    words = X.load_stopwords(spark, str(tmp_path / "more.txt"))
+    text = "setiap request maka ada keyword dari claude, yang ini gimana dong sih udah bisa belum banget bgt kendala masalah"
+    assert one(spark, lambda c: X.tokenize(c, 0, words), text) == ["request", "keyword", "claude"]
+    for w in ("rekening", "akun", "nasabah", "dana", "saham"):
+        assert one(spark, lambda c: X.tokenize(c, 0, words), w) == [w]
+
+
+def test_middle_clips(spark):
+    assert one(spark, lambda c: X.clip_middle(c, 9), "abcdefghijkl") == "abcdef\n…\njkl" and one(spark, lambda c: X.clip_middle(c, 12), "abcdefghijkl") == "abcdefghijkl"
+    assert one(spark, lambda c: X.clip_middle(c, 9), "abcdeéfghiéjk") == "abcde\n…\néjk"
+    assert len(one(spark, X.clip_message, "x" * 9000)) == 6003 and len(one(spark, X.clip_message, "Subagent report: " + "x" * 9000)) == 8003
+
+
+def test_terms(spark):
+    known, prompt = ["guard insert remisier", "two_words"], ["mine"]
+    got = one(spark, lambda t, p, k: X.expansion_terms(t, p, k), ["Guard-Insert-Remisier", "two  words", "the", "MINE", "a{b", "x", "dup", "dup", "un-known"], prompt, known)
+    assert got == ["guard-insert-remisier", "guard insert remisier", "two words", "two_words", "dup", "un-known"]
+
+
+def test_escapes_sizes_replies(spark):
+    assert one(spark, X.escape_control, "a\tb\x7fc") == "a\\u0009b\\u007Fc" and one(spark, X.escape_control, "plain") == "plain"
+    assert [one(spark, X.human_bytes, n) for n in (5, 2048, 3 << 20)] == ["5B", "2KB", "3.0MB"]
+    assert one(spark, X.same_reply, "a  b\nc", "a b c") and not one(spark, X.same_reply, "a b", "a c") and one(spark, X.same_reply, "zzz", " ")
+
+
 def test_own_stopwords(spark):
     assert one(spark, lambda c: X.tokenize(c, 0, ["yang", "dan"]), "yang akun dan dana the") == ["akun", "dana", "the"]
 
