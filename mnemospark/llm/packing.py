@@ -26,10 +26,10 @@ import base64
 import json
 import re
 import zlib
-from collections import deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -68,7 +68,7 @@ def check_same(name: str, pieces: dict[bytes, int]) -> None:
 
 @lru_cache(2)
 def encoder(name: str, ranks: str | None):
-    """texts -> lists of ids. ranks: the same vocabulary as ranked pieces, for a library several times as fast."""
+    """texts -> their ids behind one another, and how many each has. ranks: the same vocabulary as ranked pieces, for a library several times as fast."""
     import public_tokenizers
 
     if ranks:
@@ -77,27 +77,29 @@ def encoder(name: str, ranks: str | None):
         with open(public_tokenizers.path(ranks), "rb") as f:
             pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         check_same(name, pieces)
-        found = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens={})
-        return lambda texts: list(map(found.encode_ordinary, texts))
+        # a mark between texts keeps them apart, so that many go into one call
+        mark, number = "<|between texts|>", max(pieces.values()) + 1
+        found = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens={mark: number})
+
+        def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            if any(mark in t for t in texts):
+                return _joined(list(map(found.encode_ordinary, texts)))
+            parts = [np.array(found.encode(mark.join(texts[a : a + 4096]) + mark, allowed_special={mark}), np.int64) for a in range(0, len(texts), 4096)]
+            ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            at = np.flatnonzero(ids == number)
+            return np.delete(ids, at).astype(np.uint32), np.diff(at, prepend=-1) - 1
+
+        return run
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(public_tokenizers.path(name))
-    found.encode_special_tokens = True  # their strings in a text are ordinary text
-    return lambda texts: [e.ids for e in found.encode_batch_fast(texts, add_special_tokens=False)]
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    whole.encode_special_tokens = True  # their strings in a text are ordinary text
+    return lambda texts: _joined([e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)])
 
 
-class _Table(dict):
-    """Units to their numbers; new ones are noted."""
-
-    def __init__(self, lead: str, new: list[str], size: list[int]):
-        super().__init__()
-        self.lead, self.new, self.size = lead, new, size
-
-    def __missing__(self, unit: str) -> int:
-        at = self[unit] = self.size[0]
-        self.size[0] += 1
-        self.new.append(self.lead + unit)
-        return at
+def _joined(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
 
 
 class Units:
@@ -109,30 +111,36 @@ class Units:
     """
 
     def __init__(self, name: str, ranks: str | None = None):
-        self.encoded, self.new, self.count = encoder(name, ranks), [], [0]
-        self.heads, self.tails, self.whole = (_Table(lead, self.new, self.count) for lead in ("", " ", ""))
+        self.encoded = encoder(name, ranks)
         self.clear()
 
     def clear(self) -> None:
-        for t in (self.heads, self.tails, self.whole):
-            t.clear()
-        self.count[0] = 0
+        # units to their numbers: text starts, what follows a space, and whole texts
+        self.count = count()
+        self.heads, self.tails, self.whole = self.tables = [defaultdict(self.count.__next__) for _ in range(3)]
+        self.known = [0, 0, 0]
         self.flat, self.first = np.empty(0, np.uint32), np.empty(0, np.int64)
         self.size, self.ends = np.empty(0, np.int64), np.empty(0, bool)
 
     def _learn(self) -> None:
-        new = self.new
-        ids = self.encoded(new)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        """Encode the units that are new in the tables, in order of their numbers."""
+        new: list[tuple[int, str]] = []
+        for i, (table, lead) in enumerate(zip(self.tables, ("", " ", ""), strict=True)):
+            fresh = islice(reversed(table.items()), len(table) - self.known[i])
+            new += [(number, lead + unit) for unit, number in fresh] if lead else [(number, unit) for unit, number in fresh]
+            self.known[i] = len(table)
+        if not new:
+            return
+        new.sort()
+        texts = [unit for _, unit in new]
+        flat, size = self.encoded(texts)
         self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
-        self.size = np.concatenate([self.size, size])
-        self.ends = np.concatenate([self.ends, np.fromiter((u.endswith(_SENTENCE_ENDS) or "\n" in u for u in new), bool, len(new))])
-        new.clear()
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        self.ends = np.concatenate([self.ends, np.fromiter((u.endswith(_SENTENCE_ENDS) or "\n" in u for u in texts), bool, len(texts))])
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end token; where each ends; the offsets behind sentences and texts; which of these are texts' ends."""
-        if self.count[0] > _UNITS:
+        if sum(self.known) > _UNITS:
             self.clear()
         found, sizes, tail = [], [], self.whole[""]
         for t in texts:
@@ -148,8 +156,7 @@ class Units:
             else:
                 sizes.append(1)
             found.append(_NONE + tail)
-        if self.new:
-            self._learn()
+        self._learn()
         i = np.concatenate(found) if found else np.empty(0, np.int64)
         last = np.cumsum(np.array(sizes, np.int64)) - 1
         lens = self.size[i]
@@ -183,74 +190,70 @@ def is_free(n: int) -> bool:
     return n & (n - 1) == 0
 
 
-class _Least:
-    """Least value, and whose it is, over places below a bound; values only fall. A tree of minima by low bits."""
-
-    def __init__(self, places: int):
-        self.places, self.values, self.whose = places, [float("inf")] * (places + 1), [0] * (places + 1)
-
-    def put(self, place: int, value: float, who: int) -> None:
-        values, whose, k, last = self.values, self.whose, place + 1, self.places
-        while k <= last:
-            if values[k] <= value:
-                return  # and so do all that cover it
-            values[k], whose[k] = value, who
-            k += k & -k
-
-    def below(self, place: int) -> tuple[float, int]:
-        values, found, who = self.values, float("inf"), 0
-        while place:
-            if values[place] < found:
-                found, who = values[place], self.whose[place]
-            place -= place & -place
-        return found, who
-
-
 def plan(at: list[int], penalty: list[float], window: int = WINDOW, final: bool = True) -> list[int]:
     """Positions where the windows end, for cut points at positions at[0] = 0 < at[1] < ... with a penalty each.
 
     Unless final, the last windows are left off: what follows may be packed better.
     """
-    n = len(at)
+    n, none = len(at), float("inf")
     cost, back = [0.0] * n, [0] * n
-    place = {0: 0}
     powers = [window >> k for k in range(1, window.bit_length())]
+    place, seen = {0: 0}, bytearray(at[-1] + window + 1)  # cuts by position, and whether there is one
+    seen[window] = 1
     queue: deque[tuple[float, int, int]] = deque([(0.0, 0, 0)])  # cost plus position, position, cut
-    # starts of sliced stretches by the remainder of their position, in both orders
-    up, down = _Least(window), _Least(window)
-    up.put(0, 0.0, 0)
-    down.put(window - 1, 0.0, 0)
+    # starts of sliced stretches: trees of minima by low bits over the remainders of their positions, once from the
+    # least remainder up and once from the greatest down; values only fall, so that a tree is right up to where one stays
+    up, whose_up, down, whose_down = [none] * (window + 1), [0] * (window + 1), [none] * (window + 1), [0] * (window + 1)
     a_slice = INSIDE + PER_WINDOW
     a_row = a_slice + window
-    for j in range(1, n):
+    key = row = rest = j = 0
+    while True:
+        # cut j as a start
+        k = rest + 1
+        value = key - row * a_row
+        while k <= window and up[k] > value:
+            up[k], whose_up[k] = value, j
+            k += k & -k
+        k = window - rest
+        while k <= window and down[k] > value:
+            down[k], whose_down[k] = value, j
+            k += k & -k
+        j += 1
+        if j == n:
+            break
+        # and the next one as an end
         x = at[j]
         far = x - window
         while queue and queue[0][1] < far:
             queue.popleft()
-        best, how = (queue[0][0] + window, queue[0][2]) if queue else (float("inf"), 0)
+        best, how = (queue[0][0] + window, queue[0][2]) if queue else (none, 0)
         row, rest = divmod(x, window)
         base = row * a_row - a_slice
-        value, who = up.below(rest)  # smaller remainders: a window more
-        if value + a_row + base < best:
-            best, how = value + a_row + base, who
-        value, who = down.below(window - rest)
-        if value + base < best:
-            best, how = value + base, who
+        k, more = rest, base + a_row  # smaller remainders: a window more
+        while k:
+            if up[k] + more < best:
+                best, how = up[k] + more, whose_up[k]
+            k -= k & -k
+        k = window - rest
+        while k:
+            if down[k] + base < best:
+                best, how = down[k] + base, whose_down[k]
+            k -= k & -k
         best -= x
+        ahead = x + window
         for p in powers:
-            i = place.get(x - p)
-            if i is not None and cost[i] < best:
-                best, how = cost[i], i
+            if seen[ahead - p]:
+                i = place[x - p]
+                if cost[i] < best:
+                    best, how = cost[i], i
         cost[j] = best = best + PER_WINDOW + penalty[j]
         back[j] = how
         key = best + x
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, x, j))
-        key -= row * a_row
-        up.put(rest, key, j)
-        down.put(window - 1 - rest, key, j)
         place[x] = j
+        seen[ahead] = 1
     ends: list[int] = []
     j = n - 1
     while j:
