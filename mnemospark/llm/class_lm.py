@@ -5,15 +5,17 @@ classes grow with the corpus. The start: each of the `FREQUENT` most frequent wo
 others share a unit by a hash of their last three characters, and exchange clustering moves units between
 classes while the likelihood of the class bigrams rises. Then distributed exchange: for every other word of the
 vocabulary its neighbours are counted by class over the whole corpus, and each moves to the class that gains
-most, in parallel; this is repeated while the likelihood rises, ROUNDS times at most. Only rarer words stay with
-their ending. A token's probability is that of its
+most of the SHORT that the first-order gain favours (a word of less than LIGHT of both classes to the first), in parallel; this is repeated while the likelihood rises,
+ROUNDS times at most. Only rarer words stay with their ending. The training tokens are stored as numbers once, so
+that these passes are array arithmetic. A token's probability is that of its
 class after the class before it, times that of the word within its class (absolute discounting; what is
 discounted is the unknown word's). A text's score includes its end token, which also precedes its first.
 
 Tables: words are counted per chunk of neighbouring documents and summed over the corpus, so the counts are
 exact and grow with it; the counts of a chunk's words then meet the chunk's texts by a cogroup. Chunks of too many
 rows or bytes (dense, repeated, null or lonely ids) are split by a hash of id and text. A word's neighbours are
-counted by class before and after the exchange, so no word gathers more than two numbers a class. What goes
+counted by class in each task, two numbers a class at most; the counts of words of more than HOT occurrences are
+added up in SALTS parts before they meet. What goes
 through the driver: the unit bigrams (at most UNITS^2 numbers), the class tables, and ten bytes for each word
 of the vocabulary (its hash and class).
 
@@ -26,8 +28,9 @@ gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, small, table
+from .common import discard, materialize, ship, small, table
 
 FREQUENT, ENDINGS, CLASSES, SWEEPS = 511, 512, 64, 8
 #: Training count from which a word is clustered itself, and how often all of these may move.
-LEAST, ROUNDS = 8, 2
+LEAST, ROUNDS, SHORT = 8, 2, 4
+#: Share of a class below which a word hardly changes it.
+LIGHT = 1e-3
+#: Training count beyond which a word's neighbours are added up in parts, and the parts.
+HOT, SALTS = 1 << 24, 64
+#: Tokens in a row of the stored numbers.
+CODED = 1 << 20
 #: Unit 0 is the end token; then the frequent words; then the endings.
 UNITS = 1 + FREQUENT + ENDINGS
 #: Documents in a chunk, by density of ids, and bytes; chunks of more than twice that are split.
@@ -104,6 +113,24 @@ class ClassOf(dict):
         self[word] = found
         return found
 
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """Place in the vocabulary, or -1, of each word."""
+        keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        if not len(self.keys):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        """A number for each word: its place, or its unit beyond the vocabulary's."""
+        at = self.places(words)
+        for i in np.flatnonzero(at < 0):
+            at[i] = len(self.keys) + self.unit[words[i]]
+        return at
+
+    def class_of_code(self) -> np.ndarray:
+        return np.concatenate([self.classes.astype(np.int64), self.of])
+
 
 def _texts(batch: pa.RecordBatch):
     return zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True)
@@ -151,132 +178,220 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(done)
 
 
-def _bigrams(frequent: dict[bytes, int]):
+def _coded(found: ClassOf):
+    """The training tokens of each batch as numbers, whole texts, CODED or more tokens a row, an end token first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, total = UnitOf(frequent), np.zeros(UNITS * UNITS, np.int64)
+        # words get numbers of their own as they come; the codes of new ones are looked up together
+        own: defaultdict[bytes, int] = defaultdict(count().__next__)
+        codes = np.empty(0, np.int32)
+        held: list[bytes] = [END]
+
+        def flush() -> pa.RecordBatch:
+            nonlocal own, codes
+            at = np.fromiter(map(own.__getitem__, held), np.int64, len(held))
+            if len(own) > len(codes):
+                new = [*islice(reversed(own), len(own) - len(codes))][::-1]
+                codes = np.concatenate([codes, found.codes(new).astype(np.int32)])
+            row = codes[at].tobytes()
+            if len(own) > _CACHE:
+                own, codes = defaultdict(count().__next__), codes[:0]
+            del held[1:]
+            return pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["codes"])
+
         for batch in batches:
-            units: list[int] = [0]
             for doc, text in _texts(batch):
                 if not held_out(doc):
-                    units += map(unit.__getitem__, tokens(text))
-            u = np.array(units)
-            total += np.bincount(u[:-1] * UNITS + u[1:], minlength=UNITS * UNITS)
+                    held += tokens(text)
+                    if len(held) > CODED:
+                        yield flush()
+        if len(held) > 1:
+            yield flush()
+
+    return run
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for row in batch.column("codes"):
+            yield np.frombuffer(row.as_buffer(), np.int32)
+
+
+def _pairs(of_code: np.ndarray, kinds: int):
+    """Counts of neighbouring kinds, given the kind of each number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(kinds * kinds, np.int64)
+        for codes in _rows(batches):
+            k = of_code[codes]
+            total += np.bincount(k[:-1] * kinds + k[1:], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
     return run
 
 
+def pairs(coded: DataFrame, of_code: np.ndarray, kinds: int) -> np.ndarray:
+    found = coded.mapInArrow(_pairs(of_code, kinds), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(kinds * kinds)
+    table[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return table.reshape(kinds, kinds)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash, as a signed number, and unit of each word."""
     unit = UnitOf({})
     for batch in batches:
         words = batch.column("word").to_pylist()
         keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([unit[w] for w in words], pa.int32())], ["key", "unit"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([unit[w] for w in words], pa.int32()), batch.column("c")], ["key", "unit", "c"])
 
 
-def _types(found: ClassOf, classes: int):
+def _classed(found: ClassOf):
+    """Add the class of each word."""
+    of_code = found.class_of_code()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, classes), np.int64)
         for batch in batches:
-            u = np.fromiter((found[w][0] for w in batch.column("word").to_pylist()), np.int64, batch.num_rows)
-            total += [np.bincount(u, minlength=classes), np.bincount(u, batch.column("c").to_numpy(), classes).astype(np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes)), pa.array(total[0]), pa.array(total[1])], ["class", "types", "n"])
+            classes = of_code[found.codes(batch.column("word").to_pylist())] if batch.num_rows else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(classes, pa.int32())], ["word", "c", "class"])
 
     return run
 
 
-def _train(batches: Iterator[pa.RecordBatch], found: ClassOf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Classes and places of the training tokens of each batch, an end token first."""
-    for batch in batches:
-        held = [found[END]]
-        for doc, text in _texts(batch):
-            if not held_out(doc):
-                held += map(found.__getitem__, tokens(text))
-        both = np.array(held, np.int64)
-        yield both[:, 0], both[:, 1]
+#: Counts of a word's neighbours: a code (a class after it, `classes` more before it, 2 * `classes` for itself) and a number each.
+_COUNT = np.dtype([("code", "<u2"), ("n", "<u4")])
 
 
-def _joint(found: ClassOf, classes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(classes * classes, np.int64)
-        for k, _ in _train(batches, found):
-            total += np.bincount(k[:-1] * classes + k[1:], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+def _packed_counts(word: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Distinct words, and the counts of each as bytes; words in order."""
+    counts = np.empty(len(word), _COUNT)
+    counts["code"], counts["n"] = code, n
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    offsets = np.append(starts, len(word)).astype(np.int32) * _COUNT.itemsize
+    return word[starts], pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(counts.tobytes())])
 
-    return run
 
+def _contexts(of_code: np.ndarray, hot: np.ndarray, classes: int):
+    """(word, salt, counts) per task; salt is -1 but for hot words."""
+    width, words = 2 * classes + 1, len(hot)
 
-def _contexts(found: ClassOf, classes: int):
-    """(word, code, n) per task: how often a word stands before a class, behind it (`classes` more), or beside itself (2 * `classes`)."""
-    width = 2 * classes + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def flush(held: list[np.ndarray]) -> pa.RecordBatch:
-        at, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(at // width), pa.array((at % width).astype(np.int32)), pa.array(n)], ["word", "code", "n"])
+        salt = TaskContext.get().partitionId() % SALTS
+
+        def flush(held: list[np.ndarray]) -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate(held), return_counts=True)
+            word, counts = _packed_counts(at // width, at % width, n)
+            return pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.where(hot[word], salt, -1), pa.int32()), counts], ["word", "salt", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for k, at in _train(batches, found):
-            same = (at[:-1] == at[1:]) & (at[1:] >= 0)
-            after, before = (at[:-1] >= 0), (at[1:] >= 0) & ~same
+        for codes in _rows(batches):
+            at, k = codes.astype(np.int64), of_code[codes]
+            same = (at[:-1] == at[1:]) & (at[1:] < words)
+            after, before = at[:-1] < words, (at[1:] < words) & ~same
             held += [at[:-1][after] * width + np.where(same, 2 * classes, k[1:])[after], at[1:][before] * width + k[:-1][before] + classes]
             size += len(held[-1]) + len(held[-2])
             if size > CONTEXTS:
                 yield flush(held)
                 held, size = [], 0
-        if held:
+        if size:
             yield flush(held)
 
     return run
 
 
+def _dense(parts: list[bytes], classes: int) -> np.ndarray:
+    held = np.frombuffer(b"".join(parts), _COUNT)
+    return np.bincount(held["code"], held["n"], 2 * classes + 1)
+
+
+def _added(classes: int):
+    """Counts of a word that come in many parts, as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for parts in batch.column("parts").to_pylist():
+                n = _dense(parts, classes)
+                limit = np.iinfo(np.uint32).max
+                pieces = []
+                while n.any():  # a number beyond 32 bits takes several
+                    code = np.flatnonzero(n)
+                    counts = np.empty(len(code), _COUNT)
+                    counts["code"], counts["n"] = code, np.minimum(n[code], limit)
+                    pieces.append(counts.tobytes())
+                    n = np.maximum(n - limit, 0)
+                out.append(b"".join(pieces))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(out, pa.binary())], ["word", "counts"])
+
+    return run
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def best_class(table: np.ndarray, logs: np.ndarray, rows: np.ndarray, cols: np.ndarray, a: int, r: np.ndarray, l: np.ndarray, s: float) -> int:  # noqa: E741
-    """Class that a word of class a gains most in; table: class bigrams, logs its xlogx, rows and cols its sums; r, l: its
-    followers and precursors by class without itself, s: how often it follows itself. As in `exchange`, others staying."""
+def best_class(table: np.ndarray, logs: np.ndarray, rows: np.ndarray, cols: np.ndarray, a: int, r: np.ndarray, l: np.ndarray, s: float, among: np.ndarray | None = None) -> int:  # noqa: E741
+    """Class, of those `among` (a is one), that a word of class a gains most in; table: class bigrams, logs its xlogx, rows and
+    cols its sums; r, l: its followers and precursors by class without itself, s: how often it follows itself. As in
+    `exchange`, others staying."""
+    among = np.arange(len(table)) if among is None else among
+    here = int(np.flatnonzero(among == a)[0])
     j, i = np.flatnonzero(r), np.flatnonzero(l)
-    right, left, dr, dl = table[:, j], table[i].T, logs[:, j], logs[i].T
+    to, of = np.ix_(among, j), np.ix_(i, among)
+    right, left, dr, dl = table[to], table[of].T.copy(), logs[to], logs[of].T.copy()
     # without the word: less in row a and in column a
-    right[a] -= r[j]
-    right[:, j == a] -= l[:, None]
-    right[a, j == a] -= s
-    left[a] -= l[i]
-    left[:, i == a] -= r[:, None]
-    left[a, i == a] -= s
-    dr[a], dl[a] = _xlogx(right[a]), _xlogx(left[a])
+    right[here] -= r[j]
+    right[:, j == a] -= l[among][:, None]
+    right[here, j == a] -= s
+    left[here] -= l[i]
+    left[:, i == a] -= r[among][:, None]
+    left[here, i == a] -= s
+    dr[here], dl[here] = _xlogx(right[here]), _xlogx(left[here])
     dr[:, j == a], dl[:, i == a] = _xlogx(right[:, j == a]), _xlogx(left[:, i == a])
     gain = (_xlogx(right + r[j]) - dr).sum(1) + (_xlogx(left + l[i]) - dl).sum(1)
-    d = np.diag(table).copy()
-    d[a] -= r[a] + l[a] + s
-    gain += _xlogx(d + r + l + s) - _xlogx(d + r) - _xlogx(d + l) + _xlogx(d)
+    d = table[among, among].copy()
+    d[here] -= r[a] + l[a] + s
+    mr, ml = r[among], l[among]
+    gain += _xlogx(d + mr + ml + s) - _xlogx(d + mr) - _xlogx(d + ml) + _xlogx(d)
     nr, nl = r.sum() + s, l.sum() + s
-    rows, cols = rows.copy(), cols.copy()
-    rows[a] -= nr
-    cols[a] -= nl
+    rows, cols = rows[among], cols[among]
+    rows[here] -= nr
+    cols[here] -= nl
     gain -= _xlogx(rows + nr) - _xlogx(rows) + _xlogx(cols + nl) - _xlogx(cols)
-    gain[0] = -np.inf
+    gain[among == 0] = -np.inf
     c = int(np.argmax(gain))
-    return c if gain[c] > gain[a] + 1e-9 else a
+    return int(among[c]) if gain[c] > gain[here] + 1e-9 else a
 
 
 def _moved(table: np.ndarray, now: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = len(table)
         logs, rows, cols = _xlogx(table), table.sum(1), table.sum(0)
+        # what a small share of text gains in a class: log shares of its followers and precursors there
+        follow = np.log(table + 0.5) - np.log(rows + 0.5 * classes)[:, None]
+        precede = np.log(table.T + 0.5) - np.log(cols + 0.5 * classes)[:, None]
+        follow[0] = precede[0] = -1e9
+        rows, cols = np.maximum(rows, 1e-9), np.maximum(cols, 1e-9)
         for batch in batches:
-            words, out = batch.column("word").to_pylist(), []
-            ends = batch.column("codes").offsets.to_numpy()
-            codes, counts = batch.column("codes").values.to_numpy(), batch.column("counts").values.to_numpy()
-            for i, w in enumerate(words):
-                mine = slice(ends[i], ends[i + 1])
-                n = np.bincount(codes[mine], counts[mine], 2 * classes + 1)
-                out.append(best_class(table, logs, rows, cols, int(now[w]), n[:classes], n[classes:-1], n[-1]))
+            words, out = batch.column("word").to_numpy(), []
+            for first in range(0, len(words), 1024):
+                part = words[first : first + 1024]
+                held = np.array([_dense(p, classes) for p in batch.column("parts").slice(first, 1024).to_pylist()])
+                r, l, s = held[:, :classes], held[:, classes:-1], held[:, -1]  # noqa: E741
+                gain = r @ follow.T + l @ precede.T
+                weight = np.stack([r.sum(1) + s, l.sum(1) + s], 1)
+                best, first_choice = np.argpartition(-gain, min(SHORT, classes - 1), axis=1)[:, :SHORT], gain.argmax(1)
+                for k, w in enumerate(part):
+                    a = int(now[w])
+                    c = int(first_choice[k])
+                    # a word whose own class is favoured stays; what is light beside both classes gains what the first order says
+                    if c == a or max(weight[k, 0] / min(rows[a], rows[c]), weight[k, 1] / min(cols[a], cols[c])) < LIGHT:
+                        out.append(c)
+                        continue
+                    out.append(best_class(table, logs, rows, cols, a, r[k], l[k], s[k], np.unique(np.append(best[k], a))))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(out, pa.int32())], ["word", "class"])
 
     return run
@@ -287,26 +402,23 @@ def likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
 
 
-def joint(docs: DataFrame, found: ClassOf, classes: int) -> np.ndarray:
-    pairs = docs.select("doc_id", "text").mapInArrow(_joint(found, classes), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(classes * classes)
-    table[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    return table.reshape(classes, classes)
-
-
-def distributed_exchange(docs: DataFrame, found: ClassOf, table: np.ndarray, rounds: int = ROUNDS) -> tuple[ClassOf, np.ndarray]:
-    """The vocabulary of `found` moved between classes, and the class bigrams then; table: those before."""
+def distributed_exchange(coded: DataFrame, found: ClassOf, hot: np.ndarray, table: np.ndarray, rounds: int = ROUNDS) -> tuple[ClassOf, np.ndarray]:
+    """The vocabulary of `found` moved between classes, and the class bigrams then; table: those before, hot: words to add up in parts."""
     classes = len(table)
-    for _ in range(rounds if len(found.keys) else 0):
-        contexts = docs.select("doc_id", "text").mapInArrow(_contexts(found, classes), "word long, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
-        own = contexts.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("c"))  # two numbers a class at most
-        moved = own.select("word", F.col("c.code").alias("codes"), F.col("c.n").alias("counts")).mapInArrow(_moved(table, found.classes), "word long, class int").toArrow()
+    for k in range(rounds if len(found.keys) else 0):
+        contexts = coded.mapInArrow(_contexts(found.class_of_code(), hot, classes), "word long, salt int, counts binary")
+        if hot.any():
+            contexts = materialize(contexts, f"lm-contexts{k}")
+            parts = contexts.where("salt >= 0").groupBy("word", "salt").agg(F.collect_list("counts").alias("parts")).select("word", "parts")
+            contexts = contexts.where("salt < 0").select("word", "counts").union(parts.mapInArrow(_added(classes), "word long, counts binary"))
+        own = contexts.groupBy("word").agg(F.collect_list("counts").alias("parts"))
+        moved = own.mapInArrow(_moved(table, found.classes), "word long, class int").toArrow()
         to = found.classes.copy()
         to[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
         if (to == found.classes).all():
             break
         other = ClassOf(found.unit.frequent, found.of, found.keys, to)
-        then = joint(docs, other, classes)
+        then = pairs(coded, other.class_of_code(), classes)
         if likelihood(then) <= likelihood(table):
             break  # all moved at once: together they may lose
         found, table = other, then
@@ -381,66 +493,67 @@ class Model:
         self.unknown = np.log10(unknown)
         self.emission = np.log10(np.maximum(self.size, 1))
 
-    def score(self, unit: np.ndarray, c: np.ndarray, class0: np.ndarray) -> float:
-        """log10 probability of tokens with these units and training counts."""
+    def tokens(self, unit: np.ndarray, c: np.ndarray, class0: np.ndarray) -> np.ndarray:
+        """log10 probability of each token, given its unit and training count; an end token precedes the first."""
         k = class0[unit]
         before = np.concatenate([[class0[0]], k[:-1]])
         known = np.log10(np.maximum(c - self.discount, 1e-9)) - self.emission[k]
         known = np.where(k == class0[0], 0.0, known)  # the end class holds the end token alone
-        return float((self.transition[before, k] + np.where(c > 0, known, np.where(k == class0[0], 0.0, self.unknown[k]))).sum())
+        return self.transition[before, k] + np.where(c > 0, known, np.where(k == class0[0], 0.0, self.unknown[k]))
 
 
 def _scored(model: Model, found: ClassOf, n: int, v: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         words = counts.column("word").to_pylist()
         at = dict(zip(words, range(len(words)), strict=True))
-        # a word's count and class, found once per chunk
         c = np.array(counts.column("c").to_numpy(), dtype=np.int64)
-        u = np.fromiter((found[w][0] for w in words), np.int64, len(words))
+        u = np.array(counts.column("class").to_numpy(), dtype=np.int64)
+        for i in np.flatnonzero(u < 0):  # words that no training text holds
+            u[i] = found.of[found.unit[words[i]]]
         base = np.log10((c + 1) / (n + v + 1))
-        out = {k: [] for k in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")}
-        for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            own = tokens(text)
-            i = np.fromiter(map(at.__getitem__, own), np.int64, len(own))
-            out["doc_id"].append(doc)
-            out["held_out"].append(held_out(doc))
-            out["n_tokens"].append(len(own))
-            out["n_known"].append(int((c[i] > 0).sum()))
-            out["base_score"].append(float(base[i].sum()))
-            out["score"].append(model.score(u[i], c[i], model.of))
+        texts = [tokens(t) for t in docs.column("text").cast(pa.binary()).to_pylist()]
+        i = np.fromiter(map(at.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
+        ends = np.cumsum([len(t) for t in texts])
+        starts = ends - [len(t) for t in texts]
+        add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  each text has a token
+        ids = docs.column("doc_id").to_pylist()
+        out = [ids, [held_out(d) for d in ids], ends - starts, add((c[i] > 0).astype(np.int64)), add(base[i]), add(model.tokens(u[i], c[i], model.of))]
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.table({k: pa.array(v, kind) for (k, v), kind in zip(out.items(), kinds, strict=True)})
+        names = ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
+        return pa.table({k: pa.array(x, kind) for k, x, kind in zip(names, out, kinds, strict=True)})
 
     return run
 
 
 def fit(docs: DataFrame) -> tuple[Model, ClassOf, DataFrame, int, int]:
-    """The model of docs(doc_id, text, chunk), the classes of words, counts (chunk, word, c) for all words of a chunk, N and V."""
-    own = materialize(docs.mapInArrow(_counted, "chunk long, word binary, n long"), "lm-chunks")
+    """The model of docs(doc_id, text, chunk), the classes of words, counts (chunk, word, c, class) for all words of a chunk, N and V."""
+    own = materialize(docs.mapInArrow(_counted, "chunk long, word binary, n long"), "lm-chunks", "zstd")
     counts = materialize(own.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     frequent = {bytes(r["word"]): 1 + i for i, r in enumerate(top)}
-    pairs = docs.select("doc_id", "text").mapInArrow(_bigrams(frequent), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    bigrams = np.zeros(UNITS * UNITS)
-    bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    bigrams = bigrams.reshape(UNITS, UNITS)
     # the words that move on their own: all of the vocabulary but the frequent ones
     listed = counts.where((F.col("c") >= LEAST) & ~F.col("word").isin([F.lit(w) for w in [END, *frequent]]))
-    words = listed.mapInArrow(_keys, "key long, unit int").toArrow()
+    words = listed.mapInArrow(_keys, "key long, unit int, c long").toArrow()
     keys = words.column("key").to_numpy().view(np.uint64)
     order = np.argsort(keys)
+    units, hot = words.column("unit").to_numpy()[order].astype(np.int64), words.column("c").to_numpy()[order] > HOT
+    apart = ClassOf(frequent, np.arange(UNITS), keys[order], units)  # each word in the class of its unit
+    coded = materialize(docs.select("doc_id", "text").mapInArrow(_coded(apart), "codes binary"), "lm-coded", "zstd")
+    bigrams = pairs(coded, apart.class_of_code(), UNITS)
     classes = class_number(len(keys) + len(frequent))
     of = exchange(bigrams, classes)
     member = np.eye(classes)[of]
-    found = ClassOf(frequent, of, keys[order], of[words.column("unit").to_numpy()[order]].astype(np.int16))
-    found, table = distributed_exchange(docs, found, member.T @ bigrams @ member)
-    per = counts.mapInArrow(_types(found, classes), "class long, types long, n long").groupBy("class").agg(F.sum("types").alias("types"), F.sum("n").alias("n")).toArrow()
+    found = ClassOf(frequent, of, keys[order], of[units].astype(np.int16))
+    found, table = distributed_exchange(coded, found, hot, member.T @ bigrams @ member)
+    discard(coded)  # what was learned from it is here
+    classed = materialize(counts.mapInArrow(_classed(found), "word binary, c long, class int"), "lm-classes")
+    per = classed.groupBy("class").agg(F.count("*").alias("types"), F.sum("c").alias("n")).toArrow()
     types, size = np.zeros(classes), np.zeros(classes)
     types[per.column("class").to_numpy()], size[per.column("class").to_numpy()] = per.column("types").to_numpy(), per.column("n").to_numpy()
     model = Model({}, np.arange(classes), table, types, size, classes)
     # a chunk read by two tasks has some words twice, with one count
-    joined = own.select("chunk", "word").join(counts, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"))
+    joined = own.select("chunk", "word").join(classed, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("class"))
     return model, found, joined, n, v
 
 
@@ -473,7 +586,8 @@ def _crc32(text: str) -> str:
 
 BASE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 2 AS held_out,
-  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), chr(10)) AS w FROM documents),
+  list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), chr(10)) AS w FROM documents),
 t AS MATERIALIZED (SELECT r, held_out, unnest(w) AS word FROM d),
 c AS MATERIALIZED (SELECT word, count(*) AS c FROM t WHERE NOT held_out GROUP BY 1),
 n AS (SELECT sum(c) AS n, count(*) AS v FROM c),
