@@ -8,62 +8,129 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
-from mnemospark.operators import cluster, graph, recall, write
+from mnemospark.operators import browse, cluster, graph, recall, save, write
+from mnemospark.sources.scratch import written
 from mnemospark.sources.snapshots import Store
 
 MEMORY = """hash string, id string, title string, title_lc string, content string, kind string, project_key string, keywords array<string>, aliases array<string>, alias_only array<string>,
-created_at long, last_seen_at long, seen_count long, used_count long, disputed_count long, last_used_at long, injected_count long, superseded boolean, archived boolean, pinned boolean"""
-MENTION = "hash string, entity_key string, name string, etype string, project_key string, created_at long"
+created_at long, last_seen_at long, seen_count long, used_count long, disputed_count long, last_used_at long, injected_count long, superseded boolean, archived boolean, pinned boolean, source_session string"""
+TABLES = {
+    "memory": MEMORY,
+    "mentions": "hash string, entity_key string",
+    "entities": "entity_key string, name string, etype string, project_key string, name_lc string, tokens array<string>, created_at long",
+    "related": "k1 string, k2 string, weight long, verb string, last_seen_at long",
+    "replacements": "newer string, older string",
+    "sessions": "id string, project_key string, path string, cwd string, agent boolean, touched_at long, cursor long, started_at long, updated_at long",
+    "projects": "project_key string, name string, created_at long",
+}
 
 
 class Engine:
-    """remember, search, retrieve, feedback, pin, archive, entities, stats, backup and restore."""
+    """remember, consolidate, sessions, search, retrieve, feedback, pin, archive, entities, stats, backup and restore."""
 
     def __init__(self, spark: SparkSession, root: str, clock=lambda: int(time.time())):
         self.spark, self.store, self.clock = spark, Store(spark, root), clock
 
-    def _table(self, name: str, schema: str) -> DataFrame:
-        return self.store.read(name) if self.store.current() else self.spark.createDataFrame([], schema)
+    def table(self, name: str) -> DataFrame:
+        return self.store.read(name) if self.store.has(name) else self.spark.createDataFrame([], TABLES[name])
 
     @property
     def memory(self) -> DataFrame:
-        return self._table("memory", MEMORY)
+        return self.table("memory")
 
     @property
     def mentions(self) -> DataFrame:
-        return self._table("mentions", MENTION)
+        return self.table("mentions")
 
     @property
     def entities(self) -> DataFrame:
-        e = self.mentions.groupBy("entity_key").agg(F.min_by("name", "created_at").alias("name"), F.min_by("etype", "created_at").alias("etype"), F.min("project_key").alias("project_key"), F.min("created_at").alias("created_at"))
-        return e.withColumns({"name_lc": F.lower("name"), "tokens": X.tokenize(F.col("name"), 8)})
+        return self.table("entities")
 
     @property
     def related(self) -> DataFrame:
-        return graph.cooccurrence(self.mentions.select(F.col("hash").alias("item"), F.col("entity_key").alias("key")))
+        return self.table("related")
+
+    @property
+    def sessions(self) -> DataFrame:
+        return self.table("sessions")
 
     def live(self) -> DataFrame:
         return self.memory.where("not coalesce(superseded, false) and not coalesce(archived, false)")
 
-    def _commit(self, memory: DataFrame, mentions: DataFrame | None = None) -> str:
-        return self.store.commit({"memory": memory, "mentions": self.mentions if mentions is None else mentions})
+    def _saved(self, batch: DataFrame, now: int) -> tuple[dict[str, DataFrame], DataFrame]:
+        """The tables after a batch, and what became of its rows."""
+        # the batch is read by every table's plan, so it is staged once
+        b = written(save.staged(batch), "staged")
+        mem = self.memory
+        done = save.effects(mem, b)
+        found = save.named(b)
+        tables = {
+            "memory": save.memories_after(mem, done, now),
+            "entities": save.entities_after(self.entities, found, now),
+            "mentions": save.mentions_after(self.mentions, found),
+            "related": save.related_after(self.related, save.edges_of(b), now),
+            "replacements": self.table("replacements").unionByName(save.replacements(done)),
+            "sessions": save.sessions_after(self.sessions, b.select(F.col("session").alias("id"), "project_key", "seq"), now),
+            "projects": save.projects_after(self.table("projects"), b, now),
+        }
+        return tables, done.outcomes
 
     def remember(self, batch: DataFrame) -> str:
-        """Save a batch(seq, project_key, title, content, kind, aliases, entities array<struct<name,type>>) as the next version."""
+        """Save a batch (operators.save says of what) as the next version; all of it is seen, or nothing."""
+        return self.save(batch)[0]
+
+    def save(self, batch: DataFrame) -> tuple[str, DataFrame]:
+        """The next version, and (seq, id, title, kind, new, seen, updated) of each row that counted."""
+        tables, outcomes = self._saved(batch, self.clock())
+        # read from the version before this one, which the commit would move
+        outcomes = written(outcomes, "outcomes")
+        return self.store.commit(tables), outcomes
+
+    def touch(self, touched: DataFrame) -> str:
+        """Note sessions as they run: touched(id, project_key, path, cwd, agent, at). The project stays, the agent mark sticks."""
+        now, held = self.clock(), self.sessions
+        own = held.select("id", F.col("project_key").alias("_project"), "started_at", "updated_at")
+        s = write.merge_sessions(held.select("id", "project_key", "path", "cwd", "agent", "touched_at", "cursor"), touched).join(own, "id", "left")
+        s = s.withColumns({"project_key": F.coalesce("_project", "project_key"), "started_at": F.coalesce("started_at", F.lit(now).cast("long"))})
+        return self.store.commit({"sessions": s.select(*held.columns)})
+
+    def set_cursor(self, cursors: DataFrame) -> str:
+        """Move sessions on to the line they are extracted up to: cursors(id, project_key, line)."""
+        now, c = self.clock(), cursors.withColumn("seq", F.lit(0))
+        return self.store.commit({"sessions": save.sessions_after(self.sessions, c, now), "projects": save.projects_after(self.table("projects"), c, now)})
+
+    def cursor(self, session: str) -> int:
+        row = self.sessions.where(F.col("id") == session).select("cursor").first()
+        return row["cursor"] if row else 0
+
+    def consolidate(self, merges: DataFrame) -> str | None:
+        """Save each valid merge(label, merge_no, ids, title, kind, content) of a cluster as one memory that replaces its members.
+
+        Returns the next version, or none if no merge is valid. Labels are those of consolidation_candidates.
+        """
         now = self.clock()
-        b = batch.withColumns({"hash": X.content_hash(F.col("project_key"), F.col("content")), "title_lc": F.lower("title"), "aliases": X.clean_aliases(F.coalesce("aliases", F.array().cast("array<string>")))})
-        b = b.withColumns({"id": F.substring("hash", 1, 16), "keywords": X.memory_keywords(F.col("title"), F.col("content"), F.col("aliases")), "fresh_alias": X.alias_only(F.col("title"), F.col("content"), F.col("aliases"))})
-        merged = write.upsert_memories(self.memory, b, now)
-        first = b.groupBy("hash").agg(F.min_by("content", "seq").alias("b_content"), F.array_distinct(F.flatten(F.collect_list("fresh_alias"))).alias("b_alias"))
-        m = merged.join(first, "hash", "left")
-        none = F.array().cast("array<string>")
-        zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("used_count", "disputed_count", "injected_count")}
-        flags = {c: F.coalesce(c, F.lit(False)) for c in ("superseded", "archived", "pinned")}
-        m = m.withColumns({"content": F.coalesce("content", "b_content"), "alias_only": F.array_union(F.coalesce("alias_only", none), F.coalesce("b_alias", none)), "created_at": F.coalesce("created_at", F.lit(now)).cast("long"), "last_seen_at": F.col("last_seen_at").cast("long")} | zero | flags)
-        named = b.select("hash", "project_key", F.explode("entities").alias("e")).where(F.trim("e.name") != "")
-        ment = named.select("hash", F.concat("project_key", F.lit("\0"), F.lower(X.trimmed(F.col("e.name")))).alias("entity_key"), F.col("e.name").alias("name"), F.when(F.trim(F.coalesce("e.type", F.lit(""))) == "", "other").otherwise(F.col("e.type")).alias("etype"), "project_key", F.lit(now).cast("long").alias("created_at"))
-        ment = self.mentions.union(ment.dropDuplicates(["hash", "entity_key"]).join(self.mentions, ["hash", "entity_key"], "left_anti").select(*self.mentions.columns))
-        return self._commit(m.select(*self.memory.columns), ment)
+        held = self.consolidation_candidates().select("label", "hash").join(self.live(), "hash")
+        members = written(browse.with_entities(held, self.mentions.join(self.entities.select("entity_key", "name"), "entity_key")), "members")
+        valid = cluster.valid_merges(merges, members.select("label", "id", "kind")).select("label", "merge_no")
+        rows, pairs = cluster.canonical(merges.join(valid, ["label", "merge_no"]), members)
+        rows = written(rows.withColumn("session", F.concat(F.lit("consolidate-"), F.date_format(F.timestamp_seconds(F.lit(now)), "yyyyMMdd"))), "canonical")
+        if rows.isEmpty():
+            return None
+        tables, _ = self._saved(rows, now)
+        keeper = save.staged(rows).select("label", "merge_no", F.col("id").alias("keeper"))
+        m, edges = save.superseded_by(tables["memory"], pairs.join(keeper, ["label", "merge_no"]).select("keeper", "id"))
+        return self.store.commit(tables | {"memory": m, "replacements": tables["replacements"].unionByName(edges)})
+
+    def backfill_aliases(self, call=browse.rule_based_aliases, prefix: str = "") -> str:
+        """Ask call for aliases of the memories that never had any, and store them with their tokens."""
+        a = browse.backfill(self.memory, call, prefix).withColumn("aliases", X.clean_aliases(F.col("aliases")))
+        a = written(a.withColumn("tokens", X.tokenize(F.concat_ws(" ", "aliases"), 24)), "aliases")
+        return self.store.commit({"memory": write.set_aliases(self.memory, a)})
+
+    def dispute(self, ids: DataFrame, archive: bool = False) -> str:
+        """Count a dispute against memories by hand and, if wanted, archive them."""
+        m = self._judged(ids.select("id", F.lit("wrong").alias("verdict")))
+        return self.store.commit({"memory": write.set_flag(m, ids, "archived", True) if archive else m})
 
     def scored(self, prompt: str, project: str = "", extra: tuple[str, ...] = (), min_match: float = 0.0) -> DataFrame:
         row = self.spark.range(1).select(X.tokenize(F.lit(prompt), 32).alias("t")).first()
@@ -81,18 +148,21 @@ class Engine:
         s = recall.excluding(s, shown) if shown is not None else s
         return recall.budgeted(s.withColumn("line", recall.memory_line(self.clock())), [F.desc("score"), "id"], "line", budget)
 
-    def feedback(self, verdicts: DataFrame) -> str:
-        """Count verdicts(id, verdict) into the memories."""
+    def _judged(self, verdicts: DataFrame) -> DataFrame:
         f = write.feedback(verdicts.select(F.col("id").alias("ref"), "verdict", F.lit(self.clock()).cast("long").alias("at")))
         m = self.memory.join(f.withColumnRenamed("ref", "id"), "id", "left")
         m = m.withColumns({"used_count": F.col("used_count") + F.coalesce("used", F.lit(0)), "disputed_count": F.col("disputed_count") + F.coalesce("disputed", F.lit(0)), "last_used_at": F.coalesce("last_used", "last_used_at")})
-        return self._commit(m.select(*self.memory.columns))
+        return m.select(*self.memory.columns)
+
+    def feedback(self, verdicts: DataFrame) -> str:
+        """Count verdicts(id, verdict) into the memories."""
+        return self.store.commit({"memory": self._judged(verdicts)})
 
     def pin(self, ids: DataFrame, value: bool = True) -> str:
-        return self._commit(write.set_flag(self.memory, ids, "pinned", value, ("rule", "preference")))
+        return self.store.commit({"memory": write.set_flag(self.memory, ids, "pinned", value, browse.STANDING)})
 
     def archive(self, ids: DataFrame) -> str:
-        return self._commit(write.set_flag(self.memory, ids, "archived", True))
+        return self.store.commit({"memory": write.set_flag(self.memory, ids, "archived", True)})
 
     def rules(self, project: str, k: int = 50) -> DataFrame:
         return recall.sorted_rules(self.live(), project, k)
@@ -101,7 +171,7 @@ class Engine:
         return graph.entity_list(self.entities, self.mentions, limit if 0 < limit <= 500 else 50, project)
 
     def stats(self) -> DataFrame:
-        return graph.project_stats(self.memory, self.entities, self.memory.select("project_key").limit(0))
+        return graph.project_stats(self.memory, self.entities, self.sessions)
 
     def consolidation_candidates(self) -> DataFrame:
         return cluster.clusters(self.live(), self.mentions)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mnemospark.functions.text import jaccard
+from mnemospark.functions.text import clean_aliases, jaccard
 from mnemospark.sources.scratch import written
 
 
@@ -69,3 +69,22 @@ def valid_merges(merges: DataFrame, members: DataFrame, max_bytes: int = 1500) -
     asked = merges.select("label", "merge_no", F.size(F.array_distinct("ids")).alias("n"))
     out = held.join(asked, ["label", "merge_no"]).where((F.size("ids") == F.col("n")) & (F.col("n") >= 2) & F.col("fits") & (F.octet_length("content") <= max_bytes))
     return out.select("label", "merge_no", F.sort_array("ids").alias("ids"), "kind", "content")
+
+
+def canonical(merges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The memory that each merge makes, as a batch to save, and its members (label, merge_no, id).
+
+    It has the merge's title, kind and content, most members' project, and their entities and aliases in the order of the
+    merge's ids, ten at most. members(label, id, project_key, aliases, entities); a cluster, so a merge, has few members.
+    """
+    by = ["label", "merge_no"]
+    one = merges.select(*by, F.posexplode("ids").alias("seq", "id")).groupBy(*by, "id").agg(F.min("seq").alias("seq"))
+    held = one.join(members.select("label", "id", "project_key", "aliases", F.col("entities").alias("names")), ["label", "id"])
+    held = held.withColumns({"label": F.struct(*by), "aliases": F.coalesce("aliases", F.array().cast("array<string>"))})
+    aliases = united(held, "aliases", 1 << 20).select("label", clean_aliases(F.col("values")).alias("aliases"))
+    names = united(held, "names").select("label", F.transform("values", lambda n: F.struct(n.alias("name"), F.lit("topic").alias("type"))).alias("entities"))
+    made = majority_project(held).join(aliases, "label").join(names, "label").select("label.*", F.col("project").alias("project_key"), "aliases", "entities")
+    rows = merges.select(*by, "title", "kind", "content").join(made, by)
+    # merges are few: one for several memories of a cluster
+    rows = rows.withColumn("seq", F.row_number().over(W.orderBy(*by)).cast("long"))
+    return rows, held.select("label.*", "id")

@@ -1,0 +1,137 @@
+"""Batches against a row-by-row model of the same rules."""
+
+import hashlib
+import random
+
+from mnemospark.engine import Engine
+
+BATCH = """seq long, project_key string, title string, content string, kind string, aliases array<string>, entities array<struct<name:string,type:string>>,
+op string, target_id string, relations array<struct<a:string,verb:string,b:string>>, session string"""
+
+
+def key(project, content):
+    return hashlib.sha256(f"{project}\0{content.strip().lower()}".encode()).hexdigest()
+
+
+class Plain:
+    """The rules of saving, one row after the other."""
+
+    def __init__(self):
+        self.mem, self.edges, self.entities, self.mentions, self.newer = {}, {}, {}, set(), set()
+
+    def _replace(self, old, new):
+        self.mem[old]["gone"] = True
+        self.newer.add((new[:16], old[:16]))
+
+    def save(self, rows):
+        out = []
+        for seq, p, title, content, kind, aliases, entities, op, target, relations, _ in rows:
+            aimed = [h for h, m in self.mem.items() if h[:16] == target and not m["gone"]]
+            if op == "noop":
+                for h in aimed:
+                    self.mem[h]["seen"] += 1
+                    self.mem[h]["aliases"] += [a for a in aliases if a not in self.mem[h]["aliases"]]
+                    out.append((seq, h[:16], False, self.mem[h]["seen"], False))
+                continue
+            h = key(p, content)
+            new = h not in self.mem
+            m = self.mem.setdefault(h, {"seen": 0, "gone": False, "aliases": [], "title": (p, title.strip().lower(), kind)})
+            m["seen"] += 1
+            m["aliases"] += [a for a in aliases if a not in m["aliases"]]
+            for o in list(self.mem) if new else []:
+                if o != h and self.mem[o]["title"] == m["title"] and not self.mem[o]["gone"]:
+                    self._replace(o, h)
+            hit = False
+            for o in aimed if op == "update" else []:
+                if o != h and not self.mem[o]["gone"]:
+                    self._replace(o, h)
+                    hit = True
+            names = {}
+            for name, etype in entities:
+                if name.strip():
+                    names.setdefault(name.strip().lower(), (f"{p}\0{name.strip().lower()}", name.strip(), etype.strip() or "other"))
+            for k, name, etype in names.values():
+                self.entities.setdefault(k, (name, etype))
+                self.mentions.add((h, k))
+            keys = sorted(k for k, _, _ in names.values())
+            verbs = {(a, b): "" for i, a in enumerate(keys) for b in keys[i + 1 :]}
+            for a, verb, b in relations:
+                ka, kb = (names.get(x.strip().lower(), (None,))[0] for x in (a, b))
+                if ka and kb and ka != kb:
+                    verbs[min(ka, kb), max(ka, kb)] = verb.strip()
+            for pair, verb in verbs.items():
+                w, v = self.edges.get(pair, (0, verb))
+                self.edges[pair] = (w + 1, v)
+            out.append((seq, h[:16], new, m["seen"], hit))
+        return out
+
+
+def rows(rng, n, ids):
+    names = ["Alpha", "beta", " alpha ", "Gamma", "delta", ""]
+    for seq in range(n):
+        p, i = rng.choice("pq"), rng.randrange(14)
+        ents = [(rng.choice(names), rng.choice(["tool", ""])) for _ in range(rng.randrange(4))]
+        rel = [(rng.choice(names), rng.choice(["uses", " needs ", ""]), rng.choice(names)) for _ in range(rng.randrange(3))]
+        target = rng.choice([*ids, key(p, f"text number{rng.randrange(14)}")[:16], "", None])
+        yield (seq, p, rng.choice(["One", " one", "Two", "Three"]), f"text number{i}" + " " * (seq % 2), rng.choice(["fact", "rule"]), rng.sample(["speedy", "wobble", "zigzag"], rng.randrange(3)), ents, rng.choice(["add", "add", "update", "noop"]), target, rel, rng.choice(["s1", "s2", None]))
+
+
+def test_batches_equal_row_by_row(spark, tmp_path):
+    rng = random.Random(5)
+    e, plain, ids, now = Engine(spark, str(tmp_path / "s"), lambda: 1000), Plain(), [], 0
+    for n in (12, 25, 40):
+        batch = list(rows(rng, n, ids))
+        _, outcomes = e.save(spark.createDataFrame(batch, BATCH))
+        assert sorted((r.seq, r.id, r.new, r.seen, r.updated) for r in outcomes.collect()) == sorted(plain.save(batch))
+        mem = e.memory.collect()
+        assert {(r.hash, r.seen_count, r.superseded, tuple(r.aliases)) for r in mem} == {(h, m["seen"], m["gone"], tuple(m["aliases"])) for h, m in plain.mem.items()} and len(mem) == len(plain.mem)
+        assert {(r.k1, r.k2): (r.weight, r.verb or "") for r in e.related.collect()} == plain.edges
+        assert {r.entity_key: (r["name"], r.etype) for r in e.entities.collect()} == plain.entities
+        assert sorted(tuple(r) for r in e.mentions.select("hash", "entity_key").collect()) == sorted(plain.mentions)
+        assert sorted(tuple(r) for r in e.table("replacements").select("newer", "older").collect()) == sorted(plain.newer)
+        ids = [h[:16] for h in plain.mem]
+    assert any(m["gone"] for m in plain.mem.values()) and any(w > 1 for w, _ in plain.edges.values())
+    assert {r.id for r in e.sessions.collect()} == {"s1", "s2"} and {r.project_key for r in e.table("projects").collect()} == {"p", "q"}
+
+
+def test_alias_tokens_of_noops(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), lambda: 1000)
+    first = (0, "p", "Loader", "loads parquet", "fact", ["ingest"], [], "add", None, [], None)
+    e.remember(spark.createDataFrame([first], BATCH))
+    noop = (0, "p", "", "", "", ["parquet reader"], [], "noop", key("p", "loads parquet")[:16], [], None)
+    e.remember(spark.createDataFrame([noop, (1, *noop[1:])], BATCH))
+    m = e.memory.first()
+    assert (m.seen_count, m.aliases) == (3, ["ingest", "parquet reader"]) and m.alias_only == ["ingest", "reader"]
+
+
+def test_sessions_and_shared_tables(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), lambda: 1000)
+    e.remember(spark.createDataFrame([(0, "p", "A", "text", "fact", [], [], "add", None, [], "s1")], BATCH))
+    first = e.store.manifest(e.store.current())["memory"]
+    assert e.cursor("s1") == 0 and e.cursor("nobody") == 0
+    e.set_cursor(spark.createDataFrame([("s1", "p", 7), ("s2", "q", 3)], "id string, project_key string, line long"))
+    e.touch(spark.createDataFrame([("s1", "z", "f", "c", True, 5)], "id string, project_key string, path string, cwd string, agent boolean, at long"))
+    got = {r.id: (r.project_key, r.path, r.agent, r.cursor, r.started_at) for r in e.sessions.collect()}
+    assert got == {"s1": ("p", "f", True, 7, 1000), "s2": ("q", None, False, 3, 1000)}
+    assert e.store.manifest(e.store.current())["memory"] == first  # not written again
+    e.store.prune(1)
+    assert e.store.clean(-10) == [] and e.memory.count() == 1 and e.cursor("s2") == 3 and len(e.backups()) == 1
+    e.dispute(e.memory.select("id"), archive=True)
+    assert [(r.disputed_count, r.archived) for r in e.memory.collect()] == [(1, True)]
+
+
+def test_consolidation_replaces_members(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), lambda: 86_400)
+    text = "warm parquet cache before nightly jobs begin"
+    batch = [(i, p, f"Cache {i}", f"{text} variant{i}", "fact", [f"alias{i}"], [("cache", ""), (f"only{i}", "")], "add", None, [], None) for i, p in enumerate(("p", "q", "q"))]
+    e.remember(spark.createDataFrame([(i, "p", *r[2:]) if i == 0 else (i, "p", *r[2:]) for i, r in enumerate(batch)], BATCH))
+    found = e.consolidation_candidates().collect()
+    assert len(found) == 3
+    ids = [key("p", f"{text} variant{i}")[:16] for i in (2, 0)]
+    schema = "label string, merge_no int, ids array<string>, title string, kind string, content string"
+    assert e.consolidate(spark.createDataFrame([(found[0].label, 0, [ids[0], "other"], "T", "fact", "c")], schema)) is None
+    e.consolidate(spark.createDataFrame([(found[0].label, 0, ids, "Cache", "fact", "warm the cache")], schema))
+    live = {r.title: r for r in e.live().collect()}
+    assert set(live) == {"Cache", "Cache 1"} and live["Cache"].aliases == ["alias2", "alias0"] and live["Cache"].source_session == "consolidate-19700102"
+    assert {(r.newer, r.older) for r in e.table("replacements").collect()} == {(live["Cache"].id, i) for i in ids}
+    assert {r.entity_key[2:] for r in e.mentions.join(e.memory.where("title = 'Cache'"), "hash", "left_semi").collect()} == {"cache", "only0", "only2"}
