@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
-from mnemospark.operators import browse, cluster, evaluate, extraction, graph, recall, sessions, write
+from mnemospark.operators import browse, cluster, evaluate, extraction, graph, recall, save, sessions, write
 from mnemospark.sources import transcripts
 from mnemospark.streaming import state
 
@@ -59,6 +59,35 @@ def _batch(m: Model) -> DataFrame:
     return write.upsert_memories(old, batch, NOW).select("id", "seen_count", F.col("last_seen_at").cast("long").alias("last_seen_at"), "superseded")
 
 
+def _save(m: Model) -> tuple[DataFrame, DataFrame]:
+    """Old memories, and a staged batch over them: new rows, updates of other memories, repeats and noops, with relations."""
+    mem = m.memory
+    old = mem.where(f"seq % {BATCH} <> 1").withColumns({"injected_count": F.lit(0).cast("long"), "source_session": F.lit(None).cast("string")})
+    named = m.mentions.groupBy("hash").agg(F.sort_array(F.collect_set(F.struct("name", F.col("etype").alias("type")))).alias("entities"))
+    aim = mem.select((F.col("seq") - 2).alias("seq"), F.col("id").alias("aim"))
+    b = mem.where(f"seq % {BATCH} in (1, 2)").join(named, "hash").join(aim, "seq", "left")
+    turn, verb = F.col("seq") % (2 * BATCH), F.col("seq") % 3
+    op = F.when(turn == BATCH + 1, "update").when(turn == BATCH + 2, "noop").otherwise("add")
+    ends = F.struct(F.element_at("entities", 1)["name"].alias("a"), F.when(verb > 0, F.concat(F.lit("v"), verb.cast("string"))).otherwise("").alias("verb"), F.element_at("entities", -1)["name"].alias("b"))
+    columns = ("seq", "project_key", "title", "content", "kind", "aliases", "entities")
+    return old, save.staged(b.select(*columns, op.alias("op"), F.when(op == "noop", F.col("id")).otherwise(F.col("aim")).alias("target_id"), F.array(ends).alias("relations")))
+
+
+def _saved_memories(m: Model) -> DataFrame:
+    old, b = _save(m)
+    out = save.memories_after(old, save.effects(old, b), NOW)
+    return out.select("id", "title", "kind", "seen_count", "last_seen_at", "superseded", joined("keywords"))
+
+
+def _saved_edges(m: Model) -> DataFrame:
+    old, b = _save(m)
+    held = m.mentions.join(old.select("hash"), "hash", "left_semi")
+    before = graph.cooccurrence(held.select(F.col("hash").alias("item"), F.col("entity_key").alias("key")))
+    before = before.select("*", F.lit(None).cast("string").alias("verb"), F.lit(0).cast("long").alias("last_seen_at"))
+    shown = lambda c: F.translate(c, "\0", "|").alias(c)
+    return save.related_after(before, save.edges_of(b), NOW).select(shown("k1"), shown("k2"), "weight", "verb", "last_seen_at")
+
+
 def _archive(m: Model) -> DataFrame:
     n = _shown_counts(m).select("ref", "injected")
     held = m.live.withColumn("ref", F.col("seq") % 100).join(n, "ref").withColumnRenamed("used_count", "used")
@@ -279,6 +308,10 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "two_hop_neighbourhood": lambda m: graph.two_hops(_basket_edges(m), 10, 1),
     "supersession_chains": lambda m: graph.chains(m.memory),
     "supersede_same_title": _batch,
+    "saved_outcomes": lambda m: save.effects(*_save(m)).outcomes,
+    "saved_memories": _saved_memories,
+    "saved_edges": _saved_edges,
+    "saved_replacements": lambda m: save.replacements(save.effects(*_save(m))),
     "supersede_by_target": lambda m: (lambda mem: write.supersede_targets(mem, mem.where("seq % 11 = 3").select(F.col("id").alias("target_id"))))(m.memory),
     "reobserve": lambda m: (lambda mem: write.reobserve(mem, mem.where("seq % 13 = 0").select(F.col("id").alias("target_id")).union(mem.where("seq % 26 = 0").select("id")), NOW))(m.memory),
     "feedback_counters": lambda m: write.feedback(_verdicts(m)),

@@ -115,6 +115,18 @@ turn(session, ref, began) AS (SELECT session, ref, min(us) FROM calls GROUP BY 1
 gated AS (SELECT t.session, t.ref, t.began, bool_or(c.searched) AS searched, NOT arg_min(c.searched, (c.us, c.event_id)) AS fired FROM turn t JOIN calls c ON c.session = t.session AND c.ref = t.ref AND c.us BETWEEN t.began AND t.began + 86400000000 GROUP BY 1, 2, 3)
 """
 
+#: A batch over the memories without every tenth, row by row: when each memory is replaced, and which rows count.
+SAVED = PRELUDE + rf""", old AS (SELECT * FROM memory WHERE seq % {BATCH} <> 1),
+row AS (SELECT m.seq, m.hash, m.id, m.title, m.project_key, m.kind, m.keywords, lower(regexp_replace(m.title, '^[\s\pZ\x0b\x85]+|[\s\pZ\x0b\x85]+$', '', 'g')) AS title_lc, t.hash AS target,
+    CASE m.seq % {2 * BATCH} WHEN {BATCH + 1} THEN 'update' WHEN {BATCH + 2} THEN 'noop' ELSE 'add' END AS op FROM memory m LEFT JOIN memory t ON t.seq = m.seq + 2 WHERE m.seq % {BATCH} IN (1, 2)),
+made AS (SELECT * FROM row WHERE seq % {BATCH} = 1),
+every AS (SELECT hash, project_key, title_lc, kind, -1 AS made, superseded AS was FROM old UNION ALL SELECT hash, project_key, title_lc, kind, seq, false FROM made),
+by_title AS (SELECT e.hash, arg_min(m.hash, m.seq) AS newer, min(m.seq) AS at FROM every e JOIN made m ON m.project_key = e.project_key AND m.title_lc = e.title_lc AND m.kind = e.kind AND m.seq > e.made WHERE NOT was GROUP BY 1),
+by_id AS (SELECT e.hash, arg_min(r.hash, r.seq) AS newer, min(r.seq) AS at FROM every e JOIN row r ON r.op = 'update' AND r.target = e.hash AND r.seq > e.made WHERE NOT was GROUP BY 1),
+gone AS (SELECT hash, CASE WHEN coalesce(t.at <= i.at, i.at IS NULL) THEN t.newer ELSE i.newer END AS newer, CASE WHEN coalesce(t.at <= i.at, i.at IS NULL) THEN t.at ELSE i.at END AS at, NOT coalesce(t.at <= i.at, i.at IS NULL) AS asked
+  FROM by_title t FULL JOIN by_id i USING (hash)),
+counted AS (SELECT r.*, o.seen_count AS before FROM row r LEFT JOIN old o USING (hash) LEFT JOIN gone g USING (hash) WHERE r.op <> 'noop' OR (NOT o.superseded AND coalesce(r.seq < g.at, true)))
+"""
 SQL: dict[str, str] = {
     "tokenize_documents": f"WITH r AS (SELECT doc_id, {raw_tokens('text')} AS raw FROM documents) SELECT doc_id, array_to_string({ordered('raw', 32)}, ' ') AS tokens FROM r",
     "tokenize_pages": f"WITH r AS (SELECT page_id, {raw_tokens('html')} AS raw FROM pages) SELECT page_id, array_to_string({ordered('raw', 32)}, ' ') AS tokens FROM r",
@@ -158,6 +170,17 @@ SELECT pos, CASE WHEN length(title) <= 20 THEN title ELSE rtrim(substr(title, 1,
 nxt AS (SELECT hash, id, project_key, title_lc, kind, superseded, seen_count, last_seen_at, CAST(0 AS BIGINT) AS ord, hash IN (SELECT hash FROM batch) AS again FROM old UNION ALL SELECT hash, id, project_key, title_lc, kind, false, 1, {NOW}, seq + 1, false FROM batch WHERE hash NOT IN (SELECT hash FROM old))
 SELECT id, seen_count + CASE WHEN again THEN 1 ELSE 0 END AS seen_count, CASE WHEN again THEN {NOW} ELSE last_seen_at END AS last_seen_at,
   superseded OR EXISTS (SELECT 1 FROM nxt b WHERE b.ord > a.ord AND b.project_key = a.project_key AND b.title_lc = a.title_lc AND b.kind = a.kind) AS superseded FROM nxt a""",
+    "saved_outcomes": SAVED + "SELECT seq, id, title, kind, before IS NULL AS new, coalesce(before, 0) + 1 AS seen, EXISTS (SELECT 1 FROM gone WHERE asked AND gone.at = counted.seq) AS updated FROM counted",
+    "saved_memories": SAVED + f"""SELECT id, title, kind, seen_count + CASE WHEN hash IN (SELECT hash FROM counted) THEN 1 ELSE 0 END AS seen_count,
+  CASE WHEN hash IN (SELECT hash FROM counted) THEN {NOW} ELSE last_seen_at END AS last_seen_at, superseded OR hash IN (SELECT hash FROM gone) AS superseded, array_to_string(keywords, ' ') AS keywords FROM old
+UNION ALL SELECT id, title, kind, 1, {NOW}, hash IN (SELECT hash FROM gone), array_to_string(keywords, ' ') FROM made""",
+    "saved_edges": SAVED + f""", span AS (SELECT hash, min(entity_key) AS lo, max(entity_key) AS hi FROM mentions GROUP BY 1),
+pair AS (SELECT a.hash, a.entity_key AS k1, b.entity_key AS k2 FROM mentions a JOIN mentions b ON a.hash = b.hash AND a.entity_key < b.entity_key),
+fresh AS (SELECT k1, k2, count(*) AS w, arg_min(CASE WHEN k1 = lo AND k2 = hi AND seq % 3 > 0 THEN 'v' || (seq % 3) ELSE '' END, seq) AS v FROM pair JOIN row USING (hash) JOIN span USING (hash) WHERE op <> 'noop' GROUP BY 1, 2),
+was AS (SELECT k1, k2, count(*) AS w FROM pair WHERE hash IN (SELECT hash FROM old) GROUP BY 1, 2)
+SELECT replace(k1, chr(0), '|') AS k1, replace(k2, chr(0), '|') AS k2, coalesce(was.w, 0) + coalesce(fresh.w, 0) AS weight, CASE WHEN was.w IS NULL THEN nullif(v, '') END AS verb, CASE WHEN fresh.w IS NULL THEN 0 ELSE {NOW} END AS last_seen_at
+  FROM was FULL JOIN fresh USING (k1, k2)""",
+    "saved_replacements": SAVED + "SELECT substr(newer, 1, 16) AS newer, substr(hash, 1, 16) AS older FROM gone",
     "supersede_by_target": PRELUDE + "SELECT id, true AS superseded FROM memory WHERE seq % 11 = 3",
     "reobserve": PRELUDE + f"SELECT id, seen_count + CASE WHEN seq % 26 = 0 THEN 2 ELSE 1 END AS seen_count, CAST({NOW} AS BIGINT) AS last_seen_at FROM memory WHERE seq % 13 = 0 AND NOT superseded",
     "feedback_counters": PRELUDE + "SELECT ref, count(*) FILTER (verdict = 'used') AS used, count(*) FILTER (verdict <> 'used') AS disputed, max(vat) FILTER (verdict = 'used') AS last_used FROM verdict GROUP BY 1",
