@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
 from mnemospark.operators import browse, cluster, graph, recall, save, write
 from mnemospark.sources.scratch import written
-from mnemospark.sources.snapshots import Store
+from mnemospark.sources.snapshots import Store, bucket
 
 MEMORY = """hash string, id string, title string, title_lc string, content string, kind string, project_key string, keywords array<string>, aliases array<string>, alias_only array<string>,
 created_at long, last_seen_at long, seen_count long, used_count long, disputed_count long, last_used_at long, injected_count long, superseded boolean, archived boolean, pinned boolean, source_session string"""
@@ -24,6 +25,9 @@ TABLES = {
     "projects": "project_key string, name string, created_at long",
 }
 
+#: Tables whose rows are only ever added.
+GROWN = ("replacements",)
+
 
 class Engine:
     """remember, consolidate, sessions, search, retrieve, feedback, pin, archive, entities, stats, backup and restore."""
@@ -31,8 +35,26 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, clock=lambda: int(time.time())):
         self.spark, self.store, self.clock = spark, Store(spark, root), clock
 
-    def table(self, name: str) -> DataFrame:
-        return self.store.read(name) if self.store.has(name) else self.spark.createDataFrame([], TABLES[name])
+    def table(self, name: str, buckets: set[str] | None = None) -> DataFrame:
+        held = self.store.has(name, buckets)
+        return self.store.read(name, parts=buckets) if held else self.spark.createDataFrame([], TABLES[name])
+
+    def _by(self) -> dict[str, Column]:
+        """Tables dealt to buckets by project: a save, verdict or flag writes those of the projects it touches only."""
+        project = F.col("project_key")
+        return {"memory": project, "entities": project, "mentions": F.substring_index("entity_key", "\0", 1), "related": F.substring_index("k1", "\0", 1)}
+
+    def _buckets(self, *projects: DataFrame) -> set[str]:
+        """The buckets of these project_keys: a bounded number."""
+        rows = [df.select(bucket(F.col("project_key")).alias("b")) for df in projects]
+        return {r["b"] for r in reduce(DataFrame.union, rows).distinct().collect()}
+
+    def _change(self, ids: DataFrame, change) -> str | None:
+        """Apply a change to the memories, of which only the buckets that hold ids(id) are read and written; none held, no change."""
+        touched = self._buckets(self.memory.join(ids.select("id").distinct(), "id", "left_semi"))
+        if not touched:
+            return self.store.current()
+        return self.store.commit({"memory": change(self.table("memory", touched))}, self._by(), touched)
 
     @property
     def memory(self) -> DataFrame:
@@ -57,23 +79,25 @@ class Engine:
     def live(self) -> DataFrame:
         return self.memory.where("not coalesce(superseded, false) and not coalesce(archived, false)")
 
-    def _saved(self, batch: DataFrame, now: int) -> tuple[dict[str, DataFrame], DataFrame]:
-        """The tables after a batch, and what became of its rows."""
+    def _saved(self, batch: DataFrame, now: int, also: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame, set[str]]:
+        """The tables after a batch, what became of its rows, and the buckets this touches, with those of the projects of `also`."""
         # the batch is read by every table's plan, so it is staged once
         b = written(save.staged(batch), "staged")
-        mem = self.memory
+        aims = b.where("target_id <> ''").select(F.col("target_id").alias("id")).distinct()
+        touched = self._buckets(b, self.memory.join(aims, "id", "left_semi"), *([also] if also is not None else []))
+        mem = self.table("memory", touched)
         done = save.effects(mem, b)
         found = save.named(b)
         tables = {
             "memory": save.memories_after(mem, done, now),
-            "entities": save.entities_after(self.entities, found, now),
-            "mentions": save.mentions_after(self.mentions, found),
-            "related": save.related_after(self.related, save.edges_of(b), now),
-            "replacements": self.table("replacements").unionByName(save.replacements(done)),
+            "entities": save.entities_after(self.table("entities", touched), found, now),
+            "mentions": save.mentions_after(self.table("mentions", touched), found),
+            "related": save.related_after(self.table("related", touched), save.edges_of(b), now),
+            "replacements": save.replacements(done),
             "sessions": save.sessions_after(self.sessions, b.select(F.col("session").alias("id"), "project_key", "seq"), now),
             "projects": save.projects_after(self.table("projects"), b, now),
         }
-        return tables, done.outcomes
+        return tables, done.outcomes, touched
 
     def remember(self, batch: DataFrame) -> str:
         """Save a batch (operators.save says of what) as the next version; all of it is seen, or nothing."""
@@ -81,10 +105,10 @@ class Engine:
 
     def save(self, batch: DataFrame) -> tuple[str, DataFrame]:
         """The next version, and (seq, id, title, kind, new, seen, updated) of each row that counted."""
-        tables, outcomes = self._saved(batch, self.clock())
-        # read from the version before this one, which the commit would move
+        tables, outcomes, touched = self._saved(batch, self.clock())
+        # read from the version before this one, which could be pruned
         outcomes = written(outcomes, "outcomes")
-        return self.store.commit(tables), outcomes
+        return self.store.commit(tables, self._by(), touched, GROWN), outcomes
 
     def touch(self, touched: DataFrame) -> str:
         """Note sessions as they run: touched(id, project_key, path, cwd, agent, at). The project stays, the agent mark sticks."""
@@ -116,21 +140,22 @@ class Engine:
         rows = written(rows.withColumn("session", F.concat(F.lit("consolidate-"), F.date_format(F.timestamp_seconds(F.lit(now)), "yyyyMMdd"))), "canonical")
         if rows.isEmpty():
             return None
-        tables, _ = self._saved(rows, now)
+        tables, _, touched = self._saved(rows, now, also=members)
         keeper = save.staged(rows).select("label", "merge_no", F.col("id").alias("keeper"))
         m, edges = save.superseded_by(tables["memory"], pairs.join(keeper, ["label", "merge_no"]).select("keeper", "id"))
-        return self.store.commit(tables | {"memory": m, "replacements": tables["replacements"].unionByName(edges)})
+        return self.store.commit(tables | {"memory": m, "replacements": tables["replacements"].unionByName(edges)}, self._by(), touched, GROWN)
 
-    def backfill_aliases(self, call=browse.rule_based_aliases, prefix: str = "") -> str:
+    def backfill_aliases(self, call=browse.rule_based_aliases, prefix: str = "") -> str | None:
         """Ask call for aliases of the memories that never had any, and store them with their tokens."""
         a = browse.backfill(self.memory, call, prefix).withColumn("aliases", X.clean_aliases(F.col("aliases")))
         a = written(a.withColumn("tokens", X.tokenize(F.concat_ws(" ", "aliases"), 24)), "aliases")
-        return self.store.commit({"memory": write.set_aliases(self.memory, a)})
+        return self._change(a, lambda mem: write.set_aliases(mem, a))
 
-    def dispute(self, ids: DataFrame, archive: bool = False) -> str:
+    def dispute(self, ids: DataFrame, archive: bool = False) -> str | None:
         """Count a dispute against memories by hand and, if wanted, archive them."""
-        m = self._judged(ids.select("id", F.lit("wrong").alias("verdict")))
-        return self.store.commit({"memory": write.set_flag(m, ids, "archived", True) if archive else m})
+        verdicts = ids.select("id", F.lit("wrong").alias("verdict"))
+        flagged = (lambda mem: write.set_flag(mem, ids, "archived", True)) if archive else (lambda mem: mem)
+        return self._change(ids, lambda mem: flagged(self._judged(mem, verdicts)))
 
     def scored(self, prompt: str, project: str = "", extra: tuple[str, ...] = (), min_match: float = 0.0) -> DataFrame:
         row = self.spark.range(1).select(X.tokenize(F.lit(prompt), 32).alias("t")).first()
@@ -148,21 +173,25 @@ class Engine:
         s = recall.excluding(s, shown) if shown is not None else s
         return recall.budgeted(s.withColumn("line", recall.memory_line(self.clock())), [F.desc("score"), "id"], "line", budget)
 
-    def _judged(self, verdicts: DataFrame) -> DataFrame:
+    def _judged(self, mem: DataFrame, verdicts: DataFrame) -> DataFrame:
         f = write.feedback(verdicts.select(F.col("id").alias("ref"), "verdict", F.lit(self.clock()).cast("long").alias("at")))
-        m = self.memory.join(f.withColumnRenamed("ref", "id"), "id", "left")
-        m = m.withColumns({"used_count": F.col("used_count") + F.coalesce("used", F.lit(0)), "disputed_count": F.col("disputed_count") + F.coalesce("disputed", F.lit(0)), "last_used_at": F.coalesce("last_used", "last_used_at")})
-        return m.select(*self.memory.columns)
-
-    def feedback(self, verdicts: DataFrame) -> str:
+        m = mem.join(f.withColumnRenamed("ref", "id"), "id", "left")
+        m = m.withColumns({
+            "used_count": F.col("used_count") + F.coalesce("used", F.lit(0)),
+            "disputed_count": F.col("disputed_count") + F.coalesce("disputed", F.lit(0)),
+            "last_used_at": F.coalesce("last_used", "last_used_at"),
+        })
+        return m.select(*mem.columns)
+
+    def feedback(self, verdicts: DataFrame) -> str | None:
         """Count verdicts(id, verdict) into the memories."""
-        return self.store.commit({"memory": self._judged(verdicts)})
+        return self._change(verdicts, lambda mem: self._judged(mem, verdicts))
 
-    def pin(self, ids: DataFrame, value: bool = True) -> str:
-        return self.store.commit({"memory": write.set_flag(self.memory, ids, "pinned", value, browse.STANDING)})
+    def pin(self, ids: DataFrame, value: bool = True) -> str | None:
+        return self._change(ids, lambda mem: write.set_flag(mem, ids, "pinned", value, browse.STANDING))
 
-    def archive(self, ids: DataFrame) -> str:
-        return self.store.commit({"memory": write.set_flag(self.memory, ids, "archived", True)})
+    def archive(self, ids: DataFrame) -> str | None:
+        return self._change(ids, lambda mem: write.set_flag(mem, ids, "archived", True))
 
     def rules(self, project: str, k: int = 50) -> DataFrame:
         return recall.sorted_rules(self.live(), project, k)

@@ -37,6 +37,7 @@ def staged(batch: DataFrame) -> DataFrame:
     for name, (kind, value) in OPTIONAL.items():
         if name not in batch.columns:
             batch = batch.withColumn(name, F.lit(value).cast(kind))
+    batch = batch.withColumn("project_key", F.coalesce("project_key", F.lit("")))
     b = batch.withColumns({
         "op": F.coalesce("op", F.lit("add")),
         "hash": X.content_hash(F.col("project_key"), F.col("content")),

@@ -135,3 +135,27 @@ def test_consolidation_replaces_members(spark, tmp_path):
     assert set(live) == {"Cache", "Cache 1"} and live["Cache"].aliases == ["alias2", "alias0"] and live["Cache"].source_session == "consolidate-19700102"
     assert {(r.newer, r.older) for r in e.table("replacements").collect()} == {(live["Cache"].id, i) for i in ids}
     assert {r.entity_key[2:] for r in e.mentions.join(e.memory.where("title = 'Cache'"), "hash", "left_semi").collect()} == {"cache", "only0", "only2"}
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), lambda: 1000)
+    batch = [(i, f"p{i}", "T", f"text {i}", "rule", [], [("a", ""), ("b", "")], "add", None, [], None) for i in range(8)]
+    first = e.remember(spark.createDataFrame(batch, BATCH))
+    before = e.store.manifest(first)["memory"]
+    second = e.pin(e.memory.where("project_key = 'p3'").select("id"))
+    after = e.store.manifest(second)["memory"]
+    assert [k for k in after if after[k] != before[k]] == [k for k in after if after[k] == second] and list(after.values()).count(second) == 1
+    assert e.store.manifest(second)["related"] == e.store.manifest(first)["related"]
+    assert e.pin(spark.createDataFrame([("nobody",)], "id string")) == second
+    # an update of another project's memory reaches into its bucket
+    aim = e.memory.where("project_key = 'p5'").first().id
+    third, out = e.save(spark.createDataFrame([(0, "p1", "New", "more text", "fact", [], [], "update", aim, [], None), (1, None, "None", "no project", "fact", [], [("a", ""), ("b", "")], "add", None, [], None)], BATCH))
+    assert [(r.seq, r.updated) for r in out.orderBy("seq").collect()] == [(0, True), (1, False)]
+    got = {(r.project_key, r.title, r.superseded, r.pinned) for r in e.memory.collect()}
+    assert got == {(f"p{i}", "T", i == 5, i == 3) for i in range(8)} | {("p1", "New", False, False), ("", "None", False, False)}
+    assert e.related.count() == 9 and e.table("replacements").count() == 1 and e.entities.count() == 18
+    e.store.prune(1)
+    assert len(e.memory.collect()) == 10 and e.related.count() == 9 and e.backups() == [third] and e.store.clean(-10) == []
+    for i in range(3):
+        e.remember(spark.createDataFrame([(0, "p1", "New", f"again {i}", "fact", [], [], "add", None, [], None)], BATCH))
+    assert e.table("replacements").count() == 4 and e.memory.where("title = 'New' and not superseded").count() == 1
