@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
-from mnemospark.operators import browse, cluster, graph, recall, save, write
+from mnemospark.operators import browse, cluster, extraction, graph, recall, save, write
 from mnemospark.sources.scratch import written
 from mnemospark.sources.snapshots import Store, bucket
 
@@ -127,6 +127,69 @@ class Engine:
         row = self.sessions.where(F.col("id") == session).select("cursor").first()
         return row["cursor"] if row else 0
 
+    def extract(self, turns: DataFrame, jobs: DataFrame, call=extraction.rule_based_extractor, known: DataFrame | None = None, budget: int = 24_000) -> DataFrame:
+        """One chunk of each of jobs(session, project_key, final, agent): from turns(session, line, role, text) to saved memories.
+
+        call gets (session, project_key, prompt, known) in batches and returns (session, reply). known(session, ids) are the
+        memories that a reply may name. A session whose reply cannot be read keeps its cursor. Returns (session, plan, next, total, error, saved).
+        """
+        d = extraction.deltas(turns, jobs, self.sessions.select(F.col("id").alias("session"), "cursor"), budget)
+        none = F.array().cast("array<string>")
+        d = d.withColumn("known", none) if known is None else d.join(known.withColumnRenamed("ids", "known"), "session", "left").withColumn("known", F.coalesce("known", none))
+        d = written(d, "deltas")
+        replies = browse.through(d.where("plan = 'extract'").select("session", "project_key", "prompt", "known"), call, "session string, reply string")
+        # an answer is asked for once
+        replies = written(replies, "replies").join(d.select("session", "project_key", "agent", "known"), "session")
+        read = replies.withColumn("reply_id", F.col("session")).withColumn("ok", extraction.parsed(F.col("reply"))["memories"].isNotNull())
+        mems = extraction.memories(read.where("ok"), F.col("agent"), F.col("known")).withColumnRenamed("reply_id", "session")
+        triple = F.transform("relations", lambda r: F.struct(r[0].alias("a"), r[1].alias("verb"), r[2].alias("b")))
+        mems = mems.withColumn("relations", triple).join(d.select("session", "project_key"), "session")
+        # numbered in order of session and place without gathering them: by range, and by row within it
+        mems = mems.repartitionByRange("session", "pos").sortWithinPartitions("session", "pos").withColumn("seq", F.monotonically_increasing_id())
+        mems = written(mems, "extracted")
+        if not mems.isEmpty():
+            self.remember(mems)
+        verdicts = written(extraction.verdicts(read.where("ok"), F.col("agent"), F.col("known")), "verdicts")
+        if not verdicts.isEmpty():
+            self.feedback(verdicts)
+        done = d.join(read.select("session", "ok"), "session", "left").join(mems.groupBy("session").agg(F.count("*").alias("saved")), "session", "left")
+        # a call that returns no row for a session has failed it
+        failed = (F.col("plan") == "extract") & ~F.coalesce("ok", F.lit(False))
+        done = done.select("session", "project_key", "plan", "next", "total", F.when(failed, "unreadable reply").alias("error"), F.coalesce("saved", F.lit(0)).alias("saved"))
+        done = written(done, "extractions")
+        moved = done.where("plan <> 'defer' and error is null").select(F.col("session").alias("id"), "project_key", F.col("next").alias("line"))
+        if not moved.isEmpty():
+            self.set_cursor(moved)
+        return done.drop("project_key")
+
+    def extract_all(self, turns: DataFrame, jobs: DataFrame, call=extraction.rule_based_extractor, budget: int = 24_000) -> int:
+        """Chunk after chunk, as long as a session moved on and has more; the number of rounds."""
+        rounds = 0
+        while True:
+            rounds += 1
+            done = self.extract(turns, jobs, call, budget=budget)
+            more = done.where("plan = 'extract' and error is null and next < total").select("session")
+            if more.isEmpty():
+                return rounds
+            jobs = jobs.join(more, "session", "left_semi")
+
+    def audit(self, lines: DataFrame, days: int = 7) -> DataFrame:
+        """(id, unread) of the sessions touched lately whose transcripts, lines(path, lines), go on beyond the cursor."""
+        recent = browse.newest_touched(self.sessions, self.clock() - days * 86_400)
+        return recent.join(lines, "path").where(F.col("lines") > F.col("cursor")).select("id", (F.col("lines") - F.col("cursor")).alias("unread"))
+
+    def reindex(self, apply: bool = False) -> DataFrame:
+        """(id, stored, fresh): memories whose words or alias words differ from what the tokenizer gives now; put right if wanted."""
+        none = F.array().cast("array<string>")
+        args = F.col("title"), F.col("content"), F.coalesce("aliases", none)
+        m = self.memory.select("id", F.coalesce("keywords", none).alias("kw"), F.coalesce("alias_only", none).alias("ao"), X.memory_keywords(*args).alias("keywords"), X.alias_only(*args).alias("alias_only"))
+        plan = m.where((F.array_sort("kw") != F.array_sort("keywords")) | (F.array_sort("ao") != F.array_sort("alias_only")))
+        plan = written(plan, "reindex")
+        if apply:
+            fresh = plan.select("id", F.col("keywords").alias("_kw"), F.col("alias_only").alias("_ao"))
+            self._change(plan, lambda mem: mem.join(fresh, "id", "left").withColumns({"keywords": F.coalesce("_kw", "keywords"), "alias_only": F.coalesce("_ao", "alias_only")}).select(*mem.columns))
+        return plan.select("id", F.size("kw").cast("long").alias("stored"), F.size("keywords").cast("long").alias("fresh"))
+
     def consolidate(self, merges: DataFrame) -> str | None:
         """Save each valid merge(label, merge_no, ids, title, kind, content) of a cluster as one memory that replaces its members.
 

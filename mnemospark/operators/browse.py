@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,6 +81,10 @@ def foreign_home(homes: DataFrame) -> DataFrame:
 
 def through(df: DataFrame, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Rows through a function of batches: the place of an external model. Every batch is sent once per attempt."""
+    # the function's module goes with it, so executors need not have it
+    home = sys.modules.get(getattr(call, "__module__", None) or "")
+    if home is not None:
+        cloudpickle.register_pickle_by_value(home)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

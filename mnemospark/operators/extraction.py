@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import clean_aliases, clip_chars, slice_json
+from mnemospark.operators import sessions
 
 #: The kinds a memory may have, and the verdicts on a shown one.
 KINDS, VERDICTS = ("fact", "decision", "preference", "rule", "reference"), ("used", "wrong", "outdated")
@@ -25,13 +30,14 @@ def memories(replies: DataFrame, foreign: Column, known: Column) -> DataFrame:
     rows = replies.select("reply_id", foreign.alias("foreign"), known.alias("known"), F.posexplode(F.slice(parsed(F.col("reply"))["memories"], 1, 8)).alias("pos", "m"))
     kind = F.when(F.col("m.type").isin(*KINDS), F.col("m.type")).otherwise("fact")
     kind = F.when(F.col("foreign") & kind.isin("rule", "preference"), "fact").otherwise(kind)
-    op = F.when(F.col("m.op").isin("update", "noop"), F.col("m.op")).otherwise("add")
-    hit = F.coalesce(F.array_contains("known", F.col("m.target_id")), F.lit(False))
+    asked, target = F.lower(F.trim("m.op")), F.trim("m.target_id")
+    op = F.when(asked.isin("update", "noop"), asked).otherwise("add")
+    hit = F.coalesce(F.array_contains("known", target), F.lit(False))
     op = F.when(F.col("foreign") & (op != "add"), F.when(op == "noop", "drop").otherwise("add")).when(hit, op).otherwise(F.when(op == "noop", "drop").otherwise("add"))
     entities = F.slice(F.filter("m.entities", lambda e: F.trim(e["name"]) != ""), 1, 10)
     relations = F.slice(F.filter("m.relations", lambda r: F.size(r) == 3), 1, 12)
     out = rows.select("reply_id", "pos", F.trim("m.title").alias("title"), clip_chars(F.trim("m.content"), 1500).alias("content"), kind.alias("kind"), entities.alias("entities"), relations.alias("relations"),
-        clean_aliases(F.coalesce("m.aliases", F.array().cast("array<string>"))).alias("aliases"), op.alias("op"), F.when(op == "update", F.col("m.target_id")).alias("target_id"))
+        clean_aliases(F.coalesce("m.aliases", F.array().cast("array<string>"))).alias("aliases"), op.alias("op"), F.when(op.isin("update", "noop"), target).alias("target_id"))
     return out.where((F.col("op") != "drop") & (F.col("content") != "") & (F.col("title") != ""))
 
 
@@ -39,3 +45,38 @@ def verdicts(replies: DataFrame, foreign: Column, shown: Column) -> DataFrame:
     """(reply_id, id, verdict): known verdicts on shown memories, none from foreign sessions."""
     rows = replies.where(~foreign).select("reply_id", shown.alias("shown"), F.explode(parsed(F.col("reply"))["feedback"]).alias("f"))
     return rows.where(F.col("f.verdict").isin(*VERDICTS) & F.array_contains("shown", F.col("f.id"))).select("reply_id", "f.id", "f.verdict")
+
+
+def deltas(turns: DataFrame, jobs: DataFrame, cursors: DataFrame, budget: int) -> DataFrame:
+    """What is to be done for each of jobs(session, project_key, final, agent): the chunk from its cursor on and the plan.
+
+    (session, project_key, agent, n, bytes, next, total, plan, prompt). The chunk is the part of the transcript that fits the budget,
+    so a prompt is bounded by that and one turn.
+    """
+    total = turns.groupBy("session").agg((F.max("line") + 1).cast("long").alias("total"))
+    ahead = sessions.from_cursor(turns.join(jobs.select("session"), "session", "left_semi"), cursors)
+    chunk = sessions.chunk_no(ahead, budget)
+    said = F.sort_array(F.collect_list(F.struct("line", F.concat("role", F.lit(": "), "text").alias("said"))))
+    got = chunk.groupBy("session").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.max("line").alias("last"), said.alias("said"))
+    after = ahead.join(got.select("session", "last"), "session").where(F.col("line") > F.col("last")).groupBy("session").agg(F.min("line").cast("long").alias("after"))
+    d = jobs.join(total, "session", "left").join(got, "session", "left").join(after, "session", "left")
+    d = d.withColumns({"n": F.coalesce("n", F.lit(0)), "bytes": F.coalesce("bytes", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
+    prompt = F.array_join(F.transform("said", lambda s: s["said"]), "\n")
+    return d.select("session", "project_key", "agent", "n", "bytes", F.coalesce("after", "total").alias("next"), "total", sessions.delta_plan(d).alias("plan"), prompt.alias("prompt"))
+
+
+def rule_based_extractor(batch: pd.DataFrame) -> pd.DataFrame:
+    """A deterministic stand-in for a model that extracts memories: standing wishes and decisions that users state in a line."""
+    signs = (("rule", r"\b(always|never|must)\b"), ("preference", r"\bprefer\b"), ("decision", r"\b(decided|we will)\b"))
+
+    def found(prompt: str) -> str:
+        out = []
+        for line in (prompt or "").split("\n"):
+            text = line.removeprefix("user: ").strip()
+            kind = next((k for k, sign in signs if re.search(sign, text, re.IGNORECASE)), None)
+            if kind and line.startswith("user: "):
+                names = [{"name": n, "type": "term"} for n in re.findall(r"`([^`]+)`", text)]
+                out.append({"title": " ".join(text.split()[:8]), "content": text, "type": kind, "op": "add", "entities": names, "relations": [], "aliases": []})
+        return json.dumps({"memories": out, "feedback": []})
+
+    return pd.DataFrame({"session": batch["session"], "reply": [found(p) for p in batch["prompt"]]})

@@ -209,6 +209,13 @@ SELECT session, CASE WHEN octet_length(encode(text)) <= 4000 THEN text ELSE left
     "stream_gate": PRELUDE + _gate + "SELECT session, count(*) AS prompts, count(*) FILTER (searched) AS searched, count(*) FILTER (fired) AS fired FROM gated GROUP BY 1",
     "gate_stats_day": PRELUDE + _gate + "SELECT count(*) AS prompts, count(*) FILTER (searched) AS searched, count(*) FILTER (fired) AS fired FROM gated WHERE began >= 1704067200000000 + 5 * 86400000000",
     "stream_debounce": PRELUDE + ", b AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY session ORDER BY us, event_id) <= 2700000000 THEN 0 ELSE 1 END AS new FROM ev), c AS (SELECT *, sum(new) OVER (PARTITION BY session ORDER BY us, event_id) AS burst FROM b) SELECT session, min(us) AS started, max(us) + 2700000000 AS fires, count(*) AS n FROM c GROUP BY session, burst",
+    "extraction_validate": r"""WITH r AS (SELECT item_id, trim(substr(text, 1, 30)) AS title, trim(repeat(text, CAST(item_id % 40 + 1 AS BIGINT))) AS content, item_id % 5 = 0 AS away, 'k' || (item_id % 4) AS target,
+    ['add', 'update', 'noop'][item_id % 3 + 1] AS asked, ['fact', 'rule', 'fact'][item_id % 3 + 1] AS type,
+    list_filter(list_transform(string_split(text, ' '), lambda a: lower(trim(regexp_replace(a, '\s+', ' ', 'g')))), lambda a: a <> '' AND strlen(a) <= 40) AS names FROM benchmark),
+o AS (SELECT *, CASE WHEN NOT away AND target IN ('k0', 'k1') THEN asked WHEN asked = 'noop' THEN 'drop' ELSE 'add' END AS op FROM r)
+SELECT item_id AS reply_id, unnest([0, 1]) AS pos, title, CASE WHEN strlen(content) <= 1500 THEN strlen(content) ELSE list_max(list_filter(list_transform(range(1, 1501), lambda n: strlen(left(content, n))), lambda b: b <= 1500)) END AS bytes,
+  CASE WHEN away THEN 'fact' ELSE type END AS kind, op, CASE WHEN op <> 'add' THEN target END AS target_id, array_to_string(list_filter(names, lambda x, i: list_position(names, x) = i)[1:10], ',') AS aliases
+  FROM o WHERE op <> 'drop' AND title <> '' AND content <> ''""",
     "memory_targets": PRELUDE + "SELECT id, title, kind, pinned FROM live WHERE contains(lower(title), 'the') ORDER BY title, id LIMIT 20",
     "pin_targets": PRELUDE + "SELECT id, title, kind, pinned FROM live WHERE kind IN ('rule', 'preference') AND contains(lower(title), 'an') ORDER BY title, id LIMIT 20",
     "pinned_listing": PRELUDE + "SELECT id, title, project_key, seen_count FROM live WHERE kind IN ('rule', 'preference') AND pinned",

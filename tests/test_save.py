@@ -3,6 +3,9 @@
 import hashlib
 import random
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from mnemospark.engine import Engine
 
 BATCH = """seq long, project_key string, title string, content string, kind string, aliases array<string>, entities array<struct<name:string,type:string>>,
@@ -159,3 +162,53 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     for i in range(3):
         e.remember(spark.createDataFrame([(0, "p1", "New", f"again {i}", "fact", [], [], "add", None, [], None)], BATCH))
     assert e.table("replacements").count() == 4 and e.memory.where("title = 'New' and not superseded").count() == 1
+
+
+TURNS, JOBS = "session string, line int, role string, text string", "session string, project_key string, final boolean, agent boolean"
+
+
+def test_extraction_from_transcripts(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), lambda: 1000)
+    filler = "so much to tell " * 20
+    turns = [("s1", 0, "user", "always warm the `parquet cache` first"), ("s1", 1, "assistant", filler), ("s1", 4, "user", "I prefer short replies"), ("s1", 5, "assistant", "fine"), ("s2", 0, "user", "never mind"), ("s3", 0, "user", "we must keep order " + filler)]
+    turns = spark.createDataFrame(turns, TURNS)
+    jobs = spark.createDataFrame([("s1", "p", True, False), ("s2", "p", False, False), ("s3", "q", False, True), ("s4", "q", False, False)], JOBS)
+    done = {r.session: (r.plan, r.next, r.total, r.saved) for r in e.extract(turns, jobs, budget=360).collect()}
+    assert done == {"s1": ("extract", 4, 6, 1), "s2": ("defer", 1, 1, 0), "s3": ("extract", 1, 1, 1), "s4": ("advance", 0, 0, 0)}
+    assert [e.cursor(s) for s in ("s1", "s2", "s3")] == [4, 0, 1]
+    assert e.extract_all(turns, jobs.where("session = 's1'"), budget=360) == 1
+    got = {(r.source_session, r.kind, r.content[:12]) for r in e.memory.collect()}
+    # an agent's rules are facts
+    assert got == {("s1", "rule", "always warm "), ("s1", "preference", "I prefer sho"), ("s3", "fact", "we must keep")}
+    assert [r["name"] for r in e.entities.collect()] == ["parquet cache"]
+    assert e.extract(turns, jobs.where("session = 's1'")).first().plan == "advance"
+
+
+def test_replies_that_cannot_be_read_and_noops(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), lambda: 1000)
+    e.remember(spark.createDataFrame([(0, "p", "A", "warm cache", "rule", [], [], "add", None, [], None)], BATCH))
+    held = e.memory.first().id
+    noop = '{"memories": [{"title": "A", "content": "warm cache", "type": "rule", "op": "noop", "target_id": "%s"}], "feedback": [{"id": "%s", "verdict": "used"}]}' % (held, held)
+
+    def call(batch):
+        return pd.DataFrame({"session": batch["session"], "reply": [noop if s == "s1" else "sorry" for s in batch["session"]]})
+
+    turns = spark.createDataFrame([(s, 0, "user", "x" * 300) for s in ("s1", "s2")], TURNS)
+    jobs = spark.createDataFrame([(s, "p", False, False) for s in ("s1", "s2")], JOBS)
+    known = spark.createDataFrame([("s1", [held])], "session string, ids array<string>")
+    done = {r.session: (r.error, r.next) for r in e.extract(turns, jobs, call, known).collect()}
+    assert done == {"s1": (None, 1), "s2": ("unreadable reply", 1)} and (e.cursor("s1"), e.cursor("s2")) == (1, 0)
+    m = e.memory.first()
+    assert (e.memory.count(), m.seen_count, m.used_count) == (1, 2, 1)
+
+
+def test_reindex_and_audit(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), lambda: 1000)
+    e.remember(spark.createDataFrame([(i, "p", "A", f"warm cache {w}", "rule", ["speedy"], [], "add", None, [], "s1") for i, w in enumerate(("alpha", "beta"))], BATCH))
+    assert e.reindex().collect() == []
+    stale = e.memory.withColumn("keywords", F.slice("keywords", 1, 2))
+    e.store.commit({"memory": stale}, e._by())
+    assert {(r.stored, r.fresh) for r in e.reindex(apply=True).collect()} == {(2, 4)}
+    assert e.reindex().collect() == [] and {len(r["keywords"]) for r in e.memory.collect()} == {4}
+    e.touch(spark.createDataFrame([("s1", "p", "f", "c", False, 900)], "id string, project_key string, path string, cwd string, agent boolean, at long"))
+    assert [tuple(r) for r in e.audit(spark.createDataFrame([("f", 7)], "path string, lines long")).collect()] == [("s1", 7)]

@@ -211,7 +211,7 @@ def test_extraction_policy(spark):
     got = {}
     for r in extraction.memories(df, F.col("foreign"), known).orderBy("reply_id", "pos").collect():
         got.setdefault(r.reply_id, []).append(r)
-    assert [(r.op, r.kind, r.target_id) for r in got[1]] == [("add", "rule", None), ("update", "rule", "k1"), ("add", "fact", None), ("noop", "rule", None), ("add", "rule", None)]
+    assert [(r.op, r.kind, r.target_id) for r in got[1]] == [("add", "rule", None), ("update", "rule", "k1"), ("add", "fact", None), ("noop", "rule", "k1"), ("add", "rule", None)]
     assert {(r.op, r.kind) for r in got[2]} == {("add", "fact")} and len(got[2]) == 4 and 3 not in got
     assert got[1][0].aliases == ["x"] and len(got[1][0].entities) == 1 and len(got[1][0].relations) == 1 and len(got[1][-1].content.encode()) == 1500
     assert [(r.reply_id, r.id, r.verdict) for r in extraction.verdicts(df, F.col("foreign"), shown).collect()] == [(1, "s1", "used")]
