@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
-from mnemospark.operators import browse, cluster, extraction, graph, recall, save, write
+from mnemospark.operators import browse, cluster, extraction, graph, recall, save, sessions, write
 from mnemospark.sources.scratch import written
 from mnemospark.sources.snapshots import Store, bucket
 
@@ -256,6 +256,38 @@ class Engine:
     def archive(self, ids: DataFrame) -> str | None:
         return self._change(ids, lambda mem: write.set_flag(mem, ids, "archived", True))
 
+    def mark_injected(self, shown: DataFrame) -> str | None:
+        """Count shown(id, at), a row per showing, into the memories."""
+        n = write.injected(shown.select(F.col("id").alias("ref"), "at")).select(F.col("ref").alias("id"), "injected")
+        counted = F.col("injected_count") + F.coalesce("injected", F.lit(0))
+        return self._change(shown, lambda mem: mem.join(n, "id", "left").withColumn("injected_count", counted).select(*mem.columns))
+
+    def learn(self, shown: DataFrame, verdicts: DataFrame, cap: int = 20) -> str | None:
+        """Memories that only a search found, and that were used, take words of that search as aliases, while they have under `cap`.
+
+        shown(session, ref, us, event_id, via, query, title, content) and verdicts(session, ref, verdict); ref is a memory's id.
+        """
+        t = sessions.learned_terms(shown, verdicts).groupBy(F.col("ref").alias("id")).agg(F.sort_array(F.collect_set(F.struct("session", "terms"))).alias("by_session"))
+        t = t.select("id", F.array_distinct(F.flatten(F.transform("by_session", lambda x: x["terms"]))).alias("aliases"))
+        t = written(t.withColumn("tokens", X.tokenize(F.concat_ws(" ", "aliases"), 24)), "learned")
+        return self._change(t, lambda mem: write.set_aliases(mem, t, cap))
+
+    def similar(self, text: str, project: str = "", k: int = 12, min_match: float = 2.0) -> DataFrame:
+        """The memories that are closest to a text."""
+        return recall.ranked(self.scored(text, project, min_match=min_match), k)
+
+    def session_start(self, project: str, home: str = "", budget: int = 8_000) -> tuple[DataFrame, DataFrame]:
+        """Lines of the rules and preferences that apply here, as many as fit, and a line on those that do not."""
+        held = recall.here_set(self.live(), project, home)
+        lines = recall.session_rules(held.where("kept"), project).withColumn("line", recall.memory_line(self.clock()))
+        order = ["group_no", F.desc("seen_count"), F.desc("last_seen_at"), "id"]
+        return recall.budgeted(lines, order, "line", budget).orderBy(*order).select("id", "group_no", "line"), browse.skipped_footer(held)
+
+    def entity(self, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The entities of a name, their neighbours, and the memories that mention them."""
+        ents, ment = self.entities, self.mentions
+        return graph.entity_nodes(ents, ment, name), graph.entity_relations(ents, self.related, name), graph.entity_memories(ents, ment, self.memory, name)
+
     def rules(self, project: str, k: int = 50) -> DataFrame:
         return recall.sorted_rules(self.live(), project, k)
 

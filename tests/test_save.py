@@ -212,3 +212,22 @@ def test_reindex_and_audit(spark, tmp_path):
     assert e.reindex().collect() == [] and {len(r["keywords"]) for r in e.memory.collect()} == {4}
     e.touch(spark.createDataFrame([("s1", "p", "f", "c", False, 900)], "id string, project_key string, path string, cwd string, agent boolean, at long"))
     assert [tuple(r) for r in e.audit(spark.createDataFrame([("f", 7)], "path string, lines long")).collect()] == [("s1", 7)]
+
+
+def test_verbs_of_a_session(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "s"), lambda: 1000)
+    rows = [(0, "p", "Cache rule", "warm the parquet cache", "rule", [], [("cache", ""), ("parquet", "")]), (1, "p", "Replies", "short replies", "preference", [], []), (2, "q", "Other", "other rule", "rule", [], []), (3, "p", "Fact", "a plain fact on loaders", "fact", [], [("cache", "")])]
+    e.remember(spark.createDataFrame([(*r, "add", None, [], None) for r in rows], BATCH))
+    lines, footer = e.session_start("p")
+    assert [(r.group_no, r.line.split("(")[0]) for r in lines.collect()] == [(1, "- [rule] Cache rule "), (2, "- [preference] Replies ")]
+    assert "1 rules + 0 preferences" in footer.first().line
+    assert [r.title for r in e.similar("plain loaders", min_match=0.1).collect()] == ["Fact"]
+    nodes, near, held = e.entity("Cache")
+    assert [(r["name"], r.mentions) for r in nodes.collect()] == [("cache", 2)] and [(r.neighbour, r.weight) for r in near.collect()] == [("parquet", 1)]
+    assert {r.title for r in held.collect()} == {"Cache rule", "Fact"}
+    fact = e.memory.where("kind = 'fact'").first()
+    e.mark_injected(spark.createDataFrame([(fact.id, 5), (fact.id, 6)], "id string, at long"))
+    shown = spark.createDataFrame([("s1", fact.id, 1, 1, "search", "ingest speedup", fact.title, fact.content), ("s2", fact.id, 2, 2, "", "", fact.title, fact.content)], "session string, ref string, us long, event_id long, via string, query string, title string, content string")
+    e.learn(shown, spark.createDataFrame([("s1", fact.id, "used"), ("s2", fact.id, "used")], "session string, ref string, verdict string"))
+    got = e.memory.where("kind = 'fact'").first()
+    assert got.injected_count == 2 and got.aliases == ["ingest", "speedup"] and [r.title for r in e.search("speedup").collect()] == ["Fact"]
