@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, class_lm, decontaminate, filter_audit, license_scan, merkle, near_dedup, packing, quality_classifier, quality_rules, url_filter
+from . import chat_format, class_lm, decontaminate, filter_audit, license_scan, merkle, near_dedup, packing, quality_classifier, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_merkle": merkle.op9_merkle,
         "op10_decontaminate": decontaminate.op10_decontaminate,
+        "op11_simhash": simhash.op11_simhash,
         "op13_filter_audit": filter_audit.op13_filter_audit,
         # what SQL can express of operators that it cannot express whole
         "quality_base": quality_rules.quality_base,
