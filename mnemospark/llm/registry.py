@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, class_lm, decontaminate, filter_audit, license_scan, merkle, near_dedup, packing, quality_classifier, quality_rules, simhash, url_filter
+from . import chat_format, class_lm, decontaminate, filter_audit, hard_negatives, license_scan, merkle, near_dedup, packing, quality_classifier, quality_rules, simhash, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_merkle": merkle.op9_merkle,
         "op10_decontaminate": decontaminate.op10_decontaminate,
         "op11_simhash": simhash.op11_simhash,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
         "op13_filter_audit": filter_audit.op13_filter_audit,
         # what SQL can express of operators that it cannot express whole
         "quality_base": quality_rules.quality_base,
@@ -36,6 +37,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_url_filter": url_filter.OP7_SQL,
         "op9_merkle": merkle.OP9_SQL,
         "op10_decontaminate": decontaminate.OP10_SQL,
+        "op12_hard_negatives": hard_negatives.OP12_SQL,
         "op13_filter_audit": filter_audit.OP13_SQL,
         "quality_base": quality_rules.BASE_SQL,
         "lm_base_scores": class_lm.BASE_SQL,
