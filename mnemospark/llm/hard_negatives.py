@@ -55,7 +55,7 @@ def _matrix(vectors: list[list[int]], wide: int) -> np.ndarray:
 
 
 def pivots_of(rows: DataFrame, wide: int, r2: int, sample: int = SAMPLE, n: int = PIVOTS) -> np.ndarray:
-    """At most n distinct augmented vectors of the sample, each the farthest from those before."""
+    """At most n distinct augmented vectors of the sample, picked as the farthest from those before."""
     held = rows.orderBy(F.xxhash64("vec_id", "row"), "row").limit(sample).select("vec").collect()
     v = _matrix([r["vec"] for r in held], wide).astype(float)
     v = np.column_stack([v, np.sqrt(np.maximum(r2 - (v * v).sum(1), 0))])
@@ -64,7 +64,11 @@ def pivots_of(rows: DataFrame, wide: int, r2: int, sample: int = SAMPLE, n: int
         chosen.append(v[far.argmax()])
         d = np.linalg.norm(v - chosen[-1], axis=1)
         far = d if len(chosen) == 1 else np.minimum(far, d)
-    return np.array(chosen or [v[0]])
+    # in a chain of neighbours, so that a block that spans two of them stays narrow
+    left, chain = chosen[1:], chosen[:1] or [v[0]]
+    while left:
+        chain.append(left.pop(int(np.argmin([np.linalg.norm(p - chain[-1]) for p in left]))))
+    return np.array(chain)
 
 
 def _distances(v: np.ndarray, pivots: np.ndarray, r2: int | None) -> np.ndarray:

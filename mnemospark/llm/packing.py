@@ -51,6 +51,18 @@ _RUN = re.compile(r"\s (?:\s|\Z)")
 _SENTENCE_ENDS = (".", "!", "?", "\n")
 
 
+@lru_cache(4)
+def specials(name: str) -> dict[str, int]:
+    """Strings that the tokenizer file makes one token of wherever they stand, with their ids."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name)) as f:
+        held = json.load(f)["added_tokens"]
+    if odd := [t for t in held if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+        raise ValueError(f"{name}: tokens that depend on what stands beside them: {odd}")
+    return {t["content"]: t["id"] for t in held}
+
+
 def check_same(name: str, pieces: dict[bytes, int]) -> None:
     """That ranked pieces are the whole vocabulary of the tokenizer file, each with its id."""
     import public_tokenizers
@@ -60,8 +72,7 @@ def check_same(name: str, pieces: dict[bytes, int]) -> None:
     # byte-level vocabularies write bytes as characters: printable ones as they are, the others from U+0100 on
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {t["content"] for t in held["added_tokens"]}
-    vocabulary = {bytes(map(byte.__getitem__, t)): i for t, i in held["model"]["vocab"].items() if t not in special}
+    vocabulary = {bytes(map(byte.__getitem__, t)): i for t, i in held["model"]["vocab"].items() if t not in specials(name)}
     if vocabulary != pieces:
         raise ValueError(f"the ranks are not the vocabulary of {name}")
 
@@ -78,13 +89,14 @@ def encoder(name: str, ranks: str | None):
             pieces = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         check_same(name, pieces)
         # a mark between texts keeps them apart, so that many go into one call
-        mark, number = "<|between texts|>", max(pieces.values()) + 1
-        found = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens={mark: number})
+        special = specials(name)
+        mark, number = "<|between texts|>", max(*pieces.values(), *special.values()) + 1
+        found = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=pieces, special_tokens=special | {mark: number})
 
         def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             if any(mark in t for t in texts):
-                return _joined(list(map(found.encode_ordinary, texts)))
-            parts = [np.array(found.encode(mark.join(texts[a : a + 4096]) + mark, allowed_special={mark}), np.int64) for a in range(0, len(texts), 4096)]
+                return _joined([found.encode(t, allowed_special=set(special), disallowed_special=()) for t in texts])
+            parts = [np.array(found.encode(mark.join(texts[a : a + 4096]) + mark, allowed_special={mark, *special}), np.int64) for a in range(0, len(texts), 4096)]
             ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
             at = np.flatnonzero(ids == number)
             return np.delete(ids, at).astype(np.uint32), np.diff(at, prepend=-1) - 1
@@ -93,7 +105,6 @@ def encoder(name: str, ranks: str | None):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True  # their strings in a text are ordinary text
     return lambda texts: _joined([e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)])
 
 
@@ -106,12 +117,13 @@ class Units:
     """Token ids of texts through a table of space-led units.
 
     A byte-level tokenizer of this kind ends a piece before a space that is not within a longer run of white
-    space, so a text is encoded unit by unit and each distinct unit once. Texts with such runs are encoded
-    whole.
+    space, so a text is encoded unit by unit and each distinct unit once. Texts with such runs, or with the string of
+    a special token, which is that token wherever it stands, are encoded whole.
     """
 
     def __init__(self, name: str, ranks: str | None = None):
         self.encoded = encoder(name, ranks)
+        self.apart = re.compile("|".join([_RUN.pattern, *map(re.escape, specials(name))]))
         self.clear()
 
     def clear(self) -> None:
@@ -145,7 +157,7 @@ class Units:
         found, sizes, tail = [], [], self.whole[""]
         for t in texts:
             if t:
-                if _RUN.search(t):
+                if self.apart.search(t):
                     found.append(np.array([self.whole[t]]))
                 else:
                     units = t.split(" ")

@@ -8,7 +8,8 @@ import pytest
 from mnemospark.llm import packing as P
 
 NAME, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
-ODD = ["a \n \n b", "x  y   z  ", " lead", "don't    we\u3000 b", "\n\n a\t b", "<|endoftext|> a", "a\r\n\r\n  b \x85 c ", "é  b", "  ", "   a", " ", "a\u00a0 \u00a0b", "x \x1c y", "ß" * 50, "1234 5678. A", "\t", "a\n b", "a \nb"]
+ODD = ["a \n \n b", "x  y   z  ", " lead", "don't    we\u3000 b", "\n\n a\t b", "<|endoftext|> a", "a\r\n\r\n  b \x85 c ", "é  b", "  ", "   a", " ", "a\u00a0 \u00a0b", "x \x1c y", "ß" * 50, "1234 5678. A", "\t", "a\n b", "a \nb",
+       "<|endoftext|>", "a<|endoftext|>b", "a  <|endoftext|>  b", " <|endoftext|><|endoftext|> ", "a <|endoftext|>\n b <|endoftext", "<|endoftext|>a<|between texts|>b", "x <|between texts|>"]
 
 
 def tokenizer():
@@ -17,7 +18,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(public_tokenizers.path(NAME))
-    found.encode_special_tokens = True
     return lambda texts: [found.encode(t, add_special_tokens=False).ids for t in texts]
 
 
