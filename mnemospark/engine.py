@@ -3,30 +3,38 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
-from mnemospark.operators import browse, cluster, extraction, graph, recall, save, sessions, write
+from mnemospark.operators import browse, cluster, extraction, graph, index, recall, save, sessions, write
 from mnemospark.sources.scratch import written
-from mnemospark.sources.snapshots import Store, bucket
+from mnemospark.sources.snapshots import Conflict, Draft, Store, bucket
 
 MEMORY = """hash string, id string, title string, title_lc string, content string, kind string, project_key string, keywords array<string>, aliases array<string>, alias_only array<string>,
 created_at long, last_seen_at long, seen_count long, used_count long, disputed_count long, last_used_at long, injected_count long, superseded boolean, archived boolean, pinned boolean, source_session string"""
+_T = TypeVar("_T")
 TABLES = {
     "memory": MEMORY,
     "mentions": "hash string, entity_key string",
     "entities": "entity_key string, name string, etype string, project_key string, name_lc string, tokens array<string>, created_at long",
     "related": "k1 string, k2 string, weight long, verb string, last_seen_at long",
     "replacements": "newer string, older string",
-    "sessions": "id string, project_key string, path string, cwd string, agent boolean, touched_at long, cursor long, started_at long, updated_at long",
+    "sessions": "id string, project_key string, path string, cwd string, agent boolean, touched_at long, cursor long, started_at long, updated_at long, fails long, room long, paused_until long",
     "projects": "project_key string, name string, created_at long",
-}
+} | index.TABLES
 
 #: Tables whose rows are only ever added.
-GROWN = ("replacements",)
+GROWN = ("replacements", *index.TABLES)
+#: A session's failed extractions in a row, the characters its next chunk may have, and when it may be tried again.
+FAILING = ("fails", "room", "paused_until")
+#: What tables are sorted by where they are written.
+ORDER = {"memory": ("hash",), "mentions": ("entity_key",), "related": ("k1",)} | index.ORDER
 
 
 class Engine:
@@ -34,10 +42,56 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, clock=lambda: int(time.time())):
         self.spark, self.store, self.clock = spark, Store(spark, root), clock
+        self._draft: Draft | None = None
 
     def table(self, name: str, buckets: set[str] | None = None) -> DataFrame:
-        held = self.store.has(name, buckets)
-        return self.store.read(name, parts=buckets) if held else self.spark.createDataFrame([], TABLES[name])
+        """A table of the current version; within a change, of the one that it starts from."""
+        version = self._draft.base if self._draft else self.store.current()
+        held = version is not None and self.store.has(name, buckets, version)
+        return self.store.read(name, version, buckets) if held else self.spark.createDataFrame([], TABLES[name])
+
+    def _change(self, run: Callable[[Draft], _T], tries: int = 5) -> _T:
+        """A change of the tables as one version: all of it is seen, or nothing. run(draft) reads the version it starts from and puts
+        tables; if another writer was faster it runs again on what that one left, so nothing is lost and nothing counts twice."""
+        for left in reversed(range(tries)):
+            self._draft = draft = Draft(self.store)
+            try:
+                out = run(draft)
+                if draft.fresh:
+                    draft.finish()
+                return out
+            except Conflict:
+                if not left:
+                    raise
+            except BaseException:
+                draft.drop()
+                raise
+            finally:
+                self._draft = None
+        raise AssertionError("unreachable")
+
+    def _put(self, draft: Draft, tables: dict[str, DataFrame], touched: set[str] | None = None) -> None:
+        """Write tables into the version, those dealt by project for the touched buckets, and the index entries that follow."""
+        by = self._by()
+        if touched is not None and not touched:  # no project has a part in it
+            tables = {n: df for n, df in tables.items() if n not in by}
+
+        def put(item: tuple[str, DataFrame]) -> None:
+            name, df = item
+            draft.put(name, df, by.get(name), touched, name in GROWN, ORDER.get(name, ()), index.merged(name) if name in index.TABLES else None)
+
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(put, tables.items()))
+            if "memory" not in tables:
+                return
+            dealt = [n for n in by if n in tables]
+            after = {n: self._as_written(draft, n, touched) for n in by}
+            segments = index.changes({n: self.table(n, touched) for n in dealt}, after, int(draft.version))
+            list(pool.map(put, segments.items()))
+
+    def _as_written(self, draft: Draft, name: str, touched: set[str] | None) -> DataFrame:
+        held = draft.read(name, touched)
+        return self.spark.createDataFrame([], TABLES[name]) if held is None else held
 
     def _by(self) -> dict[str, Column]:
         """Tables dealt to buckets by project: a save, verdict or flag writes those of the projects it touches only."""
@@ -49,12 +103,17 @@ class Engine:
         rows = [df.select(bucket(F.col("project_key")).alias("b")) for df in projects]
         return {r["b"] for r in reduce(DataFrame.union, rows).distinct().collect()}
 
-    def _change(self, ids: DataFrame, change) -> str | None:
+    def _update(self, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> str | None:
         """Apply a change to the memories, of which only the buckets that hold ids(id) are read and written; none held, no change."""
-        touched = self._buckets(self.memory.join(ids.select("id").distinct(), "id", "left_semi"))
-        if not touched:
-            return self.store.current()
-        return self.store.commit({"memory": change(self.table("memory", touched))}, self._by(), touched)
+
+        def run(draft: Draft) -> str | None:
+            touched = self._buckets(self.memory.join(ids.select("id").distinct(), "id", "left_semi"))
+            if not touched:
+                return draft.base
+            self._put(draft, {"memory": change(self.table("memory", touched))}, touched)
+            return draft.version
+
+        return self._change(run)
 
     @property
     def memory(self) -> DataFrame:
@@ -105,23 +164,38 @@ class Engine:
 
     def save(self, batch: DataFrame) -> tuple[str, DataFrame]:
         """The next version, and (seq, id, title, kind, new, seen, updated) of each row that counted."""
-        tables, outcomes, touched = self._saved(batch, self.clock())
-        # read from the version before this one, which could be pruned
-        outcomes = written(outcomes, "outcomes")
-        return self.store.commit(tables, self._by(), touched, GROWN), outcomes
+
+        def run(draft: Draft) -> tuple[str, DataFrame]:
+            tables, outcomes, touched = self._saved(batch, self.clock())
+            # read from the version before this one, which could be pruned
+            outcomes = written(outcomes, "outcomes")
+            self._put(draft, tables, touched)
+            return draft.version, outcomes
+
+        return self._change(run)
 
     def touch(self, touched: DataFrame) -> str:
         """Note sessions as they run: touched(id, project_key, path, cwd, agent, at). The project stays, the agent mark sticks."""
-        now, held = self.clock(), self.sessions
-        own = held.select("id", F.col("project_key").alias("_project"), "started_at", "updated_at")
-        s = write.merge_sessions(held.select("id", "project_key", "path", "cwd", "agent", "touched_at", "cursor"), touched).join(own, "id", "left")
-        s = s.withColumns({"project_key": F.coalesce("_project", "project_key"), "started_at": F.coalesce("started_at", F.lit(now).cast("long"))})
-        return self.store.commit({"sessions": s.select(*held.columns)})
+
+        def run(draft: Draft) -> str:
+            now, held = self.clock(), self.sessions
+            own = held.select("id", F.col("project_key").alias("_project"), "started_at", "updated_at", *FAILING)
+            s = write.merge_sessions(held.select("id", "project_key", "path", "cwd", "agent", "touched_at", "cursor"), touched).join(own, "id", "left")
+            s = s.withColumns({"project_key": F.coalesce("_project", "project_key"), "started_at": F.coalesce("started_at", F.lit(now).cast("long"))})
+            self._put(draft, {"sessions": s.select(*held.columns)})
+            return draft.version
+
+        return self._change(run)
 
     def set_cursor(self, cursors: DataFrame) -> str:
         """Move sessions on to the line they are extracted up to: cursors(id, project_key, line)."""
-        now, c = self.clock(), cursors.withColumn("seq", F.lit(0))
-        return self.store.commit({"sessions": save.sessions_after(self.sessions, c, now), "projects": save.projects_after(self.table("projects"), c, now)})
+
+        def run(draft: Draft) -> str:
+            now, c = self.clock(), cursors.withColumn("seq", F.lit(0))
+            self._put(draft, {"sessions": save.sessions_after(self.sessions, c, now), "projects": save.projects_after(self.table("projects"), c, now)})
+            return draft.version
+
+        return self._change(run)
 
     def cursor(self, session: str) -> int:
         row = self.sessions.where(F.col("id") == session).select("cursor").first()
@@ -131,12 +205,19 @@ class Engine:
         """One chunk of each of jobs(session, project_key, final, agent): from turns(session, line, role, text) to saved memories.
 
         call gets (session, project_key, prompt, known) in batches and returns (session, reply). known(session, ids) are the
-        memories that a reply may name. A session whose reply cannot be read keeps its cursor. Returns (session, plan, next, total, error, saved).
+        memories that a reply may name. Memories, verdicts and cursors are one version: a chunk counts once, whatever is
+        lost in between, and a chunk whose cursor another run has moved meanwhile counts for that run only. A session whose
+        reply cannot be read keeps its cursor; its next chunk is half as long, and from the third failure on it pauses
+        (`sessions.cooldown_minutes`). Returns (session, plan, next, total, error, saved).
         """
-        d = extraction.deltas(turns, jobs, self.sessions.select(F.col("id").alias("session"), "cursor"), budget)
+        held = self.sessions.select(F.col("id").alias("session"), "cursor", *FAILING)
+        held = written(jobs.join(held, "session", "left"), "jobs")
+        waits = F.coalesce(F.col("paused_until") > self.clock(), F.lit(False))
+        due = held.where(~waits)
+        d = extraction.deltas(turns, due.select(*jobs.columns), due.where("cursor is not null").select("session", "cursor"), budget, due.select("session", "room"))
         none = F.array().cast("array<string>")
         d = d.withColumn("known", none) if known is None else d.join(known.withColumnRenamed("ids", "known"), "session", "left").withColumn("known", F.coalesce("known", none))
-        d = written(d, "deltas")
+        d = written(d.join(due.select("session", F.coalesce("cursor", F.lit(0)).alias("from")), "session"), "deltas")
         replies = browse.through(d.where("plan = 'extract'").select("session", "project_key", "prompt", "known"), call, "session string, reply string")
         # an answer is asked for once
         replies = written(replies, "replies").join(d.select("session", "project_key", "agent", "known"), "session")
@@ -147,20 +228,36 @@ class Engine:
         # numbered in order of session and place without gathering them: by range, and by row within it
         mems = mems.repartitionByRange("session", "pos").sortWithinPartitions("session", "pos").withColumn("seq", F.monotonically_increasing_id())
         mems = written(mems, "extracted")
-        if not mems.isEmpty():
-            self.remember(mems)
-        verdicts = written(extraction.verdicts(read.where("ok"), F.col("agent"), F.col("known")), "verdicts")
-        if not verdicts.isEmpty():
-            self.feedback(verdicts)
+        verdicts = written(extraction.verdicts(read.where("ok"), F.col("agent"), F.col("known")).withColumnRenamed("reply_id", "session"), "verdicts")
         done = d.join(read.select("session", "ok"), "session", "left").join(mems.groupBy("session").agg(F.count("*").alias("saved")), "session", "left")
         # a call that returns no row for a session has failed it
         failed = (F.col("plan") == "extract") & ~F.coalesce("ok", F.lit(False))
-        done = done.select("session", "project_key", "plan", "next", "total", F.when(failed, "unreadable reply").alias("error"), F.coalesce("saved", F.lit(0)).alias("saved"))
+        done = done.select("session", "project_key", "plan", "next", "total", "from", "bytes", F.when(failed, "unreadable reply").alias("error"), F.coalesce("saved", F.lit(0)).alias("saved"))
         done = written(done, "extractions")
-        moved = done.where("plan <> 'defer' and error is null").select(F.col("session").alias("id"), "project_key", F.col("next").alias("line"))
-        if not moved.isEmpty():
-            self.set_cursor(moved)
-        return done.drop("project_key")
+
+        def run(draft: Draft) -> DataFrame:
+            now = self.clock()
+            cursors = self.sessions.select(F.col("id").alias("session"), F.col("cursor").alias("_cursor"))
+            mine = written(done.join(cursors, "session", "left").where(F.coalesce("_cursor", F.lit(0)) == F.col("from")).drop("_cursor"), "mine")
+            own = mine.select("session")
+            rows, judged = mems.join(own, "session", "left_semi"), verdicts.join(own, "session", "left_semi")
+            tables, touched = {}, set()
+            if not (rows.isEmpty() and judged.isEmpty()):
+                about = self.memory.join(judged.select("id").distinct(), "id", "left_semi")
+                tables, _, touched = self._saved(rows, now, also=about)
+                tables["memory"] = self._judged(tables["memory"], judged.select("id", "verdict"))
+            moved = mine.where("plan <> 'defer' and error is null").select(F.col("session").alias("id"), "project_key", F.col("next").alias("line"), F.lit(0).alias("seq"))
+            told = save.sessions_after(tables.get("sessions", self.sessions), moved, now)
+            told = sessions.failing(told, mine.where("plan = 'extract'").select(F.col("session").alias("id"), "project_key", F.col("error").isNotNull().alias("failed"), "bytes"), now)
+            if not mine.where("plan <> 'defer'").isEmpty():
+                tables |= {"sessions": told, "projects": save.projects_after(tables.get("projects", self.table("projects")), moved, now)}
+            if tables:
+                self._put(draft, tables, touched)
+            return mine
+
+        out = self._change(run)
+        paused = held.where(waits).select("session", F.lit("pause").alias("plan"), F.coalesce("cursor", F.lit(0)).alias("next"), F.lit(None).cast("long").alias("total"), F.lit(None).cast("string").alias("error"), F.lit(0).cast("long").alias("saved"))
+        return out.select("session", "plan", "next", "total", "error", "saved").union(paused)
 
     def extract_all(self, turns: DataFrame, jobs: DataFrame, call=extraction.rule_based_extractor, budget: int = 24_000) -> int:
         """Chunk after chunk, as long as a session moved on and has more; the number of rounds."""
@@ -187,7 +284,7 @@ class Engine:
         plan = written(plan, "reindex")
         if apply:
             fresh = plan.select("id", F.col("keywords").alias("_kw"), F.col("alias_only").alias("_ao"))
-            self._change(plan, lambda mem: mem.join(fresh, "id", "left").withColumns({"keywords": F.coalesce("_kw", "keywords"), "alias_only": F.coalesce("_ao", "alias_only")}).select(*mem.columns))
+            self._update(plan, lambda mem: mem.join(fresh, "id", "left").withColumns({"keywords": F.coalesce("_kw", "keywords"), "alias_only": F.coalesce("_ao", "alias_only")}).select(*mem.columns))
         return plan.select("id", F.size("kw").cast("long").alias("stored"), F.size("keywords").cast("long").alias("fresh"))
 
     def consolidate(self, merges: DataFrame) -> str | None:
@@ -195,36 +292,50 @@ class Engine:
 
         Returns the next version, or none if no merge is valid. Labels are those of consolidation_candidates.
         """
-        now = self.clock()
-        held = self.consolidation_candidates().select("label", "hash").join(self.live(), "hash")
-        members = written(browse.with_entities(held, self.mentions.join(self.entities.select("entity_key", "name"), "entity_key")), "members")
-        valid = cluster.valid_merges(merges, members.select("label", "id", "kind")).select("label", "merge_no")
-        rows, pairs = cluster.canonical(merges.join(valid, ["label", "merge_no"]), members)
-        rows = written(rows.withColumn("session", F.concat(F.lit("consolidate-"), F.date_format(F.timestamp_seconds(F.lit(now)), "yyyyMMdd"))), "canonical")
-        if rows.isEmpty():
-            return None
-        tables, _, touched = self._saved(rows, now, also=members)
-        keeper = save.staged(rows).select("label", "merge_no", F.col("id").alias("keeper"))
-        m, edges = save.superseded_by(tables["memory"], pairs.join(keeper, ["label", "merge_no"]).select("keeper", "id"))
-        return self.store.commit(tables | {"memory": m, "replacements": tables["replacements"].unionByName(edges)}, self._by(), touched, GROWN)
+
+        def run(draft: Draft) -> str | None:
+            now = self.clock()
+            held = self.consolidation_candidates().select("label", "hash").join(self.live(), "hash")
+            members = written(browse.with_entities(held, self.mentions.join(self.entities.select("entity_key", "name"), "entity_key")), "members")
+            valid = cluster.valid_merges(merges, members.select("label", "id", "kind")).select("label", "merge_no")
+            rows, pairs = cluster.canonical(merges.join(valid, ["label", "merge_no"]), members)
+            rows = written(rows.withColumn("session", F.concat(F.lit("consolidate-"), F.date_format(F.timestamp_seconds(F.lit(now)), "yyyyMMdd"))), "canonical")
+            if rows.isEmpty():
+                return None
+            tables, _, touched = self._saved(rows, now, also=members)
+            keeper = save.staged(rows).select("label", "merge_no", F.col("id").alias("keeper"))
+            m, edges = save.superseded_by(tables["memory"], pairs.join(keeper, ["label", "merge_no"]).select("keeper", "id"))
+            self._put(draft, tables | {"memory": m, "replacements": tables["replacements"].unionByName(edges)}, touched)
+            return draft.version
+
+        return self._change(run)
 
     def backfill_aliases(self, call=browse.rule_based_aliases, prefix: str = "") -> str | None:
         """Ask call for aliases of the memories that never had any, and store them with their tokens."""
         a = browse.backfill(self.memory, call, prefix).withColumn("aliases", X.clean_aliases(F.col("aliases")))
         a = written(a.withColumn("tokens", X.tokenize(F.concat_ws(" ", "aliases"), 24)), "aliases")
-        return self._change(a, lambda mem: write.set_aliases(mem, a))
+        return self._update(a, lambda mem: write.set_aliases(mem, a))
 
     def dispute(self, ids: DataFrame, archive: bool = False) -> str | None:
         """Count a dispute against memories by hand and, if wanted, archive them."""
         verdicts = ids.select("id", F.lit("wrong").alias("verdict"))
         flagged = (lambda mem: write.set_flag(mem, ids, "archived", True)) if archive else (lambda mem: mem)
-        return self._change(ids, lambda mem: flagged(self._judged(mem, verdicts)))
+        return self._update(ids, lambda mem: flagged(self._judged(mem, verdicts)))
+
+    def index(self) -> recall.Index:
+        return recall.Index(*(self.table(n) for n in ("words", "names", "mentioned", "near")))
+
+    def corpus(self) -> DataFrame:
+        """The number of live memories, from the counts that saves keep."""
+        return self.table("counts").where("kind = 'live'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
 
-    def scored(self, prompt: str, project: str = "", extra: tuple[str, ...] = (), min_match: float = 0.0) -> DataFrame:
-        row = self.spark.range(1).select(X.tokenize(F.lit(prompt), 32).alias("t")).first()
-        tokens, live = [*row["t"], *extra], self.live()
-        parts = recall.keyword_hits(live, tokens), recall.entity_hits(self.entities, self.mentions, live, tokens), recall.related_hits(self.entities, self.mentions, self.related, live, tokens)
-        return recall.merge_and_score(self.memory, *parts, corpus=live.agg(F.count("*").alias("n")), now=self.clock(), project=project, min_match=min_match)
+    def scored(self, prompt: str, project: str = "", extra: tuple[str, ...] = (), min_match: float = 0.0, most: int = 32) -> DataFrame:
+        """Memories by score, of which the index names those that are read."""
+        row = self.spark.range(1).select(X.tokenize(F.lit(prompt), most).alias("t")).first()
+        tokens = [*row["t"], *extra]
+        found = self.index()
+        parts = found.keyword_hits(tokens), found.entity_hits(tokens), found.related_hits(tokens)
+        return recall.merge_and_score(self.memory, *parts, corpus=self.corpus(), now=self.clock(), project=project, min_match=min_match)
 
     def search(self, query: str, project: str = "", limit: int = 10, offset: int = 0) -> DataFrame:
         """A page of results; no floor."""
@@ -248,19 +359,19 @@ class Engine:
 
     def feedback(self, verdicts: DataFrame) -> str | None:
         """Count verdicts(id, verdict) into the memories."""
-        return self._change(verdicts, lambda mem: self._judged(mem, verdicts))
+        return self._update(verdicts, lambda mem: self._judged(mem, verdicts))
 
     def pin(self, ids: DataFrame, value: bool = True) -> str | None:
-        return self._change(ids, lambda mem: write.set_flag(mem, ids, "pinned", value, browse.STANDING))
+        return self._update(ids, lambda mem: write.set_flag(mem, ids, "pinned", value, browse.STANDING))
 
     def archive(self, ids: DataFrame) -> str | None:
-        return self._change(ids, lambda mem: write.set_flag(mem, ids, "archived", True))
+        return self._update(ids, lambda mem: write.set_flag(mem, ids, "archived", True))
 
     def mark_injected(self, shown: DataFrame) -> str | None:
         """Count shown(id, at), a row per showing, into the memories."""
         n = write.injected(shown.select(F.col("id").alias("ref"), "at")).select(F.col("ref").alias("id"), "injected")
         counted = F.col("injected_count") + F.coalesce("injected", F.lit(0))
-        return self._change(shown, lambda mem: mem.join(n, "id", "left").withColumn("injected_count", counted).select(*mem.columns))
+        return self._update(shown, lambda mem: mem.join(n, "id", "left").withColumn("injected_count", counted).select(*mem.columns))
 
     def learn(self, shown: DataFrame, verdicts: DataFrame, cap: int = 20) -> str | None:
         """Memories that only a search found, and that were used, take words of that search as aliases, while they have under `cap`.
@@ -270,11 +381,13 @@ class Engine:
         t = sessions.learned_terms(shown, verdicts).groupBy(F.col("ref").alias("id")).agg(F.sort_array(F.collect_set(F.struct("session", "terms"))).alias("by_session"))
         t = t.select("id", F.array_distinct(F.flatten(F.transform("by_session", lambda x: x["terms"]))).alias("aliases"))
         t = written(t.withColumn("tokens", X.tokenize(F.concat_ws(" ", "aliases"), 24)), "learned")
-        return self._change(t, lambda mem: write.set_aliases(mem, t, cap))
+        return self._update(t, lambda mem: write.set_aliases(mem, t, cap))
 
-    def similar(self, text: str, project: str = "", k: int = 12, min_match: float = 2.0) -> DataFrame:
-        """The memories that are closest to a text."""
-        return recall.ranked(self.scored(text, project, min_match=min_match), k)
+    def similar(self, turns: DataFrame, project: str = "", k: int = 12, min_match: float = 2.0, most: int = 300) -> DataFrame:
+        """The memories that are closest to turns(line, text): the words of the newest turns come first."""
+        texts = turns.orderBy(F.desc("line")).limit(most)  # a turn without words is rare: one a word is enough
+        text = texts.agg(F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("line", "text")))), lambda x: x["text"]), "\n").alias("t")).first()["t"]
+        return recall.ranked(self.scored(text or "", "", min_match=min_match, most=most), k)
 
     def session_start(self, project: str, home: str = "", budget: int = 8_000) -> tuple[DataFrame, DataFrame]:
         """Lines of the rules and preferences that apply here, as many as fit, and a line on those that do not."""

@@ -47,15 +47,15 @@ def verdicts(replies: DataFrame, foreign: Column, shown: Column) -> DataFrame:
     return rows.where(F.col("f.verdict").isin(*VERDICTS) & F.array_contains("shown", F.col("f.id"))).select("reply_id", "f.id", "f.verdict")
 
 
-def deltas(turns: DataFrame, jobs: DataFrame, cursors: DataFrame, budget: int) -> DataFrame:
+def deltas(turns: DataFrame, jobs: DataFrame, cursors: DataFrame, budget: int, rooms: DataFrame | None = None) -> DataFrame:
     """What is to be done for each of jobs(session, project_key, final, agent): the chunk from its cursor on and the plan.
 
     (session, project_key, agent, n, bytes, next, total, plan, prompt). The chunk is the part of the transcript that fits the budget,
-    so a prompt is bounded by that and one turn.
+    so a prompt is bounded by that and one turn. rooms(session, room) are smaller budgets of sessions that failed.
     """
     total = turns.groupBy("session").agg((F.max("line") + 1).cast("long").alias("total"))
     ahead = sessions.from_cursor(turns.join(jobs.select("session"), "session", "left_semi"), cursors)
-    chunk = sessions.chunk_no(ahead, budget)
+    chunk = sessions.chunk_no(ahead if rooms is None else ahead.join(rooms, "session", "left"), F.lit(budget) if rooms is None else F.least(F.lit(budget), "room"))
     said = F.sort_array(F.collect_list(F.struct("line", F.concat("role", F.lit(": "), "text").alias("said"))))
     got = chunk.groupBy("session").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.max("line").alias("last"), said.alias("said"))
     after = ahead.join(got.select("session", "last"), "session").where(F.col("line") > F.col("last")).groupBy("session").agg(F.min("line").cast("long").alias("after"))

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import ellipsis, idf, is_under, relative_age
+from mnemospark.sources.scratch import written
 
-from .graph import both_ways
+from .index import latest
 
 _SEPARATED = r"[ _./-]"
 
@@ -17,71 +18,62 @@ def _tokens(tokens: list[str]) -> Column:
     return F.array(*(F.lit(t) for t in tokens)) if tokens else F.array().cast("array<string>")
 
 
-def keyword_hits(mem: DataFrame, tokens: list[str]) -> DataFrame:
-    """(hash, matched, via_alias): query tokens among a memory's keywords, in order and with repeats."""
-    found = mem.where(F.arrays_overlap("keywords", _tokens(tokens)))
-    return found.select("hash", F.filter(_tokens(tokens), lambda t: F.array_contains("keywords", t)).alias("matched"), F.array_intersect(_tokens(tokens), "alias_only").alias("via_alias"))
+#: Keys up to which a lookup is a filter that the scan can use; beyond, a join.
+FEW = 1000
 
 
-def _matching(entities: DataFrame, tokens: list[str]) -> DataFrame:
-    exact = F.col("name_lc").isin(tokens)
-    parts = F.array_except(F.array_intersect("tokens", _tokens(tokens)), F.array("name_lc"))
-    return entities.select("entity_key", "name_lc", exact.alias("is_exact"), parts.alias("parts")).where(F.col("is_exact") | (F.size("parts") > 0))
-
-
-def entity_hits(entities: DataFrame, mentions: DataFrame, mem: DataFrame, tokens: list[str]) -> DataFrame:
-    """(hash, hits, exact, partial): entities of the query that a memory mentions."""
-    held = mentions.select("hash", "entity_key").join(_matching(entities, tokens), "entity_key").join(mem.select("hash"), "hash", "left_semi")
-    return held.groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"), F.sort_array(F.collect_set(F.when(F.col("is_exact"), F.col("name_lc")))).alias("exact"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("partial"))
-
-
-def related_hits(entities: DataFrame, mentions: DataFrame, edges: DataFrame, mem: DataFrame, tokens: list[str], least: int = 2) -> DataFrame:
-    """(hash, hits): distinct neighbours of the query's entities that a memory mentions, names in the query left out."""
-    seeds = _matching(entities, tokens).select(F.col("entity_key").alias("a"))
-    near = both_ways(edges).where(F.col("weight") >= max(least, 1)).join(seeds, "a", "left_semi").select(F.col("b").alias("entity_key")).distinct()
-    near = near.join(entities.where(~F.col("name_lc").isin(tokens)).select("entity_key"), "entity_key", "left_semi")
-    return mentions.select("hash", "entity_key").join(near, "entity_key", "left_semi").join(mem.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"))
-
-
-def pruned(df: DataFrame, column: str, keys: DataFrame, most: int = 1000) -> DataFrame:
-    """Rows of df whose column is among keys(one column): up to `most` keys as a filter that the scan can use, else by a join."""
-    found = [r[0] for r in keys.limit(most + 1).collect()]
-    if len(found) <= most:
+def pruned(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of df whose column is among keys(one column), a written table."""
+    found = [r[0] for r in keys.limit(FEW + 1).collect()]
+    if len(found) <= FEW:
         return df.where(F.col(column).isin(found)) if found else df.where(F.lit(False))
     return df.join(keys.toDF(column).distinct(), column, "left_semi")
 
 
 class Index:
-    """What a query looks up, stored in order of what it is looked up by.
-
-    words(token, hash, via_alias, live); names(token, entity_key, name_lc, exact): an entity's name and its tokens;
-    mentions(entity_key, hash, live); near(a, b, name_lc, weight): relations both ways, with the neighbour's name.
-    """
+    """What a query looks up, in the tables that saves keep (operators.index); only what it asks for is read and resolved."""
 
-    def __init__(self, words: DataFrame, names: DataFrame, mentions: DataFrame, near: DataFrame):
-        self.words, self.names, self.mentions, self.near = words, names, mentions, near
+    def __init__(self, words: DataFrame, names: DataFrame, mentioned: DataFrame, near: DataFrame):
+        self.words, self.names, self.mentioned, self.near = words, names, mentioned, near
+        self._seeds: dict[tuple[str, ...], DataFrame] = {}
 
     def keyword_hits(self, tokens: list[str]) -> DataFrame:
-        held = self.words.where(F.col("token").isin(list(dict.fromkeys(tokens))) & F.col("live")).groupBy("hash")
-        held = held.agg(F.collect_set("token").alias("own"), F.collect_set(F.when(F.col("via_alias"), F.col("token"))).alias("alias"))
-        return held.select("hash", F.filter(_tokens(tokens), lambda t: F.array_contains("own", t)).alias("matched"), F.array_intersect(_tokens(tokens), "alias").alias("via_alias"))
+        """(hash, matched, via_alias): query tokens among a live memory's keywords, in order and with repeats."""
+        held = self.words.where(F.col("token").isin(list(dict.fromkeys(tokens)))).groupBy("hash")
+        # a row a token and segment
+        held = held.agg(F.collect_list(F.struct("at", "token", "gone", "via_alias")).alias("x"))
+        last = lambda t: F.array_max(F.filter("x", lambda x: x["token"] == t))
+        found = held.select("hash", F.filter(_tokens(tokens), lambda t: F.coalesce(~last(t)["gone"], F.lit(False))).alias("matched"), "x").where(F.size("matched") > 0)
+        return found.select("hash", "matched", F.array_distinct(F.filter("matched", lambda t: last(t)["via_alias"])).alias("via_alias"))
 
     def matching(self, tokens: list[str]) -> DataFrame:
+        """(entity_key, name_lc, is_exact, parts): entities whose name is a token, or holds some."""
         held = self.names.where(F.col("token").isin(list(dict.fromkeys(tokens)))).groupBy("entity_key", "name_lc")
         held = held.agg(F.max("exact").alias("is_exact"), F.collect_set(F.when(~F.col("exact") & (F.col("token") != F.col("name_lc")), F.col("token"))).alias("parts"))
         return held.where(F.col("is_exact") | (F.size("parts") > 0))
 
+    def seeds(self, tokens: list[str]) -> DataFrame:
+        """What matches, looked up once for all that follows from it."""
+        key = tuple(tokens)
+        if key not in self._seeds:
+            self._seeds[key] = written(self.matching(tokens), "seeds")
+        return self._seeds[key]
+
+    def mentions(self, keys: DataFrame) -> DataFrame:
+        return latest(pruned(self.mentioned, "entity_key", keys), "entity_key", "hash")
+
     def entity_hits(self, tokens: list[str]) -> DataFrame:
-        seeds = self.matching(tokens)
-        held = pruned(self.mentions.where("live"), "entity_key", seeds.select("entity_key")).join(seeds, "entity_key")
+        """(hash, hits, exact, partial): entities of the query that a live memory mentions."""
+        seeds = self.seeds(tokens)
+        held = self.mentions(seeds.select("entity_key")).join(seeds, "entity_key")
         return held.groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"), F.sort_array(F.collect_set(F.when(F.col("is_exact"), F.col("name_lc")))).alias("exact"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_list("parts")))).alias("partial"))
 
     def related_hits(self, tokens: list[str], least: int = 2) -> DataFrame:
-        near = pruned(self.near, "a", self.matching(tokens).select("entity_key")).where((F.col("weight") >= max(least, 1)) & ~F.col("name_lc").isin(tokens))
-        found = pruned(self.mentions.where("live"), "entity_key", near.select(F.col("b").alias("entity_key")).distinct())
-        return found.groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"))
+        """(hash, hits): distinct neighbours of the query's entities that a live memory mentions, names in the query left out."""
+        near = latest(pruned(self.near, "a", self.seeds(tokens).select("entity_key")), "a", "b")
+        near = near.where((F.col("weight") >= max(least, 1)) & ~F.col("name_lc").isin(tokens))
+        return self.mentions(written(near.select(F.col("b").alias("entity_key")).distinct(), "near")).groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"))
 
 
 def document_frequency(q1: DataFrame) -> DataFrame:
@@ -92,7 +84,8 @@ def merge_and_score(mem: DataFrame, q1: DataFrame, q2: DataFrame, q3: DataFrame,
     """Scored memories: id, hash, match, score and parts of it. corpus(n) is a one-row table.
 
     Terms of the three reads become rows (hash, term, kind); document frequencies are counted on them before any
-    floor, exclusion or cap. Frequencies belong to query terms, so that side stays tiny.
+    floor, exclusion or cap. Frequencies belong to query terms, so that side stays tiny. Of mem, stored in order of hash,
+    the rows that matched are read.
     """
     kw = q1.select("hash", F.explode("matched").alias("term"), "via_alias").select("hash", "term", F.when(F.array_contains("via_alias", F.col("term")), 0.5).otherwise(1.0).alias("w"))
     ent = q2.select("hash", F.explode("exact").alias("term"))
@@ -114,7 +107,8 @@ def merge_and_score(mem: DataFrame, q1: DataFrame, q2: DataFrame, q3: DataFrame,
     held = held.withColumn("match", F.col("direct") + 0.25 * F.least(F.coalesce("q3", F.lit(0)), F.lit(4)))
     if min_match > 0:
         held = held.where(F.round("match", 9) >= min_match)
-    m = held.join(mem, "hash")
+    held = written(held, "matched")
+    m = held.join(pruned(mem, "hash", held.select("hash")), "hash")
     age = F.greatest(F.lit(0.0), (F.lit(now) - F.greatest("last_seen_at", F.coalesce("last_used_at", F.lit(0)))) / 86400.0)
     score = F.col("match") + 2 * F.exp(-age / 14) + 0.3 * F.log(1.0 + F.col("seen_count")) + 0.4 * F.log(1.0 + F.col("used_count")) - 1.0 * F.least("disputed_count", F.lit(3))
     score = score + F.when((F.col("project_key") == project) & F.lit(project != ""), boost).otherwise(0.0)

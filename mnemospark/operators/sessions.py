@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions.text import clip_chars, tokenize, trimmed
 
 
-def chunk_no(turns: DataFrame, budget: int, by: str = "session") -> DataFrame:
+def chunk_no(turns: DataFrame, budget: int | Column, by: str = "session") -> DataFrame:
     """The first chunk of each session from its cursor: turns while their bytes fit, and one at least."""
     w = W.partitionBy(by).orderBy("line")
     used = F.sum(F.octet_length("text")).over(w.rowsBetween(W.unboundedPreceding, 0))
@@ -187,3 +187,21 @@ def behind(sessions: DataFrame, now_us: int, idle_us: int, final_us: int, horizo
 def cooldown_minutes(failures: Column) -> Column:
     """No pause before the third failure, then 30 minutes doubled per failure, six times at most and a day at most."""
     return F.when(failures < 3, 0).otherwise(F.least(F.lit(1440), 30 * F.pow(F.lit(2), F.least(failures - 3, F.lit(6))))).cast("long")
+
+
+def failing(sessions: DataFrame, runs: DataFrame, now: int) -> DataFrame:
+    """Sessions after runs(id, project_key, failed, bytes): a failure halves the next chunk and may pause the session, a success clears that."""
+    r = runs.select("id", F.col("project_key").alias("_p"), F.col("failed").alias("_failed"), F.col("bytes").alias("_bytes"))
+    s = sessions.join(r, "id", "full")
+    n = F.coalesce("fails", F.lit(0)) + 1
+    pause = cooldown_minutes(n) * 60
+    told = lambda failed, c: F.when(F.col("_failed"), failed).when(F.col("_failed").isNull(), F.col(c)).cast("long")
+    return s.withColumns({
+        "project_key": F.coalesce("project_key", "_p"),
+        "agent": F.coalesce("agent", F.lit(False)),
+        "cursor": F.coalesce("cursor", F.lit(0)).cast("long"),
+        "started_at": F.coalesce("started_at", F.lit(now)).cast("long"),
+        "paused_until": told(F.when(pause > 0, F.lit(now) + pause), "paused_until"),
+        "room": told(F.greatest(F.floor(F.col("_bytes") / 2), F.lit(1)), "room"),
+        "fails": told(n, "fails"),
+    }).select(*sessions.columns)

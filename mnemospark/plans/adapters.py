@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from mnemospark.functions import text as X
-from mnemospark.operators.graph import both_ways, cooccurrence
+from mnemospark.operators.graph import cooccurrence
+from mnemospark.operators.index import ORDER, changes
 from mnemospark.operators.recall import Index
 from mnemospark.sources.scratch import written
 
@@ -79,7 +80,7 @@ class Model:
 
     @property
     def memory(self) -> DataFrame:
-        return self.stored("memory", lambda: memories(self.spark, self.dir))
+        return self.stored("memory", lambda: memories(self.spark, self.dir), "hash")
 
     @property
     def live(self) -> DataFrame:
@@ -104,13 +105,22 @@ class Model:
 
     @property
     def index(self) -> Index:
-        alive = (~F.coalesce("superseded", F.lit(False)) & ~F.coalesce("archived", F.lit(False))).alias("live")
-        word = lambda: self.memory.select("hash", "alias_only", alive, F.explode("keywords").alias("token")).select("token", "hash", F.array_contains("alias_only", F.col("token")).alias("via_alias"), "live")
-        own = F.array_union(F.array(F.struct(F.col("name_lc").alias("token"), F.lit(True).alias("exact"))), F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(False).alias("exact"))))
-        name = lambda: self.entity.select("entity_key", "name_lc", F.explode(own).alias("n")).select("n.token", "entity_key", "name_lc", "n.exact")
-        mention = lambda: self.mentions.select("entity_key", "hash").join(self.memory.select("hash", alive), "hash").select("entity_key", "hash", "live")
-        near = lambda: both_ways(self.related).join(self.entity.select(F.col("entity_key").alias("b"), "name_lc"), "b").select("a", "b", "name_lc", "weight")
-        return Index(self.stored("words", word, "token"), self.stored("names", name, "token"), self.stored("mentioned", mention, "entity_key"), self.stored("near", near, "a"))
+        """The index as one save of all would have left it."""
+
+        def built() -> dict[str, DataFrame]:
+            none = lambda df: df.limit(0)
+            after = {"memory": self.memory, "mentions": self.mentions, "entities": self.entity, "related": self.related}
+            before = {"memory": none(self.memory), "mentions": none(self.mentions.select("hash", "entity_key")), "entities": none(self.entity), "related": none(self.related)}
+            return changes(before, after, 0)
+
+        parts: dict[str, DataFrame] = {}
+
+        def part(name: str) -> DataFrame:
+            if not parts:
+                parts.update(built())
+            return parts[name]
+
+        return Index(*(self.stored(f"index-{n}", lambda n=n: part(n), *ORDER[n]) for n in ("words", "names", "mentioned", "near")))
 
     def warm(self) -> None:
         """Derive and store what queries look up; a deployment does this as it saves."""

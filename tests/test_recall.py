@@ -15,13 +15,26 @@ def mem(spark, rows):
     return spark.createDataFrame([tuple(r[c.strip().split(" ")[0]] for c in MEM.split(",")) for r in full], MEM)
 
 
+def looked_up(m, e, ment):
+    """The index as one save of these would have left it, and the reference: scans of the tables."""
+    from mnemospark.operators import index
+
+    none = lambda df: df.limit(0)
+    m = m.withColumns({"superseded": F.lit(False), "archived": F.lit(False)})
+    related = e.sparkSession.createDataFrame([], "k1 string, k2 string, weight long")
+    after = {"memory": m, "mentions": ment, "entities": e, "related": related}
+    x = index.changes({n: none(df) for n, df in after.items()}, after, 7)
+    return R.Index(x["words"], x["names"], x["mentioned"], x["near"])
+
+
 def score(spark, rows, tokens, entities=(), n=2000, q3=(), **options):
     m = mem(spark, rows)
     e = spark.createDataFrame([(k, k, list(t)) for k, t, _ in entities], "entity_key string, name_lc string, tokens array<string>")
     ment = spark.createDataFrame([(h, k) for k, _, hs in entities for h in hs], "hash string, entity_key string")
     corpus = spark.createDataFrame([(n,)], "n long")
     near = spark.createDataFrame(list(q3), "hash string, hits long")
-    out = R.merge_and_score(m, R.keyword_hits(m, tokens), R.entity_hits(e, ment, m, tokens), near, corpus=corpus, now=NOW, **options)
+    x = looked_up(m, e, ment)
+    out = R.merge_and_score(m, x.keyword_hits(tokens), x.entity_hits(tokens), near, corpus=corpus, now=NOW, **options)
     return {r.id: r for r in out.collect()}
 
 

@@ -221,7 +221,7 @@ def test_verbs_of_a_session(spark, tmp_path):
     lines, footer = e.session_start("p")
     assert [(r.group_no, r.line.split("(")[0]) for r in lines.collect()] == [(1, "- [rule] Cache rule "), (2, "- [preference] Replies ")]
     assert "1 rules + 0 preferences" in footer.first().line
-    assert [r.title for r in e.similar("plain loaders", min_match=0.1).collect()] == ["Fact"]
+    assert [r.title for r in e.similar(spark.createDataFrame([(0, "other words"), (1, "plain loaders")], "line int, text string"), min_match=0.1).collect()] == ["Fact"]
     nodes, near, held = e.entity("Cache")
     assert [(r["name"], r.mentions) for r in nodes.collect()] == [("cache", 2)] and [(r.neighbour, r.weight) for r in near.collect()] == [("parquet", 1)]
     assert {r.title for r in held.collect()} == {"Cache rule", "Fact"}
