@@ -11,7 +11,8 @@ from mnemospark.sources.scratch import written
 
 from .index import latest
 
-_SEPARATED = r"[ _./-]"
+#: What stands between the words of a compound term.
+SEPARATED = r"[ _./-]"
 
 
 def _tokens(tokens: list[str]) -> Column:
@@ -99,7 +100,7 @@ def merge_and_score(mem: DataFrame, q1: DataFrame, q2: DataFrame, q3: DataFrame,
     # one row per (memory, term): a term already counted as keyword or exact name adds nothing more
     rows = kw.select("hash", "term", F.lit(0).alias("rank"), "w").union(ent.select("hash", "term", F.lit(1).alias("rank"), F.lit(1.0).alias("w"))).union(part.select("hash", "term", F.lit(2).alias("rank"), F.lit(1.0).alias("w")))
     per = rows.groupBy("hash", "term").agg(F.sum(F.when(F.col("rank") == 0, F.col("w"))).alias("kw"), F.max((F.col("rank") == 1).cast("int")).alias("ent"), F.max((F.col("rank") == 2).cast("int")).alias("part"))
-    multi = F.col("term").rlike(_SEPARATED)
+    multi = F.col("term").rlike(SEPARATED)
     once = F.when((F.col("ent") == 1) & ~multi, F.col("i_ent")).when(F.col("part") == 1, F.col("i_part")).otherwise(0.0)
     gain = F.coalesce("kw", F.lit(0.0)) * F.col("i_kw") + F.when((F.col("ent") == 1) & multi, F.col("i_multi")).otherwise(0.0) + F.when(F.col("kw").isNull(), once).otherwise(0.0)
     direct = per.join(F.broadcast(table), "term").groupBy("hash").agg(F.sum(gain).alias("direct"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
-from mnemospark.operators import browse, cluster, evaluate, extraction, graph, recall, save, sessions, write
+from mnemospark.operators import browse, cluster, evaluate, extraction, graph, recall, save, sessions, setwise, write
 from mnemospark.sources import transcripts
 from mnemospark.streaming import state
 
@@ -144,6 +144,13 @@ def _behind(m: Model) -> DataFrame:
     return sessions.behind(t, now, 3 * MINUTE, 30 * MINUTE, 7 * 24 * 60 * MINUTE)
 
 
+def _all_prompts(m: Model) -> DataFrame:
+    """The best memories for every text of benchmark, each from a project that its number names."""
+    prompts = m.table("benchmark").select(F.col("item_id").alias("pid"), X.tokenize(F.col("text"), 32).alias("tokens"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("project"))
+    found = setwise.best(m.index, m.memory, prompts, corpus=m.corpus, now=NOW, k=5, min_match=MIN_MATCH)
+    return found.select("pid", short("hash").alias("id"), "match", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def _evaluation(m: Model) -> DataFrame:
     """Cases expect the first letters, in capitals, of titles of memories with their first word."""
     results, expected = [], []
@@ -338,6 +345,7 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "sweep_behind": _behind,
     "cooldown_table": lambda m: m.spark.range(12).select(F.col("id").alias("failures"), sessions.cooldown_minutes(F.col("id")).alias("minutes")),
     "eval_summary": _evaluation,
+    "recall_all_prompts": _all_prompts,
     "extraction_validate": _extraction,
     "memory_targets": lambda m: browse.targets(m.live, "the", limit=20).select("id", "title", "kind", "pinned"),
     "pin_targets": lambda m: browse.targets(m.live, "an", browse.STANDING).select("id", "title", "kind", "pinned"),

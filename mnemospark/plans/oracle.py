@@ -94,6 +94,32 @@ scored{tag} AS (SELECT m.*, round(x.match, 6) AS match, round(x.match + 2 * exp(
 """
 
 
+#: The whole scoring for every text of benchmark, prompt by prompt.
+_idf = lambda df: f"ln(1 + (n - greatest({df}, 1) + 0.5) / (greatest({df}, 1) + 0.5))"
+ALL_PROMPTS = PRELUDE + f""", ask0 AS (SELECT item_id AS pid, 'src' || item_id % 20 AS project, {raw_tokens('text')} AS raw FROM benchmark),
+ask AS MATERIALIZED (SELECT pid, project, {ordered('raw', 32)} AS t FROM ask0),
+kw AS MATERIALIZED (SELECT pid, hash, term, list_contains(alias_only, term) AS alias FROM live, (SELECT pid, unnest(t) AS term FROM ask) WHERE list_contains(keywords, term)),
+hit AS MATERIALIZED (SELECT pid, entity_key, name_lc, list_contains(t, name_lc) AS is_exact, list_filter(t, lambda x: list_contains(tokens, x) AND x <> name_lc) AS parts FROM entity, ask
+  WHERE list_contains(t, name_lc) OR len(list_filter(t, lambda x: list_contains(tokens, x) AND x <> name_lc)) > 0),
+em AS MATERIALIZED (SELECT pid, hash, entity_key, name_lc, is_exact, parts FROM mentions JOIN hit USING (entity_key) WHERE hash IN (SELECT hash FROM live)),
+ex AS MATERIALIZED (SELECT DISTINCT pid, hash, name_lc AS term FROM em WHERE is_exact),
+pa AS MATERIALIZED (SELECT DISTINCT pid, hash, unnest(parts) AS term FROM em),
+nb AS (SELECT DISTINCT pid, e.entity_key FROM (SELECT k1 AS a, k2 AS b, weight FROM related UNION ALL SELECT k2, k1, weight FROM related) r JOIN hit h ON r.a = h.entity_key JOIN entity e ON r.b = e.entity_key JOIN ask USING (pid)
+  WHERE weight >= 2 AND NOT list_contains(t, e.name_lc)),
+q3 AS (SELECT pid, hash, count(DISTINCT entity_key) AS hits FROM mentions JOIN nb USING (entity_key) WHERE hash IN (SELECT hash FROM live) GROUP BY 1, 2),
+d1 AS (SELECT pid, term, count(*) AS df FROM kw GROUP BY 1, 2), d2 AS (SELECT pid, term, count(*) AS df FROM ex GROUP BY 1, 2), d3 AS (SELECT pid, term, count(*) AS df FROM pa GROUP BY 1, 2),
+dfs AS MATERIALIZED (SELECT pid, term, coalesce(d1.df, 0) AS kw, coalesce(d2.df, 0) AS ex, coalesce(d3.df, 0) AS pa, n FROM d1 FULL JOIN d2 USING (pid, term) FULL JOIN d3 USING (pid, term), n_live),
+gain AS (SELECT pid, hash, {_idf('d.kw')} * CASE WHEN alias THEN 0.5 ELSE 1 END AS g FROM kw JOIN dfs d USING (pid, term)
+  UNION ALL SELECT pid, hash, 2 * {_idf('d.ex')} FROM ex JOIN dfs d USING (pid, term) WHERE regexp_matches(term, '[ _./-]')
+  UNION ALL SELECT pid, hash, {_idf('greatest(d.kw, d.pa, d.ex)')} FROM ex JOIN dfs d USING (pid, term) ANTI JOIN kw USING (pid, hash, term) WHERE NOT regexp_matches(term, '[ _./-]')
+  UNION ALL SELECT pid, hash, {_idf('greatest(d.kw, d.pa)')} FROM pa JOIN dfs d USING (pid, term) ANTI JOIN kw USING (pid, hash, term) ANTI JOIN (SELECT * FROM ex WHERE NOT regexp_matches(term, '[ _./-]')) e USING (pid, hash, term)),
+direct AS (SELECT pid, hash, sum(g) AS direct FROM gain GROUP BY 1, 2 HAVING sum(g) <> 0),
+matched AS (SELECT pid, hash, direct + 0.25e0 * least(coalesce(hits, 0), 4) AS match FROM direct LEFT JOIN q3 USING (pid, hash)),
+every AS (SELECT pid, id, round(match, 6) AS match, round(match + 2 * exp(-greatest(0, ({NOW} - greatest(last_seen_at, coalesce(last_used_at, 0))) / 86400e0) / 14e0) + 0.3e0 * ln(1e0 + seen_count) + 0.4e0 * ln(1e0 + used_count)
+  - least(disputed_count, 3) + CASE WHEN project_key = project THEN 1.0 ELSE 0 END, 6) AS score FROM matched JOIN memory USING (hash) JOIN ask USING (pid) WHERE round(match, 9) >= {MIN_MATCH})
+SELECT pid, id, match, score, row_number() OVER (PARTITION BY pid ORDER BY score DESC, id) AS rank FROM every QUALIFY rank <= 5"""
+
+
 _top = "SELECT id, title, kind, project_key, match, score FROM scored ORDER BY score DESC, id"
 _rules = "pinned DESC, project_key <> '{0}', seen_count DESC, last_seen_at DESC, id".format(PROJECT)
 _age = f"CASE WHEN {NOW} - last_seen_at < 90 THEN 'just now' WHEN {NOW} - last_seen_at < 5400 THEN ({NOW} - last_seen_at) // 60 || 'm' WHEN {NOW} - last_seen_at < 129600 THEN ({NOW} - last_seen_at) // 3600 || 'h' ELSE ({NOW} - last_seen_at) // 86400 || 'd' END"
@@ -253,6 +279,7 @@ SELECT doc_id, md5(CASE WHEN n <= 6000 THEN text ELSE left(text, k) || chr(10) |
     "save_log_last4": PRELUDE + "SELECT session, ref, us, place FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us DESC, event_id DESC) AS place FROM ev WHERE event_type = 'purchase') WHERE place <= 4",
     "sweep_behind": PRELUDE + ", t AS (SELECT session, max(us) AS touched, count(*) AS lines, count(*) FILTER (event_type = 'signup') AS cursor FROM ev GROUP BY 1), n AS (SELECT max(us) + 60000000 AS now FROM ev) SELECT session, cursor, lines, now - touched >= 1800000000 AS final FROM t, n WHERE now - touched BETWEEN 180000000 AND 604800000000 AND lines > cursor",
     "cooldown_table": "SELECT f AS failures, CAST(CASE WHEN f < 3 THEN 0 ELSE least(1440, 30 * 2 ** least(f - 3, 6)) END AS BIGINT) AS minutes FROM (SELECT unnest(range(12)) AS f)",
+    "recall_all_prompts": ALL_PROMPTS,
     "eval_summary": PRELUDE + ", ".join(["", *(scored(c, tag=str(i)).lstrip().lstrip(",").rstrip() for i, c in enumerate(CASES))]) + """, results AS ({0}),
 exp AS ({1}),
 r AS (SELECT case_id, min(pos) AS rank, count(DISTINCT item) AS found FROM results JOIN exp USING (case_id) WHERE contains(lower(title), lower(item)) GROUP BY 1), w AS (SELECT case_id, count(DISTINCT item) AS wanted FROM exp GROUP BY 1),
