@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as X
 from mnemospark.operators import browse, cluster, evaluate, extraction, graph, recall, save, sessions, setwise, write
 from mnemospark.sources import transcripts
-from mnemospark.streaming import state
+from mnemospark.streaming import logs, state
 
 from .adapters import NOW, Model, live
-from .settings import BATCH, CASES, ENTITY, MIN_MATCH, PROJECT, TOKENS
+from .settings import BATCH, CASES, ENTITY, MIN_MATCH, PROJECT, SAVES_TTL, TOKENS
 
 MINUTE = 60_000_000
 
@@ -220,6 +220,43 @@ def _stream_debounce(m: Model) -> DataFrame:
     return out.select("session", F.unix_micros("started").alias("started"), F.unix_micros("fires").alias("fires"), "n")
 
 
+def _streamed(m: Model, schema: str, build, name: str, kinds: dict[str, str], close: bool = False, **columns) -> DataFrame:
+    """What a stateful stream has put out over all events: in several micro-batches, with a restart from its checkpoint in between."""
+    kind = F.coalesce(*(F.when(F.col("event_type") == t, k) for t, k in kinds.items()))
+    e = m.events.where(F.col("event_type").isin(*kinds)).select("session", "us", "event_id", kind.alias("kind"), *(c.alias(n) for n, c in columns.items()), F.timestamp_micros("us").alias("ts"))
+    run = logs.Run(m.spark, schema, build, name)
+    middle = e.agg(((F.min("us") + F.max("us")) / 2).alias("_m"))
+    for part in (F.col("us") <= F.col("_m"), F.col("us") > F.col("_m")):
+        run.add(e.join(F.broadcast(middle)).where(part), 2)  # one row
+        out = run.run()
+    if close:
+        run.close()
+        out = run.run()
+    return out
+
+
+_CALLS = "session long, us long, event_id long, kind string"
+
+
+def _stream_shown(m: Model) -> DataFrame:
+    kinds = {"view": "push", "click": "search", "signup": "reset"}
+    out = _streamed(m, f"{_CALLS}, ref long, ts timestamp", logs.shown_log, "shown", kinds, ref=F.col("ref"))
+    last = out.groupBy("session").agg(F.max_by("entries", "n").alias("e")).select("session", F.posexplode(F.reverse("e")).alias("i", "e"))
+    return last.select("session", "e.ref", "e.us", "e.via", (F.col("i") + 1).cast("long").alias("place"))
+
+
+def _stream_failures(m: Model) -> DataFrame:
+    return _streamed(m, f"{_CALLS}, ts timestamp", logs.failures, "failures", {"error": "failed", "purchase": "done"}, close=True)
+
+
+def _stream_saves(m: Model) -> DataFrame:
+    of = lambda t, c, other: F.when(F.col("event_type") == t, c).otherwise(other)
+    schema = f"{_CALLS}, ms long, error string, skipped string, n long, n_new long, ts timestamp"
+    kinds = {"purchase": "report", "error": "report", "signup": "report", "view": "drain"}
+    return _streamed(m, schema, lambda e: logs.save_log(e, ttl_us=SAVES_TTL), "saves", kinds, ms=F.col("event_id") % 900, error=of("error", F.concat(F.lit("e"), F.col("ref").cast("string")), ""),
+        skipped=of("signup", F.when(F.col("ref") % 2 == 0, "deferred: short").otherwise("no turns"), ""), n=of("purchase", F.col("ref") % 4, 0), n_new=of("purchase", F.col("ref") % 2, 0))
+
+
 def _learned(m: Model) -> DataFrame:
     """Searches ask for a benchmark text; what they find is the memory of that number."""
     mem = m.memory.select(F.col("seq").alias("_seq"), "title", "content")
@@ -364,6 +401,9 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "gate_stats_day": lambda m: sessions.gate_stats(sessions.gate_turns(sessions.gate_calls(m.events)), since=1_704_067_200_000_000 + 5 * sessions.DAY_US),
     "stream_gate": _stream_gate,
     "stream_debounce": _stream_debounce,
+    "stream_shown_log": _stream_shown,
+    "stream_failures": _stream_failures,
+    "stream_save_log": _stream_saves,
 }
 
 

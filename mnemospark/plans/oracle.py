@@ -5,7 +5,7 @@ from __future__ import annotations
 from mnemospark.functions.text import STOPWORDS
 
 from .adapters import BASE, HOUR, KINDS, NOW
-from .settings import BATCH, CASES, ENTITY, MIN_MATCH, PROJECT, TOKENS
+from .settings import BATCH, CASES, ENTITY, MIN_MATCH, PROJECT, SAVES_TTL, TOKENS
 
 
 def quoted(xs) -> str:
@@ -279,6 +279,20 @@ SELECT doc_id, md5(CASE WHEN n <= 6000 THEN text ELSE left(text, k) || chr(10) |
     "save_log_last4": PRELUDE + "SELECT session, ref, us, place FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us DESC, event_id DESC) AS place FROM ev WHERE event_type = 'purchase') WHERE place <= 4",
     "sweep_behind": PRELUDE + ", t AS (SELECT session, max(us) AS touched, count(*) AS lines, count(*) FILTER (event_type = 'signup') AS cursor FROM ev GROUP BY 1), n AS (SELECT max(us) + 60000000 AS now FROM ev) SELECT session, cursor, lines, now - touched >= 1800000000 AS final FROM t, n WHERE now - touched BETWEEN 180000000 AND 604800000000 AND lines > cursor",
     "cooldown_table": "SELECT f AS failures, CAST(CASE WHEN f < 3 THEN 0 ELSE least(1440, 30 * 2 ** least(f - 3, 6)) END AS BIGINT) AS minutes FROM (SELECT unnest(range(12)) AS f)",
+    "stream_shown_log": PRELUDE + """, gap AS (SELECT *, coalesce(us - lag(us) OVER w > 86400000000, false) AS fresh FROM shown WINDOW w AS (PARTITION BY session ORDER BY us, event_id)),
+run AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY us, event_id) AS run, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY session) AS runs FROM gap)
+SELECT session, ref, us, via, row_number() OVER (PARTITION BY session ORDER BY us DESC, event_id DESC) AS place FROM run WHERE run = runs QUALIFY place <= 200""",
+    "stream_failures": PRELUDE + """, r AS (SELECT session, us, event_id, event_type = 'error' AS failed, lead(us) OVER w AS nxt, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER w AS grp FROM ev WHERE event_type IN ('error', 'purchase') WINDOW w AS (PARTITION BY session ORDER BY us, event_id)),
+f AS (SELECT *, row_number() OVER (PARTITION BY session, grp ORDER BY us, event_id) AS n FROM r WHERE failed),
+p AS (SELECT *, us + least(1440, 30 * pow(2, least(n - 3, 6)))::BIGINT * 60000000 AS due FROM f WHERE n >= 3)
+SELECT session, 'retry' AS kind, us + 60000000 AS due FROM f WHERE n = 1 UNION ALL SELECT session, 'resume', due FROM p WHERE nxt IS NULL OR nxt > due""",
+    "stream_save_log": PRELUDE + f""", s AS (SELECT *, event_type = 'view' AS drain FROM ev WHERE event_type IN ('purchase', 'error', 'signup', 'view')),
+q AS (SELECT *, sum(CASE WHEN drain THEN 1 ELSE 0 END) OVER w AS drains, sum(CASE WHEN drain THEN 0 ELSE 1 END) OVER w AS reports FROM s WINDOW w AS (PARTITION BY session ORDER BY us, event_id)),
+r AS (SELECT session, us, drains, reports, event_id % 900 AS ms, CASE WHEN event_type = 'error' THEN 'e' || ref END AS error, CASE WHEN event_type = 'signup' THEN CASE WHEN ref % 2 = 0 THEN 'deferred' ELSE 'no turns' END END AS skipped,
+  CASE WHEN event_type = 'purchase' THEN ref % 4 ELSE 0 END AS n, CASE WHEN event_type = 'purchase' THEN ref % 2 ELSE 0 END AS n_new FROM q WHERE NOT drain)
+SELECT q.session, q.event_id, q.us, count(*) AS batches, arg_max(r.ms, r.reports) AS ms, sum(n)::BIGINT AS count, sum(n_new)::BIGINT AS new, arg_max(error, r.reports) FILTER (error IS NOT NULL) AS error,
+  CASE WHEN sum(n) > 0 THEN '' WHEN bool_or(skipped = 'deferred') THEN 'deferred' WHEN bool_or(skipped IS NOT NULL) THEN 'skipped' ELSE '' END AS status
+FROM q JOIN r ON r.session = q.session AND q.drain AND q.drains = r.drains + 1 AND q.reports - r.reports < 4 AND q.us - r.us <= {SAVES_TTL} GROUP BY ALL""",
     "recall_all_prompts": ALL_PROMPTS,
     "eval_summary": PRELUDE + ", ".join(["", *(scored(c, tag=str(i)).lstrip().lstrip(",").rstrip() for i, c in enumerate(CASES))]) + """, results AS ({0}),
 exp AS ({1}),

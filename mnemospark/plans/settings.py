@@ -10,3 +10,5 @@ PROJECT, ENTITY, MIN_MATCH = "src3", "src3/en", 2.0
 CASES = [["thtion", "ering", "erly"], ["keit", "src5", "der"], ["thea", "ontion"]]
 #: Every BATCH-th memory is new in the write queries.
 BATCH = 10
+#: Microseconds after which a save is no longer reported, in the stream over events.
+SAVES_TTL = 24 * 3600 * 1_000_000
