@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
-from mnemospark.operators import browse, cluster, extraction, graph, index, recall, save, sessions, write
+from mnemospark.operators import browse, cluster, evaluate, extraction, graph, index, recall, save, sessions, setwise, write
 from mnemospark.sources.scratch import written
 from mnemospark.sources.snapshots import Conflict, Draft, Store, bucket
 
 MEMORY = """hash string, id string, title string, title_lc string, content string, kind string, project_key string, keywords array<string>, aliases array<string>, alias_only array<string>,
-created_at long, last_seen_at long, seen_count long, used_count long, disputed_count long, last_used_at long, injected_count long, superseded boolean, archived boolean, pinned boolean, source_session string"""
+created_at long, last_seen_at long, seen_count long, used_count long, disputed_count long, last_used_at long, injected_count long, superseded boolean, archived boolean, pinned boolean, source_session string, repo_key string"""
 _T = TypeVar("_T")
 TABLES = {
     "memory": MEMORY,
@@ -29,6 +29,8 @@ TABLES = {
     "projects": "project_key string, name string, created_at long",
 } | index.TABLES
 
+#: Lines of a block that an evaluation looks at: more than its budget has room for.
+MOST_LINES = 250
 #: Tables whose rows are only ever added.
 GROWN = ("replacements", *index.TABLES)
 #: A session's failed extractions in a row, the characters its next chunk may have, and when it may be tried again.
@@ -135,6 +137,30 @@ class Engine:
     def sessions(self) -> DataFrame:
         return self.table("sessions")
 
+    def shown(self) -> DataFrame:
+        """The memories under the project they belong to now: that of their repository, if they were given one."""
+        return self.memory.withColumn("project_key", F.coalesce("repo_key", "project_key"))
+
+    def rekey(self, manual: DataFrame | None = None, prefixes: DataFrame | None = None, roots: DataFrame | None = None, apply: bool = False) -> DataFrame:
+        """(key, new_key) of the projects that are to go by another key: manual(key, target), prefixes(prefix, target), roots(key, root).
+
+        Applied, memories get that key beside their own: hashes, entities and edges stay, so it can be done again. Projects for
+        which nothing tells a key have a null one.
+        """
+        of = lambda df, schema: self.spark.createDataFrame([], schema) if df is None else df
+        keys = self.table("projects").select(F.col("project_key").alias("key")).where("key <> ''").distinct()
+        keys = keys.withColumns({"folder": F.regexp_replace("key", "/[^/]*$", ""), "name": X.basename(F.col("key"))})
+        plan = write.plan_keys(keys, of(roots, "key string, root string"), of(manual, "key string, target string"), of(prefixes, "prefix string, target string"))
+        plan = written(plan.where("new_key is null or new_key <> key"), "rekey")
+        if apply:
+            ids = self.memory.join(plan.where("new_key is not null").select(F.col("key").alias("project_key")), "project_key", "left_semi").select("id")
+            self._update(ids, lambda mem: browse.set_repo_key(mem, plan).select(*mem.columns))
+        return plan
+
+    def successors(self) -> DataFrame:
+        """(id, head, steps): the memory that stands for each replaced one now."""
+        return graph.newest(self.table("replacements"))
+
     def live(self) -> DataFrame:
         return self.memory.where("not coalesce(superseded, false) and not coalesce(archived, false)")
 
@@ -335,7 +361,36 @@ class Engine:
         tokens = [*row["t"], *extra]
         found = self.index()
         parts = found.keyword_hits(tokens), found.entity_hits(tokens), found.related_hits(tokens)
-        return recall.merge_and_score(self.memory, *parts, corpus=self.corpus(), now=self.clock(), project=project, min_match=min_match)
+        return recall.merge_and_score(self.shown(), *parts, corpus=self.corpus(), now=self.clock(), project=project, min_match=min_match)
+
+    def recall_all(self, prompts: DataFrame, k: int = 10, min_match: float = 0.0) -> DataFrame:
+        """(pid, id, title, project_key, match, score, rank) for a table of prompts(pid, text, context, project); words of the context as `setwise.with_context` says."""
+        found, corpus, now = self.index(), self.corpus(), self.clock()
+        run = lambda p: setwise.best(found, self.shown(), p, corpus=corpus, now=now, k=k, min_match=min_match)
+        out = written(setwise.with_context(run, prompts), "recalled")
+        mem = recall.pruned(self.shown(), "hash", out.select("hash").distinct())
+        return out.join(mem.select("hash", "id", "title", "content", "kind", "last_seen_at", "project_key"), "hash")
+
+    def evaluate(self, cases: DataFrame, budget: int = 9500) -> tuple[DataFrame, DataFrame]:
+        """(case_id, mode, hit, rank, recall, chars, ms) of cases(name, mode, prompt, context, cwd, expect), and the summary by mode.
+
+        A hook case sees the block that fits the budget, over the floor; a search case the ten best. Cases run together, so ms is
+        each one's share of the time.
+        """
+        began = time.time()
+        p = cases.select(F.col("name").alias("pid"), F.col("mode"), F.col("prompt").alias("text"), "context", F.col("cwd").alias("project"), "expect")
+        lines = lambda df: df.withColumn("line", recall.memory_line(self.clock()))
+        order = [F.desc("score"), "id"]
+        hook = recall.budgeted(lines(self.recall_all(p.where("mode = 'hook'"), MOST_LINES, 2.0)), order, "line", budget, by=("pid",))
+        search = lines(self.recall_all(p.where("mode = 'search'"), 10)).withColumn("used_bytes", F.lit(0))
+        seen = written(hook.select("pid", "rank", "title", "line").union(search.select("pid", "rank", "title", "line")), "evaluated")
+        expected = p.select(F.col("pid").alias("case_id"), F.explode("expect").alias("item"))
+        held = evaluate.scored_cases(expected, seen.select(F.col("pid").alias("case_id"), "title", F.col("rank").alias("pos")))
+        size = seen.groupBy(F.col("pid").alias("case_id")).agg(F.sum(F.octet_length("line") + 1).alias("chars"))
+        held = held.join(p.select(F.col("pid").alias("case_id"), "mode"), "case_id").join(size, "case_id", "left")
+        ms = int(1000 * (time.time() - began) / max(p.count(), 1))
+        held = written(held.select("case_id", "mode", "hit", "rank", "recall", F.coalesce("chars", F.lit(0)).cast("long").alias("chars"), F.lit(ms).cast("long").alias("ms")), "cases")
+        return held, evaluate.summary(held)
 
     def search(self, query: str, project: str = "", limit: int = 10, offset: int = 0) -> DataFrame:
         """A page of results; no floor."""
@@ -391,7 +446,7 @@ class Engine:
 
     def session_start(self, project: str, home: str = "", budget: int = 8_000) -> tuple[DataFrame, DataFrame]:
         """Lines of the rules and preferences that apply here, as many as fit, and a line on those that do not."""
-        held = recall.here_set(self.live(), project, home)
+        held = recall.here_set(self.live().withColumn("project_key", F.coalesce("repo_key", "project_key")), project, home)
         lines = recall.session_rules(held.where("kept"), project).withColumn("line", recall.memory_line(self.clock()))
         order = ["group_no", F.desc("seen_count"), F.desc("last_seen_at"), "id"]
         return recall.budgeted(lines, order, "line", budget).orderBy(*order).select("id", "group_no", "line"), browse.skipped_footer(held)
@@ -402,7 +457,7 @@ class Engine:
         return graph.entity_nodes(ents, ment, name), graph.entity_relations(ents, self.related, name), graph.entity_memories(ents, ment, self.memory, name)
 
     def rules(self, project: str, k: int = 50) -> DataFrame:
-        return recall.sorted_rules(self.live(), project, k)
+        return recall.sorted_rules(self.live().withColumn("project_key", F.coalesce("repo_key", "project_key")), project, k)
 
     def entity_list(self, limit: int = 50, project: str = "") -> DataFrame:
         return graph.entity_list(self.entities, self.mentions, limit if 0 < limit <= 500 else 50, project)

@@ -67,7 +67,7 @@ def newest_touched(sessions: DataFrame, after: int, limit: int = 500) -> DataFra
 
 def set_repo_key(mem: DataFrame, plan: DataFrame) -> DataFrame:
     """mem with the repo_key that plan(key, new_key) has for its project; others keep theirs."""
-    p = plan.select(F.col("key").alias("_key"), "new_key")
+    p = plan.where("new_key is not null").select(F.col("key").alias("_key"), "new_key")
     held = mem.join(p, F.col("project_key") == F.col("_key"), "left")
     return held.withColumn("repo_key", F.coalesce("new_key", "repo_key")).drop("_key", "new_key")
 

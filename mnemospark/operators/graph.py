@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.sources.scratch import written
+
 
 def cooccurrence(mentions: DataFrame) -> DataFrame:
     """(k1, k2, weight), k1 < k2: items that mention both keys of mentions(item, key).
@@ -83,12 +85,43 @@ def histogram(**tables: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("label"), "n") for k, df in tables.items()])
 
 
-def two_hops(edges: DataFrame, seed, least: int = 2) -> DataFrame:
-    """(key, hops) within two undirected steps of seed over edges of at least that weight."""
-    e = both_ways(edges).where(F.col("weight") >= least).select("a", "b")
-    one = e.where(F.col("a") == seed).select(F.col("b").alias("key"), F.lit(1).alias("hops"))
-    two = one.join(e, one["key"] == e["a"]).select(F.col("b").alias("key"), F.lit(2).alias("hops"))
-    return one.union(two).where(F.col("key") != seed).groupBy("key").agg(F.min("hops").alias("hops"))
+def two_hops(mentions: DataFrame, seed, least: int = 2) -> DataFrame:
+    """(key, hops) within two undirected steps of seed, a step being `least` common items of mentions(item, key).
+
+    Each step starts from the items of the keys it has reached, so the pairs of other items are never made.
+    """
+    m = mentions.distinct()
+
+    def near(keys: DataFrame) -> DataFrame:
+        held = m.join(keys.select(F.col("key").alias("_a")), F.col("key") == F.col("_a")).select("_a", F.col("item").alias("_i"))
+        pairs = held.join(m, F.col("_i") == F.col("item")).where("key <> _a").groupBy("_a", "key").agg(F.count("*").alias("weight"))
+        return pairs.where(F.col("weight") >= least).select("key").distinct()
+
+    one = written(near(m.where(F.col("key") == seed).select("key").distinct()), "one-hop")
+    found = one.withColumn("hops", F.lit(1)).union(near(one).withColumn("hops", F.lit(2)))
+    return found.where(F.col("key") != seed).groupBy("key").agg(F.min("hops").alias("hops"))
+
+
+def newest(replacements: DataFrame) -> DataFrame:
+    """(id, head, steps) for every older of replacements(newer, older): what stands for it now, so many replacements on.
+
+    Pointers double: each round a row takes over where its head points, so the rounds are the logarithm of the longest
+    chain. Of several replacements of one memory the least id counts; one that replaces itself does not. What runs into
+    a circle never ends: once pointers reach further than there are edges, the head of what is left is null.
+    """
+    edges = replacements.where("newer <> older").groupBy(F.col("older").alias("id")).agg(F.min("newer").alias("head"))
+    t, n, reach = written(edges.withColumn("steps", F.lit(1).cast("long")), "heads"), None, 1
+    while True:
+        on = t.select(F.col("id").alias("_id"), F.col("head").alias("_head"), F.col("steps").alias("_steps"))
+        moved = t.join(on, F.col("head") == F.col("_id"), "left")
+        moved = written(moved.select("id", F.coalesce("_head", "head").alias("head"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_id").isNotNull().alias("open")), "heads")
+        n = moved.count() if n is None else n
+        if moved.where("open").isEmpty():
+            return moved.drop("open")
+        t, reach = moved.drop("open"), 2 * reach
+        if reach > 2 * n:
+            ends = t.join(edges.select(F.col("id").alias("_id")), F.col("head") == F.col("_id"), "left")
+            return ends.select("id", F.when(F.col("_id").isNull(), F.col("head")).alias("head"), F.when(F.col("_id").isNull(), F.col("steps")).alias("steps"))
 
 
 def chains(mem: DataFrame) -> DataFrame:

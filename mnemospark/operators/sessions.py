@@ -178,9 +178,9 @@ def last_reports(reports: DataFrame, n: int = 4) -> DataFrame:
     return reports.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= n)
 
 
-def behind(sessions: DataFrame, now_us: int, idle_us: int, final_us: int, horizon_us: int) -> DataFrame:
-    """Sessions(session, touched, cursor, lines) idle for long enough with unread lines, and whether for good."""
-    idle = F.lit(now_us) - F.col("touched")
+def behind(sessions: DataFrame, idle_us: int, final_us: int, horizon_us: int) -> DataFrame:
+    """Sessions(session, idle, cursor, lines) idle for long enough with unread lines, and whether for good."""
+    idle = F.col("idle")
     return sessions.where((idle >= idle_us) & (idle <= horizon_us) & (F.col("lines") > F.col("cursor"))).select("session", "cursor", "lines", (idle >= final_us).alias("final"))
 
 

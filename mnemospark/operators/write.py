@@ -102,3 +102,31 @@ def plan_repo_keys(keys: DataFrame, roots: DataFrame) -> DataFrame:
     agreed = lambda by: held.where("root is not null").groupBy(by).agg(F.min("root").alias(f"root_{by}"), F.countDistinct("root").alias("n")).where("n = 1").drop("n")
     out = held.join(agreed("folder"), "folder", "left").join(agreed("name"), "name", "left")
     return out.select("key", F.coalesce("root", "root_folder", "root_name").alias("new_key"))
+
+
+def prefix_mapped(keys: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(key, new_key) of keys(key) that are, or lie below, a prefix of prefixes(prefix, target): the longest counts, and what is behind it stays.
+
+    A key is looked up by each of its ancestors, so this is an equi-join and no prefix is tried on every key. Of several
+    targets of one prefix the least counts; an ending slash of a prefix is left out.
+    """
+    p = prefixes.select(F.regexp_replace("prefix", "/+$", "").alias("prefix"), "target").where("prefix <> ''").groupBy("prefix").agg(F.min("target").alias("target"))
+    parts = F.split("key", "/")
+    held = keys.where("key is not null").select("key").distinct().select("key", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("n"), parts.alias("parts"))
+    held = held.select("key", "n", F.array_join(F.slice("parts", 1, F.col("n")), "/").alias("prefix"), F.array_join(F.slice("parts", F.col("n") + 1, F.size("parts")), "/").alias("_rest"), (F.col("n") < F.size("parts")).alias("below"))
+    new = F.concat("target", F.when(F.col("below"), F.concat(F.lit("/"), F.col("_rest"))).otherwise(""))
+    return held.join(p, "prefix").groupBy("key").agg(F.max_by(new, "n").alias("new_key"))
+
+
+def plan_keys(keys: DataFrame, roots: DataFrame, manual: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(key, new_key) of keys(key, folder, name); new_key is null where nothing tells it.
+
+    A root that the key has of its own, as far as roots(key, root) resolve, goes before all else; then what manual(key,
+    target) says, then the longest of prefixes(prefix, target), then the root of its folder if that has one only, then
+    that of its name.
+    """
+    by = manual.groupBy(F.col("key").alias("_k")).agg(F.min("target").alias("manual"))
+    mapped = prefix_mapped(keys, prefixes).select(F.col("key").alias("_m"), F.col("new_key").alias("mapped"))
+    own = roots.groupBy(F.col("key").alias("_r")).agg(F.min("root").alias("own"))
+    out = plan_repo_keys(keys, roots).join(own, F.col("key") == F.col("_r"), "left").join(by, F.col("key") == F.col("_k"), "left").join(mapped, F.col("key") == F.col("_m"), "left")
+    return out.select("key", F.coalesce("own", "manual", "mapped", "new_key").alias("new_key"))

@@ -135,13 +135,14 @@ def _miss_rate(m: Model) -> DataFrame:
     v = _verdicts(m)
     used = v.where("verdict = 'used'").select("session", "ref").distinct().agg(F.count("*").alias("used"))
     miss = sessions.searched_only(sessions.shown_log(m.events), v).agg(F.count("*").alias("search_only"))
-    return used.crossJoin(miss).withColumn("miss_rate", F.round(F.col("search_only") / F.col("used"), 6))
+    return used.crossJoin(miss).withColumn("miss_rate", F.round(F.try_divide("search_only", "used"), 6))
 
 
 def _behind(m: Model) -> DataFrame:
     t = m.events.groupBy("session").agg(F.max("us").alias("touched"), F.count("*").alias("lines"), F.sum((F.col("event_type") == "signup").cast("long")).alias("cursor"))
-    now = (m.events.agg(F.max("us")).first()[0] or 0) + MINUTE
-    return sessions.behind(t, now, 3 * MINUTE, 30 * MINUTE, 7 * 24 * 60 * MINUTE)
+    end = m.events.agg((F.max("us") + MINUTE).alias("_now"))
+    t = t.crossJoin(F.broadcast(end)).withColumn("idle", F.col("_now") - F.col("touched"))  # one row
+    return sessions.behind(t, 3 * MINUTE, 30 * MINUTE, 7 * 24 * 60 * MINUTE)
 
 
 def _all_prompts(m: Model) -> DataFrame:
@@ -151,6 +152,35 @@ def _all_prompts(m: Model) -> DataFrame:
     return found.select("pid", short("hash").alias("id"), "match", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def _cooldowns(m: Model) -> DataFrame:
+    """Sessions whose last runs failed, errors being failures and purchases successes: how many, and how long they pause."""
+    runs = m.events.where("event_type in ('error', 'purchase')").withColumn("place", F.struct("us", "event_id"))
+    good = runs.where("event_type = 'purchase'").groupBy("session").agg(F.max("place").alias("good"))
+    bad = runs.where("event_type = 'error'").join(good, "session", "left").where("good is null or place > good")
+    n = bad.groupBy("session").agg(F.count("*").alias("failures"))
+    return n.select("session", "failures", sessions.cooldown_minutes(F.col("failures")).alias("minutes"))
+
+
+def _replaced(m: Model) -> DataFrame:
+    """Replacements along titles; the last of every third title is replaced by the memory of the fifth number after it."""
+    by = W.partitionBy("project_key", "title_lc", "kind").orderBy("seq")
+    held = m.memory.select("hash", "seq", F.lead("hash").over(by).alias("next"))
+    other = m.memory.select((F.col("seq") - 5).alias("_seq"), F.col("hash").alias("other"))
+    return held.join(other, (F.col("seq") == F.col("_seq")) & (F.col("seq") % 3 == 0), "left").select(F.coalesce("next", "other").alias("newer"), F.col("hash").alias("older")).where("newer is not null")
+
+
+def _key_maps(m: Model) -> DataFrame:
+    """Customers as projects below their nation; maps for some nations, for some of their tens, and by hand."""
+    c = m.table("customer")
+    key = F.concat_ws("/", F.lit("ws"), "c_nationkey", F.floor(F.col("c_custkey") / 10), "c_custkey")
+    keys = c.select(key.alias("key"), F.concat_ws("/", F.lit("ws"), "c_nationkey", F.floor(F.col("c_custkey") / 10)).alias("folder"), F.col("c_mktsegment").alias("name"))
+    roots = c.where("c_custkey % 7 = 0").select(key.alias("key"), F.concat(F.lit("root/"), F.col("c_custkey") % 3).alias("root"))
+    manual = c.where("c_custkey % 11 = 0").select(key.alias("key"), F.concat(F.lit("hand/"), "c_custkey").alias("target"))
+    nations = m.table("nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("ws/"), "n_nationkey").alias("prefix"), F.concat(F.lit("new/"), "n_name").alias("target"))
+    tens = c.where("c_custkey % 40 < 10").select(F.concat_ws("/", F.lit("ws"), "c_nationkey", F.floor(F.col("c_custkey") / 10)).alias("prefix"), F.concat(F.lit("ten/"), F.floor(F.col("c_custkey") / 10)).alias("target"))
+    return write.plan_keys(keys, roots, manual, nations.union(tens))
+
+
 def _evaluation(m: Model) -> DataFrame:
     """Cases expect the first letters, in capitals, of titles of memories with their first word."""
     results, expected = [], []
@@ -178,9 +208,9 @@ def _reindex(m: Model) -> DataFrame:
 
 
 def _stats(m: Model) -> DataFrame:
-    mem = m.memory
-    none = mem.select("project_key").limit(0)
-    return graph.project_stats(mem, m.entity, none)
+    # sessions are customers, their projects the sources that the nations' numbers name
+    held = m.table("customer").select(F.concat(F.lit("src"), F.col("c_nationkey") % 20).alias("project_key"))
+    return graph.project_stats(m.memory, m.entity, held)
 
 
 def _entity(m: Model):
@@ -258,11 +288,14 @@ def _stream_saves(m: Model) -> DataFrame:
 
 
 def _learned(m: Model) -> DataFrame:
-    """Searches ask for a benchmark text; what they find is the memory of that number."""
+    """Searches ask for a benchmark text; session and reference say which memory was found."""
+    n = m.memory.agg(F.max("seq").alias("_top")).crossJoin(F.broadcast(m.table("benchmark").agg(F.max("item_id").alias("_last"))))
+    mapped = lambda df: df.crossJoin(F.broadcast(n)).withColumn("ref", (F.col("ref") * 31 + F.col("session")) % (F.col("_top") + 1))  # noqa: E731  one row
     mem = m.memory.select(F.col("seq").alias("_seq"), "title", "content")
     asked = m.table("benchmark").select(F.col("item_id").alias("_item"), F.col("text").alias("query"))
-    shown = sessions.shown_log(m.events).join(F.broadcast(mem.where("_seq < 100")), F.col("ref") == F.col("_seq")).join(F.broadcast(asked), F.col("ref") % 40 == F.col("_item"))
-    return sessions.learned_terms(shown, _verdicts(m)).select("session", "ref", joined("terms"))
+    shown = mapped(sessions.shown_log(m.events)).join(mem, F.col("ref") == F.col("_seq"))
+    shown = shown.withColumn("_ask", F.col("ref") % (F.col("_last") + 1)).join(asked, F.col("_ask") == F.col("_item"))
+    return sessions.learned_terms(shown, mapped(_verdicts(m))).select("session", "ref", joined("terms"))
 
 
 def _drained(m: Model) -> DataFrame:
@@ -349,8 +382,10 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "hub_entities": lambda m: graph.hubs(m.basket, _basket_edges(m), 25),
     "cross_project_entities": lambda m: graph.cross_project(m.basket),
     "graph_histogram": _histogram,
-    "two_hop_neighbourhood": lambda m: graph.two_hops(_basket_edges(m), 10, 1),
+    "two_hop_neighbourhood": lambda m: graph.two_hops(m.basket.select("item", "key"), 10, 1),
     "supersession_chains": lambda m: graph.chains(m.memory),
+    "replacement_heads": lambda m: graph.newest(_replaced(m)).select(short("id").alias("id"), short("head").alias("head"), "steps"),
+    "key_map_plan": _key_maps,
     "supersede_same_title": _batch,
     "saved_outcomes": lambda m: save.effects(*_save(m)).outcomes,
     "saved_memories": _saved_memories,
@@ -380,7 +415,7 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "hook_miss_rate": _miss_rate,
     "save_log_last4": lambda m: sessions.last_reports(m.events.where("event_type = 'purchase'")).select("session", "ref", "us", "place"),
     "sweep_behind": _behind,
-    "cooldown_table": lambda m: m.spark.range(12).select(F.col("id").alias("failures"), sessions.cooldown_minutes(F.col("id")).alias("minutes")),
+    "cooldown_table": _cooldowns,
     "eval_summary": _evaluation,
     "recall_all_prompts": _all_prompts,
     "extraction_validate": _extraction,

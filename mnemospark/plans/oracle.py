@@ -185,13 +185,21 @@ SELECT pos, CASE WHEN length(title) <= 20 THEN title ELSE rtrim(substr(title, 1,
     "entity_relations": PRELUDE + f"SELECT e.name AS neighbour, e.project_key, max(weight) AS weight FROM (SELECT k1 AS a, k2 AS b, weight FROM related UNION ALL SELECT k2, k1, weight FROM related) r JOIN entity e ON e.entity_key = r.b WHERE r.a IN (SELECT entity_key FROM entity WHERE name_lc = '{ENTITY}') GROUP BY ALL ORDER BY weight DESC, neighbour, e.project_key LIMIT 50",
     "entity_memories": PRELUDE + f"SELECT id, title, kind, project_key, last_seen_at FROM memory WHERE NOT superseded AND hash IN (SELECT hash FROM mentions JOIN entity USING (entity_key) WHERE name_lc = '{ENTITY}') ORDER BY last_seen_at DESC, id LIMIT 50",
     "entity_names_recent": PRELUDE + f"SELECT name, max(created_at) AS created_at FROM entity WHERE project_key = '{PROJECT}' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
-    "project_stats": PRELUDE + ", p AS (SELECT project_key FROM memory UNION SELECT project_key FROM entity) SELECT project_key AS project, (SELECT count(*) FROM memory m WHERE m.project_key = p.project_key) AS memories, (SELECT count(*) FROM entity e WHERE e.project_key = p.project_key) AS entities, CAST(0 AS BIGINT) AS sessions FROM p",
+    "project_stats": PRELUDE + ", c AS (SELECT 'src' || c_nationkey % 20 AS project_key FROM customer), p AS (SELECT project_key FROM memory UNION SELECT project_key FROM entity UNION SELECT project_key FROM c) SELECT project_key AS project, (SELECT count(*) FROM memory m WHERE m.project_key = p.project_key) AS memories, (SELECT count(*) FROM entity e WHERE e.project_key = p.project_key) AS entities, (SELECT count(*) FROM c WHERE c.project_key = p.project_key) AS sessions FROM p",
     "cooccurrence_edges": PRELUDE + "SELECT k1, k2, weight FROM edge",
     "hub_entities": PRELUDE + ", d AS (SELECT a AS key, count(*) AS degree FROM edges2 GROUP BY 1), n AS (SELECT key, count(DISTINCT item) AS mentions FROM basket GROUP BY 1) SELECT key, mentions, degree FROM n JOIN d USING (key) ORDER BY degree DESC, mentions DESC, key LIMIT 25",
     "cross_project_entities": PRELUDE + "SELECT key, count(DISTINCT project) AS projects FROM basket GROUP BY 1 HAVING count(DISTINCT project) >= 2",
     "graph_histogram": PRELUDE + "SELECT 'Memory' AS label, count(*) AS n FROM memory UNION ALL SELECT 'Entity', count(*) FROM entity UNION ALL SELECT 'MENTIONS', count(*) FROM mentions UNION ALL SELECT 'RELATED', count(*) FROM related",
     "two_hop_neighbourhood": PRELUDE + ", one AS (SELECT b AS key FROM edges2 WHERE a = 10 AND weight >= 1), two AS (SELECT b AS key FROM one JOIN edges2 ON one.key = a WHERE weight >= 1) SELECT key, min(hops) AS hops FROM (SELECT key, 1 AS hops FROM one UNION ALL SELECT key, 2 FROM two) WHERE key <> 10 GROUP BY 1",
     "supersession_chains": PRELUDE + ", c AS (SELECT id, lead(id) OVER w AS newer, count(*) OVER (PARTITION BY project_key, title_lc, kind) AS length, row_number() OVER (PARTITION BY project_key, title_lc, kind ORDER BY seq DESC) - 1 AS depth FROM memory WINDOW w AS (PARTITION BY project_key, title_lc, kind ORDER BY seq)) SELECT id, newer, depth, length FROM c WHERE length > 1",
+    "replacement_heads": PRELUDE + """, e AS (SELECT m.hash AS older, coalesce(lead(m.hash) OVER (PARTITION BY m.project_key, m.title_lc, m.kind ORDER BY m.seq), o.hash) AS newer FROM memory m LEFT JOIN memory o ON o.seq = m.seq + 5 AND m.seq % 3 = 0),
+walk(id, head, steps) AS (SELECT older, newer, 1 FROM e WHERE newer IS NOT NULL UNION ALL SELECT id, e.newer, steps + 1 FROM walk JOIN e ON e.older = walk.head WHERE e.newer IS NOT NULL)
+SELECT substr(id, 1, 16) AS id, substr(arg_max(head, steps), 1, 16) AS head, max(steps)::BIGINT AS steps FROM walk GROUP BY walk.id""",
+    "key_map_plan": """WITH c AS (SELECT *, c_custkey // 10 AS ten, 'ws/' || c_nationkey AS at, 'ws/' || c_nationkey || '/' || c_custkey // 10 AS folder FROM customer),
+k AS (SELECT folder || '/' || c_custkey AS key, folder, c_mktsegment AS name, CASE WHEN c_custkey % 7 = 0 THEN 'root/' || c_custkey % 3 END AS root, CASE WHEN c_custkey % 11 = 0 THEN 'hand/' || c_custkey END AS hand,
+  CASE WHEN EXISTS (SELECT 1 FROM c t WHERE t.folder = c.folder AND t.c_custkey % 40 < 10) THEN 'ten/' || ten || '/' || c_custkey WHEN c_nationkey % 2 = 0 THEN 'new/' || (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) || '/' || ten || '/' || c_custkey END AS mapped FROM c),
+f AS (SELECT folder, min(root) AS r FROM k WHERE root IS NOT NULL GROUP BY 1 HAVING count(DISTINCT root) = 1), n AS (SELECT name, min(root) AS r FROM k WHERE root IS NOT NULL GROUP BY 1 HAVING count(DISTINCT root) = 1)
+SELECT key, coalesce(root, hand, mapped, f.r, n.r) AS new_key FROM k LEFT JOIN f USING (folder) LEFT JOIN n USING (name)""",
     "supersede_same_title": PRELUDE + f""", old AS (SELECT * FROM memory WHERE seq % {BATCH} <> 1), batch AS (SELECT * FROM memory WHERE seq % {BATCH} IN (1, 2)),
 nxt AS (SELECT hash, id, project_key, title_lc, kind, superseded, seen_count, last_seen_at, CAST(0 AS BIGINT) AS ord, hash IN (SELECT hash FROM batch) AS again FROM old UNION ALL SELECT hash, id, project_key, title_lc, kind, false, 1, {NOW}, seq + 1, false FROM batch WHERE hash NOT IN (SELECT hash FROM old))
 SELECT id, seen_count + CASE WHEN again THEN 1 ELSE 0 END AS seen_count, CASE WHEN again THEN {NOW} ELSE last_seen_at END AS last_seen_at,
@@ -255,8 +263,11 @@ c AS (SELECT item_id, own, [x[1], CASE WHEN NOT regexp_matches(x[1], '[-_/.]') A
 d AS (SELECT item_id, own, unnest(t) AS term, unnest([1, 2, 3, 4, 5]) AS i FROM c),
 e AS (SELECT item_id, term, min(i) AS i FROM d WHERE term IS NOT NULL AND term <> own AND octet_length(encode(term)) >= 2 AND NOT regexp_matches(term, '[\x00-\x1f\x7f-\x9f{{}}`"''\\]') AND len(list_filter(string_split(term, ' '), lambda x: x <> '' AND NOT list_contains({quoted(STOPWORDS)}, x))) > 0 GROUP BY 1, 2)
 SELECT b.item_id, coalesce(string_agg(term, '|' ORDER BY i), '') AS terms FROM b LEFT JOIN e USING (item_id) GROUP BY 1""",
-    "learned_terms": PRELUDE + f""", s AS (SELECT session, ref, us, event_id, via, b.text AS query, m.title, m.content FROM shown JOIN memory m ON m.seq = ref JOIN benchmark b ON b.item_id = ref % 40),
-single AS (SELECT DISTINCT session, ref FROM verdict v WHERE verdict = 'used' AND EXISTS (SELECT 1 FROM s WHERE s.session = v.session AND s.ref = v.ref AND via = 'search') AND NOT EXISTS (SELECT 1 FROM s WHERE s.session = v.session AND s.ref = v.ref AND via = '')),
+    "learned_terms": PRELUDE + f""", top AS (SELECT (SELECT max(seq) FROM memory) + 1 AS n, (SELECT max(item_id) FROM benchmark) + 1 AS items),
+placed AS (SELECT session, (ref * 31 + session) % n AS ref, us, event_id, via, items FROM shown, top),
+verdict_ AS (SELECT session, (ref * 31 + session) % n AS ref, verdict FROM verdict, top),
+s AS (SELECT session, ref, us, event_id, via, b.text AS query, m.title, m.content FROM placed JOIN memory m ON m.seq = ref JOIN benchmark b ON b.item_id = ref % items),
+single AS (SELECT DISTINCT session, ref FROM verdict_ v WHERE verdict = 'used' AND EXISTS (SELECT 1 FROM s WHERE s.session = v.session AND s.ref = v.ref AND via = 'search') AND NOT EXISTS (SELECT 1 FROM s WHERE s.session = v.session AND s.ref = v.ref AND via = '')),
 pair AS (SELECT DISTINCT session, ref, query, title, content FROM single JOIN s USING (session, ref)),
 raw AS (SELECT session, ref, {raw_tokens('query')} AS q, {raw_tokens("title || ' ' || content")} AS have FROM pair),
 cut AS (SELECT session, ref, {ordered('q', 24)} AS q, {ordered('have', 200)} AS have FROM raw),
@@ -275,10 +286,10 @@ h AS (SELECT *, CASE WHEN n > 6000 THEN (SELECT max(k) FROM range(900, 4001) r(k
 t AS (SELECT *, CASE WHEN n > 6000 THEN (SELECT max(j) FROM range(400, 2100) r(j) WHERE octet_length(encode(right(text, j))) <= 6000 - octet_length(encode(left(text, k)))) END AS j FROM h)
 SELECT doc_id, md5(CASE WHEN n <= 6000 THEN text ELSE left(text, k) || chr(10) || '…' || chr(10) || right(text, j) END) AS clip, CASE WHEN n >= 1048576 THEN printf('%.1fMB', n / 1048576) WHEN n >= 1024 THEN printf('%.0fKB', n / 1024) ELSE n || 'B' END AS size FROM t""",
     "learned_aliases": PRELUDE + "SELECT DISTINCT session, ref FROM verdict v WHERE verdict = 'used' AND EXISTS (SELECT 1 FROM shown s WHERE s.session = v.session AND s.ref = v.ref AND via = 'search') AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.session = v.session AND s.ref = v.ref AND via = '')",
-    "hook_miss_rate": PRELUDE + ", used AS (SELECT DISTINCT session, ref FROM verdict WHERE verdict = 'used'), miss AS (SELECT * FROM used u WHERE EXISTS (SELECT 1 FROM shown s WHERE s.session = u.session AND s.ref = u.ref AND via = 'search') AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.session = u.session AND s.ref = u.ref AND via = '')) SELECT (SELECT count(*) FROM used) AS used, (SELECT count(*) FROM miss) AS search_only, round((SELECT count(*) FROM miss) / (SELECT count(*) FROM used), 6) AS miss_rate",
+    "hook_miss_rate": PRELUDE + ", used AS (SELECT DISTINCT session, ref FROM verdict WHERE verdict = 'used'), miss AS (SELECT * FROM used u WHERE EXISTS (SELECT 1 FROM shown s WHERE s.session = u.session AND s.ref = u.ref AND via = 'search') AND NOT EXISTS (SELECT 1 FROM shown s WHERE s.session = u.session AND s.ref = u.ref AND via = '')) SELECT (SELECT count(*) FROM used) AS used, (SELECT count(*) FROM miss) AS search_only, round((SELECT count(*) FROM miss) / nullif((SELECT count(*) FROM used), 0), 6) AS miss_rate",
     "save_log_last4": PRELUDE + "SELECT session, ref, us, place FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY us DESC, event_id DESC) AS place FROM ev WHERE event_type = 'purchase') WHERE place <= 4",
     "sweep_behind": PRELUDE + ", t AS (SELECT session, max(us) AS touched, count(*) AS lines, count(*) FILTER (event_type = 'signup') AS cursor FROM ev GROUP BY 1), n AS (SELECT max(us) + 60000000 AS now FROM ev) SELECT session, cursor, lines, now - touched >= 1800000000 AS final FROM t, n WHERE now - touched BETWEEN 180000000 AND 604800000000 AND lines > cursor",
-    "cooldown_table": "SELECT f AS failures, CAST(CASE WHEN f < 3 THEN 0 ELSE least(1440, 30 * 2 ** least(f - 3, 6)) END AS BIGINT) AS minutes FROM (SELECT unnest(range(12)) AS f)",
+    "cooldown_table": PRELUDE + ", r AS (SELECT session, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY us DESC, event_id DESC) AS good FROM ev WHERE event_type IN ('error', 'purchase')), n AS (SELECT session, count(*) AS failures FROM r WHERE good = 0 GROUP BY 1) SELECT session, failures, CAST(CASE WHEN failures < 3 THEN 0 ELSE least(1440, 30 * 2 ** least(failures - 3, 6)) END AS BIGINT) AS minutes FROM n",
     "stream_shown_log": PRELUDE + """, gap AS (SELECT *, coalesce(us - lag(us) OVER w > 86400000000, false) AS fresh FROM shown WINDOW w AS (PARTITION BY session ORDER BY us, event_id)),
 run AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY us, event_id) AS run, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY session) AS runs FROM gap)
 SELECT session, ref, us, via, row_number() OVER (PARTITION BY session ORDER BY us DESC, event_id DESC) AS place FROM run WHERE run = runs QUALIFY place <= 200""",
