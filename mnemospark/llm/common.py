@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -57,7 +58,7 @@ _scratch: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """This application's folder in the shared one of the cluster; where none is set (tests, one machine) a temporary one.
+    """This application's folder in the shared one of the cluster; where none is set a temporary one, in local mode only.
 
     The folder goes when the driver ends.
     """
@@ -65,6 +66,8 @@ def scratch_dir(spark: SparkSession) -> str:
     if app not in _scratch:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
             shared = tempfile.mkdtemp(prefix="mnemospark-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         _scratch[app] = f"{shared.rstrip('/')}/mnemospark-{app}"
@@ -113,11 +116,20 @@ def row_key(*cols):
     return F.xxhash64(*cols)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with as many underscores as it takes for df to have no such column."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs, with all their columns, but for the rows of gone(doc_id, key); null ids match by their text."""
-    keyed = docs.withColumn("__row__", row_key("doc_id", "text"))
+    row = free_name(docs, "__row__")
+    keyed = docs.withColumn(row, row_key("doc_id", "text"))
     g = materialize(gone.select(F.col("doc_id").alias("__gone_id__"), F.col("key").alias("__gone_row__")).distinct(), "gone")
-    return keyed.join(small(g), keyed["doc_id"].eqNullSafe(g["__gone_id__"]) & (keyed["__row__"] == g["__gone_row__"]), "left_anti").drop("__row__")
+    return keyed.join(small(g), keyed["doc_id"].eqNullSafe(g["__gone_id__"]) & (keyed[row] == g["__gone_row__"]), "left_anti").drop(row)
 
 
 def hot_join(big: DataFrame, unique: DataFrame, on: dict[str, str], share: int = 1000) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, ship, small, table, without
+from .common import free_name, hot_join, materialize, row_key, ship, small, table, without
 from .graph import connected_components
 
 #: Words of a shingle, retained values, and the similarity in hundredths: that of op1's contract, that of the stage.
@@ -282,8 +282,11 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     root = connected_components(links.union(more)).withColumnRenamed("node", "rep").join(reps.select("rep", "doc_id"), "rep")
     least = root.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     root = materialize(root.join(least, "component").select("rep", "component", "component_id"), "dedup-components")
-    of_class = reps.join(root, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = rows.drop("sketch").join(of_class, "set_key", "left")
+    of_class = reps.join(root, "rep", "left").select(F.col("set_key").alias("_set"), F.coalesce("component", "rep").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    held = rows.drop("sketch")
+    # wordless rows have no set and would meet in one task; a set that many rows share is looked up apart
+    out = hot_join(held.where("set_key is not null"), materialize(of_class, "dedup-of-class"), {"set_key": "_set"})
+    out = out.unionByName(held.where("set_key is null"), allowMissingColumns=True)
     return out.select("doc_id", "key", "n_shingles", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
@@ -302,16 +305,18 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int
     rows = materialize(linked(docs, percent).where("component_id is not null and n_shingles > 0"), "dedup-stage")
     me = F.struct("doc_id", "key")
     first = rows.groupBy("component").agg(F.min(me).alias("first"))
-    gone = rows.join(first, "component").where(me != F.col("first")).select("doc_id", "key")
+    first = materialize(first.withColumnRenamed("component", "_c"), "dedup-first")
+    gone = hot_join(rows, first, {"component": "_c"}).where(me != F.col("first")).select("doc_id", "key")
     left = without(docs, gone)
     # repeats of the first row itself
     again = materialize(rows.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id__"), F.col("key").alias("__key__")), "dedup-again")
     if not again.limit(1).count():
         return left
     again = small(again)
-    left = left.withColumn("__row__", row_key("doc_id", "text"))
-    same = (left["doc_id"] == again["__id__"]) & (left["__row__"] == again["__key__"])
-    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__row__"])).drop("__row__")
+    row = free_name(left, "__row__")
+    left = left.withColumn(row, row_key("doc_id", "text"))
+    same = (left["doc_id"] == again["__id__"]) & (left[row] == again["__key__"])
+    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["doc_id", row])).drop(row)
 
 
 #: The whole contract from its definition: shingles, all pairs that share one, components.

@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, small, table
+from .common import ascii_lower, hot_join, materialize, table
 
 #: (rule, verdict); a rule is host/path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -110,11 +110,12 @@ def host_scores(judged: DataFrame, links: DataFrame, rules=RULES, threshold: flo
 
 def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for each row of pages(page_id, url, html)."""
-    judged = judged_pages(pages, rules)
+    judged = materialize(judged_pages(pages, rules), "judged-pages")
     links = materialize(host_links(pages), "host-links")
     scores = materialize(host_scores(judged, links, rules, threshold), "host-scores")
     by_rule = reduce(lambda c, r: c.when(F.col("rule") == r[0], r[1]), rules, F.when(F.lit(False), ""))
-    held = judged.join(small(scores.withColumnRenamed("host", "_host")), F.col("host") == F.col("_host"), "left")
+    # a host with a large share of the pages is looked up apart
+    held = hot_join(judged, scores.withColumnRenamed("host", "_host"), {"host": "_host"})
     verdict = F.coalesce(by_rule, F.when(F.col("blocked"), "block").otherwise("allow"))
     return held.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")
 
