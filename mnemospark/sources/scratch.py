@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,11 +14,13 @@ _folders: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """This application's folder in spark.checkpoint.dir; where none is set (one machine) a temporary one. It goes with the driver."""
+    """This application's folder in spark.checkpoint.dir; where none is set a temporary one, in local mode only. It goes with the driver."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
             shared = tempfile.mkdtemp(prefix="mnemospark-")
             atexit.register(shutil.rmtree, shared, ignore_errors=True)
         _folders[app] = f"{shared.rstrip('/')}/recall-{app}"
