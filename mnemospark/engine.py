@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
 from mnemospark.operators import browse, cluster, evaluate, extraction, graph, index, recall, save, sessions, setwise, write
+from mnemospark.sources import tails, transcripts
 from mnemospark.sources.scratch import written
 from mnemospark.sources.snapshots import Conflict, Draft, Store, bucket
 
@@ -29,6 +30,8 @@ TABLES = {
     "projects": "project_key string, name string, created_at long",
 } | index.TABLES
 
+#: Most files that a sweep looks into, those changed last first; the next sweep has the others.
+SWEPT = 500
 #: Lines of a block that an evaluation looks at: more than its budget has room for.
 MOST_LINES = 250
 #: Tables whose rows are only ever added.
@@ -456,6 +459,35 @@ class Engine:
         ents, ment = self.entities, self.mentions
         return graph.entity_nodes(ents, ment, name), graph.entity_relations(ents, self.related, name), graph.entity_memories(ents, ment, self.memory, name)
 
+    def targets(self, query: str, kinds: tuple[str, ...] = (), limit: int = 20) -> DataFrame:
+        """Live memories of that id, or whose title holds the query."""
+        return browse.targets(self.live(), query, kinds, limit, self.table("grams"))
+
+    def sweep(self, path: str, idle: int = 180, final: int = 1800, days: int = 7, adopt: bool = False) -> DataFrame:
+        """(id, path, unread, final, known): sessions whose transcripts below a folder changed since they were read, and have been left alone since.
+
+        Times and lengths of all files are joined with the sessions; only files that changed are read, to count their lines (an
+        unterminated last one does not count). Files of no session are sessions that were missed: adopted, they are noted
+        from their first line on.
+        """
+        now = self.clock()
+        files = tails.file_times(self.spark, path).withColumn("idle", F.lit(now) - F.col("changed"))
+        files = files.where((F.col("idle") >= idle) & (F.col("idle") <= days * 86_400)).withColumn("_at", F.regexp_replace("path", "^file:/*", "/"))
+        held = self.sessions.where("coalesce(path, '') <> ''").select("id", F.regexp_replace("path", "^file:/*", "/").alias("_own"), "cursor", "updated_at", "agent")
+        held = files.join(held, F.col("_at") == F.col("_own"), "left").where("id is null or updated_at is null or changed > updated_at")
+        held = written(held.withColumns({"known": F.col("id").isNotNull(), "id": F.coalesce("id", F.regexp_replace(X.basename(F.col("path")), r"\.jsonl$", ""))}), "sweep")
+        stale = [r["path"] for r in held.orderBy(F.desc("changed"), "path").select("path").limit(SWEPT).collect()]
+        if stale:
+            text = self.spark.read.text(stale, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), transcripts.line_count(F.col("value")).alias("lines"))
+        else:
+            text = self.spark.createDataFrame([], "_f string, lines int")
+        text = text.select(F.regexp_replace(F.url_decode(F.replace("_f", F.lit("+"), F.lit("%2B"))), "^file:/*", "/").alias("_f"), "lines")
+        out = held.join(text, F.col("_at") == F.col("_f")).withColumn("unread", F.col("lines") - F.coalesce("cursor", F.lit(0))).where("unread > 0")
+        out = written(out.select("id", F.col("_at").alias("path"), F.col("unread").cast("long").alias("unread"), (F.col("idle") >= final).alias("final"), "known", "changed"), "swept")
+        if adopt and not out.where("not known").isEmpty():
+            self.touch(out.where("not known").select("id", F.lit("").alias("project_key"), "path", F.lit("").alias("cwd"), F.lit(False).alias("agent"), F.col("changed").alias("at")))
+        return out.drop("changed")
+
     def rules(self, project: str, k: int = 50) -> DataFrame:
         return recall.sorted_rules(self.live().withColumn("project_key", F.coalesce("repo_key", "project_key")), project, k)
 

@@ -12,14 +12,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import basename
+from mnemospark.sources.scratch import written
+
+from .index import containing
+from .recall import pruned
 
 #: Kinds that can be pinned.
 STANDING = ("rule", "preference")
 
 
-def targets(live: DataFrame, query: str, kinds: Iterable[str] = (), limit: int = 20) -> DataFrame:
-    """Memories of that id, or whose title holds the query in any case: the id first, then by title."""
+def targets(live: DataFrame, query: str, kinds: Iterable[str] = (), limit: int = 20, grams: DataFrame | None = None) -> DataFrame:
+    """Memories of that id, or whose title holds the query in any case: the id first, then by title.
+
+    With grams, the pieces of titles that saves keep, the memories that may have it are looked up and others are not read.
+    An id is the start of its hash.
+    """
     same = F.col("id") == query
+    if grams is not None and query:
+        keys = written(containing(grams, "title", query.lower()), "targets")
+        live = pruned(live, "hash", keys).unionByName(live.where(F.col("hash").startswith(query) & same).join(keys, F.col("hash") == F.col("key"), "left_anti"))
     held = live.where((same | F.lower("title").contains(query.lower())) & (F.col("kind").isin(*kinds) if kinds else F.lit(True)))
     return held.orderBy(F.desc(same), "title", "id").limit(limit).select("id", "title", "kind", F.coalesce("pinned", F.lit(False)).alias("pinned"))
 

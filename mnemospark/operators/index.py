@@ -22,10 +22,13 @@ TABLES = {
     "mentioned": "entity_key string, hash string, gone boolean, at long",
     "near": "a string, b string, name_lc string, weight long, at long",
     "counts": "kind string, key string, n long",
+    "grams": "gram string, kind string, key string",
 }
 #: What a table is looked up by, and what makes a row of it the same posting.
-ORDER = {"words": ("token",), "names": ("token",), "mentioned": ("entity_key",), "near": ("a",), "counts": ("kind", "key")}
-KEYS = {"words": ("token", "hash"), "names": ("token", "entity_key", "name_lc", "exact"), "mentioned": ("entity_key", "hash"), "near": ("a", "b"), "counts": ("kind", "key")}
+ORDER = {"words": ("token",), "names": ("token",), "mentioned": ("entity_key",), "near": ("a",), "counts": ("kind", "key"), "grams": ("gram",)}
+KEYS = {"words": ("token", "hash"), "names": ("token", "entity_key", "name_lc", "exact"), "mentioned": ("entity_key", "hash"), "near": ("a", "b"), "counts": ("kind", "key"), "grams": ("gram", "kind", "key")}
+#: Length of the pieces that substrings are looked up by, and what fills the last of a text up.
+GRAM, FILL = 3, "\x02"
 
 
 def is_live() -> Column:
@@ -50,7 +53,7 @@ def merged(name: str) -> Callable[[DataFrame, bool], DataFrame]:
         keys = KEYS[name]
         if name == "counts":
             return df.groupBy(*keys).agg(F.sum("n").alias("n")).where("n <> 0")
-        if name == "names":
+        if name in ("names", "grams"):
             return df.distinct()
         rest = [c for c in df.columns if c not in keys]
         out = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), "at").alias("_r")).select(*keys, "_r.*").select(*df.columns)
@@ -87,6 +90,22 @@ def names_of(entities: DataFrame) -> DataFrame:
     return entities.select("entity_key", "name_lc", F.explode(own).alias("n")).select("n.token", "entity_key", "name_lc", "n.exact")
 
 
+def grams_of(text: Column) -> Column:
+    """The distinct pieces of a text that begin at each of its characters."""
+    filled = F.concat(text, F.lit(FILL * (GRAM - 1)))
+    return F.when(F.length(text) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(filled, i, F.lit(GRAM))))).otherwise(_none())
+
+
+def containing(grams: DataFrame, kind: str, needle: str) -> DataFrame:
+    """key of what may hold a needle of one character or more, in lower case: all its pieces are there, or a piece that it begins."""
+    held = grams.where(F.col("kind") == kind)
+    if len(needle) < GRAM:
+        return held.where(F.col("gram").startswith(needle)).select("key").distinct()
+    pieces = sorted({needle[i : i + GRAM] for i in range(len(needle) - GRAM + 1)})
+    found = held.where(F.col("gram").isin(pieces)).groupBy("key").agg(F.countDistinct("gram").alias("n"))
+    return found.where(F.col("n") == len(pieces)).select("key")
+
+
 def changes(before: dict[str, DataFrame], after: dict[str, DataFrame], at: int) -> dict[str, DataFrame]:
     """Segments for the tables memory, mentions, entities and related before and after a save; those it left alone may be missing in both."""
     stamp = F.lit(at).cast("long").alias("at")
@@ -107,6 +126,13 @@ def changes(before: dict[str, DataFrame], after: dict[str, DataFrame], at: int)
         # a new mention of a memory that lived before; the others turn with theirs
         turned = turned.union(fresh.join(mine, "hash", "left_semi").join(alive.select("hash"), "hash", "left_anti").select("entity_key", "hash", F.lit(False)))
     out["mentioned"] = turned.select("entity_key", "hash", "gone", stamp)
+    # titles and names stay as they were first; whether a memory lives is seen when it is read
+    fresh = after["memory"].join(before["memory"].select("hash"), "hash", "left_anti")
+    pieces = [fresh.select(F.explode(grams_of(F.lower("title"))).alias("gram"), F.lit("title").alias("kind"), F.col("hash").alias("key"))]
+    if "entities" in before:
+        new = after["entities"].join(before["entities"].select("entity_key"), "entity_key", "left_anti")
+        pieces.append(new.select(F.explode(grams_of(F.col("name_lc"))).alias("gram"), F.lit("name").alias("kind"), F.col("entity_key").alias("key")))
+    out["grams"] = pieces[0] if len(pieces) == 1 else pieces[0].union(pieces[1])
     if "entities" in before:
         out["names"] = names_of(after["entities"].join(before["entities"].select("entity_key"), "entity_key", "left_anti"))
     if "related" in before:

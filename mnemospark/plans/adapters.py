@@ -61,6 +61,7 @@ def related(ment: DataFrame) -> DataFrame:
 
 
 _stored: dict[tuple[str, str, str], DataFrame] = {}
+_built: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 class Model:
@@ -106,25 +107,28 @@ class Model:
     @property
     def index(self) -> Index:
         """The index as one save of all would have left it."""
+        return Index(*(self.kept(n) for n in ("words", "names", "mentioned", "near")))
+
+    def kept(self, name: str) -> DataFrame:
+        """A table of the index."""
 
         def built() -> dict[str, DataFrame]:
+            key = self.spark.sparkContext.applicationId, self.dir
+            if key not in _built:
+                _built[key] = derived()
+            return _built[key]
+
+        def derived() -> dict[str, DataFrame]:
             none = lambda df: df.limit(0)
             after = {"memory": self.memory, "mentions": self.mentions, "entities": self.entity, "related": self.related}
             before = {"memory": none(self.memory), "mentions": none(self.mentions.select("hash", "entity_key")), "entities": none(self.entity), "related": none(self.related)}
             return changes(before, after, 0)
 
-        parts: dict[str, DataFrame] = {}
-
-        def part(name: str) -> DataFrame:
-            if not parts:
-                parts.update(built())
-            return parts[name]
-
-        return Index(*(self.stored(f"index-{n}", lambda n=n: part(n), *ORDER[n]) for n in ("words", "names", "mentioned", "near")))
+        return self.stored(f"index-{name}", lambda: built()[name], *ORDER[name])
 
     def warm(self) -> None:
         """Derive and store what queries look up; a deployment does this as it saves."""
-        self.index, self.corpus  # noqa: B018
+        self.index, self.corpus, self.kept("grams")  # noqa: B018
 
     @property
     def basket(self) -> DataFrame:

@@ -419,8 +419,8 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "eval_summary": _evaluation,
     "recall_all_prompts": _all_prompts,
     "extraction_validate": _extraction,
-    "memory_targets": lambda m: browse.targets(m.live, "the", limit=20).select("id", "title", "kind", "pinned"),
-    "pin_targets": lambda m: browse.targets(m.live, "an", browse.STANDING).select("id", "title", "kind", "pinned"),
+    "memory_targets": lambda m: browse.targets(m.live, "the", limit=20, grams=m.kept("grams")).select("id", "title", "kind", "pinned"),
+    "pin_targets": lambda m: browse.targets(m.live, "an", browse.STANDING, grams=m.kept("grams")).select("id", "title", "kind", "pinned"),
     "pinned_listing": lambda m: browse.pinned_first(m.live, PROJECT).select("id", "title", "project_key", "seen_count"),
     "pending_aliases": lambda m: browse.pending_aliases(m.memory.withColumn("aliases", F.when(F.col("seq") % 3 > 0, F.col("aliases"))), "src1").select("id"),
     "memory_entities": _entities_of,
