@@ -425,6 +425,14 @@ class Engine:
     def archive(self, ids: DataFrame) -> str | None:
         return self._update(ids, lambda mem: write.set_flag(mem, ids, "archived", True))
 
+    def stale(self, least_injected: int = 20, days: int = 30, apply: bool = False) -> DataFrame:
+        """Live memories that were shown often, never used and not seen for so many days; archived if wanted."""
+        held = self.live().withColumns({"injected": F.col("injected_count"), "used": F.col("used_count")})
+        out = written(write.archive_candidates(held, least_injected, self.clock() - days * 86_400).select("id", "title", "injected"), "stale")
+        if apply:
+            self.archive(out)
+        return out
+
     def mark_injected(self, shown: DataFrame) -> str | None:
         """Count shown(id, at), a row per showing, into the memories."""
         n = write.injected(shown.select(F.col("id").alias("ref"), "at")).select(F.col("ref").alias("id"), "injected")

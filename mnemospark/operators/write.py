@@ -3,48 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def staged_effects(mem: DataFrame, batch: DataFrame) -> DataFrame:
-    """hash, new, added seen: what a batch(hash, seq, ...) of memories does to mem, repeats within it included."""
-    seen = batch.groupBy("hash").agg(F.count("*").alias("times"), F.min("seq").alias("seq"))
-    return seen.join(mem.select("hash", F.lit(False).alias("new")), "hash", "left").withColumn("new", F.coalesce("new", F.lit(True)))
-
-
-def upsert_memories(mem: DataFrame, batch: DataFrame, now: int) -> DataFrame:
-    """mem after batch(hash, seq, id, title, title_lc, kind, project_key, keywords, aliases).
-
-    An observed hash is counted again and unites its keywords and aliases in order; title and kind stay, and
-    a superseded one stays superseded. A new one supersedes the live ones of equal (project, title, kind).
-    """
-    first = lambda c: F.min_by(c, "seq").alias(f"b_{c}")
-    joined = lambda c: F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", c))), lambda x: x[c]))).alias(f"b_{c}")
-    b = batch.groupBy("hash").agg(F.count("*").alias("times"), F.min("seq").alias("b_seq"), *(first(c) for c in ("id", "title", "title_lc", "kind", "project_key")), *(joined(c) for c in ("keywords", "aliases")))
-    m = mem.join(b, "hash", "full")
-    known = F.col("id").isNotNull()
-    pick = {c: F.coalesce(c, f"b_{c}") for c in ("id", "title", "title_lc", "kind", "project_key")}
-    unite = {c: F.array_union(F.coalesce(c, F.array().cast("array<string>")), F.coalesce(f"b_{c}", F.array().cast("array<string>"))) for c in ("keywords", "aliases")}
-    out = m.withColumn("is_new", ~known).withColumns(pick | unite | {"seen_count": F.coalesce("seen_count", F.lit(0)) + F.coalesce("times", F.lit(0)),
-        "last_seen_at": F.when(F.col("times").isNotNull(), now).otherwise(F.col("last_seen_at"))})
-    # a created row replaces every row of its title that was live before it
-    order = F.when(F.col("is_new"), F.col("b_seq") + 1).otherwise(0)
-    later = F.max(F.when(F.col("is_new"), order)).over(W.partitionBy("project_key", "title_lc", "kind"))
-    return out.withColumn("superseded", F.coalesce("superseded", F.lit(False)) | F.coalesce(later > order, F.lit(False)))
-
-
 def supersede_targets(mem: DataFrame, updates: DataFrame) -> DataFrame:
     """id, superseded of the memories that updates(target_id) replace."""
     return mem.join(updates.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi").select("id", F.lit(True).alias("superseded"))
 
 
-def reobserve(mem: DataFrame, targets: DataFrame, now: int) -> DataFrame:
-    """id, seen_count, last_seen_at of targets(target_id), repeats counted; superseded ones are left alone."""
-    n = targets.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("times"))
-    return mem.where("not coalesce(superseded, false)").join(n, "id").select("id", (F.col("seen_count") + F.col("times")).alias("seen_count"), F.lit(now).cast("long").alias("last_seen_at"))
-
-
 def feedback(verdicts: DataFrame) -> DataFrame:
     """(ref, used, disputed, last_used) of verdicts(ref, verdict, at): anything but used is a dispute."""
     used = F.col("verdict") == "used"

@@ -51,18 +51,34 @@ def _shown_counts(m: Model) -> DataFrame:
     return write.injected(m.events.where("event_type in ('view', 'click')").select("ref", F.floor(F.col("us") / 1_000_000).alias("at")))
 
 
+def _kept(m: Model) -> DataFrame:
+    """The memories with the columns that a save fills in."""
+    return m.memory.withColumns({"injected_count": F.lit(0).cast("long"), "source_session": F.lit(None).cast("string")})
+
+
 def _batch(m: Model) -> DataFrame:
     """Old memories without every tenth, and a batch that brings those and repeats others."""
-    mem = m.memory
-    old = mem.where(f"seq % {BATCH} <> 1").drop("seq")
-    batch = mem.where(f"seq % {BATCH} in (1, 2)")
-    return write.upsert_memories(old, batch, NOW).select("id", "seen_count", F.col("last_seen_at").cast("long").alias("last_seen_at"), "superseded")
+    old = _kept(m).where(f"seq % {BATCH} <> 1")
+    batch = m.memory.where(f"seq % {BATCH} in (1, 2)").select("seq", "project_key", "title", "content", "kind", "aliases", F.array().cast("array<struct<name:string,type:string>>").alias("entities"))
+    b = save.staged(batch).withColumn("title_lc", F.lower("title"))  # as the model has them
+    return save.memories_after(old, save.effects(old, b), NOW).select("id", "seen_count", "last_seen_at", "superseded")
+
+
+def _reobserved(m: Model) -> DataFrame:
+    """Noops on every thirteenth memory, two on every other of these."""
+    old = _kept(m)
+    aims = old.where("seq % 13 = 0").select("seq", "id").union(old.where("seq % 26 = 0").select((F.col("seq") + 2**40).alias("seq"), "id"))
+    none = F.array().cast("array<string>")
+    rows = aims.select("seq", F.lit("").alias("project_key"), F.lit("").alias("title"), F.lit("").alias("content"), F.lit("").alias("kind"), none.alias("aliases"), F.array().cast("array<struct<name:string,type:string>>").alias("entities"), F.lit("noop").alias("op"), F.col("id").alias("target_id"))
+    b = save.staged(rows)
+    out = save.memories_after(old, save.effects(old, b), NOW)
+    return out.where("not superseded").join(aims.select("id").distinct(), "id", "left_semi").select("id", "seen_count", "last_seen_at")
 
 
 def _save(m: Model) -> tuple[DataFrame, DataFrame]:
     """Old memories, and a staged batch over them: new rows, updates of other memories, repeats and noops, with relations."""
     mem = m.memory
-    old = mem.where(f"seq % {BATCH} <> 1").withColumns({"injected_count": F.lit(0).cast("long"), "source_session": F.lit(None).cast("string")})
+    old = _kept(m).where(f"seq % {BATCH} <> 1")
     named = m.mentions.groupBy("hash").agg(F.sort_array(F.collect_set(F.struct("name", F.col("etype").alias("type")))).alias("entities"))
     aim = mem.select((F.col("seq") - 2).alias("seq"), F.col("id").alias("aim"))
     b = mem.where(f"seq % {BATCH} in (1, 2)").join(named, "hash").join(aim, "seq", "left")
@@ -392,7 +408,7 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "saved_edges": _saved_edges,
     "saved_replacements": lambda m: save.replacements(save.effects(*_save(m))),
     "supersede_by_target": lambda m: (lambda mem: write.supersede_targets(mem, mem.where("seq % 11 = 3").select(F.col("id").alias("target_id"))))(m.memory),
-    "reobserve": lambda m: (lambda mem: write.reobserve(mem, mem.where("seq % 13 = 0").select(F.col("id").alias("target_id")).union(mem.where("seq % 26 = 0").select("id")), NOW))(m.memory),
+    "reobserve": _reobserved,
     "feedback_counters": lambda m: write.feedback(_verdicts(m)),
     "injected_counters": _shown_counts,
     "archive_candidates": _archive,

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from mnemospark.operators import browse, cluster, evaluate, extraction, graph, sessions, write
+from mnemospark.operators import browse, cluster, evaluate, extraction, graph, save, sessions, write
 from mnemospark.sources import transcripts
 
 EVENTS = "session long, event_id long, us long, event_type string, ref long"
@@ -77,7 +77,7 @@ def test_cooldown_and_sweep(spark):
     got = [r.m for r in spark.range(11).orderBy("id").select(sessions.cooldown_minutes(F.col("id")).alias("m")).collect()]
     assert got == [0, 0, 0, 30, 60, 120, 240, 480, 960, 1440, 1440]
     s = spark.createDataFrame([(1, 900, 0, 5), (2, 990, 0, 5), (3, 500, 5, 5), (4, 0, 1, 5), (5, 700, 1, 2)], "session long, touched long, cursor long, lines long")
-    assert {(r.session, r.final) for r in sessions.behind(s, 1000, 100, 300, 900).collect()} == {(1, False), (5, True)}
+    assert {(r.session, r.final) for r in sessions.behind(s.withColumn("idle", 1000 - F.col("touched")), 100, 300, 900).collect()} == {(1, False), (5, True)}
 
 
 MEM = "hash string, id string, title string, title_lc string, kind string, project_key string, keywords array<string>, aliases array<string>, seen_count long, last_seen_at long, superseded boolean, seq long"
@@ -87,10 +87,21 @@ def memory(spark, rows):
     return spark.createDataFrame([(h, h, t, t.lower(), "fact", "p", list(k), [], n, 1, sup, seq) for h, t, k, n, sup, seq in rows], MEM)
 
 
+def saved(old, batch, now):
+    """old after a batch whose hashes and words are given, through the steps that the engine saves by."""
+    none, zero = F.array().cast("array<string>"), F.lit(0).cast("long")
+    also = {"content": F.col("title"), "alias_only": none, "created_at": zero, "used_count": zero, "disputed_count": zero, "injected_count": zero, "archived": F.lit(False), "pinned": F.lit(False), "source_session": F.lit(None).cast("string")}
+    old = old.withColumns(also)
+    b = batch.drop("superseded", "seen_count", "last_seen_at").withColumns({"content": F.col("title"), "alias_only": none, "alias_tokens": none, "at": F.col("seq") + 1, "session": F.lit(None).cast("string")})
+    for c, v in (("op", F.lit("add")), ("target_id", F.lit(None).cast("string"))):
+        b = b if c in b.columns else b.withColumn(c, v)
+    return save.memories_after(old, save.effects(old, b), now)
+
+
 def test_upsert(spark):
     old = memory(spark, [("a", "T", ["x"], 1, False, 0), ("b", "U", ["y"], 2, True, 0), ("c", "V", [], 1, False, 0)]).drop("seq")
     batch = memory(spark, [("a", "Other", ["z", "x"], 1, False, 1), ("b", "U", [], 1, False, 2), ("n1", "T", ["q"], 1, False, 3), ("n2", "T", [], 1, False, 4), ("a", "T", ["w"], 1, False, 5)])
-    got = {r.id: r for r in write.upsert_memories(old, batch, 99).collect()}
+    got = {r.id: r for r in saved(old, batch, 99).collect()}
     assert got["a"].seen_count == 3 and got["a"].title == "T" and got["a"].keywords == ["x", "z", "w"] and got["a"].last_seen_at == 99
     assert got["a"].superseded and got["n1"].superseded and not got["n2"].superseded  # each new one replaces what was live before
     assert got["b"].superseded and got["b"].seen_count == 3 and not got["c"].superseded and got["c"].last_seen_at == 1
@@ -102,8 +113,8 @@ def test_counters_and_flags(spark):
     m = memory(spark, [("a", "T", [], 1, False, 0), ("b", "U", [], 1, True, 0)]).withColumn("pinned", F.lit(False))
     ids = spark.createDataFrame([("a",), ("b",)], "id string")
     assert {r.id: r.pinned for r in write.set_flag(m, ids, "pinned", True, ("rule",)).collect()} == {"a": False, "b": False}
-    t = ids.withColumnRenamed("id", "target_id")
-    assert [(r.id, r.seen_count) for r in write.reobserve(m, t.union(t), 9).collect()] == [("a", 3)]
+    noops = memory(spark, [(f"noop{i}", "", [], 1, False, i) for i in range(4)]).withColumns({"op": F.lit("noop"), "target_id": F.element_at(F.array(F.lit("a"), F.lit("b")), (F.col("seq") % 2 + 1).cast("int"))})
+    assert {r.id: (r.seen_count, r.last_seen_at) for r in saved(m.drop("seq", "pinned"), noops, 9).collect()} == {"a": (3, 9), "b": (1, 1)}
 
 
 def test_sessions_keep_the_agent_mark(spark):
