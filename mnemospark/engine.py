@@ -405,6 +405,19 @@ class Engine:
         s = recall.excluding(s, shown) if shown is not None else s
         return recall.budgeted(s.withColumn("line", recall.memory_line(self.clock())), [F.desc("score"), "id"], "line", budget)
 
+    def block(self, prompt: str, project: str = "", shown: DataFrame | None = None, budget: int = 9500, min_match: float = 2.0, rules: int = 50) -> DataFrame:
+        """The lines of a block: what the prompt recalls, then the standing rules, each under its header, as far as they fit."""
+        s = self.scored(prompt, project, min_match=min_match)
+        s = recall.excluding(s, shown) if shown is not None else s
+        lines = lambda df: df.withColumn("line", recall.memory_line(self.clock()))
+        mem, rule = recall.SECTIONS
+        return recall.sectioned([(mem, lines(s), [F.desc("score"), "id"]), (rule, lines(self.rules(project, rules)), recall.rule_order(project))], "line", budget)
+
+    def write_rules(self, name: str = "RULES.md") -> bool:
+        """A file of the store with the pinned rules and preferences, written only if it changes; whether it did."""
+        lines = [r["line"] for r in recall.standing_lines(self.live()).orderBy("place").collect()]
+        return self.store.write_lines(name, ["# Standing rules, written by the engine; changes here are lost.", *([""] if lines else []), *lines])
+
     def _judged(self, mem: DataFrame, verdicts: DataFrame) -> DataFrame:
         f = write.feedback(verdicts.select(F.col("id").alias("ref"), "verdict", F.lit(self.clock()).cast("long").alias("at")))
         m = mem.join(f.withColumnRenamed("ref", "id"), "id", "left")

@@ -126,9 +126,14 @@ def excluding(scored: DataFrame, shown: DataFrame) -> DataFrame:
     return scored.join(shown, "id", "left_anti")
 
 
+def rule_order(project: str) -> list:
+    """Pinned, then the project's, then most and last seen."""
+    return [F.desc("pinned"), F.col("project_key") != project, F.desc("seen_count"), F.desc("last_seen_at"), F.col("id")]
+
+
 def sorted_rules(mem: DataFrame, project: str, k: int) -> DataFrame:
-    """Standing rules: pinned, then the project's, then most and last seen."""
-    return mem.where("kind = 'rule'").orderBy(F.desc("pinned"), (F.col("project_key") != project), F.desc("seen_count"), F.desc("last_seen_at"), "id").limit(k)
+    """Standing rules in order."""
+    return mem.where("kind = 'rule'").orderBy(*rule_order(project)).limit(k)
 
 
 def session_rules(mem: DataFrame, project: str) -> DataFrame:
@@ -154,6 +159,42 @@ def budgeted(lines: DataFrame, order: list, text: str, budget: int, reserve: int
     return lines.withColumn("used_bytes", total).where(F.col("used_bytes") <= budget - reserve)
 
 
+#: What stands above the memories and above the rules of a block.
+SECTIONS = ("Memories of earlier sessions (background; check before relying on them):", "Standing rules (follow them unless told otherwise):")
+
+
+def sectioned(sections: list[tuple[str, DataFrame, list]], text: str, budget: int, reserve: int = 120) -> DataFrame:
+    """(section, place, line, used_bytes) of a block of (header, lines, order): sections in turn, each the prefix that fits in what is left.
+
+    A section stops at its first misfit, the next one goes on behind what was written. A header takes its room and is at place
+    0; a section of which no line fits has none.
+    """
+    out, used = None, None
+    for i, (header, lines, order) in enumerate(sections):
+        size = len(header.encode()) + 1
+        top = lines.orderBy(*order).limit(max(budget - reserve - size, 1))  # a line takes a byte at least
+        w = W.orderBy(*order)
+        held = top.select(F.row_number().over(w).cast("long").alias("place"), F.col(text).alias("line"), F.sum(F.octet_length(text) + 1).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("_own"))
+        held = held.withColumn("_before", F.lit(0).cast("long")) if used is None else held.crossJoin(F.broadcast(used))  # one row
+        held = held.withColumn("used_bytes", F.col("_before") + size + F.col("_own")).where(F.col("used_bytes") <= budget - reserve)
+        held = written(held.select(F.lit(i).cast("long").alias("section"), "place", "line", "used_bytes", "_before"), "section")
+        head = held.where("place = 1").select("section", F.lit(0).cast("long").alias("place"), F.lit(header).alias("line"), (F.col("_before") + size).alias("used_bytes"))
+        part = head.unionByName(held.drop("_before"))
+        out = part if out is None else out.unionByName(part)
+        used = out.agg(F.coalesce(F.max("used_bytes"), F.lit(0)).alias("_before"))
+    return out
+
+
+def standing_lines(mem: DataFrame) -> DataFrame:
+    """(place, line) of pinned rules, then pinned preferences, for a file that is read at the start: by project, most seen first."""
+    held = mem.where("kind in ('rule', 'preference') and coalesce(pinned, false)")
+    origin = F.when(F.col("project_key") != "", F.concat(F.lit(" (from "), F.regexp_extract("project_key", "([^/]*)/*$", 1), F.lit(")"))).otherwise("")
+    line = F.concat(F.lit("- ["), "kind", F.lit("] "), "title", F.lit(" — "), F.trim("content"), origin)
+    order = [F.col("kind") != "rule", F.col("project_key"), F.desc("seen_count"), F.col("id")]
+    # pinned by hand, so few
+    return held.select(F.row_number().over(W.orderBy(*order)).cast("long").alias("place"), line.alias("line"))
+
+
 def memory_line(now: int, clip: int = 400) -> Column:
     return F.format_string("- [%s] %s (%s): %s", F.col("kind"), F.col("title"), relative_age(F.lit(now), F.col("last_seen_at")), F.left(F.regexp_replace("content", r"\s+", " "), F.lit(clip)))
 

@@ -217,6 +217,14 @@ def _context(m: Model) -> DataFrame:
     return recall.budgeted(lines, [F.desc("score"), "id"], "line", 9500).select("id", "line", "used_bytes")
 
 
+def _sections(m: Model) -> DataFrame:
+    """A block in which neither section has room for all."""
+    lines = lambda df: df.withColumn("line", recall.memory_line(NOW))
+    mem, rule = recall.SECTIONS
+    found = Recall(m).scored(min_match=MIN_MATCH, project=PROJECT)
+    return recall.sectioned([(mem, lines(found), [F.desc("score"), "id"]), (rule, lines(recall.sorted_rules(m.live, PROJECT, 50)), recall.rule_order(PROJECT))], "line", 4000)
+
+
 def _reindex(m: Model) -> DataFrame:
     mem = m.memory
     stored = mem.select("id", F.when(F.col("seq") % 9 == 4, F.slice("keywords", 1, F.greatest(F.size("keywords") - 1, F.lit(0)))).otherwise(F.col("keywords")).alias("keywords"))
@@ -387,6 +395,8 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "session_rules": lambda m: recall.session_rules(m.live, PROJECT).select("id", "group_no"),
     "here_set": lambda m: recall.here_set(m.live, PROJECT, "src7").select("id", "kept"),
     "context_block_budget": _context,
+    "context_sections": _sections,
+    "standing_lines": lambda m: recall.standing_lines(m.live),
     "summary_lines": lambda m: recall.summary_lines(Recall(m).scored(), 6, 20),
     "entity_list_mentions": lambda m: (lambda mem, ment, ents: graph.entity_list(ents, ment, 50))(*_entity(m)),
     "entity_detail_nodes": lambda m: (lambda mem, ment, ents: graph.entity_nodes(ents, ment, ENTITY))(*_entity(m)),

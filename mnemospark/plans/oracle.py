@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mnemospark.functions.text import STOPWORDS
+from mnemospark.operators.recall import SECTIONS
 
 from .adapters import BASE, HOUR, KINDS, NOW
 from .settings import BATCH, CASES, ENTITY, MIN_MATCH, PROJECT, SAVES_TTL, TOKENS
@@ -176,6 +177,14 @@ SQL: dict[str, str] = {
     "rules_sorted": PRELUDE + f"SELECT id, title, pinned, project_key, seen_count FROM live WHERE kind = 'rule' ORDER BY {_rules} LIMIT 50",
     "session_rules": PRELUDE + f"SELECT id, CASE WHEN pinned THEN 0 WHEN project_key = '{PROJECT}' AND kind = 'rule' THEN 1 WHEN project_key = '{PROJECT}' THEN 2 WHEN kind = 'rule' THEN 3 ELSE 4 END AS group_no FROM live WHERE kind IN ('rule', 'preference')",
     "here_set": PRELUDE + f"SELECT id, pinned OR project_key = '{PROJECT}' OR starts_with(project_key, '{PROJECT}/') OR project_key = 'src7' AS kept FROM live WHERE kind IN ('rule', 'preference')",
+    "context_sections": PRELUDE + scored(TOKENS, min_match=MIN_MATCH, project=PROJECT) + f""", one AS (SELECT row_number() OVER w AS place, {_line} AS line, sum(octet_length(encode({_line})) + 1) OVER w + {len(SECTIONS[0]) + 1} AS used_bytes FROM scored WINDOW w AS (ORDER BY score DESC, id)),
+one_ AS (SELECT * FROM one WHERE used_bytes <= 3880), u AS (SELECT coalesce(max(used_bytes), 0) AS u FROM one_),
+rule AS (SELECT * FROM live WHERE kind = 'rule' ORDER BY {_rules} LIMIT 50),
+two AS (SELECT row_number() OVER w AS place, {_line} AS line, u + sum(octet_length(encode({_line})) + 1) OVER w + {len(SECTIONS[1]) + 1} AS used_bytes FROM rule, u WINDOW w AS (ORDER BY {_rules})),
+two_ AS (SELECT * FROM two WHERE used_bytes <= 3880)
+SELECT 0 AS section, place, line, used_bytes::BIGINT AS used_bytes FROM one_ UNION ALL SELECT 0, 0, '{SECTIONS[0]}', {len(SECTIONS[0]) + 1} WHERE EXISTS (SELECT 1 FROM one_)
+UNION ALL SELECT 1, place, line, used_bytes FROM two_ UNION ALL SELECT 1, 0, '{SECTIONS[1]}', u + {len(SECTIONS[1]) + 1} FROM u WHERE EXISTS (SELECT 1 FROM two_)""",
+    "standing_lines": PRELUDE + "SELECT row_number() OVER (ORDER BY kind <> 'rule', project_key, seen_count DESC, id) AS place, '- [' || kind || '] ' || title || ' — ' || trim(content, ' ') || CASE WHEN project_key <> '' THEN ' (from ' || regexp_extract(project_key, '([^/]*)/*$', 1) || ')' ELSE '' END AS line FROM live WHERE kind IN ('rule', 'preference') AND pinned",
     "context_block_budget": PRELUDE + scored(TOKENS, min_match=MIN_MATCH, project=PROJECT) + f""", lines AS (SELECT id, score, {_line} AS line FROM scored),
 run AS (SELECT id, line, sum(octet_length(encode(line)) + 1) OVER (ORDER BY score DESC, id) AS used_bytes FROM lines) SELECT id, line, CAST(used_bytes AS BIGINT) AS used_bytes FROM run WHERE used_bytes <= 9500 - 120""",
     "summary_lines": PRELUDE + scored(TOKENS) + """, top AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS pos, title, count(*) OVER () AS total FROM scored)
