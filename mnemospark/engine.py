@@ -521,6 +521,23 @@ class Engine:
     def consolidation_candidates(self) -> DataFrame:
         return cluster.clusters(self.live(), self.mentions)
 
+    def export(self, path: str) -> None:
+        """All tables as gzipped JSON lines, a folder each; what searches look up is left out, as it follows from them."""
+        for name in TABLES:
+            if name not in index.TABLES:
+                self.table(name).write.option("compression", "gzip").json(f"{path.rstrip('/')}/{name}")
+
+    def load(self, path: str) -> str:
+        """The tables of an export as the first version of this store, which has to be empty."""
+
+        def run(draft: Draft) -> str:
+            if draft.base:
+                raise ValueError("the store is not empty")
+            self._put(draft, {n: self.spark.read.schema(kind).json(f"{path.rstrip('/')}/{n}") for n, kind in TABLES.items() if n not in index.TABLES})
+            return draft.version
+
+        return self._change(run)
+
     def backups(self) -> list[str]:
         return self.store.versions()
 

@@ -104,6 +104,46 @@ def _saved_edges(m: Model) -> DataFrame:
     return save.related_after(before, save.edges_of(b), NOW).select(shown("k1"), shown("k2"), "weight", "verb", "last_seen_at")
 
 
+def _named_after(m: Model) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Entities and mentions of the old memories, and what a batch names."""
+    old, b = _save(m)
+    held = m.mentions.join(old.select("hash"), "hash", "left_semi")
+    ents = m.entity.join(held.select("entity_key").distinct(), "entity_key", "left_semi")
+    return ents, held.select("hash", "entity_key"), save.named(b), b
+
+
+def _saved_entities(m: Model) -> DataFrame:
+    ents, _, found, _ = _named_after(m)
+    return save.entities_after(ents, found, NOW).select(F.translate("entity_key", "\0", "|").alias("entity_key"), "name", "project_key")
+
+
+def _saved_mentions(m: Model) -> DataFrame:
+    _, held, found, _ = _named_after(m)
+    return save.mentions_after(held, found).select(short("hash").alias("id"), F.translate("entity_key", "\0", "|").alias("entity_key"))
+
+
+def _aliases_added(m: Model) -> DataFrame:
+    mem = m.memory
+    a = mem.where("seq % 4 = 0").select("id", F.array(F.lit("alpha"), F.lit("beta-x"), F.col("lang")).alias("aliases"))
+    a = a.withColumn("tokens", X.tokenize(F.concat_ws(" ", "aliases"), 24))
+    return write.set_aliases(mem, a, 20).select("id", joined("aliases"), joined("alias_only"), joined("keywords"))
+
+
+def _kept_by(m: Model) -> DataFrame:
+    """Every sixth memory gives way to the one after it, as members of a cluster do to their keeper."""
+    keeper = m.memory.select((F.col("seq") - 1).alias("_seq"), F.col("id").alias("keeper"))
+    pairs = m.memory.where("seq % 6 = 0").join(keeper, F.col("seq") == F.col("_seq")).select("keeper", "id")
+    return save.superseded_by(m.memory, pairs)[0].select("id", "superseded")
+
+
+def _touched(m: Model) -> DataFrame:
+    """Sessions known from signups, touched by views and clicks."""
+    e = m.events.select(F.col("session").cast("string").alias("id"), F.concat(F.lit("src"), F.col("ref") % 20).alias("project_key"), F.concat(F.lit("t/"), F.col("event_id")).alias("path"), F.concat(F.lit("w/"), F.col("ref")).alias("cwd"),
+        (F.col("ref") == 7).alias("agent"), (F.col("us") * 1000 + F.col("event_id") % 1000).alias("at"), "event_type")
+    first = e.where("event_type = 'signup'").groupBy("id").agg(*(F.max_by(c, "at").alias(c) for c in ("project_key", "path", "cwd")), F.bool_or("agent").alias("agent"), F.max("at").alias("touched_at"), F.lit(3).cast("long").alias("cursor"))
+    return write.merge_sessions(first, e.where("event_type in ('view', 'click')")).select("id", "project_key", "path", "cwd", "agent", "touched_at", "cursor")
+
+
 def _archive(m: Model) -> DataFrame:
     n = _shown_counts(m).select("ref", "injected")
     held = m.live.withColumn("ref", F.col("seq") % 100).join(n, "ref").withColumnRenamed("used_count", "used")
@@ -416,6 +456,12 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "saved_outcomes": lambda m: save.effects(*_save(m)).outcomes,
     "saved_memories": _saved_memories,
     "saved_edges": _saved_edges,
+    "saved_entities": _saved_entities,
+    "saved_mentions": _saved_mentions,
+    "aliases_added": _aliases_added,
+    "superseded_by_keeper": _kept_by,
+    "sessions_touched": _touched,
+    "pinned_flags": lambda m: write.set_flag(m.memory, m.memory.where("seq % 5 = 0").select("id"), "pinned", True, browse.STANDING).select("id", "pinned"),
     "saved_replacements": lambda m: save.replacements(save.effects(*_save(m))),
     "supersede_by_target": lambda m: (lambda mem: write.supersede_targets(mem, mem.where("seq % 11 = 3").select(F.col("id").alias("target_id"))))(m.memory),
     "reobserve": _reobserved,

@@ -209,6 +209,17 @@ k AS (SELECT folder || '/' || c_custkey AS key, folder, c_mktsegment AS name, CA
   CASE WHEN EXISTS (SELECT 1 FROM c t WHERE t.folder = c.folder AND t.c_custkey % 40 < 10) THEN 'ten/' || ten || '/' || c_custkey WHEN c_nationkey % 2 = 0 THEN 'new/' || (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) || '/' || ten || '/' || c_custkey END AS mapped FROM c),
 f AS (SELECT folder, min(root) AS r FROM k WHERE root IS NOT NULL GROUP BY 1 HAVING count(DISTINCT root) = 1), n AS (SELECT name, min(root) AS r FROM k WHERE root IS NOT NULL GROUP BY 1 HAVING count(DISTINCT root) = 1)
 SELECT key, coalesce(root, hand, mapped, f.r, n.r) AS new_key FROM k LEFT JOIN f USING (folder) LEFT JOIN n USING (name)""",
+    "saved_entities": SAVED + "SELECT DISTINCT replace(entity_key, chr(0), '|') AS entity_key, name, m.project_key FROM mentions m WHERE hash IN (SELECT hash FROM old) OR hash IN (SELECT hash FROM row WHERE op <> 'noop')",
+    "saved_mentions": SAVED + "SELECT DISTINCT substr(hash, 1, 16) AS id, replace(entity_key, chr(0), '|') AS entity_key FROM mentions WHERE hash IN (SELECT hash FROM old) OR hash IN (SELECT hash FROM row WHERE op <> 'noop')",
+    "aliases_added": PRELUDE + f""", a AS (SELECT *, ['alpha', 'beta-x', lang] AS new, {raw_tokens("'alpha beta-x ' || lang")} AS raw_n FROM memory), t AS (SELECT *, {ordered('raw_n', 24)} AS tok FROM a)
+SELECT id, array_to_string(CASE WHEN seq % 4 = 0 THEN {union('aliases', 'new')} ELSE aliases END, ' ') AS aliases, array_to_string(CASE WHEN seq % 4 = 0 THEN {union('alias_only', less('tok', 'keywords'))} ELSE alias_only END, ' ') AS alias_only,
+  array_to_string(CASE WHEN seq % 4 = 0 THEN {union('keywords', 'tok')} ELSE keywords END, ' ') AS keywords FROM t""",
+    "superseded_by_keeper": PRELUDE + "SELECT id, superseded OR (seq % 6 = 0 AND EXISTS (SELECT 1 FROM memory k WHERE k.seq = m.seq + 1)) AS superseded FROM memory m",
+    "sessions_touched": PRELUDE + """, e AS (SELECT CAST(session AS VARCHAR) AS id, 'src' || ref % 20 AS project_key, 't/' || event_id AS path, 'w/' || ref AS cwd, ref = 7 AS agent, us * 1000 + event_id % 1000 AS whn, event_type FROM ev),
+a AS (SELECT id, arg_max(project_key, whn) AS p, arg_max(path, whn) AS f, arg_max(cwd, whn) AS c, bool_or(agent) AS g, max(whn) AS t FROM e WHERE event_type = 'signup' GROUP BY 1),
+b AS (SELECT id, arg_max(project_key, whn) AS p, arg_max(path, whn) AS f, arg_max(cwd, whn) AS c, bool_or(agent) AS g, max(whn) AS t FROM e WHERE event_type IN ('view', 'click') GROUP BY 1)
+SELECT id, coalesce(b.p, a.p) AS project_key, coalesce(b.f, a.f) AS path, coalesce(b.c, a.c) AS cwd, coalesce(a.g, false) OR coalesce(b.g, false) AS agent, greatest(a.t, b.t) AS touched_at, CASE WHEN a.id IS NULL THEN 0 ELSE 3 END::BIGINT AS cursor FROM a FULL JOIN b USING (id)""",
+    "pinned_flags": PRELUDE + "SELECT id, pinned OR (seq % 5 = 0 AND kind IN ('rule', 'preference')) AS pinned FROM memory",
     "supersede_same_title": PRELUDE + f""", old AS (SELECT * FROM memory WHERE seq % {BATCH} <> 1), batch AS (SELECT * FROM memory WHERE seq % {BATCH} IN (1, 2)),
 nxt AS (SELECT hash, id, project_key, title_lc, kind, superseded, seen_count, last_seen_at, CAST(0 AS BIGINT) AS ord, hash IN (SELECT hash FROM batch) AS again FROM old UNION ALL SELECT hash, id, project_key, title_lc, kind, false, 1, {NOW}, seq + 1, false FROM batch WHERE hash NOT IN (SELECT hash FROM old))
 SELECT id, seen_count + CASE WHEN again THEN 1 ELSE 0 END AS seen_count, CASE WHEN again THEN {NOW} ELSE last_seen_at END AS last_seen_at,

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.engine import Engine
@@ -221,6 +222,18 @@ def test_verbs_of_a_session(spark, tmp_path):
     lines, footer = e.session_start("p")
     assert [(r.group_no, r.line.split("(")[0]) for r in lines.collect()] == [(1, "- [rule] Cache rule "), (2, "- [preference] Replies ")]
     assert "1 rules + 0 preferences" in footer.first().line
+    held = [(r.section, r.place, r.line[:17]) for r in e.block("plain loaders", "p", min_match=0.1).orderBy("section", "place").collect()]
+    assert held[1] == (0, 1, "- [fact] Fact (ju") and [x[:2] for x in held] == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2)] and e.block("none of it", "p", budget=150).collect() == []
+    e.pin(e.memory.where("title = 'Cache rule'").select("id"))
+    assert e.write_rules() and not e.write_rules()
+    e.export(str(tmp_path / "out"))
+    other = Engine(spark, str(tmp_path / "o"), lambda: 1000)
+    other.load(str(tmp_path / "out"))
+    for name in ("memory", "mentions", "entities", "related", "sessions"):
+        assert sorted(map(repr, other.table(name).collect())) == sorted(map(repr, e.table(name).select(*other.table(name).columns).collect())), name
+    assert [r.title for r in other.search("loaders").collect()] == ["Fact"]
+    with pytest.raises(ValueError):
+        other.load(str(tmp_path / "out"))
     assert [r.title for r in e.similar(spark.createDataFrame([(0, "other words"), (1, "plain loaders")], "line int, text string"), min_match=0.1).collect()] == ["Fact"]
     nodes, near, held = e.entity("Cache")
     assert [(r["name"], r.mentions) for r in nodes.collect()] == [("cache", 2)] and [(r.neighbour, r.weight) for r in near.collect()] == [("parquet", 1)]
