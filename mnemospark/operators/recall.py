@@ -23,8 +23,14 @@ def _tokens(tokens: list[str]) -> Column:
 FEW = 1000
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df computed once: up to FEW rows come to the driver and are a local table, more are written."""
+    rows = df.limit(FEW + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= FEW else written(df, name)
+
+
 def pruned(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of df whose column is among keys(one column), a written table."""
+    """Rows of df whose column is among keys(one column), a written or local table."""
     found = [r[0] for r in keys.limit(FEW + 1).collect()]
     if len(found) <= FEW:
         return df.where(F.col(column).isin(found)) if found else df.where(F.lit(False))
@@ -57,7 +63,7 @@ class Index:
         """What matches, looked up once for all that follows from it."""
         key = tuple(tokens)
         if key not in self._seeds:
-            self._seeds[key] = written(self.matching(tokens), "seeds")
+            self._seeds[key] = settled(self.matching(tokens), "seeds")
         return self._seeds[key]
 
     def mentions(self, keys: DataFrame) -> DataFrame:
@@ -74,7 +80,7 @@ class Index:
         """(hash, hits): distinct neighbours of the query's entities that a live memory mentions, names in the query left out."""
         near = latest(pruned(self.near, "a", self.seeds(tokens).select("entity_key")), "a", "b")
         near = near.where((F.col("weight") >= max(least, 1)) & ~F.col("name_lc").isin(tokens))
-        return self.mentions(written(near.select(F.col("b").alias("entity_key")).distinct(), "near")).groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"))
+        return self.mentions(settled(near.select(F.col("b").alias("entity_key")).distinct(), "near")).groupBy("hash").agg(F.countDistinct("entity_key").alias("hits"))
 
 
 def document_frequency(q1: DataFrame) -> DataFrame:

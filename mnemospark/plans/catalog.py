@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mnemospark.engine import Engine
 from mnemospark.functions import text as X
 from mnemospark.operators import browse, cluster, evaluate, extraction, graph, recall, save, sessions, setwise, write
 from mnemospark.sources import transcripts
+from mnemospark.sources.scratch import folder
 from mnemospark.streaming import logs, state
 
 from .adapters import NOW, Model, live
@@ -265,6 +268,21 @@ def _sections(m: Model) -> DataFrame:
     return recall.sectioned([(mem, lines(found), [F.desc("score"), "id"]), (rule, lines(recall.sorted_rules(m.live, PROJECT, 50)), recall.rule_order(PROJECT))], "line", 4000)
 
 
+def _engine_search(m: Model) -> DataFrame:
+    """A store that all memories were saved to in two batches, by number, some archived then: what it recalls."""
+    e = Engine(m.spark, f"{folder(m.spark)}/engine-{uuid.uuid4().hex}", lambda: NOW)
+    named = m.mentions.groupBy("hash").agg(F.sort_array(F.collect_set(F.struct("name", F.col("etype").alias("type")))).alias("entities"))
+    rows = m.memory.join(named, "hash", "left").select("seq", "project_key", "title", "content", "kind", "aliases", "entities")
+    half = (m.memory.agg(F.max("seq")).first()[0] or 0) // 2 + 1
+    for i in range(2):
+        part = rows.where(F.floor(F.col("seq") / half) == i)
+        if not part.isEmpty():
+            e.remember(part)
+    e.archive(m.memory.where("archived").select("id"))
+    *prompt, extra = TOKENS
+    return top(e.scored(" ".join(prompt), PROJECT, (extra,), MIN_MATCH), 50)
+
+
 def _reindex(m: Model) -> DataFrame:
     mem = m.memory
     stored = mem.select("id", F.when(F.col("seq") % 9 == 4, F.slice("keywords", 1, F.greatest(F.size("keywords") - 1, F.lit(0)))).otherwise(F.col("keywords")).alias("keywords"))
@@ -436,6 +454,7 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "here_set": lambda m: recall.here_set(m.live, PROJECT, "src7").select("id", "kept"),
     "context_block_budget": _context,
     "context_sections": _sections,
+    "engine_search": _engine_search,
     "standing_lines": lambda m: recall.standing_lines(m.live),
     "summary_lines": lambda m: recall.summary_lines(Recall(m).scored(), 6, 20),
     "entity_list_mentions": lambda m: (lambda mem, ment, ents: graph.entity_list(ents, ment, 50))(*_entity(m)),

@@ -154,6 +154,16 @@ gone AS (SELECT hash, CASE WHEN coalesce(t.at <= i.at, i.at IS NULL) THEN t.newe
   FROM by_title t FULL JOIN by_id i USING (hash)),
 counted AS (SELECT r.*, o.seen_count AS before FROM row r LEFT JOIN old o USING (hash) LEFT JOIN gone g USING (hash) WHERE r.op <> 'noop' OR (NOT o.superseded AND coalesce(r.seq < g.at, true)))
 """
+#: The model as saves one after the other leave it: each memory seen once, now; titles are compared without the space around them.
+SAVED_NOW = PRELUDE
+for _old, _new in (
+    ("count(*) AS seen_count", "CAST(1 AS BIGINT) AS seen_count"),
+    ("CAST(coalesce(sum(quality), 0) AS BIGINT) AS used_count, CAST(coalesce(sum(toxic), 0) AS BIGINT) AS disputed_count", "CAST(0 AS BIGINT) AS used_count, CAST(0 AS BIGINT) AS disputed_count"),
+    (f"{BASE} + last_id * {HOUR} AS last_seen_at", f"{NOW} AS last_seen_at"),
+    ("lower(title) AS title_lc", f"lower({TRIM.replace('text', 'title')}) AS title_lc"),
+):
+    assert _old in SAVED_NOW, _old
+    SAVED_NOW = SAVED_NOW.replace(_old, _new)
 SQL: dict[str, str] = {
     "tokenize_documents": f"WITH r AS (SELECT doc_id, {raw_tokens('text')} AS raw FROM documents) SELECT doc_id, array_to_string({ordered('raw', 32)}, ' ') AS tokens FROM r",
     "tokenize_pages": f"WITH r AS (SELECT page_id, {raw_tokens('html')} AS raw FROM pages) SELECT page_id, array_to_string({ordered('raw', 32)}, ' ') AS tokens FROM r",
@@ -177,6 +187,7 @@ SQL: dict[str, str] = {
     "rules_sorted": PRELUDE + f"SELECT id, title, pinned, project_key, seen_count FROM live WHERE kind = 'rule' ORDER BY {_rules} LIMIT 50",
     "session_rules": PRELUDE + f"SELECT id, CASE WHEN pinned THEN 0 WHEN project_key = '{PROJECT}' AND kind = 'rule' THEN 1 WHEN project_key = '{PROJECT}' THEN 2 WHEN kind = 'rule' THEN 3 ELSE 4 END AS group_no FROM live WHERE kind IN ('rule', 'preference')",
     "here_set": PRELUDE + f"SELECT id, pinned OR project_key = '{PROJECT}' OR starts_with(project_key, '{PROJECT}/') OR project_key = 'src7' AS kept FROM live WHERE kind IN ('rule', 'preference')",
+    "engine_search": SAVED_NOW + scored(TOKENS, min_match=MIN_MATCH, project=PROJECT) + _top + " LIMIT 50",
     "context_sections": PRELUDE + scored(TOKENS, min_match=MIN_MATCH, project=PROJECT) + f""", one AS (SELECT row_number() OVER w AS place, {_line} AS line, sum(octet_length(encode({_line})) + 1) OVER w + {len(SECTIONS[0]) + 1} AS used_bytes FROM scored WINDOW w AS (ORDER BY score DESC, id)),
 one_ AS (SELECT * FROM one WHERE used_bytes <= 3880), u AS (SELECT coalesce(max(used_bytes), 0) AS u FROM one_),
 rule AS (SELECT * FROM live WHERE kind = 'rule' ORDER BY {_rules} LIMIT 50),
