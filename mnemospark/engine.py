@@ -39,7 +39,7 @@ GROWN = ("replacements", *index.TABLES)
 #: A session's failed extractions in a row, the characters its next chunk may have, and when it may be tried again.
 FAILING = ("fails", "room", "paused_until")
 #: What tables are sorted by where they are written.
-ORDER = {"memory": ("hash",), "mentions": ("entity_key",), "related": ("k1",)} | index.ORDER
+ORDER = {"memory": ("hash",), "entities": ("entity_key",), "mentions": ("entity_key",), "related": ("k1",)} | index.ORDER
 
 
 class Engine:
@@ -53,7 +53,7 @@ class Engine:
         """A table of the current version; within a change, of the one that it starts from."""
         version = self._draft.base if self._draft else self.store.current()
         held = version is not None and self.store.has(name, buckets, version)
-        return self.store.read(name, version, buckets) if held else self.spark.createDataFrame([], TABLES[name])
+        return self.store.read(name, version, buckets, TABLES[name]) if held else self.spark.createDataFrame([], TABLES[name])
 
     def _change(self, run: Callable[[Draft], _T], tries: int = 5) -> _T:
         """A change of the tables as one version: all of it is seen, or nothing. run(draft) reads the version it starts from and puts
@@ -95,7 +95,7 @@ class Engine:
             list(pool.map(put, segments.items()))
 
     def _as_written(self, draft: Draft, name: str, touched: set[str] | None) -> DataFrame:
-        held = draft.read(name, touched)
+        held = draft.read(name, touched, TABLES[name])
         return self.spark.createDataFrame([], TABLES[name]) if held is None else held
 
     def _by(self) -> dict[str, Column]:
@@ -108,11 +108,15 @@ class Engine:
         rows = [df.select(bucket(F.col("project_key")).alias("b")) for df in projects]
         return {r["b"] for r in reduce(DataFrame.union, rows).distinct().collect()}
 
+    def _of(self, ids: DataFrame) -> DataFrame:
+        """The memories of ids(id). An id is the start of a hash, so tables in order of hash are in order of id, and few row groups are read."""
+        return recall.pruned(self.memory, "id", recall.settled(ids.select("id").where("id is not null").distinct(), "ids"))
+
     def _update(self, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> str | None:
         """Apply a change to the memories, of which only the buckets that hold ids(id) are read and written; none held, no change."""
 
         def run(draft: Draft) -> str | None:
-            touched = self._buckets(self.memory.join(ids.select("id").distinct(), "id", "left_semi"))
+            touched = self._buckets(self._of(ids))
             if not touched:
                 return draft.base
             self._put(draft, {"memory": change(self.table("memory", touched))}, touched)
@@ -172,7 +176,7 @@ class Engine:
         # the batch is read by every table's plan, so it is staged once
         b = written(save.staged(batch), "staged")
         aims = b.where("target_id <> ''").select(F.col("target_id").alias("id")).distinct()
-        touched = self._buckets(b, self.memory.join(aims, "id", "left_semi"), *([also] if also is not None else []))
+        touched = self._buckets(b, self._of(aims), *([also] if also is not None else []))
         mem = self.table("memory", touched)
         done = save.effects(mem, b)
         found = save.named(b)
@@ -272,7 +276,7 @@ class Engine:
             rows, judged = mems.join(own, "session", "left_semi"), verdicts.join(own, "session", "left_semi")
             tables, touched = {}, set()
             if not (rows.isEmpty() and judged.isEmpty()):
-                about = self.memory.join(judged.select("id").distinct(), "id", "left_semi")
+                about = self._of(judged)
                 tables, _, touched = self._saved(rows, now, also=about)
                 tables["memory"] = self._judged(tables["memory"], judged.select("id", "verdict"))
             moved = mine.where("plan <> 'defer' and error is null").select(F.col("session").alias("id"), "project_key", F.col("next").alias("line"), F.lit(0).alias("seq"))
@@ -478,7 +482,7 @@ class Engine:
     def entity(self, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The entities of a name, their neighbours, and the memories that mention them."""
         ents, ment = self.entities, self.mentions
-        return graph.entity_nodes(ents, ment, name), graph.entity_relations(ents, self.related, name), graph.entity_memories(ents, ment, self.memory, name)
+        return graph.entity_nodes(ents, ment, name, grams=self.table("grams")), graph.entity_relations(ents, self.related, name), graph.entity_memories(ents, ment, self.memory, name)
 
     def targets(self, query: str, kinds: tuple[str, ...] = (), limit: int = 20) -> DataFrame:
         """Live memories of that id, or whose title holds the query."""

@@ -35,11 +35,17 @@ def entity_list(entities: DataFrame, mentions: DataFrame, limit: int, project: s
     return out.orderBy(F.desc("mentions"), "name", "project_key").limit(limit)
 
 
-def entity_nodes(entities: DataFrame, mentions: DataFrame, name: str, limit: int = 20) -> DataFrame:
-    """The entities of that name, or else those that contain it."""
-    exact = entities.where(F.col("name_lc") == name.lower())
-    found = exact.unionByName(entities.where(F.col("name_lc").contains(name.lower())).join(exact.limit(1).select(F.lit(1).alias("_x")), F.lit(True), "left_anti"))
-    return entity_list(found, mentions, limit)
+def entity_nodes(entities: DataFrame, mentions: DataFrame, name: str, limit: int = 20, grams: DataFrame | None = None) -> DataFrame:
+    """The entities of that name, or else those that contain it; with grams, the pieces of names that saves keep, those that may are looked up."""
+    from .index import containing
+    from .recall import pruned, settled
+
+    name = name.lower()
+    if grams is not None and name:
+        entities = pruned(entities, "entity_key", settled(containing(grams, "name", name), "names"))
+    held = settled(entities.where(F.col("name_lc").contains(name)), "nodes")
+    exact = held.where(F.col("name_lc") == name)
+    return entity_list(held if exact.isEmpty() else exact, mentions, limit)
 
 
 def entity_relations(entities: DataFrame, edges: DataFrame, name: str, limit: int = 50) -> DataFrame:

@@ -458,7 +458,7 @@ PLANS: dict[str, Callable[[Model], DataFrame]] = {
     "standing_lines": lambda m: recall.standing_lines(m.live),
     "summary_lines": lambda m: recall.summary_lines(Recall(m).scored(), 6, 20),
     "entity_list_mentions": lambda m: (lambda mem, ment, ents: graph.entity_list(ents, ment, 50))(*_entity(m)),
-    "entity_detail_nodes": lambda m: (lambda mem, ment, ents: graph.entity_nodes(ents, ment, ENTITY))(*_entity(m)),
+    "entity_detail_nodes": lambda m: (lambda mem, ment, ents: graph.entity_nodes(ents, ment, ENTITY, grams=m.kept("grams")))(*_entity(m)),
     "entity_relations": lambda m: (lambda mem, ment, ents: graph.entity_relations(ents, m.related, ENTITY))(*_entity(m)),
     "entity_memories": lambda m: (lambda mem, ment, ents: graph.entity_memories(ents, ment, mem, ENTITY))(*_entity(m)),
     "entity_names_recent": lambda m: graph.recent_names(m.entity, 20, PROJECT),
