@@ -1,4 +1,11 @@
-"""The corpus pipeline: STAGES in order, each written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: STAGES in order, each written as Parquet and reread as the next one's documents.
+
+Defined cases, for every stage: all columns stay, whatever their names, up to packing, which returns its pieces; an empty table
+stays empty; a null text is an empty one, which the quality rules reject (under 20 words); rows with null ids are judged by
+their own text and are no near duplicates of any; rows of a repeated id are judged each by its own text, and of rows that
+repeat as a whole one is left after near_dedup; very long texts take part whole. Of equal candidates the row of the
+least id, then of the least hash of id and text, stays.
+"""
 
 from __future__ import annotations
 
