@@ -136,9 +136,11 @@ def test_clusters(spark):
 
 
 def test_graph(spark):
-    e = graph.cooccurrence(spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "d")], "item long, key string"))
+    items = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "d"), (3, "c"), (4, "d"), (4, "x")], "item long, key string")
+    e = graph.cooccurrence(items.where("item < 3"))
     assert {(r.k1, r.k2, r.weight) for r in e.collect()} == {("a", "b", 2), ("a", "c", 1), ("b", "c", 1)}
-    assert {(r.key, r.hops) for r in graph.two_hops(e, "a", 1).collect()} == {("b", 1), ("c", 1)}
+    hops = lambda least: {(r.key, r.hops) for r in graph.two_hops(items, "a", least).collect()}
+    assert hops(1) == {("b", 1), ("c", 1), ("d", 2)} and hops(2) == {("b", 1)} and graph.two_hops(items, "none", 1).collect() == []
 
 
 def test_evaluation(spark):
