@@ -29,13 +29,14 @@ def debounce(events: DataFrame, gap: str = GAP, lateness: str = LATENESS) -> Dat
 
 
 GATE = "session long, ref long, at long, searched boolean, fired boolean"
-_STATE = "at long, searched boolean, fired boolean"
+_STATE = "turns array<struct<ref:bigint,at:bigint,searched:boolean,fired:boolean>>"
 
 
 def gate(events: DataFrame, window_us: int = 24 * 3600 * 1_000_000, lateness: str = LATENESS) -> DataFrame:
     """The gate's turn of each (session, prompt), put out whenever it changes: a view is a stop, a click a search.
 
-    State is a turn's marks; it goes when the turn is forgotten. Calls are folded in order of time within a batch.
+    State is the marks of a session's turns, so that Python is entered once a session and batch and not for each prompt; a
+    turn goes when it is forgotten. Calls are folded in order of time within a batch.
     """
 
     # local, so that it reaches the executors whole: they need not have this package
@@ -43,23 +44,27 @@ def gate(events: DataFrame, window_us: int = 24 * 3600 * 1_000_000, lateness: st
         if state.hasTimedOut:
             state.remove()
             return
-        turn = state.get if state.exists else None
+        # what the watermark has passed no call can find again
+        turns = {ref: (at, searched, fired) for ref, at, searched, fired in (state.get[0] if state.exists else []) if at + window_us >= state.getCurrentWatermarkMs() * 1000}
         out = []
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])  # the calls of one prompt in one batch: few
-        for us, searched in zip(rows["us"].tolist(), rows["searched"].tolist(), strict=True):
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])  # the calls of one session in one batch
+        for ref, us, searched in zip(rows["ref"].tolist(), rows["us"].tolist(), rows["searched"].tolist(), strict=True):
+            turn = turns.get(ref)
             if turn is None or us - turn[0] > window_us:
                 turn = (us, searched, not searched)
             else:
                 searched = searched or turn[1]
                 turn = (turn[0], searched, turn[2] or not searched)
-            out.append((*key, *turn))
-        state.update(turn)
-        state.setTimeoutTimestamp(max((turn[0] + window_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            turns[ref] = turn
+            out.append((*key, ref, *turn))
+        state.update(([(ref, *turn) for ref, turn in turns.items()],))
+        last = max(turn[0] for turn in turns.values())
+        state.setTimeoutTimestamp(max((last + window_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session", "ref", "at", "searched", "fired"])
 
     held = events.where("event_type in ('view', 'click')").withWatermark("ts", lateness)
     held = held.select("session", F.get_json_object("props", "$.k").cast("long").alias("ref"), "event_id", "ts", F.unix_micros("ts").alias("us"), (F.col("event_type") == "click").alias("searched"))
-    return held.where("session is not null and ref is not null").groupBy("session", "ref").applyInPandasWithState(calls, GATE, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return held.where("session is not null and ref is not null").groupBy("session").applyInPandasWithState(calls, GATE, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def _run(stream: DataFrame, mode: str, out: str) -> None:

@@ -54,6 +54,15 @@ def test_streams_equal_batch(spark, folder):
     assert {(r.session, r.n) for r in bursts} == whole and len(bursts) == sessions.debounced(batch, 20 * 60_000_000).count()
 
 
+def test_gate_keeps_a_state_a_session(spark, folder, tmp_path):
+    """Prompts are many times the sessions, so Python is not entered for each of them."""
+    e = state.event_stream(spark, folder)
+    q = state.gate(e).writeStream.foreachBatch(lambda b, i: b.write.format("noop").mode("overwrite").save()).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = spark.read.format("statestore").load(str(tmp_path / "c")).selectExpr("key.*").collect()
+    assert sorted(map(tuple, held)) == [(0,), (1,), (2,)]
+
+
 def test_store_survives_a_lost_pointer(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     df = spark.createDataFrame([(1,)], "x long")
