@@ -47,6 +47,10 @@ def test_terms(spark):
     assert got == ["guard-insert-remisier", "guard insert remisier", "two words", "two_words", "dup", "un-known"]
 
 
+def test_terms_of_the_prompt_with_odd_white_space(spark):
+    assert one(spark, lambda t, p: X.expansion_terms(t, p, F.array().cast("array<string>")), ["or.\u00a0Es", "kept"], ["or.\u00a0es"]) == ["kept"]
+
+
 def test_escapes_sizes_replies(spark):
     assert one(spark, X.escape_control, "a\tb\x7fc") == "a\\u0009b\\u007Fc" and one(spark, X.escape_control, "plain") == "plain"
     assert [one(spark, X.human_bytes, n) for n in (5, 2048, 3 << 20)] == ["5B", "2KB", "3.0MB"]
