@@ -51,6 +51,11 @@ def test_terms_of_the_prompt_with_odd_white_space(spark):
     assert one(spark, lambda t, p: X.expansion_terms(t, p, F.array().cast("array<string>")), ["or.\u00a0Es", "kept"], ["or.\u00a0es"]) == ["kept"]
 
 
+def test_sizes_in_the_middle_go_to_the_even_digit(spark):
+    assert [one(spark, X.human_bytes, n) for n in (1536, 2560, 3584, 2561, 1310720, 1835008)] == ["2KB", "2KB", "4KB", "3KB", "1.2MB", "1.8MB"]
+    assert spark.sql("select cast(null as long) n").select(X.human_bytes(F.col("n"))).first()[0] is None
+
+
 def test_escapes_sizes_replies(spark):
     assert one(spark, X.escape_control, "a\tb\x7fc") == "a\\u0009b\\u007Fc" and one(spark, X.escape_control, "plain") == "plain"
     assert [one(spark, X.human_bytes, n) for n in (5, 2048, 3 << 20)] == ["5B", "2KB", "3.0MB"]
