@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as X
+from mnemospark.sources.scratch import written
 
 _RELATIONS = "array<struct<a:string,verb:string,b:string>>"
 #: Columns that a batch may leave out: type and value.
@@ -64,11 +65,11 @@ class Saved:
 
 
 def effects(mem: DataFrame, b: DataFrame) -> Saved:
-    """What the staged batch b does to the memories mem."""
+    """What the staged batch b, a stored table, does to the memories mem. What several steps read is written once."""
     saves = b.where("op <> 'noop'")
     first = lambda c: F.min_by(c, "at").alias(c)
     made = saves.groupBy("hash").agg(F.min("at").alias("made"), *(first(c) for c in ("id", "title", "title_lc", "content", "kind", "project_key", "session")))
-    created = made.join(mem.select("hash"), "hash", "left_anti")
+    created = written(made.join(mem.select("hash"), "hash", "left_anti"), "created")
 
     old = mem.select("hash", "id", "title", *_TITLE, F.lit(0).cast("long").alias("made"), F.coalesce("superseded", F.lit(False)).alias("was_gone"))
     every = old.unionByName(created.select("hash", "id", "title", *_TITLE, "made", F.lit(False).alias("was_gone")))
@@ -84,6 +85,7 @@ def effects(mem: DataFrame, b: DataFrame) -> Saved:
     by_id = every.where("not was_gone").join(asks, "id").where("made < at and hash <> newer")
     by_id = by_id.select("hash", F.col("at").alias("gone_at"), F.lit(True).alias("asked"), "newer")
     gone = by_title.unionByName(by_id).groupBy("hash").agg(F.min(F.struct("gone_at", "asked", "newer")).alias("g")).select("hash", "g.*")
+    gone = written(gone, "gone")
 
     # a noop counts if its target is there and not yet replaced
     noops = b.where("op = 'noop'").select(F.col("target_id").alias("id"), "seq", "at", F.col("alias_tokens").alias("keywords"), "aliases")

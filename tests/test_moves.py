@@ -6,6 +6,7 @@ from contextlib import contextmanager
 
 import pytest
 
+from mnemospark.operators import save
 from mnemospark.plans import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,19 @@ def test_texts_are_grouped_and_ordered_only(spark):
         found = nodes(adapters.memories(spark, SF))
     assert any(name.startswith("Window") for name, _ in found)
     assert not [name for name, columns in found if re.match("Window|.*Join", name) and re.search(r"\b(text|content)#", columns)]
+
+
+def _save(spark):
+    lists = ", keywords array<string>, aliases array<string>, alias_only array<string>"
+    mem = spark.createDataFrame([("h0", "p", "t", "t", "some content", "rule", 1, 0, "i0", False, [], [], [])], "hash string, project_key string, title string, title_lc string, content string, kind string, seen_count long, last_seen_at long, id string, superseded boolean" + lists)
+    for c, kind in {"created_at": "long", "used_count": "long", "disputed_count": "long", "injected_count": "long", "source_session": "string", "archived": "boolean", "pinned": "boolean"}.items():
+        mem = mem.selectExpr("*", f"cast(null as {kind}) as {c}")
+    rows = spark.createDataFrame([(0, "p", "t", "new content", "rule", [], [])], "seq long, project_key string, title string, content string, kind string, aliases array<string>, entities array<struct<name:string,type:string>>")
+    return mem, save.staged(rows)
+
+
+def test_new_rows_are_found_once(spark):
+    """Titles, updates, noops and outcomes each ask what is new and what is gone."""
+    with unbroadcast(spark):
+        outcomes = save.effects(*_save(spark)).outcomes
+        assert "LeftAnti" not in outcomes._jdf.queryExecution().toString()
