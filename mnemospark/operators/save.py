@@ -112,7 +112,9 @@ def memories_after(mem: DataFrame, done: Saved, now: int) -> DataFrame:
     row = F.struct("at", "noop", "keywords", "aliases", "alias_only")
     steps = step.groupBy("hash").agg(F.sum("times").alias("_times"), F.sort_array(F.collect_list(row)).alias("_steps"))
     new = done.created.select("hash", *(F.col(c).alias(f"_{c}") for c in ("id", "title", "title_lc", "content", "kind", "project_key")), F.col("session").alias("_source_session"), F.lit(now).cast("long").alias("_created_at"))
-    m = mem.join(steps, "hash", "full").join(new, "hash", "left").join(done.replaced.select("hash", F.lit(True).alias("_gone")), "hash", "left")
+    # what the batch brings is put together first, so that the memories move once
+    brings = steps.join(new, "hash", "left").join(done.replaced.select("hash", F.lit(True).alias("_gone")), "hash", "full")
+    m = mem.join(brings, "hash", "full")
 
     lists = F.struct(*(F.coalesce(c, _none()).alias(c) for c in ("keywords", "aliases", "alias_only")))
     fresh = lambda a, s: F.when(s["noop"], F.array_except(s["keywords"], a["keywords"])).otherwise(s["alias_only"])

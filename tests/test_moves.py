@@ -49,3 +49,12 @@ def test_new_rows_are_found_once(spark):
     with unbroadcast(spark):
         outcomes = save.effects(*_save(spark)).outcomes
         assert "LeftAnti" not in outcomes._jdf.queryExecution().toString()
+
+
+def test_memories_move_once_in_a_save(spark):
+    with unbroadcast(spark):
+        mem, b = _save(spark)
+        after = save.memories_after(mem, save.effects(mem, b), 7)
+        moved = [columns for name, columns in nodes(after) if name == "Exchange" and re.search(r"\blast_seen_at#", columns)]
+    assert len(moved) == 1
+    assert sorted((r.title, r.content, r.superseded) for r in after.collect()) == [("t", "new content", False), ("t", "some content", True)]
