@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 import pytest
 
-from mnemospark.operators import save
+from mnemospark.operators import graph, save
 from mnemospark.plans import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,10 @@ def test_memories_move_once_in_a_save(spark):
         moved = [columns for name, columns in nodes(after) if name == "Exchange" and re.search(r"\blast_seen_at#", columns)]
     assert len(moved) == 1
     assert sorted((r.title, r.content, r.superseded) for r in after.collect()) == [("t", "new content", False), ("t", "some content", True)]
+
+
+def test_two_hops_by_one_item_hold_keys_only(spark):
+    m = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 11), (2, 12), (3, 12), (3, 13), (4, 10)], "item long, key long")
+    found = graph.two_hops(m, 10, 1)
+    assert "Aggregate [_a#" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(11, 1), (12, 2)]
