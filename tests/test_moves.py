@@ -6,7 +6,7 @@ from contextlib import contextmanager
 
 import pytest
 
-from mnemospark.operators import graph, save
+from mnemospark.operators import cluster, graph, save
 from mnemospark.plans import adapters
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +60,16 @@ def test_memories_move_once_in_a_save(spark):
     assert sorted((r.title, r.content, r.superseded) for r in after.collect()) == [("t", "new content", False), ("t", "some content", True)]
 
 
+def test_keywords_do_not_move_with_pairs(spark):
+    mem = spark.createDataFrame([("a", ["x", "y"]), ("b", ["x", "z"]), ("c", ["x", "y"]), ("d", [])], "hash string, keywords array<string>")
+    ment = spark.createDataFrame([(h, e) for h, e in ("a1", "b1", "c1", "a2", "c2", "d2", "a2", "b3")], "hash string, entity_key string")
+    with unbroadcast(spark):
+        found = cluster.pairs(mem, ment, 0.3)
+        assert sum(name.endswith("Join") or "Join " in name for name, _ in nodes(found)) == 2
+    assert sorted((r.a, r.b, round(r.jaccard, 4)) for r in found.collect()) == [("a", "b", 0.3333), ("a", "c", 1.0), ("b", "c", 0.3333)]
+    assert cluster.pairs(mem, ment, 0.3, 2).collect() == []
+
+
 def test_two_hops_by_one_item_hold_keys_only(spark):
     m = spark.createDataFrame([(1, 10), (1, 11), (1, 11), (2, 11), (2, 12), (3, 12), (3, 13), (4, 10)], "item long, key long")
     found = graph.two_hops(m, 10, 1)
