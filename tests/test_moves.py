@@ -35,6 +35,21 @@ def test_texts_are_grouped_and_ordered_only(spark):
     assert not [name for name, columns in found if re.match("Window|.*Join", name) and re.search(r"\b(text|content)#", columns)]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_memories_are_ordered_where_they_were_grouped(spark):
+    with unbroadcast(spark):
+        assert "rangepartitioning" not in adapters.memories(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_what_a_query_does_not_look_up_is_not_stored(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(adapters.Model, "kept", lambda self, name: asked.append(name))
+    index = adapters.Model(spark, SF).index
+    index.mentioned, index.near  # noqa: B018
+    assert asked == ["mentioned", "near"]
+
+
 def _save(spark):
     lists = ", keywords array<string>, aliases array<string>, alias_only array<string>"
     mem = spark.createDataFrame([("h0", "p", "t", "t", "some content", "rule", 1, 0, "i0", False, [], [], [])], "hash string, project_key string, title string, title_lc string, content string, kind string, seen_count long, last_seen_at long, id string, superseded boolean" + lists)
