@@ -90,3 +90,21 @@ def test_two_hops_by_one_item_hold_keys_only(spark):
     found = graph.two_hops(m, 10, 1)
     assert "Aggregate [_a#" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [(11, 1), (12, 2)]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_the_basket_is_dealt_once(spark):
+    with unbroadcast(spark):
+        moved = [columns for name, columns in nodes(adapters.Model(spark, SF).basket) if name == "Exchange" and re.search(r"\bkey#", columns)]
+    assert len(moved) == 1
+
+
+def test_tasks_grow_in_number_with_the_graph(spark, monkeypatch):
+    few = adapters.Model(spark, SF).dealt
+    monkeypatch.setattr(adapters, "DEALT", 100)
+    assert adapters.Model(spark, SF).dealt > 10 * few
+
+
+def test_dealt_pairs_are_counted_alike(spark):
+    m = spark.createDataFrame([(i % 40, i * i % 23) for i in range(400)], "item long, key long")
+    assert sorted(map(tuple, graph.cooccurrence(m, 3).collect())) == sorted(map(tuple, graph.cooccurrence(m).collect()))
