@@ -108,3 +108,10 @@ def test_tasks_grow_in_number_with_the_graph(spark, monkeypatch):
 def test_dealt_pairs_are_counted_alike(spark):
     m = spark.createDataFrame([(i % 40, i * i % 23) for i in range(400)], "item long, key long")
     assert sorted(map(tuple, graph.cooccurrence(m, 3).collect())) == sorted(map(tuple, graph.cooccurrence(m).collect()))
+
+
+def test_hubs_count_keys_of_distinct_rows(spark):
+    m = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 10), (2, 12)], "item long, key long")
+    found = graph.hubs(m, graph.cooccurrence(m), 9)
+    assert "count(distinct" not in found._jdf.queryExecution().analyzed().toString()
+    assert [tuple(r) for r in found.collect()] == [(10, 2, 2), (11, 1, 1), (12, 1, 1)]
