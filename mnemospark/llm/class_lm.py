@@ -502,14 +502,13 @@ class Model:
         return self.transition[before, k] + np.where(c > 0, known, np.where(k == class0[0], 0.0, self.unknown[k]))
 
 
-def _scored(model: Model, found: ClassOf, n: int, v: int):
+def _scored(model: Model | None, found: ClassOf | None, n: int, v: int):
+    """Scores of a chunk's texts; without a model the base only."""
+
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         words = counts.column("word").to_pylist()
         at = dict(zip(words, range(len(words)), strict=True))
         c = np.array(counts.column("c").to_numpy(), dtype=np.int64)
-        u = np.array(counts.column("class").to_numpy(), dtype=np.int64)
-        for i in np.flatnonzero(u < 0):  # words that no training text holds
-            u[i] = found.of[found.unit[words[i]]]
         base = np.log10((c + 1) / (n + v + 1))
         texts = [tokens(t) for t in docs.column("text").cast(pa.binary()).to_pylist()]
         i = np.fromiter(map(at.__getitem__, chain.from_iterable(texts)), np.int64, sum(map(len, texts)))
@@ -517,19 +516,30 @@ def _scored(model: Model, found: ClassOf, n: int, v: int):
         starts = ends - [len(t) for t in texts]
         add = lambda x: np.add.reduceat(x, starts)  # noqa: E731  each text has a token
         ids = docs.column("doc_id").to_pylist()
-        out = [ids, [held_out(d) for d in ids], ends - starts, add((c[i] > 0).astype(np.int64)), add(base[i]), add(model.tokens(u[i], c[i], model.of))]
-        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        names = ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")
+        out = [ids, [held_out(d) for d in ids], ends - starts, add((c[i] > 0).astype(np.int64)), add(base[i])]
+        if model is not None:
+            u = np.array(counts.column("class").to_numpy(), dtype=np.int64)
+            for k in np.flatnonzero(u < 0):  # words that no training text holds
+                u[k] = found.of[found.unit[words[k]]]
+            out.append(add(model.tokens(u[i], c[i], model.of)))
+        kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())[: len(out)]
+        names = ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")[: len(out)]
         return pa.table({k: pa.array(x, kind) for k, x, kind in zip(names, out, kinds, strict=True)})
 
     return run
 
 
-def fit(docs: DataFrame) -> tuple[Model, ClassOf, DataFrame, int, int]:
-    """The model of docs(doc_id, text, chunk), the classes of words, counts (chunk, word, c, class) for all words of a chunk, N and V."""
+def counted(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, int]:
+    """The words (chunk, word) of docs(doc_id, text, chunk), the training counts (word, c), N and V."""
     own = materialize(docs.mapInArrow(_counted, "chunk long, word binary, n long"), "lm-chunks", "zstd")
     counts = materialize(own.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    return own.select("chunk", "word"), counts, n, v
+
+
+def fit(docs: DataFrame) -> tuple[Model, ClassOf, DataFrame, int, int]:
+    """The model of docs(doc_id, text, chunk), the classes of words, counts (chunk, word, c, class) for all words of a chunk, N and V."""
+    own, counts, n, v = counted(docs)
     top = counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("c"), "word").limit(FREQUENT).collect()
     frequent = {bytes(r["word"]): 1 + i for i, r in enumerate(top)}
     # the words that move on their own: all of the vocabulary but the frequent ones
@@ -553,28 +563,41 @@ def fit(docs: DataFrame) -> tuple[Model, ClassOf, DataFrame, int, int]:
     types[per.column("class").to_numpy()], size[per.column("class").to_numpy()] = per.column("types").to_numpy(), per.column("n").to_numpy()
     model = Model({}, np.arange(classes), table, types, size, classes)
     # a chunk read by two tasks has some words twice, with one count
-    joined = own.select("chunk", "word").join(classed, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("class"))
+    joined = own.join(classed, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("class"))
     return model, found, joined, n, v
 
 
+BASE = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity for each row of docs(doc_id, text)."""
     ship(docs.sparkSession)
     held = chunked(docs)
     model, found, counts, n, v = fit(held)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    schema = f"{BASE}, score double"
     out = held.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(model, found, n, v), schema)
     out = out.withColumns({"train_tokens": F.lit(n).cast("long"), "perplexity": F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))})
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def base_scores(docs: DataFrame) -> DataFrame:
+    """What `score` returns besides the model's score: counts and scoring are the same, and no model is trained."""
+    ship(docs.sparkSession)
+    held = chunked(docs)
+    own, counts, n, v = counted(held)
+    counts = own.join(counts, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"))
+    out = held.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(_scored(None, None, n, v), BASE)
+    return out.withColumn("train_tokens", F.lit(n).cast("long"))
+
+
 def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
 def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 returns besides its model's score, which SQL can express."""
-    return op4_class_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+    return base_scores(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
 
 
 def _crc32(text: str) -> str:

@@ -161,3 +161,12 @@ def test_chunks_are_bounded(spark):
         assert sum(size(rows)) == len(rows) and max(size(rows)) <= 250
     assert max(size([(i, "x" * 10_000) for i in range(200)])) <= 200
     assert sorted(size([(1, "x" * (1 << 20)), (2, "y" * (1 << 20)), (3, "z" * (1 << 20)), (4, "w" * (1 << 20))]))[-1] <= 3
+
+
+def test_base_scores_train_no_model(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "" if i % 9 == 0 else f"the w{i % 13} Went to w{i % 7} and the end{i}") for i in range(120)] + [(None, "the"), (5, None)], "doc_id long, text string")
+    order = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    rows = lambda df: sorted(map(repr, df.select(*order).collect()))
+    want = rows(L.score(docs))
+    monkeypatch.setattr(L, "exchange", None)
+    assert rows(L.base_scores(docs)) == want
