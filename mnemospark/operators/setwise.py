@@ -4,7 +4,8 @@ A term's postings and frequencies do not depend on the prompt, so they are read
 postings a prompt needs is settled by bounds: its rarest terms give k memories a least score; commonest terms that, all
 together and with the most that recency, use and neighbours can add, stay below the k-th of these cannot bring in
 another memory. Candidates are the memories of the other terms; they alone are scored in full, from the words each
-holds.
+holds. A memory's postings lie together, so candidates are found, scored and held against the bound where they are;
+neighbours are counted for those alone that can still be among the k best.
 """
 
 from __future__ import annotations
@@ -21,6 +22,12 @@ from .recall import SEPARATED, Index
 
 #: Rows of postings, as a multiple of k, from which on a prompt's rarest terms may set its bound.
 ENOUGH = 4
+#: Rows and bytes of the prompts' terms up to which they go to all tasks; beyond, the same joins shuffle.
+TERMS, TERM_BYTES = 100_000, 4 << 20
+#: The most that neighbours add to a match, and a hair's breadth for sums in another order.
+NEIGHBOURS, HAIR = 1.0, 1e-6
+#: What a memory's score needs besides its match.
+FACTS = ("id", "project_key", "last_seen_at", "last_used_at", "seen_count", "used_count", "disputed_count")
 
 
 def terms_of(prompts: DataFrame) -> DataFrame:
@@ -38,13 +45,22 @@ def named(index: Index, terms: DataFrame) -> DataFrame:
     return held.groupBy(F.col("token").alias("term"), "entity_key").agg(F.max("exact").alias("exact"))
 
 
-def postings(index: Index, terms: DataFrame, names: DataFrame) -> DataFrame:
-    """(term, hash, w, ent, part): live memories that have a term as a word (by an alias: w is a half), as an entity's name, or in one."""
-    words = latest(_among(index.words, "token", terms, "term"), "token", "hash")
-    words = words.select(F.col("token").alias("term"), "hash", F.when(F.col("via_alias"), 0.5).otherwise(1.0).alias("w"))
-    held = latest(_among(index.mentioned, "entity_key", names, "entity_key"), "entity_key", "hash")
-    said = held.join(names, "entity_key").groupBy("term", "hash").agg(F.max(F.col("exact").cast("int")).alias("ent"), F.max((~F.col("exact")).cast("int")).alias("part"))
-    return words.join(said, ["term", "hash"], "full").select("term", "hash", "w", F.coalesce("ent", F.lit(0)).alias("ent"), F.coalesce("part", F.lit(0)).alias("part"))
+def postings(index: Index, terms: DataFrame, names: DataFrame, mem: DataFrame) -> DataFrame:
+    """(hash, facts of mem, own): live memories with the terms each has: (term, w, ent, part), as a word (by an alias: w is a half), as an entity's name, or in one.
+
+    All that is known of a memory moves once, to where the memory is.
+    """
+    words = _among(index.words, "token", terms, "term")
+    words = words.select("hash", F.col("token").alias("term"), F.lit(None).cast("string").alias("key"), "via_alias", F.lit(None).cast("boolean").alias("exact"), "gone", "at")
+    said = index.mentioned.join(names, "entity_key")
+    said = said.select("hash", "term", F.col("entity_key").alias("key"), F.lit(None).cast("boolean").alias("via_alias"), "exact", "gone", "at")
+    held = latest(words.unionByName(said).repartition("hash"), "hash", "term", "key")
+    word, entity = F.col("key").isNull(), F.col("key").isNotNull()
+    held = held.groupBy("hash", "term").agg(F.max(F.when(word, F.when(F.col("via_alias"), 0.5).otherwise(1.0))).alias("w"),
+        F.max((entity & F.col("exact")).cast("int")).alias("ent"), F.max((entity & ~F.col("exact")).cast("int")).alias("part"))
+    per = F.struct("term", "w", F.coalesce("ent", F.lit(0)).alias("ent"), F.coalesce("part", F.lit(0)).alias("part"))
+    own = held.groupBy("hash").agg(F.collect_list(per).alias("own"))  # a memory's words are few
+    return own.join(mem.select("hash", *FACTS), "hash").select("hash", *FACTS, "own")
 
 
 def weighed(terms: DataFrame, held: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -73,23 +89,29 @@ def _extra(now: int, boost: float) -> Column:
     return score + F.when((F.col("project_key") == F.col("project")) & (F.col("project") != ""), boost).otherwise(0.0)
 
 
-def needed(terms: DataFrame, held: DataFrame, mem: DataFrame, prompts: DataFrame, k: int, now: int, min_match: float, boost: float) -> DataFrame:
-    """terms without those of each prompt whose postings cannot bring in one of its k best."""
+def _kth(df: DataFrame, k: int) -> DataFrame:
+    """(pid, sure): the k-th greatest of df(pid, sure)."""
+    return df.withColumn("place", F.row_number().over(W.partitionBy("pid").orderBy(F.desc("sure")))).where(F.col("place") == k).select("pid", "sure")
+
+
+def needed(terms: DataFrame, held: DataFrame, mem: DataFrame, prompts: DataFrame, k: int, now: int, min_match: float, boost: float, few=lambda df: df) -> DataFrame:
+    """(pid, term, sure): terms without those of each prompt whose postings cannot bring in one of its k best, and the least score of the k-th if it is known.
+
+    held(hash, facts, term, w, ent, part) are postings dealt by hash; `few` marks what is bounded by the prompts.
+    """
     rare = W.partitionBy("pid").orderBy("rows", "term")
     after = rare.rowsBetween(1, W.unboundedFollowing)
     t = terms.withColumns({"before": F.coalesce(F.sum("rows").over(rare.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "rest": F.coalesce(F.sum("most").over(after), F.lit(0.0)), "under": F.coalesce(F.sum("least").over(after), F.lit(0.0))})
     t = written(t, "bounds")
     first = t.where(F.col("before") < ENOUGH * k)
-    part = held.join(first, "term").groupBy("pid", "hash").agg(F.sum(_gain(F.struct("w", "ent", "part"), F.struct("r", "multi", "i_kw", "i_multi", "i_ent", "i_part"))).alias("part"))
+    part = held.join(few(first), "term").groupBy("pid", "hash", *FACTS).agg(F.sum(_gain(F.struct("w", "ent", "part"), F.struct("r", "multi", "i_kw", "i_multi", "i_ent", "i_part"))).alias("part"))
     # behind the last of them
     drop = first.groupBy("pid").agg(F.max_by("under", F.struct("rows", "term")).alias("under"))
-    least = part.join(drop, "pid").withColumn("sure", F.col("part") + F.col("under")).where((F.col("sure") > 0) & (F.round("sure", 9) >= min_match))
-    least = least.join(mem, "hash").join(prompts.select("pid", "project"), "pid").select("pid", (F.col("sure") + _extra(now, boost)).alias("sure"))
-    kth = least.withColumn("place", F.row_number().over(W.partitionBy("pid").orderBy(F.desc("sure")))).where(F.col("place") == k).select("pid", "sure")
-    high = mem.agg((2 + 0.3 * F.log(1.0 + F.coalesce(F.max("seen_count"), F.lit(0))) + 0.4 * F.log(1.0 + F.coalesce(F.max("used_count"), F.lit(0))) + max(boost, 0.0) + 1.0).alias("high"))
-    # a hair's breadth for sums in another order
-    out = t.join(kth, "pid", "left").crossJoin(F.broadcast(high)).where(F.col("sure").isNull() | (F.col("most") + F.col("rest") + F.col("high") + 1e-6 >= F.col("sure")))
-    return out.select("pid", "term")
+    least = part.join(few(drop.join(prompts.select("pid", "project"), "pid")), "pid").withColumn("sure", F.col("part") + F.col("under")).where((F.col("sure") > 0) & (F.round("sure", 9) >= min_match))
+    kth = _kth(least.select("pid", (F.col("sure") + _extra(now, boost)).alias("sure")), k)
+    high = mem.agg((2 + 0.3 * F.log(1.0 + F.coalesce(F.max("seen_count"), F.lit(0))) + 0.4 * F.log(1.0 + F.coalesce(F.max("used_count"), F.lit(0))) + max(boost, 0.0) + NEIGHBOURS).alias("high"))
+    out = t.join(kth, "pid", "left").crossJoin(F.broadcast(high)).where(F.col("sure").isNull() | (F.col("most") + F.col("rest") + F.col("high") + HAIR >= F.col("sure")))
+    return out.select("pid", "term", "sure")
 
 
 def best(index: Index, mem: DataFrame, prompts: DataFrame, *, corpus: DataFrame, now: int, k: int, min_match: float = 0.0, boost: float = 1.0, least: int = 2) -> DataFrame:
@@ -99,35 +121,45 @@ def best(index: Index, mem: DataFrame, prompts: DataFrame, *, corpus: DataFrame,
     pid would be one prompt with the words of both, so pids are to be distinct.
     """
     prompts = written(prompts.select("pid", "tokens", F.coalesce("project", F.lit("")).alias("project")), "prompts")
-    mem = mem.select("hash", "id", "project_key", "last_seen_at", "last_used_at", "seen_count", "used_count", "disputed_count")
     words = written(terms_of(prompts), "prompt-terms")
+    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("bytes")).first()
+    few = F.broadcast if size["n"] <= TERMS and size["bytes"] <= TERM_BYTES else lambda df: df
     names = written(named(index, words), "prompt-names")
-    held = written(postings(index, words, names), "prompt-postings", ("term",))
-    terms = written(weighed(words, held, corpus), "prompt-weights")
-    need = needed(terms, held, mem, prompts, k, now, min_match, boost)
-    found = written(held.select("term", "hash").join(need, "term").select("pid", "hash").distinct(), "candidates")
+    known = written(postings(index, words, names, mem), "prompt-postings")
+    terms = written(weighed(words, known.select(F.explode("own").alias("x")).select("x.*"), corpus), "prompt-weights")
+    # from here on each memory stays where it is
+    known = known.repartition("hash")
+    held = known.select("hash", *FACTS, F.explode("own").alias("x")).select("hash", *FACTS, "x.*")
+    need = written(needed(terms, held, mem, prompts, k, now, min_match, boost, few), "needed")
 
-    per = F.struct("term", "w", "ent", "part")
-    own = held.groupBy("hash").agg(F.collect_list(per).alias("own"))  # a memory's words are few
     value = F.struct("r", "multi", "i_kw", "i_multi", "i_ent", "i_part")
     asked = terms.groupBy("pid").agg(F.map_from_entries(F.collect_list(F.struct("term", value))).alias("asked"))
+    asked = asked.join(need.groupBy("pid").agg(F.max("sure").alias("sure")), "pid").join(prompts.select("pid", "project"), "pid")
     gain = F.aggregate("own", F.lit(0.0), lambda a, x: a + F.coalesce(_gain(x, F.col("asked")[x["term"]]), F.lit(0.0)))
-    direct = found.join(own, "hash").join(asked, "pid").select("pid", "hash", gain.alias("direct")).where("direct <> 0")
-
-    seeds = words.join(names, "term").select("pid", F.col("entity_key").alias("a")).distinct()
-    near = latest(_among(index.near, "a", seeds, "a"), "a", "b").where(F.col("weight") >= max(least, 1)).join(seeds, "a")
+    found = known.select("hash", F.explode("own.term").alias("term")).join(few(need.select("pid", "term")), "term").select("hash", "pid").distinct()
+    direct = found.join(known, "hash").join(few(asked), "pid").select("pid", "hash", "id", gain.alias("direct"), _extra(now, boost).alias("extra"), "sure").where("direct <> 0")
+    direct = written(_reaching(direct).drop("sure"), "candidates")
+    sure = direct.where(F.round("direct", 9) >= min_match) if min_match > 0 else direct
+    kth = _kth(sure.select("pid", (F.col("direct") + F.col("extra")).alias("sure")), k)
+    direct = written(_reaching(direct.join(few(kth), "pid", "left")).drop("sure"), "contenders")
+
+    near = latest(_among(index.near, "a", names, "entity_key"), "a", "b").where(F.col("weight") >= max(least, 1))
+    near = near.join(words.join(names, "term").select("pid", F.col("entity_key").alias("a")).distinct(), "a")
     near = near.join(words.select("pid", F.col("term").alias("name_lc")), ["pid", "name_lc"], "left_anti").select("pid", F.col("b").alias("entity_key")).distinct()
-    near = written(near, "prompt-near")
-    beside = latest(_among(index.mentioned, "entity_key", near, "entity_key"), "entity_key", "hash").join(near, "entity_key")
-    beside = beside.join(found, ["pid", "hash"], "left_semi").groupBy("pid", "hash").agg(F.countDistinct("entity_key").alias("q3"))
+    beside = latest(_among(index.mentioned, "hash", direct, "hash"), "entity_key", "hash").join(direct.select("pid", "hash"), "hash")
+    beside = beside.join(near, ["pid", "entity_key"], "left_semi").groupBy("pid", "hash").agg(F.countDistinct("entity_key").alias("q3"))
 
-    m = direct.join(beside, ["pid", "hash"], "left").withColumn("match", F.col("direct") + 0.25 * F.least(F.coalesce("q3", F.lit(0)), F.lit(4)))
+    m = direct.join(beside, ["pid", "hash"], "left").withColumn("match", F.col("direct") + NEIGHBOURS / 4 * F.least(F.coalesce("q3", F.lit(0)), F.lit(4)))
     m = m.where(F.round("match", 9) >= min_match) if min_match > 0 else m
-    m = m.join(mem, "hash").join(prompts.select("pid", "project"), "pid")
-    m = m.select("pid", "hash", "id", F.round("match", 6).alias("match"), F.round(F.col("match") + _extra(now, boost), 6).alias("score"))
+    m = m.select("pid", "hash", "id", F.round("match", 6).alias("match"), F.round(F.col("match") + F.col("extra"), 6).alias("score"))
     return m.withColumn("rank", F.row_number().over(W.partitionBy("pid").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k).select("pid", "hash", "match", "score", "rank")
 
 
+def _reaching(found: DataFrame) -> DataFrame:
+    """found(direct, extra, sure) that may yet come up to the least score of their prompt's k-th."""
+    return found.where(F.col("sure").isNull() | (F.col("direct") + F.col("extra") + NEIGHBOURS + HAIR >= F.col("sure")))
+
+
 #: Words below which a prompt is weak, and context words that are added to it.
 WEAK, CONTEXT = 3, 16
 

@@ -7,7 +7,7 @@ from contextlib import contextmanager
 import pytest
 
 from mnemospark.operators import cluster, graph, save
-from mnemospark.plans import adapters
+from mnemospark.plans import adapters, catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -50,6 +50,40 @@ def test_what_a_query_does_not_look_up_is_not_stored(spark, monkeypatch):
     assert asked == ["mentioned", "near"]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_memories_without_contents_move_no_text(spark):
+    whole, known = adapters.memories(spark, SF), adapters.memories(spark, SF, content=False)
+    grouped = lambda df: [columns for name, columns in nodes(df) if re.match("Sort|Exchange", name) and re.search(r"\btext#", columns)]
+    with unbroadcast(spark):
+        assert grouped(whole) and not grouped(known)
+    assert "content" not in known.columns
+    rows = lambda df: sorted(map(repr, df.select(*sorted(known.columns)).collect()))
+    assert rows(known) == rows(whole)
+
+
+def _documents(spark, path):
+    rows = [(3, "Alpha beta. x", "en", "s"), (1, " alpha BETA. x ", "en", "s"), (1, " alpha BETA. x ", "en", "s"), (1, "other text", "en", "s"), (2, "alpha beta. x", "de", "t"), (4, None, "en", "s"), (None, "no number", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+
+
+def test_known_memories_of_odd_documents(spark, tmp_path):
+    """Copies that differ in case and white space, repeated and missing numbers, no text."""
+    _documents(spark, tmp_path)
+    whole, known = adapters.memories(spark, str(tmp_path)), adapters.memories(spark, str(tmp_path), content=False)
+    rows = lambda df: sorted(map(repr, df.select(*sorted(known.columns)).collect()))
+    assert rows(known) == rows(whole)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["recall_all_prompts"])
+def test_recall_stores_no_contents(spark, monkeypatch, name):
+    monkeypatch.setattr(adapters, "_stored", {})
+    monkeypatch.setattr(adapters, "_built", {})
+    catalog.queries()[name](spark, SF)
+    assert [k for *_, k in adapters._stored if k == "known"] and not [k for *_, k in adapters._stored if k == "memory"]
+
+
 def _save(spark):
     lists = ", keywords array<string>, aliases array<string>, alias_only array<string>"
     mem = spark.createDataFrame([("h0", "p", "t", "t", "some content", "rule", 1, 0, "i0", False, [], [], [])], "hash string, project_key string, title string, title_lc string, content string, kind string, seen_count long, last_seen_at long, id string, superseded boolean" + lists)

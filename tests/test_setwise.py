@@ -56,6 +56,24 @@ def test_equals_single_recalls(spark, store, monkeypatch, k, floor):
         assert mine.get(pid, []) == [(m.id, m.match, m.score) for m in one], pid
 
 
+def test_prompts_too_many_for_each_task(spark, store, monkeypatch):
+    prompts = spark.createDataFrame([(i, ["common", "often", WORDS[i], WORDS[(i * 7) % 40]], "pq"[i % 2]) for i in range(12)], "pid long, tokens array<string>, project string")
+    run = lambda: sorted(map(tuple, setwise.best(store.index(), store.memory, prompts, corpus=store.corpus(), now=1_000_000, k=3, least=1).collect()))
+    few = run()
+    monkeypatch.setattr(setwise, "TERMS", 0)
+    assert few and run() == few
+
+
+def test_neighbours_are_counted_for_what_may_be_among_the_best(spark, store, monkeypatch):
+    prompts = spark.createDataFrame([(i, ["common", "often", *WORDS[i : i + 3]], "") for i in range(9)], "pid long, tokens array<string>, project string")
+    kept, put = {}, setwise.written
+    monkeypatch.setattr(setwise, "written", lambda df, name, *order: kept.setdefault(name, put(df, name, *order)))
+    setwise.best(store.index(), store.memory, prompts, corpus=store.corpus(), now=1_000_000, k=3, least=1)
+    assert kept["contenders"].count() < kept["candidates"].count()
+    # a row a memory, so what belongs to it does not move with each of its terms
+    assert kept["prompt-postings"].count() == kept["prompt-postings"].select("hash").distinct().count()
+
+
 def test_context_runs(spark, store):
     rows = [(0, "own7", "own8 own9", ""), (1, "words unknown here", "own10", ""), (2, "own11 own12 own13", "own14", ""), (3, "nobody knows this", None, ""), (4, "nobody knows this", "neither that", None)]
     got = {}
