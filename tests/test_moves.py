@@ -73,10 +73,13 @@ def test_known_memories_of_odd_documents(spark, tmp_path):
     whole, known = adapters.memories(spark, str(tmp_path)), adapters.memories(spark, str(tmp_path), content=False)
     rows = lambda df: sorted(map(repr, df.select(*sorted(known.columns)).collect()))
     assert rows(known) == rows(whole)
+    found = adapters.Model(spark, str(tmp_path)).with_content(known.where("seq is not null"))
+    contents = lambda df: sorted(map(repr, df.select("hash", "seq", "content").collect()))
+    assert contents(found) == contents(whole.where("seq is not null"))
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["recall_all_prompts"])
+@pytest.mark.parametrize("name", ["recall_all_prompts", "context_sections"])
 def test_recall_stores_no_contents(spark, monkeypatch, name):
     monkeypatch.setattr(adapters, "_stored", {})
     monkeypatch.setattr(adapters, "_built", {})
@@ -84,6 +87,15 @@ def test_recall_stores_no_contents(spark, monkeypatch, name):
     assert [k for *_, k in adapters._stored if k == "known"] and not [k for *_, k in adapters._stored if k == "memory"]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_lines_fetch_the_texts_of_their_rows_only(spark):
+    m = adapters.Model(spark, SF)
+    some = m.known.orderBy("id").limit(5).localCheckpoint()
+    with unbroadcast(spark):
+        assert any(name.startswith("BroadcastHashJoin") for name, _ in nodes(m.with_content(some)))
+    assert m.with_content(some).where("content is null").isEmpty()
+
+
 def _save(spark):
     lists = ", keywords array<string>, aliases array<string>, alias_only array<string>"
     mem = spark.createDataFrame([("h0", "p", "t", "t", "some content", "rule", 1, 0, "i0", False, [], [], [])], "hash string, project_key string, title string, title_lc string, content string, kind string, seen_count long, last_seen_at long, id string, superseded boolean" + lists)
