@@ -79,7 +79,7 @@ def test_known_memories_of_odd_documents(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["recall_all_prompts", "context_sections", "retrieval_floor"])
+@pytest.mark.parametrize("name", ["recall_all_prompts", "context_sections", "retrieval_floor", "similar_memories_k12"])
 def test_recall_stores_no_contents(spark, monkeypatch, name):
     monkeypatch.setattr(adapters, "_stored", {})
     monkeypatch.setattr(adapters, "_built", {})
